@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, pii, simhash
+from . import decontaminate, langid, mixing, pii, simhash, tokencount, warc
 from .common import read
 
 
@@ -10,6 +10,10 @@ def op1_pii(spark, sf_dir):
     return pii.digest(pii.find_pii(read(spark, sf_dir, "documents")))
 
 
+def op4_token_counts(spark, sf_dir):
+    return tokencount.count_tokens(read(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -18,9 +22,17 @@ def op7_simhash(spark, sf_dir):
     return simhash.digest(simhash.near_duplicates(read(spark, sf_dir, "documents")))
 
 
+def op8_warc(spark, sf_dir):
+    return warc.archive_and_read(read(spark, sf_dir, "pages"))
+
+
+def op9_language_id(spark, sf_dir):
+    return langid.query(read(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark, sf_dir):
     return decontaminate.digest(decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op6_mixing, op7_simhash, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_pii, op4_token_counts, op6_mixing, op7_simhash, op8_warc, op9_language_id, op10_decontamination)}
 SQL = {"op6_mixing": mixing.SQL, "op10_decontamination": decontaminate.SQL}
