@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, mixing, pii, simhash, tokencount, warc
+from pyspark.sql import functions as F
+
+from . import ann, decontaminate, langid, mixing, pii, simhash, tokencount, warc
 from .common import read
 
 
@@ -10,6 +12,10 @@ def op1_pii(spark, sf_dir):
     return pii.digest(pii.find_pii(read(spark, sf_dir, "documents")))
 
 
+def op2_ann(spark, sf_dir):
+    return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op4_token_counts(spark, sf_dir):
     return tokencount.count_tokens(read(spark, sf_dir, "documents"))
 
@@ -34,5 +40,5 @@ def op10_decontamination(spark, sf_dir):
     return decontaminate.digest(decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op4_token_counts, op6_mixing, op7_simhash, op8_warc, op9_language_id, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_ann, op4_token_counts, op6_mixing, op7_simhash, op8_warc, op9_language_id, op10_decontamination)}
 SQL = {"op6_mixing": mixing.SQL, "op10_decontamination": decontaminate.SQL}
