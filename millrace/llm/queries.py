@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, mixing, pii, simhash, tokencount, warc
+from . import ann, decontaminate, langid, lm, mixing, pii, simhash, tokencount, warc
 from .common import read
 
 
@@ -20,6 +20,10 @@ def op4_token_counts(spark, sf_dir):
     return tokencount.count_tokens(read(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark, sf_dir):
+    return lm.score_corpus(read(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -40,5 +44,5 @@ def op10_decontamination(spark, sf_dir):
     return decontaminate.digest(decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_ann, op4_token_counts, op6_mixing, op7_simhash, op8_warc, op9_language_id, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_ann, op4_token_counts, op5_lm_scoring, op6_mixing, op7_simhash, op8_warc, op9_language_id, op10_decontamination)}
 SQL = {"op6_mixing": mixing.SQL, "op10_decontamination": decontaminate.SQL}
