@@ -12,7 +12,7 @@ whatever the corpus, and row numbers inside such a bucket. A source with a third
 buckets. No text is shuffled.
 
 Null text: size 0, never takes words. Null source: a source of its own, last. Empty table: no rows. Repeated rows are
-separate documents. Columns other than doc_id, text and source are not looked at.
+separate documents (``emit`` merges equal rows and adds up their copies). Columns other than doc_id, text and source are not looked at.
 """
 
 from __future__ import annotations
@@ -68,6 +68,15 @@ def mix(docs: DataFrame, weights=(1, 2, 3), max_epochs: int = 3, seed: int = 17,
     return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[F.col(f"__keep_{c}").alias(c) for c in keep])
 
 
+def emit(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: each row once for each copy taken, with mix_copy (from 1), mix_size and mix_target (its source's)."""
+    keyed = docs.withColumns({"__k1": F.xxhash64("doc_id", "text", "source"), "__k2": F.xxhash64(F.lit(7), "source", "text", "doc_id")})
+    taken = mix(keyed, keep=["__k1", "__k2"], **options).groupBy("__k1", "__k2").agg(F.sum("copies").alias("__n"), F.first("size").alias("mix_size"), F.first("target").alias("mix_target")).filter("__n > 0")
+    rows = keyed.dropDuplicates(["__k1", "__k2"]).drop(*({"mix_size", "mix_target", "mix_copy"} & set(docs.columns)))
+    own = [c for c in docs.columns if c not in ("mix_size", "mix_target", "mix_copy")]
+    return rows.join(taken, ["__k1", "__k2"]).select(*own, "mix_size", "mix_target", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))).alias("mix_copy"))
+
+
 SQL = r"""
 WITH rows AS (
   SELECT doc_id, COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, lm, mixing, pii, simhash, tokencount, warc
+from . import ann, decontaminate, langid, linededup, lm, mixing, pii, simhash, tokencount, warc
 from .common import read
 
 
@@ -16,6 +16,10 @@ def op2_ann(spark, sf_dir):
     return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op3_line_dedup(spark, sf_dir):
+    return linededup.query(read(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark, sf_dir):
     return tokencount.count_tokens(read(spark, sf_dir, "documents"))
 
@@ -44,5 +48,5 @@ def op10_decontamination(spark, sf_dir):
     return decontaminate.digest(decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_ann, op4_token_counts, op5_lm_scoring, op6_mixing, op7_simhash, op8_warc, op9_language_id, op10_decontamination)}
-SQL = {"op6_mixing": mixing.SQL, "op10_decontamination": decontaminate.SQL}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_ann, op3_line_dedup, op4_token_counts, op5_lm_scoring, op6_mixing, op7_simhash, op8_warc, op9_language_id, op10_decontamination)}
+SQL = {"op3_line_dedup": linededup.SQL, "op6_mixing": mixing.SQL, "op10_decontamination": decontaminate.SQL}

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged
+from .common import small_batches, staged, with_doc_key
 from .components import components
 
 SHINGLE, SEED, BITS = 4, 42, 64
@@ -215,15 +215,32 @@ def links(distinct: DataFrame, radius: int = 4, slice_rows: int = 8192) -> DataF
     return rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long")
 
 
+def component_roots(prints: DataFrame, radius: int) -> DataFrame:
+    """prints: (fp, ...). fp, root of each distinct fingerprint."""
+    distinct = prints.select("fp").distinct()
+    roots = components(links(distinct, radius)).withColumnRenamed("node", "fp")
+    return distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
     """doc_id, fp, component_id."""
     prints = staged(fingerprints(docs), "simhash")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(classes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    classes = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first")).join(component_roots(prints, radius), "fp")
     ids = classes.groupBy("root").agg(F.min("first").alias("component_id"))
     return prints.join(classes.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, radius: int = 4) -> DataFrame:
+    """Of each component the row with the smallest doc_id (null ids last), in its own columns; of equal rows one."""
+    keyed = with_doc_key(docs)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    packed = keyed.select(F.struct("doc_id", "__k1", "__k2").alias("doc_id"), "text")
+    prints = staged(fingerprints(packed).select("doc_id.doc_id", "doc_id.__k1", "doc_id.__k2", "fp"), "simhash")
+    assert prints.schema["doc_id"].dataType.simpleString() == id_type
+    place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "__k1", "__k2")
+    firsts = prints.groupBy("fp").agg(F.min(place).alias("first")).join(component_roots(prints, radius), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    return keyed.join(firsts.select("first.__k1", "first.__k2"), ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).select(*docs.columns)
+
+
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
