@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged, tokenizer_dir
+from .common import highest, small_batches, staged, tokenizer_dir
 
 STRETCH = 40
 LONGEST = 16
-CACHE = 300_000
+CACHE = 500_000
 #: Lower-case ASCII letters and all bytes above ASCII stay, upper case is lowered, the rest parts words.
 _TABLE = bytes(c if c >= 0x80 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 32 for c in range(256))
 
@@ -66,29 +66,24 @@ class Lattice:
         self.n_words = len(words)
         self.lens = np.array([len(s) for s in self.stretches], np.int64)
         width = int(self.lens.max()) if len(self.lens) else 0
-        ws, js, ps = ([[] for _ in range(width)] for _ in range(3))
+        found: list[list[int]] = [[] for _ in range(width)]  # by start: stretch, end and piece in one number
         get = vocab.get
         for k, s in enumerate(self.stretches):
-            n = len(s)
+            n, base = len(s), k << 32
             for i in range(n):
-                w, j_, p_ = ws[i], js[i], ps[i]
-                for j in range(i + 1, min(n, i + LONGEST) + 1):
+                add = found[i].append
+                p = get(s[i], -1)
+                add(base | (i + 1) << 24 | (p if p >= 0 else unknown))
+                for j in range(i + 2, min(n, i + LONGEST) + 1):
                     p = get(s[i:j])
                     if p is None:
-                        if j == i + 1:
-                            w.append(k)
-                            j_.append(j)
-                            p_.append(unknown)
                         break
                     if p >= 0:
-                        w.append(k)
-                        j_.append(j)
-                        p_.append(p)
-                    elif j == i + 1:
-                        w.append(k)
-                        j_.append(j)
-                        p_.append(unknown)
-        self.edges = [(np.array(a, np.int64), np.array(b, np.int64), np.array(c, np.int64)) for a, b, c in zip(ws, js, ps, strict=True)]
+                        add(base | j << 24 | p)
+        self.edges = []
+        for codes in found:
+            c = np.array(codes, np.int64)
+            self.edges.append((c >> 32, c >> 24 & 255, c & 0xFFFFFF))
         self.width = width
 
     def forward(self, prob: np.ndarray) -> np.ndarray:
@@ -135,7 +130,7 @@ def count_words(train: DataFrame) -> DataFrame:
         for b in batches:
             for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
                 counts.setdefault(lang, Counter()).update(words_of(text))
-            if sum(map(len, counts.values())) > CACHE:
+            if sum(map(len, counts.values())) > CACHE // 2:
                 yield flush()
                 counts = {}
         if any(counts.values()):
@@ -145,13 +140,20 @@ def count_words(train: DataFrame) -> DataFrame:
 
 
 class Model:
-    """languages, and log-linear piece probabilities (pieces + unknown) x languages."""
+    """languages, piece probabilities (pieces + unknown) x languages, and the scores of the commonest words."""
 
-    def __init__(self, languages: list[str], prob: np.ndarray, vocab: dict[str, int]):
-        self.languages, self.prob, self.vocab = languages, prob, vocab
+    def __init__(self, languages: list[str], prob: np.ndarray, vocab: dict[str, int], common: list[bytes]):
+        self.languages, self.prob, self.vocab, self.common = languages, prob, vocab, common
+        self.known = self.score(common) if languages else np.empty((0, 0))
 
+    def score(self, words: list[bytes]) -> np.ndarray:
+        parts = [np.empty((0, len(self.languages)))]
+        for i in range(0, len(words), 4096):
+            parts.append(Lattice(words[i : i + 4096], self.vocab, len(self.prob) - 1).forward(self.prob))
+        return np.concatenate(parts)
 
-def fit(docs: DataFrame, iterations: int = 2, path: str | None = None, smooth: float = 0.05) -> Model:
+
+def fit(docs: DataFrame, iterations: int = 2, path: str | None = None, smooth: float = 0.05, common: int = 150_000) -> Model:
     """Learns from all rows of docs with text and lang."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -177,7 +179,8 @@ def fit(docs: DataFrame, iterations: int = 2, path: str | None = None, smooth: f
         expected = np.full_like(prob, smooth)
         expected[found["piece"].to_numpy(), found["k"].to_numpy()] += found["n"].to_numpy()
         prob = expected / expected.sum(axis=0)
-    return Model(languages, prob, vocab)
+    top = highest(counts.groupBy("word").agg(F.sum("n").alias("c")), common)
+    return Model(languages, prob, vocab, [] if top is None else top.toArrow()["word"].to_pylist())
 
 
 def identify(docs: DataFrame, model: Model, temper: float = 12.0, keep: list[str] | None = None) -> DataFrame:
@@ -185,25 +188,26 @@ def identify(docs: DataFrame, model: Model, temper: float = 12.0, keep: list[str
     spark = docs.sparkSession
     small_batches(spark)
     keep = ["doc_id"] if keep is None else keep
-    shared = spark.sparkContext.broadcast((model.languages, model.prob, model.vocab))
+    shared = spark.sparkContext.broadcast(model)
     rows = docs.select(F.col("text").cast("string").alias("__text"), *[F.col(c).alias(f"__{i}") for i, c in enumerate(keep)])
 
     def run(batches):
-        languages, prob, vocab = shared.value
-        at: dict[bytes, int] = {}
-        table = np.empty((0, len(languages)))
+        model = shared.value
+        languages = model.languages
+
+        def fresh():
+            return {w: i for i, w in enumerate(model.common)} if languages else {}, model.known
+
+        at, table = fresh()
         for b in batches:
             texts = b.column("__text").to_pylist()
             split = [words_of(t) if t and languages else [] for t in texts]
             new = list({w for words in split for w in words if w not in at})
             if len(at) + len(new) > CACHE:
-                at, table = {}, np.empty((0, len(languages)))
-                new = list({w for words in split for w in words})
-            parts = [table]
-            for i in range(0, len(new), 4096):
-                parts.append(Lattice(new[i : i + 4096], vocab, len(prob) - 1).forward(prob))
+                at, table = fresh()
+                new = list({w for words in split for w in words if w not in at})
             if new:
-                table = np.concatenate(parts)
+                table = np.concatenate([table, model.score(new)])
                 at.update(zip(new, range(len(at), len(at) + len(new)), strict=True))
             pred, score = [], []
             for text, words in zip(texts, split, strict=True):
