@@ -1 +1 @@
-"""See the package README."""
+"""Queries that apply the operators to whole tables, and the tool registry."""

@@ -1 +1 @@
-"""See the package README."""
+"""Readers and writers: chunks, Markdown, binary uploads, catalogs, graph tables, keyed tables."""

@@ -1 +1 @@
-"""See the package README."""
+"""Structured Streaming forms: keyed upsert, chat history, event windows."""
