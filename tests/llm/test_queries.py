@@ -1,0 +1,201 @@
+"""Every query against a brute-force version on awkward rows, and on tables without rows."""
+
+import base64
+import collections
+import hashlib
+import math
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+import xxhash
+
+from millrace.llm import lm, queries, tokencount
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def rows_of(d, table):
+    return pq.read_table(f"{d}/{table}.parquet").to_pylist()
+
+
+def bag(rows):
+    return collections.Counter(tuple(r) for r in rows)
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_tables_without_rows(spark, empty, name):
+    assert queries.QUERIES[name](spark, empty).collect() == []
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_against_sql(spark, edge, name):
+    got = queries.QUERIES[name](spark, edge)
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages"):
+        con.execute(f"create view {t} as select * from read_parquet('{edge}/{t}.parquet')" + (" where doc_id is not null" if t == "documents" and name == "op3_line_dedup" else ""))
+    if name == "op3_line_dedup":  # its SQL is for documents with ids of their own
+        con.execute("create or replace view documents as select distinct on (doc_id) * from read_parquet('" + f"{edge}/documents.parquet') where doc_id is not null")
+    cur = con.execute(queries.SQL[name])
+    cols = [c[0] for c in cur.description]
+    want = bag(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in cur.fetchall())
+    have = bag(tuple(round(v, 6) if isinstance(v, float) else v for v in (r[c] for c in cols)) for r in got.collect() if not (name == "op3_line_dedup" and r["doc_id"] is None))
+    if name == "op3_line_dedup":
+        have, want = bag(set(have)), bag(set(want))
+    assert have == want
+    assert sorted(got.columns) == sorted(cols)
+
+
+def brute_spans(text):
+    out = {"email": [], "ip": [], "card": [], "phone": []}
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out["email"].append(m.span())
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text[:6000]):
+        if all(int(x) <= 255 for x in m[0].split(".")):
+            out["ip"].append(m.span())
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        n = [int(c) for c in m[0] if c.isdigit()]
+        if 13 <= len(n) <= 19 and sum(n[-1::-2]) + sum(sum(divmod(2 * x, 10)) for x in n[-2::-2]) and (sum(n[-1::-2]) + sum(sum(divmod(2 * x, 10)) for x in n[-2::-2])) % 10 == 0:
+            out["card"].append(m.span())
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
+            out["phone"].append(m.span())
+    return out
+
+
+def test_pii(spark, edge):
+    want = []
+    for r in rows_of(edge, "documents"):
+        s = brute_spans("" if r["text"] is None or set(r["text"]) == {"1"} else r["text"])
+        base = ",".join(f"{k}:{a}:{b}" for k, v in s.items() for a, b in v)
+        want.append((r["doc_id"], *map(len, s.values()), hashlib.sha256(base.encode()).hexdigest()))
+    got = queries.op1_pii(spark, edge).collect()
+    assert bag(tuple(r)[:6] for r in got) == bag(want)
+    more = [r.spans for r in got if "iban" in r.spans]
+    assert len(more) == 1 and "ssn:" in more[0] and "email:" in more[0]
+    assert any(r.n_email == 2 and r.n_ip == 2 and r.n_card == 1 and r.n_phone == 1 for r in got)
+
+
+def test_token_counts(spark, edge):
+    enc = tokencount.encoding(tokencount.rank_file())
+    want = bag((r["doc_id"], len(enc.encode_ordinary(r["text"] or ""))) for r in rows_of(edge, "documents"))
+    assert bag(map(tuple, queries.op4_token_counts(spark, edge).collect())) == want
+
+
+def test_lm_scores(spark, edge):
+    docs = rows_of(edge, "documents")
+
+    def held(r):
+        return r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2
+
+    def words(r):
+        return WORD.findall((r["text"] or "").translate(LOWER)) + [None]
+
+    c = collections.Counter(w for r in docs if not held(r) for w in words(r))
+    n, v = sum(c.values()), len(c)
+    want = bag((r["doc_id"], held(r), len(words(r)), sum(c[w] > 0 for w in words(r)), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in words(r)), 6)) for r in docs)
+    got = queries.op5_lm_scoring(spark, edge).collect()
+    assert bag((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
+    assert all(r.score < 0 and math.isfinite(r.score) for r in got)
+    # hot words by broadcast and all others by a join: the same with no hot words at all
+    joined = lm.score_corpus(spark.read.parquet(f"{edge}/documents.parquet").withColumn("held_out", lm.F.lit(None)), hot=0).collect()
+    assert bag((r.doc_id, r.n_known, round(r.base_score, 6)) for r in joined) == bag((r.doc_id, r.n_known, round(r.base_score, 6)) for r in got)
+
+
+def test_simhash(spark, edge):
+    docs, prints = rows_of(edge, "documents"), []
+    for r in docs:
+        w = WORD.findall((r["text"] or "").translate(LOWER))
+        sh = [" ".join(w[i : i + 4]) for i in range(len(w) - 3)] or ([" ".join(w)] if w else [])
+        n = [0] * 64
+        for s, k in collections.Counter(sh).items():
+            h = xxhash.xxh64_intdigest(s.encode(), 42)
+            for b in range(64):
+                n[b] += (h >> b & 1) * k
+        prints.append(sum((2 * n[b] > len(sh)) << b for b in range(64)))
+    comp = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 4 and comp[i] != comp[j]:
+                old, new = comp[i], comp[j]
+                comp = [new if x == old else x for x in comp]
+    first = {c: min((r["doc_id"] for r, x in zip(docs, comp, strict=True) if x == c and r["doc_id"] is not None), default=None) for c in set(comp)}
+    want = bag((r["doc_id"], f"{p:016x}", first[c]) for r, p, c in zip(docs, prints, comp, strict=True))
+    assert bag(map(tuple, queries.op7_simhash(spark, edge).collect())) == want
+
+
+def test_warc(spark, edge):
+    pages = rows_of(edge, "pages")
+    firsts = {}
+    for p in pages:
+        if p["page_id"] is not None:
+            firsts[p["html"] or ""] = min(p["page_id"], firsts.get(p["html"] or "", 1 << 60))
+    want = []
+    for p in pages:
+        raw, f = (p["html"] or "").encode(), firsts.get(p["html"] or "")
+        own = f is None or p["page_id"] == f
+        want.append((p["page_id"], len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if own else "revisit", None if own else f))
+    assert bag(map(tuple, queries.op8_warc(spark, edge).collect())) == bag(want)
+
+
+def test_language_id(spark, edge):
+    got = queries.op9_language_id(spark, edge).collect()
+    docs = {r["doc_id"]: r for r in rows_of(edge, "documents")}
+    assert len(got) == len(rows_of(edge, "documents"))
+    for r in got:
+        text = docs[r.doc_id]["text"]
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+        assert 0 <= r.score <= 1
+        assert (r.lang_pred == "und") == (text is None or not any(c.isalpha() for c in text))
+        if r.doc_id is not None and r.doc_id < 42:
+            assert r.lang_pred == docs[r.doc_id]["lang"]
+
+
+def test_mixing_follows_its_targets(spark, edge):
+    got = queries.op6_mixing(spark, edge).collect()
+    again = queries.op6_mixing(spark, edge).collect()
+    assert bag(map(tuple, got)) == bag(map(tuple, again))
+    assert all(r.taken <= 3 * r["size"] and r.taken % max(1, r["size"]) == 0 for r in got)
+
+
+def vectors(tmp_path, dim=16, n=900):
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((n, dim)).astype(np.float32)
+    x[100:300] = x[100]  # a third of them copies
+    x[300:310] = 2 * x[50]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(5000, None), (5001, [0.0] * dim), (5002, [float("nan")] + [1.0] * (dim - 1)), (5003, [None] + [1.0] * (dim - 1)), (5004, [float("inf")] + [1.0] * (dim - 1)), (5005, [1.0, 2.0]), (5006, []), (None, [1.0] * dim), rows[150]]
+    pq.write_table(pa.table({"vec_id": pa.array([r[0] for r in rows], pa.int64()), "embedding": pa.array([r[1] for r in rows], pa.list_(pa.float32())), "score": pa.array([1.0] * len(rows)), "id": pa.array([3] * len(rows))}), tmp_path / "embeddings.parquet")
+    return x.astype(float)
+
+
+def test_nearest_neighbours(spark, tmp_path):
+    x = vectors(tmp_path)
+    got = collections.defaultdict(list)
+    for r in queries.op2_ann(spark, str(tmp_path)).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    norm, hit, total = np.sqrt((x * x).sum(1)), 0, 0
+    assert sorted(got) == list(range(0, 900, 50))
+    for q, found in got.items():
+        s = (x * x[q]).sum(1) / (norm * norm[q])
+        s[q] = -9
+        best = np.lexsort((np.arange(len(s)), -s))[:5]
+        found.sort()
+        assert [r for r, _, _ in found] == [1, 2, 3, 4, 5]
+        hit += len({v for _, v, _ in found} & set(best.tolist()))
+        total += 5
+        assert all(abs(sc - s[v]) < 1e-12 for _, v, sc in found)
+        assert all((-a[2], a[1]) < (-b[2], b[1]) for a, b in zip(found, found[1:], strict=False))
+    assert hit / total >= 0.9
+    assert [v for _, v, _ in sorted(got[150])] == [100, 101, 102, 103, 104]  # copies tie to smaller ids
+
+
+def test_fewer_candidates_than_asked_for(spark, tmp_path):
+    pq.write_table(pa.table({"vec_id": pa.array([0, 1, 50], pa.int64()), "embedding": pa.array([[1.0, 0.0], [1.0, 1.0], [0.0, 1.0]], pa.list_(pa.float32()))}), tmp_path / "embeddings.parquet")
+    got = [(r.query_id, r["rank"], r.vec_id) for r in queries.op2_ann(spark, str(tmp_path)).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1), (0, 2, 50), (50, 1, 1), (50, 2, 0)]
