@@ -207,3 +207,15 @@ def read_record(row) -> tuple[dict[str, str], bytes]:
 def archive_and_read(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     written = write_archive(pages, work_dir(pages.sparkSession, "warc"), min_bytes)
     return read_archive(written.select("bundle", "bytes").distinct(), pages.schema["page_id"].dataType.simpleString())
+
+
+SQL = r"""
+WITH p AS (SELECT page_id, COALESCE(html, '') AS html FROM pages),
+d AS (SELECT page_id, html, octet_length(encode(html)) AS n, sha1(html) AS h, MIN(page_id) OVER (PARTITION BY html) AS first FROM p),
+v AS (SELECT *, list_transform(range(40), lambda i: strpos('0123456789abcdef', substr(h, i + 1, 1)) - 1) AS x FROM d)
+SELECT page_id, n::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((x[5 * i // 4 + 1] * 16 + x[5 * i // 4 + 2]) >> (3 - 5 * i % 4)) & 31)::INTEGER, 1)), '') AS payload_digest,
+       CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first IS NULL OR page_id = first THEN NULL ELSE first END AS refers_to
+FROM v
+"""
