@@ -85,3 +85,18 @@ def highest(counts: DataFrame, most: int) -> DataFrame | None:
             break
         total, threshold = total + n, low
     return None if threshold is None else counts.filter(F.col("c") >= threshold)
+
+
+def gathered(batches, rows: int):
+    """Arrow batches of few small rows as tables of at least so many."""
+    import pyarrow as pa
+
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()

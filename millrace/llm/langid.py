@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import highest, small_batches, staged, tokenizer_dir
+from .common import gathered, highest, small_batches, staged, tokenizer_dir
 
 STRETCH = 40
 LONGEST = 16
@@ -38,25 +38,35 @@ def has_letter(text: str | None, words: list[bytes]) -> bool:
     return bool(words) and (any(w.isalpha() for w in words[:3]) or any(c.isalpha() for c in text))
 
 
-def vocabulary(path: str | None = None) -> dict[str, int]:
-    """Pieces that can occur in a word, and every prefix of one (-1 unless it is a piece itself)."""
+def vocabulary(path: str | None = None) -> dict:
+    """The trie of the pieces that can occur in a word."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path or f"{tokenizer_dir()}/piece_bpe_32k.model")
     pieces = sorted({p for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)) and 0 < len(p := sp.id_to_piece(i)) <= LONGEST and p == p.lower() and not any(c.isascii() and not c.isalpha() for c in p)})
-    out: dict[str, int] = {}
+    return trie_of(pieces)
+
+
+def trie_of(pieces: list[str]) -> dict:
+    """Character to (number of the piece that ends there or -1, the characters that go on)."""
+    root: dict = {}
     for i, p in enumerate(pieces):
-        out[p] = i
-    for p in pieces:
-        for n in range(1, len(p)):
-            out.setdefault(p[:n], -1)
-    return out
+        node = root
+        for k, c in enumerate(p):
+            n, rest = node.get(c, (-1, {}))
+            node[c] = (i if k == len(p) - 1 else n, rest)
+            node = rest
+    return root
+
+
+def size_of(trie: dict) -> int:
+    return sum((n >= 0) + size_of(rest) for n, rest in trie.values())
 
 
 class Lattice:
     """All segmentations of a batch of words, as edges by start position."""
 
-    def __init__(self, words: list[bytes], vocab: dict[str, int], unknown: int):
+    def __init__(self, words: list[bytes], vocab: dict, unknown: int):
         self.stretches, self.word = [], []
         for k, w in enumerate(words):
             s = "▁" + w.decode("utf-8", "replace")
@@ -67,17 +77,17 @@ class Lattice:
         self.lens = np.array([len(s) for s in self.stretches], np.int64)
         width = int(self.lens.max()) if len(self.lens) else 0
         found: list[list[int]] = [[] for _ in range(width)]  # by start: stretch, end and piece in one number
-        get = vocab.get
+        none = (-1, None)
         for k, s in enumerate(self.stretches):
             n, base = len(s), k << 32
             for i in range(n):
                 add = found[i].append
-                p = get(s[i], -1)
+                p, node = vocab.get(s[i], none)
                 add(base | (i + 1) << 24 | (p if p >= 0 else unknown))
-                for j in range(i + 2, min(n, i + LONGEST) + 1):
-                    p = get(s[i:j])
-                    if p is None:
-                        break
+                j = i + 1
+                while node and j < n and (t := node.get(s[j])):
+                    p, node = t
+                    j += 1
                     if p >= 0:
                         add(base | j << 24 | p)
         self.edges = []
@@ -110,10 +120,11 @@ class Lattice:
             alpha[w, j] += alpha[w, i] * weights[i]
         for i in range(self.width - 1, -1, -1):
             w, j, _ = self.edges[i]
-            np.add.at(beta[:, i], w, weights[i] * beta[w, j])
-        z = np.maximum(alpha[np.arange(n), self.lens], 1e-300)
-        for i, (w, j, p) in enumerate(self.edges):
-            np.add.at(into, (p, lang[w]), c[w] * alpha[w, i] * weights[i] * beta[w, j] / z[w])
+            beta[:, i] += np.bincount(w, weights[i] * beta[w, j], n)
+        share = c / np.maximum(alpha[np.arange(n), self.lens], 1e-300)
+        at = np.concatenate([p * into.shape[1] + lang[w] for w, _, p in self.edges])
+        found = np.concatenate([share[w] * alpha[w, i] * weights[i] * beta[w, j] for i, (w, j, _) in enumerate(self.edges)])
+        into += np.bincount(at, found, into.size).reshape(into.shape)
 
 
 def count_words(train: DataFrame) -> DataFrame:
@@ -142,7 +153,7 @@ def count_words(train: DataFrame) -> DataFrame:
 class Model:
     """languages, piece probabilities (pieces + unknown) x languages, and the scores of the commonest words."""
 
-    def __init__(self, languages: list[str], prob: np.ndarray, vocab: dict[str, int], common: list[bytes]):
+    def __init__(self, languages: list[str], prob: np.ndarray, vocab: dict, common: list[bytes]):
         self.languages, self.prob, self.vocab, self.common = languages, prob, vocab, common
         self.known = self.score(common) if languages else np.empty((0, 0))
 
@@ -158,7 +169,7 @@ def fit(docs: DataFrame, iterations: int = 2, path: str | None = None, smooth: f
     spark = docs.sparkSession
     small_batches(spark)
     vocab = vocabulary(path)
-    n = max(vocab.values(), default=-1) + 1
+    n = size_of(vocab)
     train = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null")
     counts = staged(count_words(train), "langid-words")
     languages = sorted(r[0] for r in counts.select("lang").distinct().collect())
@@ -169,7 +180,7 @@ def fit(docs: DataFrame, iterations: int = 2, path: str | None = None, smooth: f
         def run(batches):
             vocab, prob, index = shared.value  # noqa: B023
             into = np.zeros_like(prob)
-            for b in batches:
+            for b in gathered(batches, 8192):
                 lang = np.array([index[k] for k in b.column("lang").to_pylist()], np.int64)
                 Lattice(b.column("word").to_pylist(), vocab, len(prob) - 1).expect(prob, lang, b.column("n").to_numpy(zero_copy_only=False).astype(float), into)
             piece, k = np.nonzero(into)
