@@ -125,4 +125,4 @@ def count_tokens(docs: DataFrame, path: str | None = None, block: int = BLOCK) -
     manifest = write_tokens(docs, work_dir(docs.sparkSession, "tokens"), path)
     found = scan(manifest.select("file", "bytes"), block=block)
     names = manifest.select("file", F.posexplode("doc_ids").alias("ordinal", "doc_id")).withColumn("ordinal", F.col("ordinal").cast("long"))
-    return names.join(found, ["file", "ordinal"]).select("doc_id", "n_tokens")
+    return names.join(found.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens")  # no side is bounded: packed, both look small
