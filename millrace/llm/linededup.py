@@ -1,17 +1,19 @@
 """Line dedup by content-defined line chunks.
 
-A text's lines are hashed (64 bits). A rolling hash over the last two line hashes closes a chunk wherever it falls on a
-residue, so boundaries follow the content and survive lines put in or taken out elsewhere; a line of ``long_words`` words
-is always a chunk by itself. That is the coarse level, about ``modulus`` lines a chunk. A passage's first and last lines
-lie in chunks that it shares with its surroundings; the fine level (the same rolling window with every residue taken, so a
-chunk is two lines) catches those and passages too short for the coarse level. A chunk counts if each two lines in a row
-in it hold words and at least ``pair_words`` together, or it is one long line; so single short lines always stay.
-
-Chunks are keyed by the sequence of their line hashes. Of a key that occurs more than once, the first occurrence (by
-doc_id, then place) is kept and the lines of the others are removed, after a byte comparison: for every line hash in a
-repeated chunk the smallest and the largest text with that hash are compared; lines of a hash with two texts are never
-removed. The first occurrence of any line survives. The comparison's text is gathered only for hashes that pass a bit
-filter of fixed size (``filter_bits``); a false pass costs a row, not a result.
+Lines are folded first: a rolling hash over each two words, and in every ``window`` words the position with the smallest
+hash closes a unit, as the end of a line does. Boundaries so follow the content, wherever a passage starts in a line: any
+two texts that share 2 x window words share at least one whole unit. A unit's hash is built from its words' hashes.
+
+Units whose hash occurs more than once are the repeated ones. Neighbouring repeated units form a chunk. Of a unit's
+occurrences the first (by doc_id, then place) is kept; elsewhere the chunk goes, if it has at least ``least`` words. A
+passage's first and last words lie in units that it shares with its surroundings, so a chunk is extended at both ends,
+word by word, as far as the text there equals the text at an earlier end of a chunk with the same outer unit. The first
+occurrence of any repeated unit survives, and short repeated lines stay.
+
+Byte comparison: of every repeated hash the smallest and the largest text are compared; a hash with two texts removes
+nothing. What is gathered per unit in the first pass is a hash and a count. Texts, places and surroundings follow only for
+units that pass a bit filter of the repeated hashes, of fixed size (``filter_bits``); a false pass costs a row, not a
+result. Whole documents are shuffled only if they pass a like filter of the documents that lose something.
 
 Null text stays null, an empty one empty. Null doc_id comes last in the order. Rows equal in doc_id and text are one
 document and are treated alike. A text of which nothing is left becomes empty. Extra columns are carried along by name.
@@ -20,147 +22,285 @@ document and are treated alike. A text of which nothing is left becomes empty. E
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, staged, with_doc_key
 
-LONG, PAIR, MODULUS, LONGEST = 50, 20, 4, 32
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def lines_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").split(b"\n")
-
-
-def chunk_ends(hashes: np.ndarray, long_line: np.ndarray, modulus: int = MODULUS) -> np.ndarray:
-    """Whether a chunk ends after each line."""
-    rolled = hashes.copy()
-    rolled[1:] += hashes[:-1] * _MIX
-    rolled ^= rolled >> np.uint64(32)
-    ends = (rolled * _MIX >> np.uint64(40)) % np.uint64(modulus) == 0
-    ends |= long_line
-    ends[:-1] |= long_line[1:]
-    ends[-1:] = True
-    return ends
-
-
-def chunks_of(text: str, long_words: int, pair_words: int, modulus: int) -> list[tuple[int, int, bytes]]:
-    """(first line, lines, key) of a text's chunks that count, both levels."""
-    import xxhash
-
-    lines = lines_of(text)
-    raw = b"".join([xxhash.xxh64_digest(x) for x in lines])
-    words = np.array([len(x.split()) for x in lines])
-    long_line = words >= long_words
-    out = [(int(i), 1, raw[8 * i : 8 * i + 8]) for i in np.flatnonzero(long_line)]
-    good = (words[1:] > 0) & (words[:-1] > 0) & (words[1:] + words[:-1] >= pair_words)
-    out += [(int(i), 2, raw[8 * i : 8 * i + 16]) for i in np.flatnonzero(good)]
-    ends = np.flatnonzero(chunk_ends(np.frombuffer(raw, ">u8").astype(np.uint64), long_line, modulus))
-    begin = 0
-    for e in ends.tolist():
-        for a in range(begin, e + 1, LONGEST):
-            n = min(LONGEST, e + 1 - a)
-            if n > 2 and good[a : a + n - 1].all():
-                out.append((a, n, raw[8 * a : 8 * (a + n)]))
-        begin = e + 1
+WINDOW, LEAST, AROUND = 19, 24, 320
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def _powers(base: int) -> np.ndarray:
+    out = np.empty(4096, np.uint64)
+    out[0] = 1
+    with np.errstate(over="ignore"):
+        for i in range(1, 4096):
+            out[i] = out[i - 1] * np.uint64(base)
     return out
 
 
-def chunk_table(docs: DataFrame, long_words: int, pair_words: int, modulus: int) -> DataFrame:
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+_BYTES, _WORDS = _powers(0x9E3779B97F4A7C15), _powers(0xD6E8FEB86659FD93)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+def _sliding(f, x: np.ndarray, width: int) -> np.ndarray:
+    """f over x[i : i + width] for each i that has so many."""
+    out, have = x, 1
+    while have < width:
+        step = min(have, width - have)
+        out = f(out[: len(out) - step], out[step:])
+        have += step
+    return out
+
+
+class Units:
+    """The units of some texts: document, first byte, end of content, first byte of what follows (in the document), words, hash."""
+
+    def __init__(self, texts: list[bytes], window: int = WINDOW):
+        buf = b"\n".join(texts) + b"\n"
+        self.buf = buf
+        a = np.frombuffer(buf, np.uint8)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.at = np.cumsum(sizes + 1) - sizes - 1  # of each document in buf
+        space = _SPACE[a]
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        if len(a) and not space[0]:
+            edge = np.concatenate([[0], edge])
+        start, stop = edge[0::2], edge[1::2]
+        n = len(start)
+        if not n:
+            self.doc = self.begin = self.end = self.next = self.words = np.empty(0, np.int64)
+            self.hash = np.empty(0, np.uint64)
+            return
+        inside = np.arange(start[0], len(a), dtype=np.int64)
+        inside -= np.repeat(start, np.diff(np.append(start, len(a))))
+        value = (a[start[0] :].astype(np.uint64) + np.uint64(1)) * _BYTES[inside & 4095]
+        value[space[start[0] :]] = 0
+        word = _mix(np.add.reduceat(value, start - start[0]))
+        doc = np.searchsorted(self.at, start, side="right") - 1
+        breaks = np.cumsum(a == 10, dtype=np.int32)[start]
+        new_line = np.concatenate([[True], breaks[1:] != breaks[:-1]])
+        two = word.copy()
+        two[:-1] = _mix(word[:-1] * np.uint64(3) + word[1:])
+        new_doc = np.concatenate([[True], doc[1:] != doc[:-1]])
+        two[np.append(new_doc[1:], True)] = word[np.append(new_doc[1:], True)]
+        chosen = np.zeros(n, bool)
+        if n >= window:
+            low = _sliding(np.minimum, two, window)
+            low[doc[: n - window + 1] != doc[window - 1 :]] = 0  # windows lie within a document
+            pad = np.zeros(window - 1, np.uint64)
+            chosen = _sliding(np.maximum, np.concatenate([pad, low, pad]), window) == two
+        cut = np.flatnonzero(new_line | chosen)
+        last = np.append(cut[1:], n) - 1
+        self.doc, self.words = doc[cut], last - cut + 1
+        place = np.arange(n) - np.repeat(cut, self.words)
+        self.hash = _mix(np.add.reduceat(word * _WORDS[place & 4095], cut) + self.words.astype(np.uint64))
+        origin = self.at[self.doc]
+        self.begin, self.end = start[cut] - origin, stop[last] - origin
+        same = np.append(self.doc[1:] == self.doc[:-1], False)
+        self.next = np.where(same, np.append(self.begin[1:], 0), sizes[self.doc])
+
+
+def _texts(batch) -> list[bytes]:
+    return [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
+
+
+def repeated_hashes(docs: DataFrame, window: int) -> DataFrame:
+    """(hash) of the units that occur more than once."""
 
     def run(batches):
         for b in batches:
-            row, at, n, key = [], [], [], []
-            for i, text in enumerate(b.column("text").to_pylist()):
-                for a, m, k in chunks_of(text, long_words, pair_words, modulus):
-                    row.append(i)
-                    at.append(a)
-                    n.append(m)
-                    key.append(k)
-            row = pa.array(row, pa.int32())
-            yield pa.RecordBatch.from_arrays([*[b.column(c).take(row) for c in ("doc_id", "__k1", "__k2")], pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(key, pa.binary())], ["doc_id", "__k1", "__k2", "at", "n", "key"])
+            h, n = np.unique(Units(_texts(b), window).hash, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["hash", "n"])
 
-    return docs.select("doc_id", "__k1", "__k2", "text").mapInArrow(run, f"doc_id {id_type}, __k1 long, __k2 long, at int, n int, key binary")
+    return docs.select("text").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).filter("n > 1").select("hash")
 
 
 def bit_filter(keys: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of the line hashes in the keys: built in parts on the executors, merged by part; bits / 8 bytes on the driver."""
+    """A bitmap of a column of longs: built in parts on the executors, merged by part; bits / 8 bytes on the driver."""
+    import zlib
+
     part = 1 << 19
+    name = keys.columns[0]
 
     def run(batches):
-        import zlib
-
-        found = [np.empty(0, np.uint64)]
+        found = [np.empty(0, np.int64)]
         for b in batches:
-            found.append(np.frombuffer(b"".join(b.column("key").to_pylist()), ">u8").astype(np.uint64))
-        spots = np.unique(np.concatenate(found) % np.uint64(bits)).astype(np.int64)
+            found.append(np.unique((b.column(name).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) % np.uint64(bits)).astype(np.int64)))
+        spots = np.unique(np.concatenate(found))
         for p in np.unique(spots // part):
             row = np.zeros(part, np.uint8)
             row[spots[spots // part == p] - p * part] = 1
             yield pa.RecordBatch.from_arrays([pa.array([int(p)], pa.int32()), pa.array([zlib.compress(np.packbits(row).tobytes(), 1)], pa.binary())], ["part", "bits"])
 
     def merge(key, rows):
-        import zlib
-
         out = np.zeros(part // 8, np.uint8)
         for x in rows["bits"].to_pylist():
             out |= np.frombuffer(zlib.decompress(x), np.uint8)
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())})
 
-    import zlib
-
     out = np.zeros(bits // 8, np.uint8)
-    schema = "part int, bits binary"
-    for r in keys.mapInArrow(run, schema).groupBy("part").applyInArrow(merge, schema).collect():
+    for r in keys.mapInArrow(run, "part int, bits binary").groupBy("part").applyInArrow(merge, "part int, bits binary").collect():
         out[r["part"] * part // 8 : (r["part"] + 1) * part // 8] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
     return out
 
 
-def colliding(docs: DataFrame, keys: DataFrame, bits: int) -> list[int]:
-    """Line hashes of the keys that two different texts have: about n^2 / 2^65 of n lines."""
-    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(keys, bits))
-
-    def run(batches):
-        import xxhash
-
-        bitmap = shared.value
-        for b in batches:
-            lines = list({x for t in b.column("text").to_pylist() for x in lines_of(t)})
-            h = np.array([xxhash.xxh64_intdigest(x) for x in lines], np.uint64)
-            spot = (h % np.uint64(bits)).astype(np.int64)
-            hit = np.flatnonzero(bitmap[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8) & 1)
-            yield pa.RecordBatch.from_arrays([pa.array(h[hit].view(np.int64)), pa.array([lines[i] for i in hit.tolist()], pa.binary())], ["hash", "line"])
+def passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    spot = (keys.view(np.uint64) % np.uint64(8 * len(bitmap))).astype(np.int64)
+    return (bitmap[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8) & 1).astype(bool)
 
-    found = docs.select("text").mapInArrow(run, "hash long, line binary").groupBy("hash").agg(F.min("line").alias("low"), F.max("line").alias("high"))
-    return [r["hash"] for r in found.filter("low <> high").select("hash").collect()]
 
+def flagged_units(docs: DataFrame, bitmap: np.ndarray, window: int) -> DataFrame:
+    """Units that pass the filter: their place, text, and at a chunk's ends what is around it."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
 
-def removals(docs: DataFrame, long_words: int, pair_words: int, modulus: int, filter_bits: int) -> DataFrame:
-    """docs with __k1, __k2. __k1, __k2, gone (sorted line numbers) of the documents that lose lines."""
+    def run(batches):
+        for b in batches:
+            u = Units(_texts(b), window)
+            hit = passes(shared.value, u.hash)
+            same = u.doc[1:] == u.doc[:-1]
+            opens, closes = hit.copy(), hit.copy()
+            opens[1:] &= ~(hit[:-1] & same)
+            closes[:-1] &= ~(hit[1:] & same)
+            at = np.flatnonzero(hit)
+            doc, origin = u.doc[at], u.at[u.doc[at]]
+            number = at - np.searchsorted(u.doc, doc)
+            buf, begin, end = u.buf, u.begin[at], u.end[at]
+            stop = np.append(u.at[1:] - 1, len(buf) - 1)[doc] if len(at) else at
+            text = [buf[o + s : o + e] for o, s, e in zip(origin.tolist(), begin.tolist(), end.tolist(), strict=True)]
+            left = [buf[max(o, o + s - AROUND) : o + s] if x else None for o, s, x in zip(origin.tolist(), begin.tolist(), opens[at].tolist(), strict=True)]
+            right = [buf[o + e : min(z, o + e + AROUND)] if x else None for o, e, z, x in zip(origin.tolist(), end.tolist(), stop.tolist(), closes[at].tolist(), strict=True)]
+            row = pa.array(doc)
+            yield pa.RecordBatch.from_arrays(
+                [*[b.column(c).take(row) for c in ("doc_id", "__k1", "__k2")], pa.array(number.astype(np.int32)), pa.array(u.hash[at].view(np.int64)), *[pa.array(x[at].astype(np.int32)) for x in (u.begin, u.end, u.next, u.words)], *[pa.array(x, pa.binary()) for x in (text, left, right)]],
+                ["doc_id", "__k1", "__k2", "unit", "hash", "s", "e", "f", "words", "body", "left", "right"],
+            )
+
+    return docs.select("doc_id", "__k1", "__k2", "text").mapInArrow(run, f"doc_id {id_type}, __k1 long, __k2 long, unit int, hash long, s int, e int, f int, words int, body binary, left binary, right binary")
+
+
+def shared_end(a: bytes, b: bytes) -> int:
+    """Bytes of the whole words that both end with, white space between them and after them included."""
+    n = 0
+    for x, y in zip(reversed(a), reversed(b), strict=False):
+        if x != y:
+            break
+        n += 1
+    while n and not ((n == len(a) or _SPACE[a[-n - 1]]) and (n == len(b) or _SPACE[b[-n - 1]]) and not _SPACE[a[-n]]):
+        n -= 1
+    return n
+
+
+def shared_start(a: bytes, b: bytes) -> int:
+    """The same at the start."""
+    n = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        n += 1
+    while n and not ((n == len(a) or _SPACE[a[n]]) and (n == len(b) or _SPACE[b[n]]) and not _SPACE[a[n - 1]]):
+        n -= 1
+    return n
+
+
+def ranges_of(units: list[tuple], least: int) -> list[tuple[int, int]]:
+    """units: (unit, s, e, f, words, bytes and words to add left, the same right) of one document's repeated units that aren't
+    the first of their kind. Byte ranges of the chunks that go, merged."""
+    out: list[tuple[int, int]] = []
+    chunk: list[tuple] = []
+
+    def close():
+        if chunk and sum(u[4] for u in chunk) + chunk[0][6] + chunk[-1][8] >= least:
+            a, z = chunk[0], chunk[-1]
+            # up to what follows; where the chunk grew to the right, up to the grown end
+            out.append((a[1] - a[5], z[2] + z[7] if z[7] else z[3]))
+
+    for u in sorted(units):
+        if chunk and u[0] != chunk[-1][0] + 1:
+            close()
+            chunk = []
+        chunk.append(u)
+    close()
+    merged: list[tuple[int, int]] = []
+    for s, e in sorted(out):
+        if merged and s <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(e, merged[-1][1]))
+        else:
+            merged.append((s, e))
+    return merged
+
+
+def _grown(side: str) -> Column:
+    @F.pandas_udf("struct<bytes:int,words:int>")
+    def run(own: pd.Series, first: pd.Series) -> pd.DataFrame:
+        f = shared_end if side == "left" else shared_start
+        found = [(0, 0) if a is None or b is None else (n := f(a, b), len((a[len(a) - n :] if side == "left" else a[:n]).split())) for a, b in zip(own, first, strict=True)]
+        return pd.DataFrame(found, columns=["bytes", "words"]).astype("int32")
+
+    return run(F.col(side), F.col(f"first_{side}"))
+
+
+def removals(docs: DataFrame, window: int, least: int, filter_bits: int) -> DataFrame:
+    """docs with __k1, __k2. __k1, __k2, gone: byte ranges (s, e), in order, of the documents that lose some."""
     texts = docs.filter("text is not null and text <> ''")
-    chunks = staged(chunk_table(texts, long_words, pair_words, modulus), "line-chunks")
-    place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "__k1", "__k2", "at")
-    repeated = staged(chunks.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c"), "line-repeats")
-    bad = colliding(texts, repeated.select("key"), filter_bits)
-    later = chunks.join(repeated, "key").filter((F.col("__k1") != F.col("first.__k1")) | (F.col("__k2") != F.col("first.__k2")) | (F.col("at") != F.col("first.at")))
-    if bad:
-        hashes = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.conv(F.hex(F.substring("key", i * 8 + 1, F.lit(8))), 16, -10).cast("long"))
-        later = later.filter(~F.arrays_overlap(hashes, F.array(*[F.lit(x) for x in bad])))
-    lines = later.select("__k1", "__k2", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("line")).distinct()
-    return lines.groupBy("__k1", "__k2").agg(F.array_sort(F.collect_list("line")).alias("gone"))
-
-
-def dedup_lines(docs: DataFrame, long_words: int = LONG, pair_words: int = PAIR, modulus: int = MODULUS, filter_bits: int = 1 << 26) -> DataFrame:
-    """docs with text shortened, in their own columns, and __gone, the numbers of the lines removed (null: none)."""
+    repeated = staged(repeated_hashes(texts, window), "line-repeats")
+    units = staged(flagged_units(texts, bit_filter(repeated, filter_bits), window), "line-units")
+    place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "__k1", "__k2", "unit")
+    kinds = units.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    bad = units.select("hash", "body").groupBy("hash").agg(F.min("body").alias("low"), F.max("body").alias("high")).filter("low <> high").select("hash")
+    bad = [r["hash"] for r in bad.collect()]  # two texts with one 64-bit hash: about n^2 / 2^65 of n units
+    later = units.drop("body", "left", "right").join(kinds, "hash").filter((F.col("__k1") != F.col("first.__k1")) | (F.col("__k2") != F.col("first.__k2")) | (F.col("unit") != F.col("first.unit"))).drop("first")
+    later = later.filter(~F.col("hash").isin(bad)) if bad else later
+
+    def grown(side):
+        ends = units.filter(F.col(side).isNotNull()).select("hash", "__k1", "__k2", "unit", side, place.alias("p"))
+        first = ends.groupBy("hash").agg(F.min_by(side, "p").alias(f"first_{side}"), F.min("p").alias("q"))  # an earlier place, never its own
+        return ends.join(first, "hash").filter(F.col("p") > F.col("q")).select("__k1", "__k2", "unit", _grown(side).alias(f"g_{side}")).filter(F.col(f"g_{side}.bytes") > 0)
+
+    for side in ("left", "right"):
+        later = later.join(grown(side), ["__k1", "__k2", "unit"], "left")
+    zero = F.lit(0)
+    one = F.struct("unit", "s", "e", "f", "words", *[F.coalesce(F.col(f"g_{s}.{p}"), zero).alias(f"{s}_{p}") for s in ("left", "right") for p in ("bytes", "words")])
+    lists = later.dropDuplicates(["__k1", "__k2", "unit"]).groupBy("__k1", "__k2").agg(F.collect_list(one).alias("units"))
+
+    @F.pandas_udf("array<struct<s:int,e:int>>")
+    def cut(found: pd.Series) -> pd.Series:
+        return found.map(lambda us: [{"s": s, "e": e} for s, e in ranges_of([tuple(u.values()) for u in us], least)])
+
+    return lists.select("__k1", "__k2", cut("units").alias("gone")).filter(F.size("gone") > 0)
+
+
+def without(text, gone) -> Column:
+    """The text without byte ranges."""
+    raw = F.encode(text, "UTF-8")
+    n = F.size(gone)
+    kept = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(F.when(i > 0, F.get(gone, i - 1)["e"]).otherwise(0).alias("s"), F.when(i < n, F.get(gone, i)["s"]).otherwise(F.octet_length(text)).alias("e")))
+    return F.array_join(F.transform(kept, lambda r: F.decode(F.substring(raw, r["s"] + 1, r["e"] - r["s"]), "UTF-8")), "")
+
+
+def dedup_lines(docs: DataFrame, window: int = WINDOW, least: int = LEAST, filter_bits: int = 1 << 26) -> DataFrame:
+    """docs with text shortened, in their own columns, and __gone, the byte ranges removed (null: none)."""
     small_batches(docs.sparkSession)
     keyed = with_doc_key(docs.withColumn("text", F.col("text").cast("string")))
-    gone = removals(keyed.select("doc_id", "text", "__k1", "__k2"), long_words, pair_words, modulus, filter_bits).withColumnRenamed("gone", "__gone")
-    out = keyed.join(gone, ["__k1", "__k2"], "left")
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    return out.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left)).select(*docs.columns, "__gone")
+    gone = staged(removals(keyed.select("doc_id", "text", "__k1", "__k2"), window, least, filter_bits), "line-removals").withColumnRenamed("gone", "__gone")
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(gone.select("__k1"), filter_bits))
+
+    @F.pandas_udf("boolean")
+    def may_lose(k: pd.Series) -> pd.Series:
+        return pd.Series(passes(shared.value, k.to_numpy().astype(np.int64)))
+
+    marked = keyed.withColumn("__may", may_lose("__k1"))
+    same = marked.filter(~F.col("__may")).withColumn("__gone", F.lit(None).cast("array<struct<s:int,e:int>>"))
+    cut = marked.filter("__may").join(gone, ["__k1", "__k2"], "left").withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(without(F.col("text"), F.col("__gone"))))
+    return same.select(*docs.columns, "__gone").unionByName(cut.select(*docs.columns, "__gone"))
 
 
 def keep_rest(docs: DataFrame, **options) -> DataFrame:
@@ -171,25 +311,8 @@ def keep_rest(docs: DataFrame, **options) -> DataFrame:
     return out.select(*docs.columns)
 
 
-def digest(found: DataFrame, original: str = "__lines") -> DataFrame:
-    return found.select("doc_id", original, F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("__gone", ","), F.lit("")).alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")).withColumnRenamed(original, "n_lines")
-
-
 def query(docs: DataFrame) -> DataFrame:
-    rows = docs.select("doc_id", "text", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("__lines"))
-    return digest(dedup_lines(rows))
-
-
-SQL = r"""
-WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
-n AS (SELECT doc_id, i, l[i + 1] AS x, len(regexp_extract_all(l[i + 1], '[^\x20\x09-\x0D]+')) AS w FROM (SELECT doc_id, l, unnest(range(len(l))) AS i FROM d WHERE text <> '')),
-p AS (SELECT *, lead(x) OVER o AS y, lead(w) OVER o AS v FROM n WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-c AS (SELECT doc_id, i, 1 AS k, x, NULL AS y FROM p WHERE w >= 50
-      UNION ALL SELECT doc_id, i, 2 AS k, x, y FROM p WHERE w > 0 AND v > 0 AND w + v >= 20),
-r AS (SELECT *, row_number() OVER (PARTITION BY k, x, y ORDER BY doc_id NULLS LAST, i) AS place FROM c),
-g AS (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS i FROM r WHERE place > 1),
-s AS (SELECT doc_id, list(i ORDER BY i) AS gone FROM g GROUP BY doc_id)
-SELECT d.doc_id, COALESCE(len(l), 0)::BIGINT AS n_lines, COALESCE(len(gone), 0)::BIGINT AS n_removed, COALESCE(array_to_string(gone, ','), '') AS removed,
-       sha256(COALESCE(CASE WHEN gone IS NULL THEN text ELSE COALESCE(array_to_string(list_filter(l, lambda x, i: NOT list_contains(gone, i - 1)), chr(10)), '') END, '')) AS text_sha256
-FROM d LEFT JOIN s ON d.doc_id = s.doc_id
-"""
+    """doc_id, n_removed (ranges), removed (start:end in bytes of UTF-8, joined), text_sha256 (of what is left)."""
+    found = dedup_lines(docs.select("doc_id", "text"))
+    shown = F.array_join(F.transform("__gone", lambda g: F.concat_ws(":", g["s"].cast("string"), g["e"].cast("string"))), ",")
+    return found.select("doc_id", F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(shown, F.lit("")).alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))

@@ -49,4 +49,4 @@ def op10_decontamination(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_ann, op3_line_dedup, op4_token_counts, op5_lm_scoring, op6_mixing, op7_simhash, op8_warc, op9_language_id, op10_decontamination)}
-SQL = {"op3_line_dedup": linededup.SQL, "op6_mixing": mixing.SQL, "op8_warc": warc.SQL, "op10_decontamination": decontaminate.SQL}
+SQL = {"op6_mixing": mixing.SQL, "op8_warc": warc.SQL, "op10_decontamination": decontaminate.SQL}

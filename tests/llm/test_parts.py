@@ -154,9 +154,11 @@ def test_a_broken_payload_is_noticed(spark):
 
 
 def test_forward_sums_every_segmentation():
-    vocab = {"▁": 0, "a": 1, "b": 2, "ab": 3, "▁a": 4, "ba": 5}
+    pieces = ["▁", "a", "b", "ab", "▁a", "ba"]
+    vocab = {p: i for i, p in enumerate(pieces)}
     prob = np.array([[0.1, 0.3], [0.2, 0.1], [0.05, 0.2], [0.3, 0.1], [0.15, 0.1], [0.1, 0.1], [0.1, 0.1]])
-    lat = langid.Lattice([b"ab", b"aba", b"c"], vocab, 6)
+    assert langid.size_of(langid.trie_of(pieces)) == 6
+    lat = langid.Lattice([b"ab", b"aba", b"c"], langid.trie_of(pieces), 6)
 
     def brute(s, k):
         return 1.0 if not s else sum(prob[i, k] * brute(s[len(p) :], k) for p, i in vocab.items() if s.startswith(p)) + (prob[6, k] * brute(s[1:], k) if s[0] not in vocab else 0)
@@ -218,22 +220,47 @@ def test_phrases_and_proximity(spark):
     assert near == {0: ["7"], 1: ["7"], 2: ["7"], 3: [], 4: ["7"]}
 
 
-def test_boundaries_survive_shifts():
-    lines = [f"line number {i} of the text with words" for i in range(200)]
-    a = linededup.chunks_of("\n".join(lines), 50, 5, 4)
-    b = linededup.chunks_of("\n".join(["new first line here"] + lines), 50, 5, 4)
-    keys = {k for _, n, k in a if n > 2}
-    assert len(keys & {k for _, n, k in b if n > 2}) >= len(keys) - 1 > 5
+def test_units_cover_a_text_and_survive_shifts():
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(500)}" for _ in range(400)]
+    texts = [" ".join(words).encode(), ("new first words here\n" + "  ".join(words[7:])).encode(), b"", b" \n ", b"one", "é\tü\r\nß".encode()]
+    u = linededup.Units(texts)
+    for d, t in enumerate(texts):
+        at = u.doc == d
+        assert int(u.words[at].sum()) == len(t.split())
+        assert b" ".join(t[a:b] for a, b in zip(u.begin[at], u.end[at], strict=True)).split() == t.split()
+        assert u.next[at].tolist() == u.begin[at][1:].tolist() + ([len(t)] if at.any() else [])
+    a, b = set(u.hash[u.doc == 0].tolist()), set(u.hash[u.doc == 1].tolist())
+    assert len(a) > 20 and len(a & b) >= len(a) - 6
+    assert linededup.Units([]).hash.tolist() == []
 
 
-def test_equal_lines_are_no_collision(spark):
-    import xxhash
+@settings(max_examples=150, deadline=None)
+@given(st.integers(0, 10_000), st.integers(38, 90), st.integers(0, 40), st.integers(0, 40))
+def test_a_shared_passage_holds_a_shared_unit(seed, size, before, after):
+    rng = random.Random(seed)
 
-    docs = spark.createDataFrame([(0, "one two three\nfour five six"), (1, "one two three\nfour five six"), (2, "seven eight nine\nten eleven twelve")], "doc_id long, text string")
-    keys = spark.createDataFrame([(bytearray(xxhash.xxh64_digest(b"one two three") + xxhash.xxh64_digest(b"four five six")),)], "key binary")
-    assert linededup.colliding(docs, keys, 1 << 20) == []
-    out = linededup.dedup_lines(docs, pair_words=4).orderBy("doc_id").collect()
-    assert [r.text for r in out] == ["one two three\nfour five six", "", "seven eight nine\nten eleven twelve"]
+    def some(n):
+        return [f"w{rng.randrange(300)}" for _ in range(n)]
+
+    passage = some(size)
+    u = linededup.Units([" ".join(some(before) + passage + some(after)).encode(), " ".join(some(after) + passage + some(before)).encode()])
+    assert set(u.hash[u.doc == 0].tolist()) & set(u.hash[u.doc == 1].tolist())
+
+
+def test_growth_stops_at_whole_words():
+    assert linededup.shared_end(b"xab cd ", b"yab cd ") == 3 and linededup.shared_end(b"ab cd ", b"ab cd ") == 6 and linededup.shared_end(b"a", b"b") == 0 and linededup.shared_end(b"x ab ", b"ab ") == 3
+    assert linededup.shared_start(b" ab cdx", b" ab cdy") == 3 and linededup.shared_start(b" ab", b" ab q") == 3 and linededup.shared_start(b"", b"x") == 0
+
+
+def test_a_hash_with_two_texts_removes_nothing(spark, monkeypatch):
+    docs = spark.createDataFrame([(0, "a b c"), (1, "a b c")], "doc_id long, text string")
+    keyed = linededup.with_doc_key(docs)
+    rows = [(0, 1, 1, 0, 5, 0, 9, 9, 30, bytearray(b"one"), None, None), (1, 2, 2, 0, 5, 0, 9, 9, 30, bytearray(b"two"), None, None), (2, 3, 3, 0, 6, 0, 9, 9, 30, bytearray(b"x"), None, None), (3, 4, 4, 0, 6, 0, 9, 9, 30, bytearray(b"x"), None, None)]
+    made = spark.createDataFrame(rows, "doc_id long, __k1 long, __k2 long, unit int, hash long, s int, e int, f int, words int, body binary, left binary, right binary")
+    monkeypatch.setattr(linededup, "flagged_units", lambda *a: made)
+    got = linededup.removals(keyed, linededup.WINDOW, 24, 1 << 20).collect()
+    assert [(r["__k1"], [tuple(g) for g in r.gone]) for r in got] == [(4, [(0, 9)])]
 
 
 def test_water_level(spark):

@@ -4,32 +4,24 @@ import collections
 import re
 
 import corpus_pipeline
-from millrace.llm import decontaminate, langid, linededup, simhash
+from millrace.llm import decontaminate, langid, simhash
 from millrace.llm.common import staged
 from pyspark.sql import functions as F
 
+from .test_queries import cut, plain_dedup
+
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def plain(docs, items, identified):
     """docs: dicts in doc_id order. What is left after stages 1 to 4."""
     docs = [d for d in docs if identified[d["doc_id"]]]
-    seen, kept = {}, []
-    lines = {d["doc_id"]: d["text"].split("\n") for d in docs}
-    n = {k: [len(x.encode().split()) for x in v] for k, v in lines.items()}
-    gone = collections.defaultdict(set)
-    for d in docs:
-        k = d["doc_id"]
-        for i, x in enumerate(lines[k]):
-            if n[k][i] >= linededup.LONG:
-                if seen.setdefault((x,), (k, i)) != (k, i):
-                    gone[k].add(i)
-            if i and n[k][i] and n[k][i - 1] and n[k][i] + n[k][i - 1] >= linededup.PAIR:
-                if seen.setdefault((lines[k][i - 1], x), (k, i)) != (k, i):
-                    gone[k] |= {i - 1, i}
+    gone = plain_dedup([(d["doc_id"], d["text"]) for d in docs])
+    kept = []
     for d in docs:
-        text = "\n".join(x for i, x in enumerate(lines[d["doc_id"]]) if i not in gone[d["doc_id"]])
-        if d["doc_id"] not in gone or text.strip():
+        ranges = gone[False, d["doc_id"], d["text"]]
+        text = cut(d["text"], ranges)
+        if not ranges or text.strip():
             kept.append(d | {"text": text})
     reps = []
     comp = {d["doc_id"]: d["doc_id"] for d in kept}

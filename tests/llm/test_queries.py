@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -14,7 +15,7 @@ import pyarrow.parquet as pq
 import pytest
 import xxhash
 
-from millrace.llm import lm, queries, tokencount
+from millrace.llm import linededup, lm, queries, tokencount
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -38,19 +39,89 @@ def test_against_sql(spark, edge, name):
     got = queries.QUERIES[name](spark, edge)
     con = duckdb.connect()
     for t in ("documents", "benchmark", "pages"):
-        con.execute(f"create view {t} as select * from read_parquet('{edge}/{t}.parquet')" + (" where doc_id is not null" if t == "documents" and name == "op3_line_dedup" else ""))
-    if name == "op3_line_dedup":  # its SQL is for documents with ids of their own
-        con.execute("create or replace view documents as select distinct on (doc_id) * from read_parquet('" + f"{edge}/documents.parquet') where doc_id is not null")
+        con.execute(f"create view {t} as select * from read_parquet('{edge}/{t}.parquet')")
     cur = con.execute(queries.SQL[name])
     cols = [c[0] for c in cur.description]
     want = bag(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in cur.fetchall())
-    have = bag(tuple(round(v, 6) if isinstance(v, float) else v for v in (r[c] for c in cols)) for r in got.collect() if not (name == "op3_line_dedup" and r["doc_id"] is None))
-    if name == "op3_line_dedup":
-        have, want = bag(set(have)), bag(set(want))
+    have = bag(tuple(round(v, 6) if isinstance(v, float) else v for v in (r[c] for c in cols)) for r in got.collect())
     assert have == want
     assert sorted(got.columns) == sorted(cols)
 
 
+def plain_dedup(docs):
+    """docs: (doc_id, text). The byte ranges that go of each distinct document: dictionaries in the order of ids, no filters."""
+    rows = sorted({(d is None, d or 0, t) for d, t in docs if t})
+    units = [linededup.Units([t.encode()]) for _, _, t in rows]
+    times = collections.Counter((d is None, d or 0, t) for d, t in docs)  # equal rows are one document, but their units repeat
+    count = collections.Counter(h for row, u in zip(rows, units, strict=True) for h in u.hash.tolist() * times[row])
+    first, firsts, out = {}, {"left": {}, "right": {}}, {}
+    for r, (row, u) in enumerate(zip(rows, units, strict=True)):
+        raw, flagged, found = row[2].encode(), [count[h] > 1 for h in u.hash.tolist()], []
+        for i, h in enumerate(u.hash.tolist()):
+            if not flagged[i]:
+                continue
+            new = first.setdefault(h, (r, i)) == (r, i)
+            s, e, grow = int(u.begin[i]), int(u.end[i]), {}
+            for side, edge, around, f in (("left", not i or not flagged[i - 1], raw[max(0, s - linededup.AROUND) : s], linededup.shared_end), ("right", i + 1 == len(flagged) or not flagged[i + 1], raw[e : e + linededup.AROUND], linededup.shared_start)):
+                n = 0
+                if edge:
+                    old = firsts[side].setdefault(h, ((r, i), around))
+                    n = f(around, old[1]) if old[0] != (r, i) else 0
+                grow[side] = (n, len((around[len(around) - n :] if side == "left" else around[:n]).split()))
+            if not new:
+                found.append((i, s, e, int(u.next[i]), int(u.words[i]), *grow["left"], *grow["right"]))
+        out[row[0], row[1], row[2]] = linededup.ranges_of(found, linededup.LEAST)
+    return out
+
+
+def cut(text, ranges):
+    raw, at, out = text.encode(), 0, b""
+    for s, e in ranges:
+        out, at = out + raw[at:s], e
+    return (out + raw[at:]).decode()
+
+
+def passages(seed=1):
+    rng = random.Random(seed)
+    vocab = [f"w{i}é" for i in range(2000)]
+    planted = [[rng.choice(vocab) for _ in range(n)] for n in (51, 60, 90, 300)]
+    planted[2][40] += "\nnext"
+    rows, own = [], {}
+    for i in range(90):
+        w = [rng.choice(vocab) for _ in range(rng.randrange(0, 200))]
+        own[i] = list(w)
+        if i % 3:
+            k = rng.randrange(len(w) + 1)
+            w = w[:k] + rng.choice(planted) + w[k:]
+        rows.append((i, " ".join(w)))
+    return rows + [(900, rows[4][1]), (901, rows[0][1] + " tail"), rows[7]], planted, own
+
+
+def test_line_dedup(spark, edge):
+    for docs in (passages()[0], [(r["doc_id"], r["text"]) for r in rows_of(edge, "documents")]):
+        plain = plain_dedup(docs)
+        want = []
+        for d, t in docs:
+            ranges = plain[d is None, d or 0, t] if t else []
+            want.append((d, len(ranges), ",".join(f"{a}:{b}" for a, b in ranges), hashlib.sha256(cut(t or "", ranges).encode()).hexdigest()))
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+        assert bag(map(tuple, linededup.query(df).collect())) == bag(want)
+    assert bag(map(tuple, queries.op3_line_dedup(spark, edge).collect())) == bag(want)
+
+
+def test_passages_inside_lines_go_and_own_words_stay(spark):
+    rows, planted, own = passages(7)
+    out = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for p in planted:
+        have = [d for d, t in rows if " ".join(p) in t]
+        left = sorted({d for d in have if " ".join(p) in out[d]})
+        assert len(set(have)) > 8 and len(left) <= 2 and left[0] == min(have)
+    inside = {w for p in planted for w in " ".join(p).split()}
+    for d, words in own.items():
+        assert collections.Counter(w for w in words if w not in inside) == collections.Counter(w for w in out[d].split() if w not in inside)
+    assert len(out[900].split()) < 20
+
+
 def brute_spans(text):
     out = {"email": [], "ip": [], "card": [], "phone": []}
     for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
