@@ -6,8 +6,8 @@ boundary, so the sum factorises and a word is scored once however often it occur
 training words by expectation-maximisation: word counts per language (distributed), expected piece counts by
 forward-backward over the distinct words (distributed), piece probabilities from them (vocabulary x languages numbers).
 
-Words: the text in lower case, ASCII other than letters dropped. A character that is no piece costs one unknown piece per
-byte. Words are taken in stretches of at most ``STRETCH`` characters, so a word of any length is linear. Texts that are null
+Words: the text in lower case, ASCII other than letters dropped. A character that is no piece counts as one unknown
+piece. Words are taken in stretches of at most ``STRETCH`` characters, so a word of any length is linear. Texts that are null
 or hold no letter: ``und``, score 0; so is every text if nothing was learned. Score: posterior of the predicted language
 at a likelihood tempered to ``temper`` words. Repeated rows are scored alike. Other columns are not looked at.
 """

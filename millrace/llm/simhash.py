@@ -2,8 +2,8 @@
 
 Fingerprint: A-Z lower-cased, words, 4-word shingles with repeats, XXH64 (seed 42) of each; a bit is set if it is set in
 over half the hashes. Equal fingerprints collapse first, so a group of copies, however large, is one entry. Two
-fingerprints within ``radius`` bits agree on at least one of radius + 1 bands (pigeonhole, exact), so they meet in a
-bucket. A bucket is stored vertically: blocks of 64 fingerprints, one 64-bit word per bit position. A fingerprint is
+fingerprints within ``radius`` bits agree on one of radius + 1 bands at least (pigeonhole, exact), so they meet in a
+bucket; of more fingerprints, more bands are made and several must agree, so buckets stay small. A bucket is stored vertically: blocks of 64 fingerprints, one 64-bit word per bit position. A fingerprint is
 compared with a block by XORing each plane and adding it into three carry-save counter words with a sticky overflow; at
 fixed planes, blocks in which every lane has exceeded the radius are abandoned. A bucket leaves a spanning forest of its
 links, not its pairs. Buckets over ``slice_rows`` distinct fingerprints are cut into slices, and each pair of slices is a
@@ -16,7 +16,7 @@ rows share a component. Other columns are not looked at.
 
 from __future__ import annotations
 
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -64,10 +64,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def bands(radius: int) -> list[tuple[int, int]]:
-    """(shift, width) of radius + 1 bands that cover the 64 bits."""
-    cuts = [BITS * i // (radius + 1) for i in range(radius + 2)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+def masks(radius: int, n: int, fill: int = 512) -> list[int]:
+    """Bit masks such that fingerprints within the radius agree under one of them at least: the 64 bits are cut into bands, and of b
+    bands some b - radius are untouched (pigeonhole). The fewest bands are taken whose masks spread n fingerprints to about
+    ``fill`` a bucket."""
+    for b in range(radius + 1, radius + 5):
+        if n <= fill * 2 ** (BITS * (b - radius) // b) or b == radius + 4:
+            break
+    cuts = [BITS * i // b for i in range(b + 1)]
+    bands = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(cuts, cuts[1:], strict=False)]
+    return [sum(c) for c in combinations(bands, b - radius)]
 
 
 def planes_of(lanes: np.ndarray) -> np.ndarray:
@@ -169,9 +175,10 @@ def links_of(fp: np.ndarray, group: np.ndarray, cross: np.ndarray, left: np.ndar
         yield i[keep[some[r]]], who[b[keep[some[r]]], ln]
 
 
-def links(distinct: DataFrame, radius: int = 4, slice_rows: int = 8192) -> DataFrame:
-    """distinct: (fp). A spanning forest of the links in each bucket: (a, b)."""
-    keys = F.array(*[F.struct(F.lit(j).alias("band"), F.shiftrightunsigned("fp", shift).bitwiseAND((1 << width) - 1).alias("key")) for j, (shift, width) in enumerate(bands(radius))])
+def links(distinct: DataFrame, radius: int = 4, slice_rows: int = 8192, bands: list[int] | None = None) -> DataFrame:
+    """distinct: (fp); bands: masks, else by their number. A spanning forest of the links in each bucket: (a, b)."""
+    under = masks(radius, distinct.count()) if bands is None else bands
+    keys = F.array(*[F.struct(F.lit(j).alias("band"), F.col("fp").bitwiseAND(F.lit(m - (1 << BITS) if m >> (BITS - 1) else m)).alias("key")) for j, m in enumerate(under)])
     rows = distinct.select("fp", F.inline(keys))
     large = rows.groupBy("band", "key").count().filter(F.col("count") > slice_rows).select("band", "key", F.ceil(F.col("count") / slice_rows).cast("int").alias("slices"))
     rows = rows.join(large, ["band", "key"], "left").withColumn("slices", F.coalesce("slices", F.lit(1)))

@@ -79,6 +79,18 @@ def test_sliced_buckets_lose_no_link(spark):
     want = groups([(a, b) for a in signed for b in signed if ((a ^ b) & (2**64 - 1)).bit_count() <= 4])
     for rows in (8, 100000):
         assert groups([tuple(r) for r in simhash.links(df, 4, rows).collect()]) == want
+    assert groups([tuple(r) for r in simhash.links(df, 4, bands=simhash.masks(4, 10**8)).collect()]) == want
+
+
+def test_masks_leave_no_pair_out():
+    assert [len(simhash.masks(4, n)) for n in (10, 10**8, 10**10, 10**13)] == [5, 15, 35, 70]
+    rng = random.Random(5)
+    for n in (10, 10**8, 10**10):
+        under = simhash.masks(4, n)
+        for _ in range(200):
+            a = rng.getrandbits(64)
+            b = a ^ sum(1 << k for k in rng.sample(range(64), 4))
+            assert any(a & m == b & m for m in under)
 
 
 def test_components_of_a_long_chain_and_a_star(spark):
