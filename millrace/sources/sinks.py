@@ -86,3 +86,16 @@ def progress(rows: DataFrame, key: str, batch: int) -> DataFrame:
     w = Window.orderBy(key)
     n = rows.select(F.row_number().over(w).alias("i"), F.count("*").over(Window.partitionBy()).alias("total"))
     return n.select(F.ceil(F.col("i") / batch).alias("batch"), "i", "total").groupBy("batch").agg(F.max("i").alias("done"), F.max("total").alias("total")).withColumn("share", F.col("done") / F.col("total"))
+
+
+def create_collection(spark: SparkSession, name: str, dim: int, drop: bool = False) -> None:
+    """The table of a collection, if it isn't there: fixed columns, vectors of one dimension (checked on write by ``checked_vectors``)."""
+    if drop:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"""CREATE TABLE IF NOT EXISTS {name} (id STRING, vector ARRAY<FLOAT>, sparse_vector MAP<INT, DOUBLE>, text STRING, answer_text STRING, source_id STRING,
+        source_file STRING, doc_type STRING, section_path STRING, chunk_index BIGINT) USING parquet TBLPROPERTIES ('dim' = '{dim}')""")
+
+
+def checked_vectors(rows: DataFrame, dim: int) -> DataFrame:
+    """The write fails on the first vector of another dimension."""
+    return rows.withColumn("vector", F.when(F.size("vector") == dim, F.col("vector")).otherwise(F.raise_error(F.lit(f"a vector isn't of dimension {dim}")).cast("array<float>")))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text, vectors
 from millrace.operators import cases, catalog, chunking, cleaning, dialog, evidence, expansion, graph, headings, html, lines, retrieval, routing
 from millrace.plans import tools
-from millrace.sources import readers, sinks
+from millrace.sources import readers, sinks, web
 from millrace.streaming import ingest
 
 
@@ -365,3 +365,29 @@ def test_sessions(spark):
 def test_fused_scores_are_shares(spark, rows):
     d = spark.createDataFrame([(q, i + 1, str(i), s) for i, (q, s) in enumerate(rows)], "query_id long, rank int, id string, score double")
     assert all(0 <= r.weighted_score <= 1 for r in retrieval.weighted_fuse(d, d).collect())
+
+
+def test_web_search(spark):
+    def engine():
+        return lambda q: [("http://a#x", "t1", 200, "<p>a</p>"), ("http://a#y", "t1", 200, "<p>b</p>"), ("http://b", "t2", 404, ""), ("http://c", "t0", 200, "<p></p>")] if q != "bad" else 1 / 0
+
+    q = spark.createDataFrame([(1, "x"), (2, "bad"), (3, " ")], "id int, query string")
+    got = web.search_pages(q, {"e1": engine, "e2": engine}, n=1)
+    assert sorted((r.id, r.engine, r.url) for r in got.collect()) == [(1, "e1", "http://a"), (1, "e2", "http://a")]
+    pages = web.search_pages(q, {"e1": engine})
+    assert [(r.title, r.text) for r in web.page_texts(pages).collect()] == [("t1", "a")]
+
+
+def test_collections(spark):
+    with pytest.raises(LookupError, match="no_such"):
+        retrieval.collection(spark, "no_such")
+    sinks.create_collection(spark, "col1", 2, drop=True)
+    sinks.check_fields(retrieval.collection(spark, "col1"))
+    v = spark.sql("select array(1.0f, 2.0f) vector")
+    assert sinks.checked_vectors(v, 2).count() == 1
+    with pytest.raises(Exception, match="dimension 3"):
+        sinks.checked_vectors(v, 3).collect()
+    a, b = hits(spark, [(1, 1, "a", 0.9), (2, 1, "b", 0.5)]), hits(spark, [(1, 1, "b", 9.0)])
+    assert sorted(map(tuple, retrieval.probe_counts(a, b).collect())) == [(1, 1, 1), (2, 1, 0)]
+    assert retrieval.non_blank(spark.createDataFrame([(" ",), (None,), ("q",)], "query string")).count() == 1
+    spark.sql("drop table col1")
