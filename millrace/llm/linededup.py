@@ -4,19 +4,19 @@ Lines are folded first: a rolling hash over each two words, and in every ``windo
 hash closes a unit, as the end of a line does. Boundaries so follow the content, wherever a passage starts in a line: any
 two texts that share 2 x window words share at least one whole unit. A unit's hash is built from its words' hashes.
 
-Units whose hash occurs more than once are the repeated ones. Neighbouring repeated units form a chunk. Of a unit's
-occurrences the first (by doc_id, then place) is kept; elsewhere the chunk goes, if it has at least ``least`` words. A
-passage's first and last words lie in units that it shares with its surroundings, so a chunk is extended at both ends,
-word by word, as far as the text there equals the text at an earlier end of a chunk with the same outer unit. The first
-occurrence of any repeated unit survives, and short repeated lines stay.
+Units whose hash occurs more than once are the repeated ones. Neighbouring repeated units form a chunk; chunks under
+``seed`` words are left alone. A unit is kept where its document comes first (by doc_id; in it, at its first place);
+elsewhere it goes, if the units that go side by side have ``least`` words. A passage's first and last words lie in units
+that it shares with its surroundings, so a chunk is extended at both ends, word by word, as far as the text there equals the
+text at such an end in an earlier document. The first occurrence of any repeated unit survives, and short repeated lines stay.
 
 Byte comparison: of every repeated hash the smallest and the largest text are compared; a hash with two texts removes
 nothing. What is gathered per unit in the first pass is a hash and a count. Texts, places and surroundings follow only for
-units that pass a bit filter of the repeated hashes, of fixed size (``filter_bits``); a false pass costs a row, not a
-result. Whole documents are shuffled only if they pass a like filter of the documents that lose something.
+chunks of units that pass a bit filter of the repeated hashes, of fixed size (``filter_bits``); a false pass costs a row, not
+a result. Whole documents are shuffled only if they pass a like filter of the documents that lose something.
 
-Null text stays null, an empty one empty. Null doc_id comes last in the order. Rows equal in doc_id and text are one
-document and are treated alike. A text of which nothing is left becomes empty. Extra columns are carried along by name.
+Null text stays null, an empty one empty. Null doc_id comes last in the order. Rows of one doc_id don't lose to each other;
+ids that aren't integers are ordered by a hash. A text of which nothing is left becomes empty. Extra columns are carried along by name.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, staged, with_doc_key
 
-WINDOW, LEAST, AROUND = 19, 24, 320
+WINDOW, LEAST, SEED, AROUND = 19, 24, 12, 200
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
@@ -157,10 +157,13 @@ def passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bitmap[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def flagged_units(docs: DataFrame, bitmap: np.ndarray, window: int) -> DataFrame:
-    """Units that pass the filter: their place, text, and at a chunk's ends what is around it."""
+RUNS = "ord long, __k1 long, __k2 long, unit int, units array<struct<hash:long,s:int,e:int,f:int,words:int,again:boolean>>, body binary, left binary, right binary"
+
+
+def chunks_of(docs: DataFrame, bitmap: np.ndarray, window: int, seed: int) -> DataFrame:
+    """Runs of units that pass the filter, of at least seed words: document, first unit's number, units, text, what is around."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    kind = pa.list_(pa.struct([("hash", pa.int64()), *[(n, pa.int32()) for n in ("s", "e", "f", "words")], ("again", pa.bool_())]))
 
     def run(batches):
         for b in batches:
@@ -170,21 +173,26 @@ def flagged_units(docs: DataFrame, bitmap: np.ndarray, window: int) -> DataFrame
             opens, closes = hit.copy(), hit.copy()
             opens[1:] &= ~(hit[:-1] & same)
             closes[:-1] &= ~(hit[1:] & same)
-            at = np.flatnonzero(hit)
-            doc, origin = u.doc[at], u.at[u.doc[at]]
-            number = at - np.searchsorted(u.doc, doc)
-            buf, begin, end = u.buf, u.begin[at], u.end[at]
-            stop = np.append(u.at[1:] - 1, len(buf) - 1)[doc] if len(at) else at
-            text = [buf[o + s : o + e] for o, s, e in zip(origin.tolist(), begin.tolist(), end.tolist(), strict=True)]
-            left = [buf[max(o, o + s - AROUND) : o + s] if x else None for o, s, x in zip(origin.tolist(), begin.tolist(), opens[at].tolist(), strict=True)]
-            right = [buf[o + e : min(z, o + e + AROUND)] if x else None for o, e, z, x in zip(origin.tolist(), end.tolist(), stop.tolist(), closes[at].tolist(), strict=True)]
+            first, last = np.flatnonzero(opens), np.flatnonzero(closes)
+            total = np.concatenate([[0], np.cumsum(u.words)])
+            enough = total[last + 1] - total[first] >= seed
+            first, last = first[enough], last[enough]
+            size = last - first + 1
+            at = np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
+            _, earliest, back = np.unique(np.stack([u.doc[at], u.hash[at].view(np.int64)]), axis=1, return_index=True, return_inverse=True)
+            again = earliest[back.ravel()] != np.arange(len(at))
+            doc, o = u.doc[first], u.at[u.doc[first]]
+            stop = np.append(u.at[1:] - 1, len(u.buf) - 1)[doc] if len(doc) else doc
+            s, e = (o + u.begin[first]).tolist(), (o + u.end[last]).tolist()
+            parts = pa.StructArray.from_arrays([pa.array(u.hash[at].view(np.int64)), *[pa.array(x[at].astype(np.int32)) for x in (u.begin, u.end, u.next, u.words)], pa.array(again)], fields=list(kind.value_type))
+            units = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), parts)
             row = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [*[b.column(c).take(row) for c in ("doc_id", "__k1", "__k2")], pa.array(number.astype(np.int32)), pa.array(u.hash[at].view(np.int64)), *[pa.array(x[at].astype(np.int32)) for x in (u.begin, u.end, u.next, u.words)], *[pa.array(x, pa.binary()) for x in (text, left, right)]],
-                ["doc_id", "__k1", "__k2", "unit", "hash", "s", "e", "f", "words", "body", "left", "right"],
+                [*[b.column(c).take(row) for c in ("ord", "__k1", "__k2")], pa.array((first - np.searchsorted(u.doc, doc)).astype(np.int32)), units, pa.array([u.buf[x:y] for x, y in zip(s, e, strict=True)], pa.binary()), pa.array([u.buf[max(x, y - AROUND) : y] for x, y in zip(o.tolist(), s, strict=True)], pa.binary()), pa.array([u.buf[y : min(z, y + AROUND)] for y, z in zip(e, stop.tolist(), strict=True)], pa.binary())],
+                ["ord", "__k1", "__k2", "unit", "units", "body", "left", "right"],
             )
 
-    return docs.select("doc_id", "__k1", "__k2", "text").mapInArrow(run, f"doc_id {id_type}, __k1 long, __k2 long, unit int, hash long, s int, e int, f int, words int, body binary, left binary, right binary")
+    return docs.select("ord", "__k1", "__k2", "text").mapInArrow(run, RUNS)
 
 
 def shared_end(a: bytes, b: bytes) -> int:
@@ -242,40 +250,60 @@ def _grown(side: str) -> Column:
     @F.pandas_udf("struct<bytes:int,words:int>")
     def run(own: pd.Series, first: pd.Series) -> pd.DataFrame:
         f = shared_end if side == "left" else shared_start
-        found = [(0, 0) if a is None or b is None else (n := f(a, b), len((a[len(a) - n :] if side == "left" else a[:n]).split())) for a, b in zip(own, first, strict=True)]
+        found = [(n := f(a, b), len((a[len(a) - n :] if side == "left" else a[:n]).split())) for a, b in zip(own, first, strict=True)]
         return pd.DataFrame(found, columns=["bytes", "words"]).astype("int32")
 
     return run(F.col(side), F.col(f"first_{side}"))
 
 
-def removals(docs: DataFrame, window: int, least: int, filter_bits: int) -> DataFrame:
+def order_of(docs: DataFrame) -> Column:
+    """A long that puts documents in order: an integer doc_id, null last; else a hash."""
+    if docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long"):
+        return F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    return F.col("__k1")
+
+
+def removals(docs: DataFrame, window: int, least: int, seed: int, filter_bits: int) -> DataFrame:
     """docs with __k1, __k2. __k1, __k2, gone: byte ranges (s, e), in order, of the documents that lose some."""
-    texts = docs.filter("text is not null and text <> ''")
+    texts = docs.filter("text is not null and text <> ''").withColumn("ord", order_of(docs))
     repeated = staged(repeated_hashes(texts, window), "line-repeats")
-    units = staged(flagged_units(texts, bit_filter(repeated, filter_bits), window), "line-units")
-    place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "__k1", "__k2", "unit")
-    kinds = units.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    bad = units.select("hash", "body").groupBy("hash").agg(F.min("body").alias("low"), F.max("body").alias("high")).filter("low <> high").select("hash")
+    runs = staged(chunks_of(texts, bit_filter(repeated, filter_bits), window, seed), "line-chunks")
+    units = runs.select("ord", "__k1", "__k2", "unit", F.posexplode("units").alias("i", "u")).select("ord", "__k1", "__k2", (F.col("unit") + F.col("i")).alias("unit"), "u.*")
+    kinds = units.groupBy("hash").agg(F.min("ord").alias("first"), F.count("*").alias("n")).filter("n > 1").select("hash", "first")
+    start = F.col("units")[0]["s"]
+    bodies = runs.select(F.explode(F.transform("units", lambda u: F.struct(u["hash"].alias("hash"), F.substring("body", u["s"] - start + 1, u["e"] - u["s"]).alias("text")))).alias("u")).select("u.*")
+    bad = bodies.groupBy("hash").agg(F.min("text").alias("low"), F.max("text").alias("high")).filter("low <> high").select("hash")
     bad = [r["hash"] for r in bad.collect()]  # two texts with one 64-bit hash: about n^2 / 2^65 of n units
-    later = units.drop("body", "left", "right").join(kinds, "hash").filter((F.col("__k1") != F.col("first.__k1")) | (F.col("__k2") != F.col("first.__k2")) | (F.col("unit") != F.col("first.unit"))).drop("first")
-    later = later.filter(~F.col("hash").isin(bad)) if bad else later
+    later = units.join(kinds, "hash").filter("ord > first or again").select("__k1", "__k2", "unit", "hash", "s", "e", "f", "words")
+    later = (later.filter(~F.col("hash").isin(bad)) if bad else later).drop("hash")
 
     def grown(side):
-        ends = units.filter(F.col(side).isNotNull()).select("hash", "__k1", "__k2", "unit", side, place.alias("p"))
-        first = ends.groupBy("hash").agg(F.min_by(side, "p").alias(f"first_{side}"), F.min("p").alias("q"))  # an earlier place, never its own
-        return ends.join(first, "hash").filter(F.col("p") > F.col("q")).select("__k1", "__k2", "unit", _grown(side).alias(f"g_{side}")).filter(F.col(f"g_{side}.bytes") > 0)
+        edge = F.element_at("units", 1 if side == "left" else -1)
+        ends = runs.filter(F.octet_length(side) > 0).select("ord", "__k1", "__k2", (F.col("unit") + (0 if side == "left" else F.size("units") - 1)).cast("int").alias("unit"), edge["hash"].alias("hash"), side)
+        first = ends.groupBy("hash").agg(F.min_by(side, F.struct("ord", "__k1", "unit")).alias(f"first_{side}"), F.min("ord").alias("q"), F.max("ord").alias("z")).filter("z > q").drop("z")
+        return ends.join(first, "hash").filter("ord > q").select("__k1", "__k2", "unit", _grown(side).alias(f"g_{side}")).filter(F.col(f"g_{side}.bytes") > 0)
 
-    for side in ("left", "right"):
-        later = later.join(grown(side), ["__k1", "__k2", "unit"], "left")
-    zero = F.lit(0)
-    one = F.struct("unit", "s", "e", "f", "words", *[F.coalesce(F.col(f"g_{s}.{p}"), zero).alias(f"{s}_{p}") for s in ("left", "right") for p in ("bytes", "words")])
-    lists = later.dropDuplicates(["__k1", "__k2", "unit"]).groupBy("__k1", "__k2").agg(F.collect_list(one).alias("units"))
+    every = later.unionByName(grown("left"), allowMissingColumns=True).unionByName(grown("right"), allowMissingColumns=True)
+    lists = every.groupBy("__k1", "__k2").agg(F.collect_list(F.struct("unit", "s", "e", "f", "words", "g_left", "g_right")).alias("rows"))
 
     @F.pandas_udf("array<struct<s:int,e:int>>")
     def cut(found: pd.Series) -> pd.Series:
-        return found.map(lambda us: [{"s": s, "e": e} for s, e in ranges_of([tuple(u.values()) for u in us], least)])
+        return found.map(lambda rows: [{"s": s, "e": e} for s, e in ranges_of(assembled(rows), least)])
 
-    return lists.select("__k1", "__k2", cut("units").alias("gone")).filter(F.size("gone") > 0)
+    return lists.select("__k1", "__k2", cut("rows").alias("gone")).filter(F.size("gone") > 0)
+
+
+def assembled(rows) -> list[tuple]:
+    """Units that go, with what their chunk grows by: each is a row of its own. Equal rows, of equal documents, count once."""
+    left, right, units = {}, {}, {}
+    for r in rows:
+        if r["g_left"] is not None:
+            left[r["unit"]] = tuple(r["g_left"].values())
+        elif r["g_right"] is not None:
+            right[r["unit"]] = tuple(r["g_right"].values())
+        else:
+            units[r["unit"]] = (r["unit"], r["s"], r["e"], r["f"], r["words"])
+    return [(*u, *left.get(k, (0, 0)), *right.get(k, (0, 0))) for k, u in units.items()]
 
 
 def without(text, gone) -> Column:
@@ -286,11 +314,11 @@ def without(text, gone) -> Column:
     return F.array_join(F.transform(kept, lambda r: F.decode(F.substring(raw, r["s"] + 1, r["e"] - r["s"]), "UTF-8")), "")
 
 
-def dedup_lines(docs: DataFrame, window: int = WINDOW, least: int = LEAST, filter_bits: int = 1 << 26) -> DataFrame:
+def dedup_lines(docs: DataFrame, window: int = WINDOW, least: int = LEAST, seed: int = SEED, filter_bits: int = 1 << 26) -> DataFrame:
     """docs with text shortened, in their own columns, and __gone, the byte ranges removed (null: none)."""
     small_batches(docs.sparkSession)
     keyed = with_doc_key(docs.withColumn("text", F.col("text").cast("string")))
-    gone = staged(removals(keyed.select("doc_id", "text", "__k1", "__k2"), window, least, filter_bits), "line-removals").withColumnRenamed("gone", "__gone")
+    gone = staged(removals(keyed.select("doc_id", "text", "__k1", "__k2"), window, least, seed, filter_bits), "line-removals").withColumnRenamed("gone", "__gone")
     shared = docs.sparkSession.sparkContext.broadcast(bit_filter(gone.select("__k1"), filter_bits))
 
     @F.pandas_udf("boolean")

@@ -268,13 +268,18 @@ def test_growth_stops_at_whole_words():
 def test_a_hash_with_two_texts_removes_nothing(spark, monkeypatch):
     docs = spark.createDataFrame([(0, "a b c"), (1, "a b c")], "doc_id long, text string")
     keyed = linededup.with_doc_key(docs)
-    rows = [(0, 1, 1, 0, 5, 0, 9, 9, 30, bytearray(b"one"), None, None), (1, 2, 2, 0, 5, 0, 9, 9, 30, bytearray(b"two"), None, None), (2, 3, 3, 0, 6, 0, 9, 9, 30, bytearray(b"x"), None, None), (3, 4, 4, 0, 6, 0, 9, 9, 30, bytearray(b"x"), None, None)]
-    made = spark.createDataFrame(rows, "doc_id long, __k1 long, __k2 long, unit int, hash long, s int, e int, f int, words int, body binary, left binary, right binary")
-    monkeypatch.setattr(linededup, "flagged_units", lambda *a: made)
-    got = linededup.removals(keyed, linededup.WINDOW, 24, 1 << 20).collect()
+    rows = [(k, k, k, 0, [(h, 0, 3, 9, 30, False)], bytearray(text), bytearray(b""), bytearray(b"")) for k, h, text in ((1, 5, b"one"), (2, 5, b"two"), (3, 6, b"xyz"), (4, 6, b"xyz"))]
+    made = spark.createDataFrame(rows, linededup.RUNS)
+    monkeypatch.setattr(linededup, "chunks_of", lambda *a: made)
+    got = linededup.removals(keyed, linededup.WINDOW, 24, 12, 1 << 20).collect()
     assert [(r["__k1"], [tuple(g) for g in r.gone]) for r in got] == [(4, [(0, 9)])]
 
 
+def test_ids_that_are_no_integers(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"w{i}" for i in range(80))) for k in "abc"] + [(None, "x")], "doc_id string, text string")
+    assert sorted(len(r.text.split()) for r in linededup.dedup_lines(docs).collect()) == [0, 0, 1, 80]
+
+
 def test_water_level(spark):
     sizes = [(False, "a", 10), (False, "b", 1000), (False, "c", 500), (False, "d", 0), (True, "", 40)]
     got = {(r.s_null, r.s): r.target for r in mixing.targets(spark.createDataFrame(sizes, "s_null boolean, s string, source_size long")).collect()}

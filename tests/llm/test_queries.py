@@ -54,24 +54,38 @@ def plain_dedup(docs):
     units = [linededup.Units([t.encode()]) for _, _, t in rows]
     times = collections.Counter((d is None, d or 0, t) for d, t in docs)  # equal rows are one document, but their units repeat
     count = collections.Counter(h for row, u in zip(rows, units, strict=True) for h in u.hash.tolist() * times[row])
-    first, firsts, out = {}, {"left": {}, "right": {}}, {}
-    for r, (row, u) in enumerate(zip(rows, units, strict=True)):
-        raw, flagged, found = row[2].encode(), [count[h] > 1 for h in u.hash.tolist()], []
-        for i, h in enumerate(u.hash.tolist()):
-            if not flagged[i]:
-                continue
-            new = first.setdefault(h, (r, i)) == (r, i)
-            s, e, grow = int(u.begin[i]), int(u.end[i]), {}
-            for side, edge, around, f in (("left", not i or not flagged[i - 1], raw[max(0, s - linededup.AROUND) : s], linededup.shared_end), ("right", i + 1 == len(flagged) or not flagged[i + 1], raw[e : e + linededup.AROUND], linededup.shared_start)):
-                n = 0
-                if edge:
-                    old = firsts[side].setdefault(h, ((r, i), around))
-                    n = f(around, old[1]) if old[0] != (r, i) else 0
-                grow[side] = (n, len((around[len(around) - n :] if side == "left" else around[:n]).split()))
-            if not new:
-                found.append((i, s, e, int(u.next[i]), int(u.words[i]), *grow["left"], *grow["right"]))
-        out[row[0], row[1], row[2]] = linededup.ranges_of(found, linededup.LEAST)
-    return out
+    chunks = []
+    for r, u in enumerate(units):
+        h, run = u.hash.tolist(), []
+        for i in range(len(h) + 1):
+            if i < len(h) and count[h[i]] > 1:
+                run.append(i)
+            elif run:
+                if sum(u.words[run]) >= linededup.SEED:
+                    chunks.append((r, run))
+                run = []
+    first, ends = {}, {}
+    for r, run in chunks:
+        u, raw = units[r], rows[r][2].encode()
+        for i in run:
+            first.setdefault(int(u.hash[i]), (r, i))
+        s, e = int(u.begin[run[0]]), int(u.end[run[-1]])
+        for side, i, around in (("left", run[0], raw[max(0, s - linededup.AROUND) : s]), ("right", run[-1], raw[e : e + linededup.AROUND])):
+            if around:
+                ends.setdefault((side, int(u.hash[i])), (r, around))
+    found = collections.defaultdict(list)
+    for r, run in chunks:
+        u, raw = units[r], rows[r][2].encode()
+        for i in run:
+            if first[int(u.hash[i])] != (r, i):
+                s, e, grow = int(u.begin[i]), int(u.end[i]), []
+                for side, at, around, f in (("left", run[0], raw[max(0, s - linededup.AROUND) : s], linededup.shared_end), ("right", run[-1], raw[e : e + linededup.AROUND], linededup.shared_start)):
+                    n = 0
+                    if i == at and around and (old := ends[side, int(u.hash[i])])[0] != r:
+                        n = f(around, old[1])
+                    grow += [n, len((around[len(around) - n :] if side == "left" else around[:n]).split())]
+                found[r].append((i, s, e, int(u.next[i]), int(u.words[i]), *grow))
+    return {row: linededup.ranges_of(found[r], linededup.LEAST) for r, row in enumerate(rows)}
 
 
 def cut(text, ranges):
