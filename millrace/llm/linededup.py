@@ -10,7 +10,7 @@ elsewhere it goes, if the units that go side by side have ``least`` words. A pas
 that it shares with its surroundings, so a chunk is extended at both ends, word by word, as far as the text there equals the
 text at such an end in an earlier document. The first occurrence of any repeated unit survives, and short repeated lines stay.
 
-Byte comparison: of every repeated hash the smallest and the largest text are compared; a hash with two texts removes
+Byte comparison: the distinct pairs of hash and text are counted for every repeated hash; a hash with two texts removes
 nothing. What is gathered per unit in the first pass is a hash and a count. Texts, places and surroundings follow only for
 chunks of units that pass a bit filter of the repeated hashes, of fixed size (``filter_bits``); a false pass costs a row, not
 a result. Whole documents are shuffled only if they pass a like filter of the documents that lose something.
@@ -79,8 +79,8 @@ class Units:
             self.doc = self.begin = self.end = self.next = self.words = np.empty(0, np.int64)
             self.hash = np.empty(0, np.uint64)
             return
-        inside = np.arange(start[0], len(a), dtype=np.int64)
-        inside -= np.repeat(start, np.diff(np.append(start, len(a))))
+        inside = np.arange(start[0], len(a), dtype=np.int32)
+        inside -= np.repeat(start.astype(np.int32), np.diff(np.append(start, len(a))))
         value = (a[start[0] :].astype(np.uint64) + np.uint64(1)) * _BYTES[inside & 4095]
         value[space[start[0] :]] = 0
         word = _mix(np.add.reduceat(value, start - start[0]))
@@ -108,8 +108,18 @@ class Units:
         self.next = np.where(same, np.append(self.begin[1:], 0), sizes[self.doc])
 
 
-def _texts(batch) -> list[bytes]:
-    return [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
+PART = 1 << 18
+
+
+def parts_of(batch):
+    """(rows, their texts): a batch in runs of about PART bytes, so that what is computed on stays in a processor's cache."""
+    texts = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
+    lo, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= PART or i + 1 == len(texts):
+            yield batch.slice(lo, i + 1 - lo), texts[lo : i + 1]
+            lo, size = i + 1, 0
 
 
 def repeated_hashes(docs: DataFrame, window: int) -> DataFrame:
@@ -117,7 +127,7 @@ def repeated_hashes(docs: DataFrame, window: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            h, n = np.unique(Units(_texts(b), window).hash, return_counts=True)
+            h, n = np.unique(np.concatenate([Units(t, window).hash for _, t in parts_of(b)] or [np.empty(0, np.uint64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["hash", "n"])
 
     return docs.select("text").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).filter("n > 1").select("hash")
@@ -166,8 +176,8 @@ def chunks_of(docs: DataFrame, bitmap: np.ndarray, window: int, seed: int) -> Da
     kind = pa.list_(pa.struct([("hash", pa.int64()), *[(n, pa.int32()) for n in ("s", "e", "f", "words")], ("again", pa.bool_())]))
 
     def run(batches):
-        for b in batches:
-            u = Units(_texts(b), window)
+        for b, texts in (x for whole in batches for x in parts_of(whole)):
+            u = Units(texts, window)
             hit = passes(shared.value, u.hash)
             same = u.doc[1:] == u.doc[:-1]
             opens, closes = hit.copy(), hit.copy()
@@ -179,8 +189,9 @@ def chunks_of(docs: DataFrame, bitmap: np.ndarray, window: int, seed: int) -> Da
             first, last = first[enough], last[enough]
             size = last - first + 1
             at = np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
-            _, earliest, back = np.unique(np.stack([u.doc[at], u.hash[at].view(np.int64)]), axis=1, return_index=True, return_inverse=True)
-            again = earliest[back.ravel()] != np.arange(len(at))
+            order = np.lexsort((u.hash[at], u.doc[at]))
+            again = np.zeros(len(at), bool)
+            again[order[1:]] = (u.hash[at][order[1:]] == u.hash[at][order[:-1]]) & (u.doc[at][order[1:]] == u.doc[at][order[:-1]])
             doc, o = u.doc[first], u.at[u.doc[first]]
             stop = np.append(u.at[1:] - 1, len(u.buf) - 1)[doc] if len(doc) else doc
             s, e = (o + u.begin[first]).tolist(), (o + u.end[last]).tolist()
@@ -272,7 +283,7 @@ def removals(docs: DataFrame, window: int, least: int, seed: int, filter_bits: i
     kinds = units.groupBy("hash").agg(F.min("ord").alias("first"), F.count("*").alias("n")).filter("n > 1").select("hash", "first")
     start = F.col("units")[0]["s"]
     bodies = runs.select(F.explode(F.transform("units", lambda u: F.struct(u["hash"].alias("hash"), F.substring("body", u["s"] - start + 1, u["e"] - u["s"]).alias("text")))).alias("u")).select("u.*")
-    bad = bodies.groupBy("hash").agg(F.min("text").alias("low"), F.max("text").alias("high")).filter("low <> high").select("hash")
+    bad = bodies.distinct().groupBy("hash").count().filter("count > 1").select("hash")
     bad = [r["hash"] for r in bad.collect()]  # two texts with one 64-bit hash: about n^2 / 2^65 of n units
     later = units.join(kinds, "hash").filter("ord > first or again").select("__k1", "__k2", "unit", "hash", "s", "e", "f", "words")
     later = (later.filter(~F.col("hash").isin(bad)) if bad else later).drop("hash")
@@ -283,27 +294,32 @@ def removals(docs: DataFrame, window: int, least: int, seed: int, filter_bits: i
         first = ends.groupBy("hash").agg(F.min_by(side, F.struct("ord", "__k1", "unit")).alias(f"first_{side}"), F.min("ord").alias("q"), F.max("ord").alias("z")).filter("z > q").drop("z")
         return ends.join(first, "hash").filter("ord > q").select("__k1", "__k2", "unit", _grown(side).alias(f"g_{side}")).filter(F.col(f"g_{side}.bytes") > 0)
 
-    every = later.unionByName(grown("left"), allowMissingColumns=True).unionByName(grown("right"), allowMissingColumns=True)
-    lists = every.groupBy("__k1", "__k2").agg(F.collect_list(F.struct("unit", "s", "e", "f", "words", "g_left", "g_right")).alias("rows"))
+    names = ("kind", "unit", "s", "e", "f", "words")
+    rows = later.select("__k1", "__k2", F.lit(0).alias("kind"), *names[1:])
+    for kind, side in enumerate(("left", "right"), start=1):
+        rows = rows.unionByName(grown(side).select("__k1", "__k2", F.lit(kind).alias("kind"), "unit", F.col(f"g_{side}.bytes").alias("s"), F.col(f"g_{side}.words").alias("e"), F.lit(0).alias("f"), F.lit(0).alias("words")))
+    lists = rows.groupBy("__k1", "__k2").agg(F.collect_list(F.struct(*names)).alias("rows"))
+    found_kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 
-    @F.pandas_udf("array<struct<s:int,e:int>>")
-    def cut(found: pd.Series) -> pd.Series:
-        return found.map(lambda rows: [{"s": s, "e": e} for s, e in ranges_of(assembled(rows), least)])
+    def cut(batches):
+        for b in batches:
+            column = b.column("rows")
+            flat = column.flatten()
+            fields = list(zip(*(flat.field(i).to_pylist() for i in range(len(names))), strict=True))
+            cuts = (np.asarray(column.offsets) - np.asarray(column.offsets)[0]).tolist()
+            gone = [[{"s": s, "e": e} for s, e in ranges_of(assembled(fields[x:y]), least)] for x, y in zip(cuts, cuts[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([b.column("__k1"), b.column("__k2"), pa.array(gone, found_kind)], ["__k1", "__k2", "gone"])
 
-    return lists.select("__k1", "__k2", cut("rows").alias("gone")).filter(F.size("gone") > 0)
+    return lists.mapInArrow(cut, "__k1 long, __k2 long, gone array<struct<s:int,e:int>>").filter(F.size("gone") > 0)
 
 
-def assembled(rows) -> list[tuple]:
-    """Units that go, with what their chunk grows by: each is a row of its own. Equal rows, of equal documents, count once."""
-    left, right, units = {}, {}, {}
+def assembled(rows: list[tuple]) -> list[tuple]:
+    """rows: (0, unit, s, e, f, words) of a unit that goes, (1 or 2, unit, bytes, words, ..) of what it grows by to the left or right.
+    The units with their growth. Equal rows, of equal documents, count once."""
+    grow = ({}, {}, {})
     for r in rows:
-        if r["g_left"] is not None:
-            left[r["unit"]] = tuple(r["g_left"].values())
-        elif r["g_right"] is not None:
-            right[r["unit"]] = tuple(r["g_right"].values())
-        else:
-            units[r["unit"]] = (r["unit"], r["s"], r["e"], r["f"], r["words"])
-    return [(*u, *left.get(k, (0, 0)), *right.get(k, (0, 0))) for k, u in units.items()]
+        grow[r[0]][r[1]] = r[1:] if r[0] == 0 else r[2:4]
+    return [(*u, *grow[1].get(k, (0, 0)), *grow[2].get(k, (0, 0))) for k, u in grow[0].items()]
 
 
 def without(text, gone) -> Column:
