@@ -108,7 +108,7 @@ class Units:
         self.next = np.where(same, np.append(self.begin[1:], 0), sizes[self.doc])
 
 
-PART = 1 << 18
+PART = 1 << 17
 
 
 def parts_of(batch):
@@ -280,7 +280,7 @@ def removals(docs: DataFrame, window: int, least: int, seed: int, filter_bits: i
     repeated = staged(repeated_hashes(texts, window), "line-repeats")
     runs = staged(chunks_of(texts, bit_filter(repeated, filter_bits), window, seed), "line-chunks")
     units = runs.select("ord", "__k1", "__k2", "unit", F.posexplode("units").alias("i", "u")).select("ord", "__k1", "__k2", (F.col("unit") + F.col("i")).alias("unit"), "u.*")
-    kinds = units.groupBy("hash").agg(F.min("ord").alias("first"), F.count("*").alias("n")).filter("n > 1").select("hash", "first")
+    kinds = staged(units.groupBy("hash").agg(F.min("ord").alias("first"), F.count("*").alias("n")).filter("n > 1").select("hash", "first"), "line-kinds")  # stored, so a hash of many units is split in the join
     start = F.col("units")[0]["s"]
     bodies = runs.select(F.explode(F.transform("units", lambda u: F.struct(u["hash"].alias("hash"), F.substring("body", u["s"] - start + 1, u["e"] - u["s"]).alias("text")))).alias("u")).select("u.*")
     bad = bodies.distinct().groupBy("hash").count().filter("count > 1").select("hash")
