@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_any, occurrences, strip, strip_end, text_or_empty
+from ..functions.text import contains_any, let, occurrences, strip, strip_end, text_or_empty
 from .headings import LEVELS, carry_forward, markdown_heading, section_path
 from .lines import explode_lines, is_table_line
 
@@ -50,17 +50,23 @@ def without_number(item) -> Column:
     return strip(F.regexp_replace(t, r"(?U)^((?s:.*?))(?<![\d.])\d{1,2}[.．、](?!\d)\s*", "$1"))
 
 
-def list_kind(text) -> Column:
-    """short_label_list, explanatory or none."""
-    t = text_or_empty(text)
-    items = split_numbered(t)
+def _kind_of(t: Column, items: Column) -> Column:
     mean = F.aggregate(items, F.lit(0.0), lambda s, x: s + F.length(without_number(x))) / F.size(items)
     marks = occurrences(t, "；") + occurrences(t, ";")
     hits = F.lit(0)
     for w in EXPLANATORY:
         hits = hits + occurrences(t, w)
-    labels = (F.size(items) >= 3) & (mean <= 28) & (marks >= F.greatest(F.lit(3), F.floor(F.size(items) / 2)))
-    return F.when((n_markers(t) < 2) | (F.size(items) < 2), "none").when(labels, "short_label_list").when((mean >= 45) | (hits >= 2), "explanatory").otherwise("none")
+
+    def judged(m):
+        labels = (F.size(items) >= 3) & (m <= 28) & (marks >= F.greatest(F.lit(3), F.floor(F.size(items) / 2)))
+        return F.when(labels, "short_label_list").when((m >= 45) | (hits >= 2), "explanatory").otherwise("none")
+
+    return F.when((n_markers(t) < 2) | (F.size(items) < 2), "none").otherwise(let(mean, judged))
+
+
+def list_kind(text) -> Column:
+    """short_label_list, explanatory or none."""
+    return let(text_or_empty(text), lambda t: let(split_numbered(t), lambda items: _kind_of(t, items)))
 
 
 def is_lone_item(text) -> Column:
@@ -71,14 +77,16 @@ def is_lone_item(text) -> Column:
 
 def typed_parts(paragraph) -> Column:
     """array<struct(text, block_type)> of a paragraph."""
-    t = strip(F.regexp_replace(F.regexp_replace(text_or_empty(paragraph), "[ \\t]+", " "), "\n+", "\n"))
-    kind, items = list_kind(t), split_numbered(t)
 
-    def one(block_type):
-        return F.array(F.struct(t.alias("text"), F.lit(block_type).alias("block_type")))
+    def parts(t, items, kind):
+        def one(block_type):
+            return F.array(F.struct(t.alias("text"), F.lit(block_type).alias("block_type")))
+
+        each = F.transform(items, lambda x: F.struct(x.alias("text"), F.when(x.rlike(MARKED), "numbered_item").otherwise("paragraph").alias("block_type")))
+        return F.when((kind == "explanatory") & (F.size(items) >= 2), each).when(kind == "short_label_list", one("short_label_list")).when(is_lone_item(t), one("numbered_item")).otherwise(one("paragraph"))
 
-    parts = F.transform(items, lambda x: F.struct(x.alias("text"), F.when(x.rlike(MARKED), "numbered_item").otherwise("paragraph").alias("block_type")))
-    return F.when((kind == "explanatory") & (F.size(items) >= 2), parts).when(kind == "short_label_list", one("short_label_list")).when(is_lone_item(t), one("numbered_item")).otherwise(one("paragraph"))
+    clean = strip(F.regexp_replace(F.regexp_replace(text_or_empty(paragraph), "[ \\t]+", " "), "\n+", "\n"))
+    return let(clean, lambda t: let(split_numbered(t), lambda items: let(_kind_of(t, items), lambda kind: parts(t, items, kind))))
 
 
 def parse_blocks(docs: DataFrame) -> DataFrame:
