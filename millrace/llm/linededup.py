@@ -8,7 +8,9 @@ Units whose hash occurs more than once are the repeated ones. Neighbouring repea
 ``seed`` words are left alone. A unit is kept where its document comes first (by doc_id; in it, at its first place);
 elsewhere it goes, if the units that go side by side have ``least`` words. A passage's first and last words lie in units
 that it shares with its surroundings, so a chunk is extended at both ends, word by word, as far as the text there equals the
-text at such an end in an earlier document. The first occurrence of any repeated unit survives, and short repeated lines stay.
+text at such an end in an earlier document. For that the ``NEAR`` whole words on each side are carried along, of any length
+(at least ``AROUND`` bytes): 3 x window words, more than can be equal there without a repeated unit. The first occurrence of
+any repeated unit survives, and short repeated lines stay.
 
 Byte comparison: the distinct pairs of hash and text are counted for every repeated hash; a hash with two texts removes
 nothing. What is gathered per unit in the first pass is a hash and a count. Texts, places and surroundings follow only for
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, staged, with_doc_key
 
 WINDOW, LEAST, SEED, AROUND = 19, 24, 12, 200
+NEAR = 3 * WINDOW
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
@@ -76,7 +79,7 @@ class Units:
         start, stop = edge[0::2], edge[1::2]
         n = len(start)
         if not n:
-            self.doc = self.begin = self.end = self.next = self.words = np.empty(0, np.int64)
+            self.doc = self.begin = self.end = self.next = self.words = self.start = self.stop = self.first = self.last = np.empty(0, np.int64)
             self.hash = np.empty(0, np.uint64)
             return
         inside = np.arange(start[0], len(a), dtype=np.int32)
@@ -99,6 +102,7 @@ class Units:
             chosen = _sliding(np.maximum, np.concatenate([pad, low, pad]), window) == two
         cut = np.flatnonzero(new_line | chosen)
         last = np.append(cut[1:], n) - 1
+        self.start, self.stop, self.first, self.last = start, stop, cut, last  # of words in buf; words of units
         self.doc, self.words = doc[cut], last - cut + 1
         place = np.arange(n) - np.repeat(cut, self.words)
         self.hash = _mix(np.add.reduceat(word * _WORDS[place & 4095], cut) + self.words.astype(np.uint64))
@@ -194,12 +198,18 @@ def chunks_of(docs: DataFrame, bitmap: np.ndarray, window: int, seed: int) -> Da
             again[order[1:]] = (u.hash[at][order[1:]] == u.hash[at][order[:-1]]) & (u.doc[at][order[1:]] == u.doc[at][order[:-1]])
             doc, o = u.doc[first], u.at[u.doc[first]]
             stop = np.append(u.at[1:] - 1, len(u.buf) - 1)[doc] if len(doc) else doc
-            s, e = (o + u.begin[first]).tolist(), (o + u.end[last]).tolist()
+            s, e = o + u.begin[first], o + u.end[last]
+            low, high = np.searchsorted(u.start, o), np.searchsorted(u.start, stop) - 1  # the document's first and last word
+            near = np.minimum(u.first[first] - NEAR, np.searchsorted(u.start, s - AROUND, side="right") - 1)
+            left = np.where(near <= low, o, u.start[np.maximum(near, low)])
+            near = np.maximum(u.last[last] + NEAR, np.searchsorted(u.stop, e + AROUND))
+            right = np.where(near >= high, stop, u.stop[np.minimum(near, high)])
+            left, s, e, right = (x.tolist() for x in (left, s, e, right))
             parts = pa.StructArray.from_arrays([pa.array(u.hash[at].view(np.int64)), *[pa.array(x[at].astype(np.int32)) for x in (u.begin, u.end, u.next, u.words)], pa.array(again)], fields=list(kind.value_type))
             units = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), parts)
             row = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [*[b.column(c).take(row) for c in ("ord", "__k1", "__k2")], pa.array((first - np.searchsorted(u.doc, doc)).astype(np.int32)), units, pa.array([u.buf[x:y] for x, y in zip(s, e, strict=True)], pa.binary()), pa.array([u.buf[max(x, y - AROUND) : y] for x, y in zip(o.tolist(), s, strict=True)], pa.binary()), pa.array([u.buf[y : min(z, y + AROUND)] for y, z in zip(e, stop.tolist(), strict=True)], pa.binary())],
+                [*[b.column(c).take(row) for c in ("ord", "__k1", "__k2")], pa.array((first - np.searchsorted(u.doc, doc)).astype(np.int32)), units, pa.array([u.buf[x:y] for x, y in zip(s, e, strict=True)], pa.binary()), pa.array([u.buf[x:y] for x, y in zip(left, s, strict=True)], pa.binary()), pa.array([u.buf[x:y] for x, y in zip(e, right, strict=True)], pa.binary())],
                 ["ord", "__k1", "__k2", "unit", "units", "body", "left", "right"],
             )
 

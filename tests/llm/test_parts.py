@@ -304,3 +304,11 @@ def test_taken_words_come_near_the_target(spark):
     rows = [(i, "w " * rng.choice([0, 1, 5, 30, 200, 900]), rng.choice("aaaaabbc")) for i in range(3000)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("target").agg({"taken": "sum"}).collect()
     assert len(got) == 3 and all(abs(r["sum(taken)"] - r.target) <= 900 + 0.01 * r.target for r in got)
+
+
+def test_growth_takes_long_words_whole(spark):
+    rng = random.Random(11)
+    passage = " ".join("".join(rng.choice("жщюяфэ") for _ in range(rng.randrange(12, 40))) for _ in range(70))
+    docs = [(k, f"{own} " * 5 + passage + f" {own}" * 5) for k, own in enumerate(("ab", "cd", "efg"))]
+    out = {r.doc_id: r.text.split() for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out == {0: docs[0][1].split(), 1: ["cd"] * 10, 2: ["efg"] * 10}
