@@ -14,8 +14,8 @@ any repeated unit survives, and short repeated lines stay.
 
 Byte comparison: the distinct pairs of hash and text are counted for every repeated hash; a hash with two texts removes
 nothing. What is gathered per unit in the first pass is a hash and a count. Texts, places and surroundings follow only for
-chunks of units that pass a bit filter of the repeated hashes, of fixed size (``filter_bits``); a false pass costs a row, not
-a result. Whole documents are shuffled only if they pass a like filter of the documents that lose something.
+chunks of units that pass a bit filter of the repeated hashes, of fixed size (``filter_bits``). They are joined with the
+repeated hashes themselves and cut anew where a unit passed falsely, so the filter's fill costs rows, not results. Whole documents are shuffled only if they pass a like filter of the documents that lose something.
 
 Null text stays null, an empty one empty. Null doc_id comes last in the order. Rows of one doc_id don't lose to each other;
 ids that aren't integers are ordered by a hash. A text of which nothing is left becomes empty. Extra columns are carried along by name.
@@ -26,7 +26,8 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, staged, with_doc_key
@@ -174,8 +175,9 @@ def passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
 RUNS = "ord long, __k1 long, __k2 long, unit int, units array<struct<hash:long,s:int,e:int,f:int,words:int,again:boolean>>, body binary, left binary, right binary"
 
 
-def chunks_of(docs: DataFrame, bitmap: np.ndarray, window: int, seed: int) -> DataFrame:
-    """Runs of units that pass the filter, of at least seed words: document, first unit's number, units, text, what is around."""
+def candidates(docs: DataFrame, bitmap: np.ndarray, window: int, seed: int) -> DataFrame:
+    """Runs of units that pass the filter, of at least seed words: document, first unit's number, units, text, what is around.
+    again: the document has the unit before, as far as the filter tells."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
     kind = pa.list_(pa.struct([("hash", pa.int64()), *[(n, pa.int32()) for n in ("s", "e", "f", "words")], ("again", pa.bool_())]))
 
@@ -216,6 +218,34 @@ def chunks_of(docs: DataFrame, bitmap: np.ndarray, window: int, seed: int) -> Da
     return docs.select("ord", "__k1", "__k2", "text").mapInArrow(run, RUNS)
 
 
+def real_runs(x: dict, seed: int):
+    """x: a candidate and, in ``real``, the places of its repeated units. The runs of these, of at least seed words."""
+    units, real = x["units"], sorted(x["real"])
+    opens = [k for k in range(len(real)) if not k or real[k] != real[k - 1] + 1]
+    for a, z in zip(opens, [*opens[1:], len(real)], strict=True):
+        part = units[real[a] : real[z - 1] + 1]
+        if sum(u["words"] for u in part) >= seed:
+            s, e = part[0]["s"] - units[0]["s"], part[-1]["e"] - units[0]["s"]
+            yield x | {"unit": x["unit"] + real[a], "units": part, "body": x["body"][s:e], "left": x["left"] + x["body"][:s], "right": x["body"][e:] + x["right"]}
+
+
+def chunks_of(docs: DataFrame, repeated: DataFrame, bitmap: np.ndarray, window: int, seed: int) -> DataFrame:
+    """Runs of repeated units: the candidates, cut anew where units only passed the filter."""
+    found, place = staged(candidates(docs, bitmap, window, seed), "line-candidates"), ("__k1", "__k2", "unit")
+    real = found.select(*place, F.posexplode("units.hash").alias("i", "hash")).join(repeated, "hash", "left_semi").groupBy(*place).agg(F.collect_set("i").alias("real"))
+
+    def run(batches):
+        for b in batches:
+            names = [n for n in b.schema.names if n != "real"]
+            whole = pc.equal(pc.list_value_length(b.column("units")), pc.list_value_length(b.column("real")))
+            yield b.filter(whole).select(names)
+            rows = [{n: y[n] for n in names} for x in b.filter(pc.invert(whole)).to_pylist() for y in real_runs(x, seed)]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([b.schema.field(n) for n in names]))
+
+    joined = found.join(real, list(place)).select("ord", *place, "units", "body", "left", "right", "real")
+    return joined.mapInArrow(run, RUNS)
+
+
 def shared_end(a: bytes, b: bytes) -> int:
     """Bytes of the whole words that both end with, white space between them and after them included."""
     n = 0
@@ -288,14 +318,15 @@ def removals(docs: DataFrame, window: int, least: int, seed: int, filter_bits: i
     """docs with __k1, __k2. __k1, __k2, gone: byte ranges (s, e), in order, of the documents that lose some."""
     texts = docs.filter("text is not null and text <> ''").withColumn("ord", order_of(docs))
     repeated = staged(repeated_hashes(texts, window), "line-repeats")
-    runs = staged(chunks_of(texts, bit_filter(repeated, filter_bits), window, seed), "line-chunks")
+    runs = staged(chunks_of(texts, repeated, bit_filter(repeated, filter_bits), window, seed), "line-chunks")
     units = runs.select("ord", "__k1", "__k2", "unit", F.posexplode("units").alias("i", "u")).select("ord", "__k1", "__k2", (F.col("unit") + F.col("i")).alias("unit"), "u.*")
     kinds = staged(units.groupBy("hash").agg(F.min("ord").alias("first"), F.count("*").alias("n")).filter("n > 1").select("hash", "first"), "line-kinds")  # stored, so a hash of many units is split in the join
     start = F.col("units")[0]["s"]
     bodies = runs.select(F.explode(F.transform("units", lambda u: F.struct(u["hash"].alias("hash"), F.substring("body", u["s"] - start + 1, u["e"] - u["s"]).alias("text")))).alias("u")).select("u.*")
     bad = bodies.distinct().groupBy("hash").count().filter("count > 1").select("hash")
     bad = [r["hash"] for r in bad.collect()]  # two texts with one 64-bit hash: about n^2 / 2^65 of n units
-    later = units.join(kinds, "hash").filter("ord > first or again").select("__k1", "__k2", "unit", "hash", "s", "e", "f", "words")
+    own = F.min("unit").over(Window.partitionBy("__k1", "__k2", "hash"))
+    later = units.join(kinds, "hash").withColumn("own", own).filter("ord > first or again and unit > own").select("__k1", "__k2", "unit", "hash", "s", "e", "f", "words")
     later = (later.filter(~F.col("hash").isin(bad)) if bad else later).drop("hash")
 
     def grown(side):

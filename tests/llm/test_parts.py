@@ -312,3 +312,17 @@ def test_growth_takes_long_words_whole(spark):
     docs = [(k, f"{own} " * 5 + passage + f" {own}" * 5) for k, own in enumerate(("ab", "cd", "efg"))]
     out = {r.doc_id: r.text.split() for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert out == {0: docs[0][1].split(), 1: ["cd"] * 10, 2: ["efg"] * 10}
+
+
+def test_the_filter_s_fill_changes_no_result(spark, monkeypatch):
+    rng = random.Random(12)
+
+    def some(n):
+        return [f"w{rng.randrange(5000)}" for _ in range(n)]
+
+    passage = some(60)
+    docs = spark.createDataFrame([(k, " ".join(some(70) + passage + some(70) + some(5) * 2)) for k in range(12)], "doc_id long, text string")
+    want = sorted(tuple(r) for r in linededup.query(docs).collect())
+    assert sum(r[1] for r in want) >= 11
+    monkeypatch.setattr(linededup, "bit_filter", lambda keys, bits: np.full(bits // 8, 255, np.uint8))
+    assert sorted(tuple(r) for r in linededup.query(docs).collect()) == want
