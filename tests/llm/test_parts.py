@@ -326,3 +326,17 @@ def test_the_filter_s_fill_changes_no_result(spark, monkeypatch):
     assert sum(r[1] for r in want) >= 11
     monkeypatch.setattr(linededup, "bit_filter", lambda keys, bits: np.full(bits // 8, 255, np.uint8))
     assert sorted(tuple(r) for r in linededup.query(docs).collect()) == want
+
+
+def test_a_scored_subword_sees_sixteen_before_it():
+    rng = np.random.default_rng(7)
+    m = lm.Attention(96)
+    assert m.d == 24
+    seq = rng.integers(0, 96, 64)
+    for k in range(16, 48):
+        a = lm.windows([seq], 96)
+        other = seq.copy()
+        other[k - 16] = (other[k - 16] + 1) % 96
+        b = lm.windows([other], 96)
+        x, y = (m.log_prob(w[0], w[1]).ravel()[k] for w in (a, b))
+        assert x != y
