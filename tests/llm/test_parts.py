@@ -340,3 +340,19 @@ def test_a_scored_subword_sees_sixteen_before_it():
         b = lm.windows([other], 96)
         x, y = (m.log_prob(w[0], w[1]).ravel()[k] for w in (a, b))
         assert x != y
+
+
+def test_the_language_model_learns_from_every_subword(spark, monkeypatch):
+    seen, learn = [], lm.train_attention
+
+    def spy(taken, class_of, classes, pairs, *a, **options):
+        seen.append((pairs.sum(), sum(len(r.pieces) for r in taken.collect())))
+        return learn(taken, class_of, classes, pairs, *a, **options)
+
+    monkeypatch.setattr(lm, "train_attention", spy)
+    texts = [" ".join(f"w{i % 7}" for i in range(n)) for n in (0, 5, 100, 900)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert lm.score_corpus(docs, lm.F.lit(False)).count() == 4
+    encode = lm.encoder(lm.rank_file(None))
+    n = sum(len(lm.pieces_of(encode, w)) for t in texts for w in [*lm.words_of(t), b""])
+    assert seen == [(n, 2 * (n + len(texts)))]  # 16 bits each, and one for each text's beginning
