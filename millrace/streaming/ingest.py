@@ -25,16 +25,16 @@ def stream_upsert(rows: DataFrame, table: KeyedTable, order, checkpoint: str) ->
     rows.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def chat_history(turns: DataFrame, most: int = 1000) -> DataFrame:
+def chat_history(turns: DataFrame, most: int | None = None) -> DataFrame:
     """turns: a stream of (conv_id, turn, role, text). After each batch a conversation's messages so far, as JSON; the state
-    holds its last ``most`` turns."""
+    holds all its turns, or where ``most`` is given the last of them."""
     import json
 
     def step(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         said = json.loads(state.get[0]) if state.exists else []
         for p in parts:
             said += [[int(t), r, x] for t, r, x in zip(p["turn"], p["role"], p["text"], strict=True)]
-        said = sorted(said)[-most:]
+        said = sorted(said)[-most if most else None :]
         state.update((json.dumps(said, ensure_ascii=False),))
         yield pd.DataFrame({"conv_id": [key[0]], "n_turns": [len(said)], "messages": [json.dumps([{"role": r, "content": x} for _, r, x in said], ensure_ascii=False)]})
 

@@ -355,6 +355,16 @@ def test_streams(spark, tmp_path):
     assert [tuple(x) for x in t.read().collect()] == [(1, 1, "assistant", "b")]
 
 
+def test_long_conversations_keep_their_beginnings(spark, tmp_path):
+    src = tmp_path / "in"
+    turns = spark.createDataFrame([(1, k, "user", f"t{k}") for k in range(1200)], "conv_id long, turn long, role string, text string")
+    turns.write.parquet(str(src))
+    q = ingest.chat_history(spark.readStream.schema(turns.schema).parquet(str(src))).writeStream.outputMode("update").format("memory").queryName("long_chat").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    r = spark.sql("select * from long_chat").collect()
+    assert r[-1].n_turns == 1200 and [m["content"] for m in json.loads(r[-1].messages)] == [f"t{k}" for k in range(1200)]
+
+
 def test_sessions(spark):
     e = spark.sql("select timestamp_ntz'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,m) ts, 1L user_id from values (0), (10), (100) t(m)")
     assert sorted(r.n for r in ingest.sessions(e).collect()) == [1, 2]
