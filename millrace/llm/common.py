@@ -5,8 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zlib
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches of at most so many rows, so that a Python worker holds few long texts at once.
@@ -18,12 +22,13 @@ def session_of(df: DataFrame) -> SparkSession:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under spark.checkpoint.dir, which all executors share; an own one only where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(work_dir, "own", None)
-        if base is None:
-            base = work_dir.own = "file://" + tempfile.mkdtemp(prefix="millrace-")
+    """A fresh folder that all executors share: under spark.checkpoint.dir, else under the checkpoint folder that was set, else (a
+    local master) an own one, else under the warehouse."""
+    conf, given = spark.sparkContext.getConf(), spark.sparkContext._jsc.sc().getCheckpointDir()
+    base = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or (given.get() if given.isDefined() else None)
+    if not base and conf.get("spark.master", "").split("[")[0] == "local":
+        base = work_dir.own = getattr(work_dir, "own", None) or "file://" + tempfile.mkdtemp(prefix="millrace-")
+    base = base or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/millrace-work"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -49,9 +54,89 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def with_doc_key(df: DataFrame) -> DataFrame:
-    """Adds __k1, __k2: 128 bits over doc_id and text. Rows equal in both are one document."""
-    return df.withColumns({"__k1": F.xxhash64("doc_id", "text"), "__k2": F.xxhash64(F.lit(7), "text", "doc_id")})
+def named(column: str) -> Column:
+    """A column by its very name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def packed(docs: DataFrame, *without: str) -> Column:
+    """All columns but some as one struct, so that no name of theirs can clash."""
+    return F.struct(*[named(c).alias(c) for c in docs.columns if c not in without]).alias("row")
+
+
+def unpacked(docs: DataFrame) -> list[Column]:
+    """docs' columns out of the struct."""
+    return [F.col("row").getField(c).alias(c) for c in docs.columns]
+
+
+def doc_keys(*columns: Column) -> tuple[Column, Column]:
+    """k1, k2: 128 bits over some columns. Rows equal in them are one document."""
+    return F.xxhash64(*columns).alias("k1"), F.xxhash64(F.lit(7), *reversed(columns)).alias("k2")
+
+
+def hot_keys(counts: DataFrame, key: str, total: int, share: int = 1000, least: int = 1 << 10) -> list[int]:
+    """counts: (key, n). The keys that hold a share-th of the total or more: at most ``share`` longs, whatever the data."""
+    return [r[0] for r in counts.filter(F.col("n") >= max(least, total // share)).select(key).collect()]
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, hot: list[int], how: str = "inner", by: tuple[str, ...] = ("k1", "k2")) -> DataFrame:
+    """left join right on key, of which right has one row each. Rows of hot keys are dealt over all partitions by a hash of ``by``."""
+    if not hot:
+        return left.join(right, key, how)
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    is_hot = F.col(key).isin(hot)
+    left = left.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64(*by), F.lit(parts))).otherwise(0).cast("int"))
+    right = right.withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [key, "salt"], how).drop("salt")
+
+
+#: Bits of a Bloom filter a key, and at most (a 32 MB broadcast); hash functions.
+BITS, MOST_BITS, HASHES = 16, 1 << 28, 3
+
+
+def _spots(keys: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    k = keys.view(np.uint64)
+    for x in (k, k >> np.uint64(32), (k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)):
+        yield (x & np.uint64(bits - 1)).astype(np.int64)
+
+
+def bloom_filter(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of a column of hashes (longs): built in parts on the executors, merged by part. Its size follows the number of
+    keys up to a bound; beyond it more keys pass falsely."""
+    part = 1 << 19
+    bits = min(MOST_BITS, max(part, 1 << (BITS * keys.count()).bit_length()))
+    name = keys.columns[0]
+
+    def run(batches):
+        found = [np.empty(0, np.int64)]
+        for b in batches:
+            found += [np.unique(s) for s in _spots(b.column(name).to_numpy(zero_copy_only=False).astype(np.int64), bits)]
+            if sum(map(len, found)) > 1 << 22:
+                found = [np.unique(np.concatenate(found))]
+        spots = np.unique(np.concatenate(found))
+        for p in np.unique(spots // part):
+            row = np.zeros(part, np.uint8)
+            row[spots[spots // part == p] - p * part] = 1
+            yield pa.RecordBatch.from_arrays([pa.array([int(p)], pa.int32()), pa.array([zlib.compress(np.packbits(row).tobytes(), 1)], pa.binary())], ["part", "bits"])
+
+    def merge(key, rows):
+        out = np.zeros(part // 8, np.uint8)
+        for x in rows["bits"].to_pylist():
+            out |= np.frombuffer(zlib.decompress(x), np.uint8)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())})
+
+    out = np.zeros(bits // 8, np.uint8)
+    for r in keys.mapInArrow(run, "part int, bits binary").groupBy("part").applyInArrow(merge, "part int, bits binary").collect():
+        out[r["part"] * part // 8 : (r["part"] + 1) * part // 8] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+    return out
+
+
+def passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys the filter holds (or seems to)."""
+    out = np.ones(len(keys), bool)
+    for spot in _spots(np.ascontiguousarray(keys), 8 * len(bitmap)):
+        out &= (bitmap[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8) & 1).astype(bool)
+    return out
 
 
 def tokenizer_dir() -> str:
@@ -89,8 +174,6 @@ def highest(counts: DataFrame, most: int) -> DataFrame | None:
 
 def gathered(batches, rows: int):
     """Arrow batches of few small rows as tables of at least so many."""
-    import pyarrow as pa
-
     held, n = [], 0
     for b in batches:
         held.append(b)

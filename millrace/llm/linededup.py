@@ -1,56 +1,64 @@
 """Line dedup by content-defined line chunks.
 
-Lines are folded first: a rolling hash over each two words, and in every ``window`` words the position with the smallest
-hash closes a unit, as the end of a line does. Boundaries so follow the content, wherever a passage starts in a line: any
-two texts that share 2 x window words share at least one whole unit. A unit's hash is built from its words' hashes.
-
-Units whose hash occurs more than once are the repeated ones. Neighbouring repeated units form a chunk; chunks under
-``seed`` words are left alone. A unit is kept where its document comes first (by doc_id; in it, at its first place);
-elsewhere it goes, if the units that go side by side have ``least`` words. A passage's first and last words lie in units
-that it shares with its surroundings, so a chunk is extended at both ends, word by word, as far as the text there equals the
-text at such an end in an earlier document. For that the ``NEAR`` whole words on each side are carried along, of any length
-(at least ``AROUND`` bytes): 3 x window words, more than can be equal there without a repeated unit. The first occurrence of
-any repeated unit survives, and short repeated lines stay.
+Words are runs without ASCII white space; a character of a script written without spaces (U+3000 to U+DFFF) is a word by
+itself. Lines end at line feeds. Long lines are folded first: of every ``FOLD`` words of a text the one that begins the
+smallest two-word hash closes a line, so lines lie alike wherever a passage stands in a paragraph.
+
+A line's hash is built from its words' and the white space between them. A rolling hash runs over each two lines; where it
+is smaller than at its neighbours it closes a chunk. A chunk so holds two lines at least (but for a text's ends), about
+three, and its boundaries follow the content: a passage of 50 words brings its own chunks along. Lines without a smallest
+place are cut after ``MOST``.
+
+Chunks whose hash occurs more than once are the repeated ones. The first of each (smallest doc_id; in it, the first place)
+stays. Elsewhere neighbouring ones go together if they have ``SEED`` words, and ``least`` with what they grow by. They grow
+at both ends of a run of repeated chunks, word by word, as far as the text there equals that at the same end in the earliest
+document whose run ends with that chunk: a passage's first and last words lie in chunks shared with what surrounds it. Carried
+along for that are the neighbouring chunk and ``NEAR`` more words, beyond which equal text would make a repeated chunk.
+Nothing is cut inside a word or a character. Short repeated lines stay.
 
 Byte comparison: the distinct pairs of hash and text are counted for every repeated hash; a hash with two texts removes
-nothing. What is gathered per unit in the first pass is a hash and a count. Texts, places and surroundings follow only for
-chunks of units that pass a bit filter of the repeated hashes, of fixed size (``filter_bits``). They are joined with the
-repeated hashes themselves and cut anew where a unit passed falsely, so the filter's fill costs rows, not results. Whole documents are shuffled only if they pass a like filter of the documents that lose something.
-
-Null text stays null, an empty one empty. Null doc_id comes last in the order. Rows of one doc_id don't lose to each other;
-ids that aren't integers are ordered by a hash. A text of which nothing is left becomes empty. Extra columns are carried along by name.
+nothing, and what a chunk grows by is compared byte by byte. The first pass gathers a hash, a count and a first place per
+chunk. Texts follow only for runs that pass a Bloom filter of the repeated hashes (``BITS`` a key, at most ``MOST_BITS``);
+runs are cut anew where a chunk passed falsely, so the filter's size costs rows, not results. Whole documents are shuffled only
+if they pass a like filter of the documents that lose something. Hashes that hold a thousandth of all rows or more, at most a
+thousand, are salted in joins.
+
+Null text stays null, an empty one empty. Null doc_id comes last in the order. Rows of one doc_id don't lose to each other, rows
+equal in doc_id and text lose alike; ids that aren't integers are ordered by a hash. A text of which nothing is left becomes
+empty. Extra columns, whatever their names, are carried along.
 """
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged, with_doc_key
+from .common import bloom_filter, doc_keys, hot_keys, packed, passes, small_batches, split_join, staged
 
-WINDOW, LEAST, SEED, AROUND = 19, 24, 12, 200
-NEAR = 3 * WINDOW
+FOLD, MOST, SEED, LEAST, NEAR = 5, 8, 10, 20, 16
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Odd multipliers of the hashes of words, lines and chunks.
+B_BYTE, B_WORD, B_LINE, B_GAP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 
 
-def _powers(base: int) -> np.ndarray:
-    out = np.empty(4096, np.uint64)
-    out[0] = 1
-    with np.errstate(over="ignore"):
-        for i in range(1, 4096):
-            out[i] = out[i - 1] * np.uint64(base)
-    return out
+def _powers(base: int, n: int) -> np.ndarray:
+    x = np.full(n, base, np.uint64)
+    x[0] = 1
+    return np.multiply.accumulate(x)
 
 
-_BYTES, _WORDS = _powers(0x9E3779B97F4A7C15), _powers(0xD6E8FEB86659FD93)
+TABLE = 1 << 18
+_BYTES, _BACK, _WORDS, _LINES = _powers(B_BYTE, TABLE), _powers(pow(B_BYTE, -1, 1 << 64), TABLE), _powers(B_WORD, 4096), _powers(B_LINE, MOST)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(B_WORD)
     return x ^ (x >> np.uint64(29))
 
 
@@ -64,51 +72,95 @@ def _sliding(f, x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-class Units:
-    """The units of some texts: document, first byte, end of content, first byte of what follows (in the document), words, hash."""
-
-    def __init__(self, texts: list[bytes], window: int = WINDOW):
+def word_edges(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and stop in bytes of UTF-8 that end with white space."""
+    space = _SPACE[a]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if len(a) and not space[0]:
+        edge = np.concatenate([[0], edge])
+    start, stop = edge[0::2], edge[1::2]
+    wide = np.flatnonzero((a >= 0xE3) & (a <= 0xED))  # first bytes of the characters that are words by themselves
+    if len(wide):
+        after = np.minimum(wide + 3, len(a) - 1)
+        more = np.concatenate([wide, after[~space[after]]])
+        start, stop = np.union1d(start, more), np.union1d(stop, np.concatenate([wide[(wide > 0) & ~space[wide - 1]], after]))
+    return start, stop
+
+
+def word_hashes(a: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Sum of byte x B_BYTE^place (modulo TABLE), mixed."""
+    if len(a) <= TABLE:  # no word is longer than the table: differences of one running sum
+        total = np.concatenate([[np.uint64(0)], np.cumsum(a * _BYTES[: len(a)], dtype=np.uint64)])
+        return _mix((total[stop] - total[start]) * _BACK[start])
+    inside = np.arange(len(a))
+    inside -= np.repeat(np.append(0, start), np.diff(np.concatenate([[0], start, [len(a)]])))
+    value = a * _BYTES[inside & (TABLE - 1)]
+    value[_SPACE[a]] = 0
+    return _mix(np.add.reduceat(value, start))
+
+
+class Chunks:
+    """The chunks of some texts: document, first byte, end of content, first byte of what follows (in the document), words, hash."""
+
+    def __init__(self, texts: list[bytes]):
         buf = b"\n".join(texts) + b"\n"
         self.buf = buf
         a = np.frombuffer(buf, np.uint8)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         self.at = np.cumsum(sizes + 1) - sizes - 1  # of each document in buf
-        space = _SPACE[a]
-        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-        if len(a) and not space[0]:
-            edge = np.concatenate([[0], edge])
-        start, stop = edge[0::2], edge[1::2]
+        start, stop = self.start, self.stop = word_edges(a)
         n = len(start)
         if not n:
-            self.doc = self.begin = self.end = self.next = self.words = self.start = self.stop = self.first = self.last = np.empty(0, np.int64)
+            self.doc = self.begin = self.end = self.next = self.words = self.first = self.last = np.empty(0, np.int64)
             self.hash = np.empty(0, np.uint64)
             return
-        inside = np.arange(start[0], len(a), dtype=np.int32)
-        inside -= np.repeat(start.astype(np.int32), np.diff(np.append(start, len(a))))
-        value = (a[start[0] :].astype(np.uint64) + np.uint64(1)) * _BYTES[inside & 4095]
-        value[space[start[0] :]] = 0
-        word = _mix(np.add.reduceat(value, start - start[0]))
+        word = word_hashes(a, start, stop)
         doc = np.searchsorted(self.at, start, side="right") - 1
-        breaks = np.cumsum(a == 10, dtype=np.int32)[start]
-        new_line = np.concatenate([[True], breaks[1:] != breaks[:-1]])
+        new_doc = np.empty(n, bool)
+        new_doc[0], new_doc[1:] = True, doc[1:] != doc[:-1]
+        ends_doc = np.append(new_doc[1:], True)
+        # lines
+        feeds = np.searchsorted(start, np.flatnonzero(a == 10))
+        new_line = new_doc.copy()
+        new_line[feeds[feeds < n]] = True
         two = word.copy()
         two[:-1] = _mix(word[:-1] * np.uint64(3) + word[1:])
-        new_doc = np.concatenate([[True], doc[1:] != doc[:-1]])
-        two[np.append(new_doc[1:], True)] = word[np.append(new_doc[1:], True)]
-        chosen = np.zeros(n, bool)
-        if n >= window:
-            low = _sliding(np.minimum, two, window)
-            low[doc[: n - window + 1] != doc[window - 1 :]] = 0  # windows lie within a document
-            pad = np.zeros(window - 1, np.uint64)
-            chosen = _sliding(np.maximum, np.concatenate([pad, low, pad]), window) == two
-        cut = np.flatnonzero(new_line | chosen)
-        last = np.append(cut[1:], n) - 1
-        self.start, self.stop, self.first, self.last = start, stop, cut, last  # of words in buf; words of units
-        self.doc, self.words = doc[cut], last - cut + 1
-        place = np.arange(n) - np.repeat(cut, self.words)
-        self.hash = _mix(np.add.reduceat(word * _WORDS[place & 4095], cut) + self.words.astype(np.uint64))
+        two[ends_doc] = word[ends_doc]
+        if n >= FOLD:
+            low = _sliding(np.minimum, two, FOLD)
+            low[doc[: n - FOLD + 1] != doc[FOLD - 1 :]] = 0  # windows lie within a document
+            pad = np.zeros(FOLD - 1, np.uint64)
+            closes = _sliding(np.maximum, np.concatenate([pad, low, pad]), FOLD) == two
+            new_line[1:] |= closes[:-1]
+        line = np.flatnonzero(new_line)
+        size = np.diff(line, append=n)
+        gap = np.zeros(n, np.uint64)
+        gap[:-1] = (start[1:] - stop[:-1]).astype(np.uint64) * np.uint64(B_GAP)
+        gap[ends_doc] = 0
+        last = line + size - 1
+        closing = gap[last]
+        gap[last] = 0  # what follows a line belongs to the chunk, if it goes on
+        place = np.arange(n) - np.repeat(line, size)
+        of_line = _mix(np.add.reduceat((word + gap) * _WORDS[place & 4095], line) + size.astype(np.uint64))
+        # chunks
+        m = len(line)
+        first_of_doc = new_doc[line]
+        rolled = np.empty(m + 1, np.uint64)
+        rolled[1:m] = _mix(of_line[:-1] * np.uint64(B_LINE) + of_line[1:])
+        rolled[np.append(first_of_doc, True)] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        opens = first_of_doc.copy()
+        opens[2:] |= (rolled[1 : m - 1] < rolled[: m - 2]) & (rolled[1 : m - 1] <= rolled[2:m])
+        cut = np.flatnonzero(opens)
+        inside = np.arange(m) - np.repeat(cut, np.diff(cut, append=m))
+        opens[inside % MOST == 0] = True
+        inside %= MOST
+        cut = np.flatnonzero(opens)
+        closing[np.append(cut[1:], m) - 1] = 0
+        self.first, self.last = line[cut], last[np.append(cut[1:], m) - 1]  # words of chunks
+        self.doc, self.words = doc[self.first], self.last - self.first + 1
+        self.hash = _mix(np.add.reduceat((of_line + closing) * _LINES[inside], cut) + self.words.astype(np.uint64))
         origin = self.at[self.doc]
-        self.begin, self.end = start[cut] - origin, stop[last] - origin
+        self.begin, self.end = start[self.first] - origin, stop[self.last] - origin
         same = np.append(self.doc[1:] == self.doc[:-1], False)
         self.next = np.where(same, np.append(self.begin[1:], 0), sizes[self.doc])
 
@@ -121,172 +173,162 @@ def parts_of(batch):
     texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]  # UTF-8 as it came
     lo, size = 0, 0
     for i, t in enumerate(texts):
+        if size and size + len(t) + i - lo >= TABLE:
+            yield batch.slice(lo, i - lo), texts[lo:i]
+            lo, size = i, 0
         size += len(t)
         if size >= PART or i + 1 == len(texts):
             yield batch.slice(lo, i + 1 - lo), texts[lo : i + 1]
             lo, size = i + 1, 0
 
 
-def repeated_hashes(docs: DataFrame, window: int) -> DataFrame:
-    """(hash) of the units that occur more than once."""
-
-    def run(batches):
-        for b in batches:
-            h, n = np.unique(np.concatenate([Units(t, window).hash for _, t in parts_of(b)] or [np.empty(0, np.uint64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["hash", "n"])
-
-    return docs.select("text").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).filter("n > 1").select("hash")
-
-
-def bit_filter(keys: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of a column of longs: built in parts on the executors, merged by part; bits / 8 bytes on the driver."""
-    import zlib
+def repeated_hashes(docs: DataFrame) -> DataFrame:
+    """hash, n, first (the smallest ord) of the chunks that occur more than once."""
 
-    part = 1 << 19
-    name = keys.columns[0]
+    def counted(held):
+        h, ord_, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((ord_, h))
+        h, ord_, n = h[order], ord_[order], n[order]
+        at = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(np.add.reduceat(n, at) if len(at) else n), pa.array(ord_[at])], ["hash", "n", "first"])
 
     def run(batches):
-        found = [np.empty(0, np.int64)]
+        held, size = [], 0
         for b in batches:
-            found.append(np.unique((b.column(name).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) % np.uint64(bits)).astype(np.int64)))
-        spots = np.unique(np.concatenate(found))
-        for p in np.unique(spots // part):
-            row = np.zeros(part, np.uint8)
-            row[spots[spots // part == p] - p * part] = 1
-            yield pa.RecordBatch.from_arrays([pa.array([int(p)], pa.int32()), pa.array([zlib.compress(np.packbits(row).tobytes(), 1)], pa.binary())], ["part", "bits"])
-
-    def merge(key, rows):
-        out = np.zeros(part // 8, np.uint8)
-        for x in rows["bits"].to_pylist():
-            out |= np.frombuffer(zlib.decompress(x), np.uint8)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())})
-
-    out = np.zeros(bits // 8, np.uint8)
-    for r in keys.mapInArrow(run, "part int, bits binary").groupBy("part").applyInArrow(merge, "part int, bits binary").collect():
-        out[r["part"] * part // 8 : (r["part"] + 1) * part // 8] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
-    return out
-
+            for rows, texts in parts_of(b):
+                c = Chunks(texts)
+                held.append((c.hash, rows.column("ord").to_numpy()[c.doc], np.ones(len(c.hash), np.int64)))
+                size += len(c.hash)
+            if size > 1 << 17:
+                yield counted(held)
+                held, size = [], 0
+        if held:
+            yield counted(held)
 
-def passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    spot = (keys.view(np.uint64) % np.uint64(8 * len(bitmap))).astype(np.int64)
-    return (bitmap[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8) & 1).astype(bool)
+    return docs.select("ord", "text").mapInArrow(run, "hash long, n long, first long").groupBy("hash").agg(F.sum("n").alias("n"), F.min("first").alias("first")).filter("n > 1")
 
 
-RUNS = "ord long, __k1 long, __k2 long, unit int, units array<struct<hash:long,s:int,e:int,f:int,words:int,again:boolean>>, body binary, left binary, right binary"
+RUNS = "ord long, k1 long, k2 long, run int, units array<struct<hash:long,s:int,e:int,f:int,words:int,again:boolean>>, body binary, left binary, right binary"
 
 
-def candidates(docs: DataFrame, bitmap: np.ndarray, window: int, seed: int) -> DataFrame:
-    """Runs of units that pass the filter, of at least seed words: document, first unit's number, units, text, what is around.
-    again: the document has the unit before, as far as the filter tells."""
+def candidates(docs: DataFrame, bitmap: np.ndarray, seed: int) -> DataFrame:
+    """Runs of chunks that pass the filter, of at least seed words: document, first chunk's number, chunks (again: the document has
+    it before), their text, and what is around."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
     kind = pa.list_(pa.struct([("hash", pa.int64()), *[(n, pa.int32()) for n in ("s", "e", "f", "words")], ("again", pa.bool_())]))
 
     def run(batches):
         for b, texts in (x for whole in batches for x in parts_of(whole)):
-            u = Units(texts, window)
-            hit = passes(shared.value, u.hash)
-            same = u.doc[1:] == u.doc[:-1]
+            c = Chunks(texts)
+            hit = passes(shared.value, c.hash.view(np.int64))
+            same = c.doc[1:] == c.doc[:-1]
             opens, closes = hit.copy(), hit.copy()
             opens[1:] &= ~(hit[:-1] & same)
             closes[:-1] &= ~(hit[1:] & same)
             first, last = np.flatnonzero(opens), np.flatnonzero(closes)
-            total = np.concatenate([[0], np.cumsum(u.words)])
+            total = np.concatenate([[0], np.cumsum(c.words)])
             enough = total[last + 1] - total[first] >= seed
             first, last = first[enough], last[enough]
+            every = np.flatnonzero(hit)
+            order = every[np.lexsort((c.hash[every], c.doc[every]))]
+            again = np.zeros(len(hit), bool)
+            again[order[1:]] = (c.hash[order[1:]] == c.hash[order[:-1]]) & (c.doc[order[1:]] == c.doc[order[:-1]])
             size = last - first + 1
             at = np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
-            order = np.lexsort((u.hash[at], u.doc[at]))
-            again = np.zeros(len(at), bool)
-            again[order[1:]] = (u.hash[at][order[1:]] == u.hash[at][order[:-1]]) & (u.doc[at][order[1:]] == u.doc[at][order[:-1]])
-            doc, o = u.doc[first], u.at[u.doc[first]]
-            stop = np.append(u.at[1:] - 1, len(u.buf) - 1)[doc] if len(doc) else doc
-            s, e = o + u.begin[first], o + u.end[last]
-            low, high = np.searchsorted(u.start, o), np.searchsorted(u.start, stop) - 1  # the document's first and last word
-            near = np.minimum(u.first[first] - NEAR, np.searchsorted(u.start, s - AROUND, side="right") - 1)
-            left = np.where(near <= low, o, u.start[np.maximum(near, low)])
-            near = np.maximum(u.last[last] + NEAR, np.searchsorted(u.stop, e + AROUND))
-            right = np.where(near >= high, stop, u.stop[np.minimum(near, high)])
+            doc, o = c.doc[first], c.at[c.doc[first]]
+            stop = np.append(c.at[1:] - 1, len(c.buf) - 1)[doc] if len(doc) else doc
+            s, e = o + c.begin[first], o + c.end[last]
+            edge = np.flatnonzero(np.append(True, ~same)) if len(hit) else np.empty(0, np.int64)
+            low = edge[np.searchsorted(edge, first, side="right") - 1]  # the document's first and last chunk
+            high = np.append(edge[1:], len(hit))[np.searchsorted(edge, first, side="right") - 1] - 1
+            near = c.first[np.maximum(first - 1, low)] - NEAR
+            left = np.where(near <= c.first[low], o, c.start[np.maximum(near, c.first[low])])
+            near = c.last[np.minimum(last + 1, high)] + NEAR
+            right = np.where(near >= c.last[high], stop, c.stop[np.minimum(near, c.last[high])])
             left, s, e, right = (x.tolist() for x in (left, s, e, right))
-            parts = pa.StructArray.from_arrays([pa.array(u.hash[at].view(np.int64)), *[pa.array(x[at].astype(np.int32)) for x in (u.begin, u.end, u.next, u.words)], pa.array(again)], fields=list(kind.value_type))
+            parts = pa.StructArray.from_arrays([pa.array(c.hash[at].view(np.int64)), *[pa.array(x[at].astype(np.int32)) for x in (c.begin, c.end, c.next, c.words)], pa.array(again[at])], fields=list(kind.value_type))
             units = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), parts)
             row = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [*[b.column(c).take(row) for c in ("ord", "__k1", "__k2")], pa.array((first - np.searchsorted(u.doc, doc)).astype(np.int32)), units, pa.array([u.buf[x:y] for x, y in zip(s, e, strict=True)], pa.binary()), pa.array([u.buf[x:y] for x, y in zip(left, s, strict=True)], pa.binary()), pa.array([u.buf[x:y] for x, y in zip(e, right, strict=True)], pa.binary())],
-                ["ord", "__k1", "__k2", "unit", "units", "body", "left", "right"],
+                [*[b.column(n).take(row) for n in ("ord", "k1", "k2")], pa.array((first - low).astype(np.int32)), units, *[pa.array([c.buf[x:y] for x, y in zip(p, q, strict=True)], pa.binary()) for p, q in ((s, e), (left, s), (e, right))]],
+                ["ord", "k1", "k2", "run", "units", "body", "left", "right"],
             )
 
-    return docs.select("ord", "__k1", "__k2", "text").mapInArrow(run, RUNS)
+    return docs.select("ord", "k1", "k2", "text").mapInArrow(run, RUNS)
 
 
-def real_runs(x: dict, seed: int):
-    """x: a candidate and, in ``real``, the places of its repeated units. The runs of these, of at least seed words."""
-    units, real = x["units"], sorted(x["real"])
+def without_false(x: dict, false: set[int]):
+    """The runs that are left of a candidate without the places of chunks that passed falsely."""
+    units, body = x["units"], x["body"]
+    real = [i for i in range(len(units)) if i not in false]
     opens = [k for k in range(len(real)) if not k or real[k] != real[k - 1] + 1]
     for a, z in zip(opens, [*opens[1:], len(real)], strict=True):
         part = units[real[a] : real[z - 1] + 1]
-        if sum(u["words"] for u in part) >= seed:
-            s, e = part[0]["s"] - units[0]["s"], part[-1]["e"] - units[0]["s"]
-            yield x | {"unit": x["unit"] + real[a], "units": part, "body": x["body"][s:e], "left": x["left"] + x["body"][:s], "right": x["body"][e:] + x["right"]}
+        s, e = part[0]["s"] - units[0]["s"], part[-1]["e"] - units[0]["s"]
+        yield x | {"run": x["run"] + real[a], "units": part, "body": body[s:e], "left": x["left"] + body[:s], "right": body[e:] + x["right"]}
 
 
-def chunks_of(docs: DataFrame, repeated: DataFrame, bitmap: np.ndarray, window: int, seed: int) -> DataFrame:
-    """Runs of repeated units: the candidates, cut anew where units only passed the filter."""
-    found, place = staged(candidates(docs, bitmap, window, seed), "line-candidates"), ("__k1", "__k2", "unit")
-    real = found.select(*place, F.posexplode("units.hash").alias("i", "hash")).join(repeated, "hash", "left_semi").groupBy(*place).agg(F.collect_set("i").alias("real"))
+def runs_of(found: DataFrame, marks: DataFrame) -> DataFrame:
+    """The candidates, cut anew where chunks only passed the filter. These are few, so the texts stay where they are while the list of
+    them is small enough to be sent out; adaptive execution sees to that."""
+    place = ("k1", "k2", "run")
+    false = marks.filter("first is null").groupBy(*place).agg(F.collect_set("i").alias("false"))
 
     def run(batches):
         for b in batches:
-            names = [n for n in b.schema.names if n != "real"]
-            whole = pc.equal(pc.list_value_length(b.column("units")), pc.list_value_length(b.column("real")))
+            names = [n for n in b.schema.names if n != "false"]
+            whole = pc.is_null(b.column("false"))
             yield b.filter(whole).select(names)
-            rows = [{n: y[n] for n in names} for x in b.filter(pc.invert(whole)).to_pylist() for y in real_runs(x, seed)]
+            rows = [{n: y[n] for n in names} for x in b.filter(pc.invert(whole)).to_pylist() for y in without_false(x, set(x["false"]))]
             yield pa.RecordBatch.from_pylist(rows, pa.schema([b.schema.field(n) for n in names]))
 
-    joined = found.join(real, list(place)).select("ord", *place, "units", "body", "left", "right", "real")
-    return joined.mapInArrow(run, RUNS)
+    return found.join(false, list(place), "left").select("ord", *place, "units", "body", "left", "right", "false").mapInArrow(run, RUNS)
 
 
-def shared_end(a: bytes, b: bytes) -> int:
-    """Bytes of the whole words that both end with, white space between them and after them included."""
-    n = 0
-    for x, y in zip(reversed(a), reversed(b), strict=False):
-        if x != y:
-            break
+def shared_end(a: bytes, b: bytes) -> tuple[int, int]:
+    """(bytes, words) of the whole words that both end with, white space between them and after them included."""
+    n, most = 0, min(len(a), len(b))
+    while n < most and a[-n - 1] == b[-n - 1]:
         n += 1
-    while n and not ((n == len(a) or _SPACE[a[-n - 1]]) and (n == len(b) or _SPACE[b[-n - 1]]) and not _SPACE[a[-n]]):
-        n -= 1
-    return n
+    starts, stops = (x.tolist() for x in word_edges(np.frombuffer(a + b"\n", np.uint8)))
+    other = set((len(b) - word_edges(np.frombuffer(b + b"\n", np.uint8))[0]).tolist())
+    for i, s in enumerate(starts):
+        if len(a) - s <= n and len(a) - s in other:
+            return len(a) - s, len(starts) - i
+    return 0, 0
 
 
-def shared_start(a: bytes, b: bytes) -> int:
+def shared_start(a: bytes, b: bytes) -> tuple[int, int]:
     """The same at the start."""
-    n = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
+    n, most = 0, min(len(a), len(b))
+    while n < most and a[n] == b[n]:
         n += 1
-    while n and not ((n == len(a) or _SPACE[a[n]]) and (n == len(b) or _SPACE[b[n]]) and not _SPACE[a[n - 1]]):
-        n -= 1
-    return n
+    stops = word_edges(np.frombuffer(a + b"\n", np.uint8))[1].tolist()
+    other = set(word_edges(np.frombuffer(b + b"\n", np.uint8))[1].tolist())
+    for i in range(len(stops) - 1, -1, -1):
+        if stops[i] <= n and stops[i] in other:
+            return stops[i], i + 1
+    return 0, 0
 
 
-def ranges_of(units: list[tuple], least: int) -> list[tuple[int, int]]:
-    """units: (unit, s, e, f, words, bytes and words to add left, the same right) of one document's repeated units that aren't
-    the first of their kind. Byte ranges of the chunks that go, merged."""
+def ranges_of(units: list[tuple], least: int, seed: int) -> list[tuple[int, int]]:
+    """units: (number, s, e, f, words, bytes and words to add left, the same right) of one document's repeated chunks that aren't
+    the first of their kind. Byte ranges that go, merged."""
     out: list[tuple[int, int]] = []
-    chunk: list[tuple] = []
+    held: list[tuple] = []
 
     def close():
-        if chunk and sum(u[4] for u in chunk) + chunk[0][6] + chunk[-1][8] >= least:
-            a, z = chunk[0], chunk[-1]
-            # up to what follows; where the chunk grew to the right, up to the grown end
+        words = sum(u[4] for u in held)
+        if held and words >= seed and words + held[0][6] + held[-1][8] >= least:
+            a, z = held[0], held[-1]
+            # up to what follows; where it grew to the right, up to the grown end
             out.append((a[1] - a[5], z[2] + z[7] if z[7] else z[3]))
 
     for u in sorted(units):
-        if chunk and u[0] != chunk[-1][0] + 1:
+        if held and u[0] != held[-1][0] + 1:
             close()
-            chunk = []
-        chunk.append(u)
+            held = []
+        held.append(u)
     close()
     merged: list[tuple[int, int]] = []
     for s, e in sorted(out):
@@ -301,45 +343,45 @@ def _grown(side: str) -> Column:
     @F.pandas_udf("struct<bytes:int,words:int>")
     def run(own: pd.Series, first: pd.Series) -> pd.DataFrame:
         f = shared_end if side == "left" else shared_start
-        found = [(n := f(a, b), len((a[len(a) - n :] if side == "left" else a[:n]).split())) for a, b in zip(own, first, strict=True)]
-        return pd.DataFrame(found, columns=["bytes", "words"]).astype("int32")
+        return pd.DataFrame([f(a, b) for a, b in zip(own, first, strict=True)], columns=["bytes", "words"]).astype("int32")
 
     return run(F.col(side), F.col(f"first_{side}"))
 
 
-def order_of(docs: DataFrame) -> Column:
+def order_of(doc_id: Column, kind: str, key: Column) -> Column:
     """A long that puts documents in order: an integer doc_id, null last; else a hash."""
-    if docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long"):
-        return F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    return F.col("__k1")
-
-
-def removals(docs: DataFrame, window: int, least: int, seed: int, filter_bits: int) -> DataFrame:
-    """docs with __k1, __k2. __k1, __k2, gone: byte ranges (s, e), in order, of the documents that lose some."""
-    texts = docs.filter("text is not null and text <> ''").withColumn("ord", order_of(docs))
-    repeated = staged(repeated_hashes(texts, window), "line-repeats")
-    runs = staged(chunks_of(texts, repeated, bit_filter(repeated, filter_bits), window, seed), "line-chunks")
-    units = runs.select("ord", "__k1", "__k2", "unit", F.posexplode("units").alias("i", "u")).select("ord", "__k1", "__k2", (F.col("unit") + F.col("i")).alias("unit"), "u.*")
-    kinds = staged(units.groupBy("hash").agg(F.min("ord").alias("first"), F.count("*").alias("n")).filter("n > 1").select("hash", "first"), "line-kinds")  # stored, so a hash of many units is split in the join
+    return F.coalesce(doc_id.cast("long"), F.lit((1 << 63) - 1)) if kind in ("byte", "short", "integer", "long") else key
+
+
+def removals(texts: DataFrame, least: int, seed: int) -> DataFrame:
+    """texts: (ord, k1, k2, text). k1, k2, gone: byte ranges (s, e), in order, of the documents that lose some."""
+    texts = texts.filter("text is not null and text <> ''")
+    repeated = staged(repeated_hashes(texts), "line-repeats")
+    n_chunks = repeated.agg(F.sum("n")).first()[0] or 0
+    found = staged(candidates(texts, bloom_filter(repeated.select("hash")), seed), "line-candidates")
+    hot = hot_keys(repeated.select("hash", "n"), "hash", n_chunks)
+    units = found.select("ord", "k1", "k2", "run", F.posexplode("units").alias("i", "u")).select("ord", "k1", "k2", "run", "i", "u.*")
+    marks = staged(split_join(units, repeated.select("hash", "first"), "hash", hot, "left").select("ord", "k1", "k2", "run", "i", "hash", "s", "e", "f", "words", "again", "first"), "line-marks")
+    runs = staged(runs_of(found, marks), "line-runs")
     start = F.col("units")[0]["s"]
     bodies = runs.select(F.explode(F.transform("units", lambda u: F.struct(u["hash"].alias("hash"), F.substring("body", u["s"] - start + 1, u["e"] - u["s"]).alias("text")))).alias("u")).select("u.*")
-    bad = bodies.distinct().groupBy("hash").count().filter("count > 1").select("hash")
-    bad = [r["hash"] for r in bad.collect()]  # two texts with one 64-bit hash: about n^2 / 2^65 of n units
-    own = F.min("unit").over(Window.partitionBy("__k1", "__k2", "hash"))
-    later = units.join(kinds, "hash").withColumn("own", own).filter("ord > first or again and unit > own").select("__k1", "__k2", "unit", "hash", "s", "e", "f", "words")
-    later = (later.filter(~F.col("hash").isin(bad)) if bad else later).drop("hash")
+    unlike = staged(bodies.distinct().groupBy("hash").count().filter("count > 1").select("hash"), "line-unlike")  # two texts with one 64-bit hash: next to none
+    later = marks.filter("first is not null and (ord > first or again)")
+    later = (later if unlike.isEmpty() else later.join(unlike, "hash", "left_anti")).select("k1", "k2", (F.col("run") + F.col("i")).alias("unit"), "s", "e", "f", "words")
 
     def grown(side):
         edge = F.element_at("units", 1 if side == "left" else -1)
-        ends = runs.filter(F.octet_length(side) > 0).select("ord", "__k1", "__k2", (F.col("unit") + (0 if side == "left" else F.size("units") - 1)).cast("int").alias("unit"), edge["hash"].alias("hash"), side)
-        first = ends.groupBy("hash").agg(F.min_by(side, F.struct("ord", "__k1", "unit")).alias(f"first_{side}"), F.min("ord").alias("q"), F.max("ord").alias("z")).filter("z > q").drop("z")
-        return ends.join(first, "hash").filter("ord > q").select("__k1", "__k2", "unit", _grown(side).alias(f"g_{side}")).filter(F.col(f"g_{side}.bytes") > 0)
+        ends = runs.filter(F.octet_length(side) > 0).select("ord", "k1", "k2", (F.col("run") + (0 if side == "left" else F.size("units") - 1)).cast("int").alias("unit"), edge["hash"].alias("hash"), side)
+        firsts = ends.groupBy("hash").agg(F.min_by(side, F.struct("ord", "k1", "unit")).alias(f"first_{side}"), F.min("ord").alias("q"), F.max("ord").alias("z"), F.count("*").alias("n")).filter("z > q").select("hash", f"first_{side}", "q", "n")
+        firsts = staged(firsts, "line-ends")
+        hot = hot_keys(firsts, "hash", firsts.agg(F.sum("n")).first()[0] or 0)
+        return split_join(ends, firsts.drop("n"), "hash", hot).filter("ord > q").select("k1", "k2", "unit", _grown(side).alias("g")).filter("g.bytes > 0")
 
     names = ("kind", "unit", "s", "e", "f", "words")
-    rows = later.select("__k1", "__k2", F.lit(0).alias("kind"), *names[1:])
+    rows = later.select("k1", "k2", F.lit(0).alias("kind"), *names[1:])
     for kind, side in enumerate(("left", "right"), start=1):
-        rows = rows.unionByName(grown(side).select("__k1", "__k2", F.lit(kind).alias("kind"), "unit", F.col(f"g_{side}.bytes").alias("s"), F.col(f"g_{side}.words").alias("e"), F.lit(0).alias("f"), F.lit(0).alias("words")))
-    lists = rows.groupBy("__k1", "__k2").agg(F.collect_list(F.struct(*names)).alias("rows"))
+        rows = rows.unionByName(grown(side).select("k1", "k2", F.lit(kind).alias("kind"), "unit", F.col("g.bytes").alias("s"), F.col("g.words").alias("e"), F.lit(0).alias("f"), F.lit(0).alias("words")))
+    lists = rows.groupBy("k1", "k2").agg(F.collect_list(F.struct(*names)).alias("rows"))
     found_kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 
     def cut(batches):
@@ -348,15 +390,15 @@ def removals(docs: DataFrame, window: int, least: int, seed: int, filter_bits: i
             flat = column.flatten()
             fields = list(zip(*(flat.field(i).to_pylist() for i in range(len(names))), strict=True))
             cuts = (np.asarray(column.offsets) - np.asarray(column.offsets)[0]).tolist()
-            gone = [[{"s": s, "e": e} for s, e in ranges_of(assembled(fields[x:y]), least)] for x, y in zip(cuts, cuts[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([b.column("__k1"), b.column("__k2"), pa.array(gone, found_kind)], ["__k1", "__k2", "gone"])
+            gone = [[{"s": s, "e": e} for s, e in ranges_of(assembled(fields[x:y]), least, seed)] for x, y in pairwise(cuts)]
+            yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), pa.array(gone, found_kind)], ["k1", "k2", "gone"])
 
-    return lists.mapInArrow(cut, "__k1 long, __k2 long, gone array<struct<s:int,e:int>>").filter(F.size("gone") > 0)
+    return lists.mapInArrow(cut, "k1 long, k2 long, gone array<struct<s:int,e:int>>").filter(F.size("gone") > 0)
 
 
 def assembled(rows: list[tuple]) -> list[tuple]:
-    """rows: (0, unit, s, e, f, words) of a unit that goes, (1 or 2, unit, bytes, words, ..) of what it grows by to the left or right.
-    The units with their growth. Equal rows, of equal documents, count once."""
+    """rows: (0, unit, s, e, f, words) of a chunk that goes, (1 or 2, unit, bytes, words, ..) of what it grows by to the left or right.
+    The chunks with their growth. Equal rows, of equal documents, count once."""
     grow = ({}, {}, {})
     for r in rows:
         grow[r[0]][r[1]] = r[1:] if r[0] == 0 else r[2:4]
@@ -371,33 +413,45 @@ def without(text, gone) -> Column:
     return F.array_join(F.transform(kept, lambda r: F.decode(F.substring(raw, r["s"] + 1, r["e"] - r["s"]), "UTF-8")), "")
 
 
-def dedup_lines(docs: DataFrame, window: int = WINDOW, least: int = LEAST, seed: int = SEED, filter_bits: int = 1 << 26) -> DataFrame:
-    """docs with text shortened, in their own columns, and __gone, the byte ranges removed (null: none)."""
+def shortened(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame:
+    """row (a struct of all columns but text), text as it is left, gone (the byte ranges removed; null: none)."""
     small_batches(docs.sparkSession)
-    keyed = with_doc_key(docs.withColumn("text", F.col("text").cast("string")))
-    gone = staged(removals(keyed.select("doc_id", "text", "__k1", "__k2"), window, least, seed, filter_bits), "line-removals").withColumnRenamed("gone", "__gone")
-    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(gone.select("__k1"), filter_bits))
+    text = F.col("text").cast("string")
+    keyed = docs.select(packed(docs, "text"), text.alias("text"), *doc_keys(F.col("doc_id"), text))
+    order = order_of(F.col("row.doc_id"), docs.schema["doc_id"].dataType.typeName(), F.col("k1"))
+    gone = staged(removals(keyed.select(order.alias("ord"), "k1", "k2", "text"), least, seed), "line-removals")
+    shared = docs.sparkSession.sparkContext.broadcast(bloom_filter(gone.select("k1")))
 
     @F.pandas_udf("boolean")
     def may_lose(k: pd.Series) -> pd.Series:
         return pd.Series(passes(shared.value, k.to_numpy().astype(np.int64)))
 
-    marked = keyed.withColumn("__may", may_lose("__k1"))
-    same = marked.filter(~F.col("__may")).withColumn("__gone", F.lit(None).cast("array<struct<s:int,e:int>>"))
-    cut = marked.filter("__may").join(gone, ["__k1", "__k2"], "left").withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(without(F.col("text"), F.col("__gone"))))
-    return same.select(*docs.columns, "__gone").unionByName(cut.select(*docs.columns, "__gone"))
+    marked = keyed.withColumn("may", may_lose("k1"))
+    same = marked.filter(~F.col("may")).select("row", "text", F.lit(None).cast("array<struct<s:int,e:int>>").alias("gone"))
+    cut = marked.filter("may").join(gone, ["k1", "k2"], "left").select("row", F.when(F.col("gone").isNull(), F.col("text")).otherwise(without(F.col("text"), F.col("gone"))).alias("text"), "gone")
+    return same.unionByName(cut)
+
+
+def dedup_lines(docs: DataFrame, **options) -> DataFrame:
+    """docs with text shortened, in their own columns."""
+    return shortened(docs, **options).select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def keep_rest(docs: DataFrame, **options) -> DataFrame:
-    """docs without their repeated chunks, in their own columns; n_chars, if there, follows. Rows of which nothing is left go."""
-    out = dedup_lines(docs, **options).filter("__gone is null or trim(text) <> ''")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    """docs without their repeated chunks, in their own columns; n_chars, if there, follows. Rows of which nothing but white space is left go."""
+    out = shortened(docs, **options).filter(F.col("gone").isNull() | F.col("text").rlike(r"[^\x09-\x0D\x20]"))
+
+    def column(c):
+        if c == "text":
+            return F.col("text")
+        own = F.col("row").getField(c)
+        return (F.when(F.col("gone").isNull(), own).otherwise(F.length("text")).cast(docs.schema[c].dataType) if c == "n_chars" else own).alias(c)
+
+    return out.select(*map(column, docs.columns))
 
 
 def query(docs: DataFrame) -> DataFrame:
     """doc_id, n_removed (ranges), removed (start:end in bytes of UTF-8, joined), text_sha256 (of what is left)."""
-    found = dedup_lines(docs.select("doc_id", "text"))
-    shown = F.array_join(F.transform("__gone", lambda g: F.concat_ws(":", g["s"].cast("string"), g["e"].cast("string"))), ",")
-    return found.select("doc_id", F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(shown, F.lit("")).alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    found = shortened(docs.select("doc_id", "text"))
+    shown = F.array_join(F.transform("gone", lambda g: F.concat_ws(":", g["s"].cast("string"), g["e"].cast("string"))), ",")
+    return found.select("row.doc_id", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(shown, F.lit("")).alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))

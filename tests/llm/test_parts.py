@@ -7,9 +7,11 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from millrace.llm import ann, components, decontaminate, langid, linededup, lm, mixing, pii, simhash, tokencount, warc
+from millrace.llm import ann, common, components, decontaminate, langid, linededup, lm, mixing, pii, simhash, tokencount, warc
 from millrace.llm.common import put_file, work_dir
 
+from . import plain
+
 
 def test_checksums():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
@@ -232,47 +234,60 @@ def test_phrases_and_proximity(spark):
     assert near == {0: ["7"], 1: ["7"], 2: ["7"], 3: [], 4: ["7"]}
 
 
-def test_units_cover_a_text_and_survive_shifts():
+def test_chunks_cover_a_text_and_survive_shifts():
     rng = random.Random(9)
     words = [f"w{rng.randrange(500)}" for _ in range(400)]
-    texts = [" ".join(words).encode(), ("new first words here\n" + "  ".join(words[7:])).encode(), b"", b" \n ", b"one", "é\tü\r\nß".encode()]
-    u = linededup.Units(texts)
+    texts = [" ".join(words).encode(), ("new first words here\n" + "  ".join(words[7:])).encode(), ("new first words here " + " ".join(words[7:])).encode(), b"", b" \n ", b"one", "é\tü\r\nß 日本 x".encode()]
+    c = linededup.Chunks(texts)
     for d, t in enumerate(texts):
-        at = u.doc == d
-        assert int(u.words[at].sum()) == len(t.split())
-        assert b" ".join(t[a:b] for a, b in zip(u.begin[at], u.end[at], strict=True)).split() == t.split()
-        assert u.next[at].tolist() == u.begin[at][1:].tolist() + ([len(t)] if at.any() else [])
-    a, b = set(u.hash[u.doc == 0].tolist()), set(u.hash[u.doc == 1].tolist())
-    assert len(a) > 20 and len(a & b) >= len(a) - 6
-    assert linededup.Units([]).hash.tolist() == []
+        at = c.doc == d
+        assert int(c.words[at].sum()) == len(plain.words(t.decode()))
+        assert b" ".join(t[a:b] for a, b in zip(c.begin[at], c.end[at], strict=True)).split() == t.split()
+        assert c.next[at].tolist() == c.begin[at][1:].tolist() + ([len(t)] if at.any() else [])
+    a, b, e = (set(c.hash[c.doc == k].tolist()) for k in range(3))
+    assert len(a) > 30 and len(a & e) >= len(a) - 4 and not a & b  # other white space makes other chunks
+    assert linededup.Chunks([]).hash.tolist() == []
+    assert int(np.median(c.words)) >= 6
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.integers(0, 10_000), st.integers(38, 90), st.integers(0, 40), st.integers(0, 40))
-def test_a_shared_passage_holds_a_shared_unit(seed, size, before, after):
-    rng = random.Random(seed)
+@given(st.text(alphabet="ab \n日é", max_size=120))
+def test_chunks_equal_a_plain_version(text):
+    c, want = linededup.Chunks([text.encode()]), plain.chunks(text)
+    assert [(int(h), int(a), int(b)) for h, a, b in zip(c.hash, c.first, c.last, strict=True)] == want
 
-    def some(n):
-        return [f"w{rng.randrange(300)}" for _ in range(n)]
 
-    passage = some(size)
-    u = linededup.Units([" ".join(some(before) + passage + some(after)).encode(), " ".join(some(after) + passage + some(before)).encode()])
-    assert set(u.hash[u.doc == 0].tolist()) & set(u.hash[u.doc == 1].tolist())
+def test_chunks_of_a_text_beyond_the_table_of_powers():
+    text = " ".join(f"word{i % 977}" for i in range(50_000)) + " " + "x" * 300_000
+    c, part = linededup.Chunks([text.encode()]), linededup.Chunks([text[:100_000].encode()])
+    assert len(text) > linededup.TABLE and c.hash[: len(part.hash) - 3].tolist() == part.hash[:-3].tolist()
 
 
 def test_growth_stops_at_whole_words():
-    assert linededup.shared_end(b"xab cd ", b"yab cd ") == 3 and linededup.shared_end(b"ab cd ", b"ab cd ") == 6 and linededup.shared_end(b"a", b"b") == 0 and linededup.shared_end(b"x ab ", b"ab ") == 3
-    assert linededup.shared_start(b" ab cdx", b" ab cdy") == 3 and linededup.shared_start(b" ab", b" ab q") == 3 and linededup.shared_start(b"", b"x") == 0
+    assert linededup.shared_end(b"xab cd ", b"yab cd ") == (3, 1) and linededup.shared_end(b"ab cd ", b"ab cd ") == (6, 2) and linededup.shared_end(b"a", b"b") == (0, 0) and linededup.shared_end(b"x ab ", b"ab ") == (3, 1)
+    assert linededup.shared_start(b" ab cdx", b" ab cdy") == (3, 1) and linededup.shared_start(b" ab", b" ab q") == (3, 1) and linededup.shared_start(b"", b"x") == (0, 0)
+    assert linededup.shared_start("本語x".encode(), "本語y".encode()) == (6, 2) and linededup.shared_end("é ".encode(), "è ".encode()) == (0, 0)
 
 
 def test_a_hash_with_two_texts_removes_nothing(spark, monkeypatch):
-    docs = spark.createDataFrame([(0, "a b c"), (1, "a b c")], "doc_id long, text string")
-    keyed = linededup.with_doc_key(docs)
-    rows = [(k, k, k, 0, [(h, 0, 3, 9, 30, False)], bytearray(text), bytearray(b""), bytearray(b"")) for k, h, text in ((1, 5, b"one"), (2, 5, b"two"), (3, 6, b"xyz"), (4, 6, b"xyz"))]
-    made = spark.createDataFrame(rows, linededup.RUNS)
-    monkeypatch.setattr(linededup, "chunks_of", lambda *a: made)
-    got = linededup.removals(keyed, linededup.WINDOW, 24, 12, 1 << 20).collect()
-    assert [(r["__k1"], [tuple(g) for g in r.gone]) for r in got] == [(4, [(0, 9)])]
+    def one(texts):
+        c = linededup_chunks(texts)
+        c.hash = np.minimum(c.hash, 5)  # all chunks have one hash
+        return c
+
+    linededup_chunks = linededup.Chunks
+    docs = spark.createDataFrame([(k, k, k, " ".join(f"w{i % (20 + k)}" for i in range(60))) for k in range(4)], "ord long, k1 long, k2 long, text string").coalesce(1)
+    assert linededup.removals(docs.withColumn("text", linededup.F.lit("a b c d e f g h " * 30)), 20, 10).count() == 4
+    repeated = spark.createDataFrame([(5, 100, 0)], "hash long, n long, first long")
+    monkeypatch.setattr(linededup, "repeated_hashes", lambda texts: repeated)
+    found = linededup.candidates
+
+    def collide(texts, bitmap, seed):
+        rows = found(texts, np.full(1 << 16, 255, np.uint8), seed)
+        return rows.withColumn("units", linededup.F.transform("units", lambda u: u.withField("hash", linededup.F.lit(5).cast("long"))))
+
+    monkeypatch.setattr(linededup, "candidates", collide)
+    assert linededup.removals(docs, 20, 10).collect() == []
 
 
 def test_ids_that_are_no_integers(spark):
@@ -306,14 +321,6 @@ def test_taken_words_come_near_the_target(spark):
     assert len(got) == 3 and all(abs(r["sum(taken)"] - r.target) <= 900 + 0.01 * r.target for r in got)
 
 
-def test_growth_takes_long_words_whole(spark):
-    rng = random.Random(11)
-    passage = " ".join("".join(rng.choice("жщюяфэ") for _ in range(rng.randrange(12, 40))) for _ in range(70))
-    docs = [(k, f"{own} " * 5 + passage + f" {own}" * 5) for k, own in enumerate(("ab", "cd", "efg"))]
-    out = {r.doc_id: r.text.split() for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert out == {0: docs[0][1].split(), 1: ["cd"] * 10, 2: ["efg"] * 10}
-
-
 def test_the_filter_s_fill_changes_no_result(spark, monkeypatch):
     rng = random.Random(12)
 
@@ -324,10 +331,21 @@ def test_the_filter_s_fill_changes_no_result(spark, monkeypatch):
     docs = spark.createDataFrame([(k, " ".join(some(70) + passage + some(70) + some(5) * 2)) for k in range(12)], "doc_id long, text string")
     want = sorted(tuple(r) for r in linededup.query(docs).collect())
     assert sum(r[1] for r in want) >= 11
-    monkeypatch.setattr(linededup, "bit_filter", lambda keys, bits: np.full(bits // 8, 255, np.uint8))
+    monkeypatch.setattr(linededup, "bloom_filter", lambda keys: np.full(1 << 16, 255, np.uint8))
+    assert sorted(tuple(r) for r in linededup.query(docs).collect()) == want
+    monkeypatch.setattr(linededup, "hot_keys", lambda counts, key, total: [r[0] for r in counts.select(key).limit(7).collect()])
     assert sorted(tuple(r) for r in linededup.query(docs).collect()) == want
 
 
+def test_a_bloom_filter_holds_its_keys(spark):
+    rng = np.random.default_rng(4)
+    keys = rng.integers(-(1 << 62), 1 << 62, 20_000)
+    bitmap = common.bloom_filter(spark.createDataFrame([(int(k),) for k in keys], "k long"))
+    assert common.passes(bitmap, keys).all()
+    assert common.passes(bitmap, rng.integers(-(1 << 62), 1 << 62, 20_000)).mean() < 0.02
+    assert not common.passes(common.bloom_filter(spark.createDataFrame([], "k long")), keys).any()
+
+
 def test_a_scored_subword_sees_sixteen_before_it():
     rng = np.random.default_rng(7)
     m = lm.Attention(96)

@@ -8,7 +8,7 @@ from millrace.llm import decontaminate, langid, simhash
 from millrace.llm.common import staged
 from pyspark.sql import functions as F
 
-from .test_queries import cut, plain_dedup
+from . import plain as plainly
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -16,11 +16,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def plain(docs, items, identified):
     """docs: dicts in doc_id order. What is left after stages 1 to 4."""
     docs = [d for d in docs if identified[d["doc_id"]]]
-    gone = plain_dedup([(d["doc_id"], d["text"]) for d in docs])
+    gone = plainly.dedup([(d["doc_id"], d["text"]) for d in docs])
     kept = []
     for d in docs:
         ranges = gone[False, d["doc_id"], d["text"]]
-        text = cut(d["text"], ranges)
+        text = plainly.cut(d["text"], ranges)
         if not ranges or text.strip():
             kept.append(d | {"text": text})
     reps = []
