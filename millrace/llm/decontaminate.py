@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged, with_doc_key
+from .common import doc_keys, packed, small_batches, staged, unpacked
 
 WINDOW = 10
 _TABLE = bytes(32 if c <= 0x2F or 0x3A <= c <= 0x40 or 0x5B <= c <= 0x60 or 0x7B <= c <= 0x7F else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -258,9 +258,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, span:
 
 def keep_clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows without a hit, in their own columns."""
-    keyed = with_doc_key(docs).withColumn("__key", F.concat_ws(":", "__k1", "__k2"))
-    hit = contamination(keyed.select(F.col("__key").alias("doc_id"), "text"), items, **options).filter("n_hit > 0").select(F.col("doc_id").alias("__key"))
-    return keyed.join(hit, "__key", "left_anti").select(*docs.columns)
+    keyed = docs.select(packed(docs), "text", F.struct(*doc_keys(F.col("doc_id"), F.col("text"))).alias("key"))
+    hit = contamination(keyed.select(F.col("key").alias("doc_id"), "text"), items, **options).filter("n_hit > 0").select(F.col("doc_id").alias("key"))
+    return keyed.join(hit, "key", "left_anti").select(*unpacked(docs))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gathered, highest, small_batches, staged, tokenizer_dir
+from .common import gathered, highest, packed, small_batches, staged, tokenizer_dir, unpacked
 
 STRETCH = 40
 LONGEST = 16
@@ -248,6 +248,5 @@ def query(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     """The rows whose language is identified with at least min_score, in their own columns, whatever their names."""
-    packed = docs.select(F.struct(*docs.columns).alias("__row"), "text")
-    found = identify(packed, fit(docs), keep=["__row"]).filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
-    return found.select(*[F.col("__row")[c].alias(c) for c in docs.columns])
+    found = identify(docs.select(packed(docs), "text"), fit(docs), keep=["row"]).filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
+    return found.select(*unpacked(docs))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import doc_keys, packed, staged, unpacked
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -69,12 +69,12 @@ def mix(docs: DataFrame, weights=(1, 2, 3), max_epochs: int = 3, seed: int = 17,
 
 
 def emit(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row once for each copy taken, with mix_copy (from 1), mix_size and mix_target (its source's)."""
-    keyed = docs.withColumns({"__k1": F.xxhash64("doc_id", "text", "source"), "__k2": F.xxhash64(F.lit(7), "source", "text", "doc_id")})
-    taken = mix(keyed, keep=["__k1", "__k2"], **options).groupBy("__k1", "__k2").agg(F.sum("copies").alias("__n"), F.first("size").alias("mix_size"), F.first("target").alias("mix_target")).filter("__n > 0")
-    rows = keyed.dropDuplicates(["__k1", "__k2"]).drop(*({"mix_size", "mix_target", "mix_copy"} & set(docs.columns)))
-    own = [c for c in docs.columns if c not in ("mix_size", "mix_target", "mix_copy")]
-    return rows.join(taken, ["__k1", "__k2"]).select(*own, "mix_size", "mix_target", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))).alias("mix_copy"))
+    """The mix itself: each row once for each copy taken, with mix_copy (from 1), mix_size and mix_target (its source's); columns of
+    docs that have these names go."""
+    keyed = docs.select(packed(docs, "mix_size", "mix_target", "mix_copy"), "doc_id", "text", "source", *doc_keys(F.col("doc_id"), F.col("text"), F.col("source")))
+    taken = mix(keyed, keep=["k1", "k2"], **options).groupBy("k1", "k2").agg(F.sum("copies").alias("n"), F.first("size").alias("mix_size"), F.first("target").alias("mix_target")).filter("n > 0")
+    own = unpacked(docs.drop("mix_size", "mix_target", "mix_copy"))
+    return keyed.dropDuplicates(["k1", "k2"]).join(taken, ["k1", "k2"]).select(*own, "mix_size", "mix_target", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("mix_copy"))
 
 
 SQL = r"""

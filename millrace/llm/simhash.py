@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged, with_doc_key
+from .common import doc_keys, packed, small_batches, staged, unpacked
 from .components import components
 
 SHINGLE, SEED, BITS = 4, 42, 64
@@ -239,14 +239,11 @@ def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
 
 def keep_one(docs: DataFrame, radius: int = 4) -> DataFrame:
     """Of each component the row with the smallest doc_id (null ids last), in its own columns; of equal rows one."""
-    keyed = with_doc_key(docs)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    packed = keyed.select(F.struct("doc_id", "__k1", "__k2").alias("doc_id"), "text")
-    prints = staged(fingerprints(packed).select("doc_id.doc_id", "doc_id.__k1", "doc_id.__k2", "fp"), "simhash")
-    assert prints.schema["doc_id"].dataType.simpleString() == id_type
-    place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "__k1", "__k2")
+    keyed = docs.select(packed(docs), "doc_id", "text", *doc_keys(F.col("doc_id"), F.col("text")))
+    prints = staged(fingerprints(keyed.select(F.struct("doc_id", "k1", "k2").alias("doc_id"), "text")).select("doc_id.*", "fp"), "simhash")
+    place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "k1", "k2")
     firsts = prints.groupBy("fp").agg(F.min(place).alias("first")).join(component_roots(prints, radius), "fp").groupBy("root").agg(F.min("first").alias("first"))
-    return keyed.join(firsts.select("first.__k1", "first.__k2"), ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).select(*docs.columns)
+    return keyed.join(firsts.select("first.k1", "first.k2"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select(*unpacked(docs))
 
 
 def digest(found: DataFrame) -> DataFrame:
