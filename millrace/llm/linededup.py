@@ -262,7 +262,7 @@ def without_false(x: dict, false: set[int]):
     units, body = x["units"], x["body"]
     real = [i for i in range(len(units)) if i not in false]
     opens = [k for k in range(len(real)) if not k or real[k] != real[k - 1] + 1]
-    for a, z in zip(opens, [*opens[1:], len(real)], strict=True):
+    for a, z in pairwise([*opens, len(real)] if real else []):
         part = units[real[a] : real[z - 1] + 1]
         s, e = part[0]["s"] - units[0]["s"], part[-1]["e"] - units[0]["s"]
         yield x | {"run": x["run"] + real[a], "units": part, "body": body[s:e], "left": x["left"] + body[:s], "right": body[e:] + x["right"]}

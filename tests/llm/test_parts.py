@@ -328,7 +328,7 @@ def test_the_filter_s_fill_changes_no_result(spark, monkeypatch):
         return [f"w{rng.randrange(5000)}" for _ in range(n)]
 
     passage = some(60)
-    docs = spark.createDataFrame([(k, " ".join(some(70) + passage + some(70) + some(5) * 2)) for k in range(12)], "doc_id long, text string")
+    docs = spark.createDataFrame([(k, " ".join(some(70) + passage + some(70) + some(5) * 2)) for k in range(12)] + [(99, " ".join(some(50)))], "doc_id long, text string")
     want = sorted(tuple(r) for r in linededup.query(docs).collect())
     assert sum(r[1] for r in want) >= 11
     monkeypatch.setattr(linededup, "bloom_filter", lambda keys: np.full(1 << 16, 255, np.uint8))
