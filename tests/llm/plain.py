@@ -145,3 +145,45 @@ def cut(text, ranges):
     for s, e in ranges:
         out, at = out + raw[at:s], e
     return (out + raw[at:]).decode()
+
+
+def class_logs(p, hop, classes, rows, kinds, i):
+    """log P of each class at position i of a text: one attention head over the positions from hop before i's block on. p: parameters."""
+    import math
+
+    d = len(p["q"])
+    block = i // hop * hop
+
+    def embedded(at):
+        return p["e"][rows[at - 1]] if at else p["e"][len(p["e"]) - 1]
+
+    q = embedded(i) @ p["q"] / math.sqrt(d)
+    seen = list(range(max(0, block - hop), i + 1))
+    scores = [min(float(q @ (embedded(j) @ p["k"])), 50.0) + min(float(p["rel"][i - j]), 20.0) for j in seen]
+    top = max(scores)
+    weights = [math.exp(s - top) for s in scores]
+    mixed = sum(w / sum(weights) * (embedded(j) @ p["v"]) for w, j in zip(weights, seen, strict=True))
+    logits = mixed @ p["o"] + p["skip"][kinds[i - 1] if i else classes]
+    top = max(logits.tolist())
+    total = sum(math.exp(x - top) for x in logits.tolist())
+    return [x - top - math.log(total) for x in logits.tolist()]
+
+
+def spelt(p, hop, classes, row_of, class_of, log_piece, begins, words):
+    """log P of each word (a list of subwords; the last is the end) of a text given those before it."""
+    import math
+
+    flat = [z for w in words for z in w]
+    rows, kinds = [int(row_of[z]) for z in flat], [int(class_of[z]) for z in flat]
+    first_kinds = {int(class_of[z]) for z in range(len(class_of)) if begins[z]}
+    own, opening = [], []
+    for i, z in enumerate(flat):
+        logs = class_logs(p, hop, classes, rows, kinds, i)
+        own.append(logs[kinds[i]] + float(log_piece[z]))
+        opening.append(math.log(sum(math.exp(logs[k]) for k in first_kinds)))
+    out, at = [], 0
+    for k, w in enumerate(words):
+        after = opening[at + len(w)] if k + 1 < len(words) else 0.0
+        out.append(sum(own[at : at + len(w)]) - opening[at] + after)
+        at += len(w)
+    return out

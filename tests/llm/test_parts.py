@@ -185,43 +185,132 @@ def test_forward_sums_every_segmentation():
     assert (into[:6] @ np.ones(2) * np.array([1, 1, 1, 2, 2, 2])).sum() == pytest.approx(3 * 2 + 4 * 1 + 2 * 3 - 3)  # characters, the unknown's aside
 
 
+def some_windows(rng, n, classes, rows):
+    z = rng.integers(0, rows, n)
+    return lm.Inputs(z, np.array([n]), np.arange(rows, dtype=np.int32), (np.arange(rows) % classes).astype(np.int32), (rows, classes))
+
+
 def test_attention_gradient():
     rng = np.random.default_rng(5)
-    m = lm.Attention(7, dim=5, seed=1)
+    m = lm.Attention(7, 11, dim=5, seed=1)
     m.flat = m.flat.astype(np.float64)
-    ids, target = rng.integers(0, 8, (3, 2 * lm.HOP)).astype(np.int32), rng.integers(0, 7, (3, lm.HOP)).astype(np.int32)
-    there = rng.random((3, lm.HOP)) < 0.8
-    ids[0, :4] = 8  # before the text
-    loss, g = m.gradient(ids, target, there)
-    assert loss == pytest.approx(-float((m.log_prob(ids, target) * there).sum()) / there.sum(), rel=1e-4)
-    for k in rng.choice(len(m.flat), 40, replace=False):
+    x = some_windows(rng, 5 * lm.HOP - 4, 7, 11)
+    ids, opens, last, target, there = x.some(slice(None))
+    loss, g, rows = m.gradient(ids, opens, last, target, there)
+    assert loss == pytest.approx(-float((m.log_prob(ids, opens, last, target, np.ones(7, np.float32))[0] * there).sum()) / there.sum(), rel=1e-4)
+    flat = np.zeros_like(m.flat)
+    for name, view in m.views(flat).items():
+        view[rows if name == "e" else ...] = g[name]
+    for k in rng.choice(len(m.flat), 60, replace=False):
         old, step = m.flat[k], 1e-3
         m.flat[k] = old + step
-        up = m.gradient(ids, target, there)[0]
+        up = m.gradient(ids, opens, last, target, there)[0]
         m.flat[k] = old - step
-        down = m.gradient(ids, target, there)[0]
+        down = m.gradient(ids, opens, last, target, there)[0]
         m.flat[k] = old
-        assert (up - down) / (2 * step) == pytest.approx(g[k], abs=2e-3)
+        assert (up - down) / (2 * step) == pytest.approx(flat[k], abs=2e-3)
 
 
 def test_windows_score_each_token_once_and_causally():
-    seqs = [np.arange(n) % 5 for n in (1, lm.HOP, lm.HOP + 1, 5 * lm.HOP + 3)]
-    ids, target, there, of = lm.windows(seqs, 5)
-    assert [int(there[of == k].sum()) for k in range(4)] == [len(s) for s in seqs]
-    for k, s in enumerate(seqs):
-        assert target[of == k][there[of == k]].tolist() == s.tolist()
-    m = lm.Attention(5)
-    a = m.log_prob(ids, target)
-    later = ids.copy()
-    later[:, -1] = 0  # the last input is seen by the last query only
-    assert np.allclose(a[:, :-1], m.log_prob(later, target)[:, :-1])
+    lens = [1, lm.HOP, lm.HOP + 1, 5 * lm.HOP + 3]
+    z = np.concatenate([np.arange(n) % 5 for n in lens])
+    x = lm.Inputs(z, np.array(lens), np.arange(5, dtype=np.int32), np.arange(5, dtype=np.int32), (5, 5))
+    assert sorted(x.goal[x.there].tolist()) == list(range(len(z))) and (z[x.goal] == x.target)[x.there].all()
+    m, begins = lm.Attention(5, 5), np.ones(5, np.float32)
+    a = m.log_prob(x.ids, x.opens, x.last, x.target, begins)[0]
+    later, last = x.ids.copy(), x.last.copy()
+    later[:, -1] = last[:, -1] = 0  # the last input is seen by the last query only
+    assert np.allclose(a[:, :-1], m.log_prob(later, x.opens, last, x.target, begins)[0][:, :-1])
+    before = x.ids.copy()
+    before[x.opens, : lm.HOP] = 3  # what stands before a text isn't seen
+    assert np.array_equal(a, m.log_prob(before, x.opens, x.last, x.target, begins)[0])
+
+
+def test_a_scored_subword_sees_sixteen_before_it():
+    rng = np.random.default_rng(7)
+    m = lm.Attention(96, 200)
+    assert m.d == 24 and lm.HOP == 16
+    z, kinds = rng.integers(0, 200, 64), np.zeros(200, np.int32)
+    for k in range(17, 48):
+        other = z.copy()
+        other[k - 16] = (other[k - 16] + 1) % 200
+        x, y = (lm.Inputs(s, np.array([64]), np.arange(200, dtype=np.int32), kinds, (200, 96)) for s in (z, other))
+        a, b = (m.log_prob(w.ids, w.opens, w.last, w.target, np.ones(96, np.float32))[0].ravel()[k] for w in (x, y))
+        assert a != b
+
+
+@pytest.fixture(scope="module")
+def trained(spark):
+    """What a small corpus's model scores with: the speller, the counts of all words, N, the share of known words; texts and scores."""
+    rng, seen, score = random.Random(6), [], lm.score_texts
+    words = ["the", "of", "river", "unbelievable", "zxqj", "été", "日本", "Straße"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 60))) for _ in range(60)] + ["neverseen the words", "", "once"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(lm, "score_texts", lambda d, speller, hot, n, known, ranks: seen.append((speller, n, known)) or score(d, speller, hot, n, known, ranks))
+        got = {r.doc_id: r.score for r in lm.score_corpus(docs, lm.F.col("doc_id") == 60, hot=5).collect()}
+    return *seen[0], texts, got
+
+
+def test_scores_equal_a_plain_scorer(trained):
+    import collections
+    import math
+
+    speller, n, known, texts, got = trained
+    encode = lm.encoder(lm.rank_file())
+    p = {k: v.astype(np.float64) for k, v in speller.net.views(speller.net.flat).items()}
+    split = [[*t.lower().split(), ""] for t in texts]
+    counts = collections.Counter(w for k, t in enumerate(split) if k != 60 for w in t)
+    assert n == sum(counts.values()) and known == 1 - (sum(c == 1 for c in counts.values()) + 1) / (n + 2)
+    begins = lm.beginners(lm.rank_file())
+    for k in (0, 1, 7, 60, 61, 62):
+        pieces = [encode(b" " + w.encode()) if w else [lm.EOD] for w in split[k]]
+        want = plain.spelt(p, 16, speller.net.c, speller.row_of, speller.class_of, speller.log_piece, begins, pieces)
+        want = sum(math.log10((1 - known) * math.exp(x) + known * counts[w] / n) for x, w in zip(want, split[k], strict=True))
+        assert got[k] == pytest.approx(want, rel=1e-4)
+
+
+def test_what_may_come_next_sums_to_one(trained):
+    speller, n, known, texts, _ = trained
+    begins = lm.beginners(lm.rank_file())
+    assert all(len(set(begins[speller.class_of == k].tolist())) == 1 for k in range(speller.net.c))  # so one softmax says whether a word ends
+    encode = lm.encoder(lm.rank_file())
+    for text in (b"", b" the", b" unbelievable zx", b" of" * 30, b" zxqj river"):  # a text's beginning, inside and at the end of words, far on
+        before = np.array([z for w in text.split() for z in encode(b" " + w)], np.int64)
+        x = lm.Inputs(np.append(before, 0), np.array([len(before) + 1]), speller.row_of, speller.class_of, (speller.net.rows, speller.net.c))
+        i = len(before)
+        ids, opens, last, _, _ = (v[i // lm.HOP : i // lm.HOP + 1] for v in x.some(slice(None)))
+        total, ending, first = 0.0, 0.0, None
+        for k in range(speller.net.c):
+            lp, ends = (v[0, i % lm.HOP] for v in speller.net.log_prob(ids, opens, last, np.full((1, lm.HOP), k, np.int32), speller.begins))
+            mass = np.exp(np.float64(lp)) * np.exp(speller.log_piece[speller.class_of == k].astype(np.float64)).sum()
+            total, first = total + mass, np.exp(np.float64(ends))
+            ending += mass * speller.begins[k]
+        assert total == pytest.approx(1, abs=1e-4)  # over all subwords
+        assert ending == pytest.approx(first, rel=1e-3)  # over those that begin a word, what the word before is multiplied by and the next divided
+    assert 0 < known < 1  # and words by counts (adding up to one) and by spelling are mixed with known and 1 - known
+
+
+def test_held_out_words_that_are_known_beat_unigrams(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = lm.score_corpus(docs).filter("held_out and n_known = n_tokens").agg({"score": "sum", "base_score": "sum"}).first()
+    assert got["sum(score)"] > got["sum(base_score)"]
+
 
+def test_the_language_model_learns_from_every_subword(spark, monkeypatch):
+    seen, learn = [], lm.train_attention
 
-def test_class_probabilities_sum_to_one():
-    rng = np.random.default_rng(6)
-    totals = rng.integers(0, 50, lm.PIECES)
-    classes, log_piece = lm.classes_of(totals, rng.integers(0, 3, (lm.COMMON, lm.CONTEXTS + 1)).astype(float), 64, 3)
-    assert np.allclose(np.bincount(classes, np.exp(log_piece), 64), 1)
+    def spy(taken, class_of, row_of, pairs, *a, **options):
+        seen.append((pairs.sum(), sum(len(r.pieces) for r in taken.collect())))
+        return learn(taken, class_of, row_of, pairs, *a, **options)
+
+    monkeypatch.setattr(lm, "train_attention", spy)
+    texts = [" ".join(f"w{i % 7}" for i in range(n)) for n in (0, 5, 100, 900)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert lm.score_corpus(docs, lm.F.lit(False)).count() == 4
+    encode = lm.encoder(lm.rank_file(None))
+    n = sum(len(lm.pieces_of(encode, w)) for t in texts for w in [*lm.words_of(t), b""])
+    assert seen == [(n, 2 * (n + len(texts)))]  # 16 bits each, and one for each text's beginning
 
 
 def test_phrases_and_proximity(spark):
@@ -344,33 +433,3 @@ def test_a_bloom_filter_holds_its_keys(spark):
     assert common.passes(bitmap, keys).all()
     assert common.passes(bitmap, rng.integers(-(1 << 62), 1 << 62, 20_000)).mean() < 0.02
     assert not common.passes(common.bloom_filter(spark.createDataFrame([], "k long")), keys).any()
-
-
-def test_a_scored_subword_sees_sixteen_before_it():
-    rng = np.random.default_rng(7)
-    m = lm.Attention(96)
-    assert m.d == 24
-    seq = rng.integers(0, 96, 64)
-    for k in range(16, 48):
-        a = lm.windows([seq], 96)
-        other = seq.copy()
-        other[k - 16] = (other[k - 16] + 1) % 96
-        b = lm.windows([other], 96)
-        x, y = (m.log_prob(w[0], w[1]).ravel()[k] for w in (a, b))
-        assert x != y
-
-
-def test_the_language_model_learns_from_every_subword(spark, monkeypatch):
-    seen, learn = [], lm.train_attention
-
-    def spy(taken, class_of, classes, pairs, *a, **options):
-        seen.append((pairs.sum(), sum(len(r.pieces) for r in taken.collect())))
-        return learn(taken, class_of, classes, pairs, *a, **options)
-
-    monkeypatch.setattr(lm, "train_attention", spy)
-    texts = [" ".join(f"w{i % 7}" for i in range(n)) for n in (0, 5, 100, 900)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert lm.score_corpus(docs, lm.F.lit(False)).count() == 4
-    encode = lm.encoder(lm.rank_file(None))
-    n = sum(len(lm.pieces_of(encode, w)) for t in texts for w in [*lm.words_of(t), b""])
-    assert seen == [(n, 2 * (n + len(texts)))]  # 16 bits each, and one for each text's beginning

@@ -170,6 +170,8 @@ def test_lm_scores(spark, edge):
     # hot words by broadcast and all others by a join: the same with no hot words at all
     joined = lm.score_corpus(spark.read.parquet(f"{edge}/documents.parquet").withColumn("held_out", lm.F.lit(None)), hot=0).collect()
     assert bag((r.doc_id, r.n_known, round(r.base_score, 6)) for r in joined) == bag((r.doc_id, r.n_known, round(r.base_score, 6)) for r in got)
+    again = lm.score_corpus(spark.read.parquet(f"{edge}/documents.parquet")).collect()
+    assert sorted(r.score for r in again) == pytest.approx(sorted(r.score for r in got), rel=1e-3)
 
 
 def test_simhash(spark, edge):
