@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_keys, packed, small_batches, staged, unpacked
+from .common import doc_keys, hot_keys, packed, small_batches, split_join, staged, unpacked
 from .components import components
 
 SHINGLE, SEED, BITS = 4, 42, 64
@@ -222,19 +222,22 @@ def links(distinct: DataFrame, radius: int = 4, slice_rows: int = 8192, bands: l
     return rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long")
 
 
-def component_roots(prints: DataFrame, radius: int) -> DataFrame:
-    """prints: (fp, ...). fp, root of each distinct fingerprint."""
-    distinct = prints.select("fp").distinct()
-    roots = components(links(distinct, radius)).withColumnRenamed("node", "fp")
-    return distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+def component_roots(distinct: DataFrame, radius: int) -> DataFrame:
+    """distinct: (fp, first). fp, least: the smallest ``first`` of each fingerprint's component. A component that holds many
+    fingerprints is dealt over all partitions."""
+    roots = components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
+    rooted = staged(distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("n"))
+    return split_join(rooted.select("fp", "root"), least.select("root", "least"), "root", hot_keys(least, "root", rooted.count()), by=("fp",)).select("fp", "least")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
     """doc_id, fp, component_id."""
     prints = staged(fingerprints(docs), "simhash")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first")).join(component_roots(prints, radius), "fp")
-    ids = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(classes.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-distinct")
+    hot = hot_keys(distinct, "fp", prints.count())  # large groups of copies
+    least = component_roots(distinct.select("fp", "first"), radius).withColumnRenamed("least", "component_id")
+    return split_join(prints, least, "fp", hot, by=("doc_id",)).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = 4) -> DataFrame:
@@ -242,7 +245,9 @@ def keep_one(docs: DataFrame, radius: int = 4) -> DataFrame:
     keyed = docs.select(packed(docs), "doc_id", "text", *doc_keys(F.col("doc_id"), F.col("text")))
     prints = staged(fingerprints(keyed.select(F.struct("doc_id", "k1", "k2").alias("doc_id"), "text")).select("doc_id.*", "fp"), "simhash")
     place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "k1", "k2")
-    firsts = prints.groupBy("fp").agg(F.min(place).alias("first")).join(component_roots(prints, radius), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    distinct = staged(prints.groupBy("fp").agg(F.min(place).alias("first")), "simhash-distinct")
+    roots = components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
+    firsts = distinct.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
     return keyed.join(firsts.select("first.k1", "first.k2"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select(*unpacked(docs))
 
 
