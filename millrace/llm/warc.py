@@ -21,6 +21,7 @@ import hashlib
 import re
 import struct
 import uuid
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,11 +46,13 @@ def record_id(page_id, digest: str) -> str:
 def record(page_id, url: str | None, payload: bytes, refers_to=None) -> bytes:
     """One WARC/1.1 record; a revisit if refers_to is given."""
     digest = sha1_base32(payload)
-    target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else f"urn:page:{page_id}"
+    target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else f"urn:page:{quote(str(page_id), safe='')}"
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    head = {"WARC-Type": "response" if refers_to is None else "revisit", "WARC-Target-URI": target, "WARC-Date": DATE, "WARC-Record-ID": record_id(page_id, digest), "WARC-Payload-Digest": f"sha1:{digest}", "X-Page-ID": "" if page_id is None else str(page_id)}
+    head = {"WARC-Type": "response" if refers_to is None else "revisit", "WARC-Target-URI": target, "WARC-Date": DATE, "WARC-Record-ID": record_id(page_id, digest), "WARC-Payload-Digest": f"sha1:{digest}"}
+    if page_id is not None:
+        head["X-Page-ID"] = quote(str(page_id), safe="")
     if refers_to is not None:
-        head |= {"WARC-Profile": PROFILE, "WARC-Refers-To": record_id(refers_to, digest), "X-Refers-To-Page": str(refers_to)}
+        head |= {"WARC-Profile": PROFILE, "WARC-Refers-To": record_id(refers_to, digest), "X-Refers-To-Page": quote(str(refers_to), safe="")}
     block = http + (payload if refers_to is None else b"")
     head |= {"Content-Type": "application/http; msgtype=response", "Content-Length": str(len(block))}
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
@@ -184,10 +187,15 @@ def read_archive(bundles: DataFrame, id_type: str = "bigint", frames_a_task: int
                             length = int(re.search(rb"Content-Length: ([0-9]+)", http)[1])
                             if head["WARC-Type"] == "response" and (sha1_base32(payload) != digest or len(payload) != length):
                                 raise ValueError(f"{head['WARC-Record-ID']}: the payload doesn't match its digest")
-                            out.append((head["X-Page-ID"] or None, length, digest, head["WARC-Type"], head.get("X-Refers-To-Page")))
+                            ids = (None if (x := head.get(k)) is None else unquote(x) for k in ("X-Page-ID", "X-Refers-To-Page"))
+                            out.append((next(ids), length, digest, head["WARC-Type"], next(ids)))
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    runs = bundles.repartition("bundle").mapInArrow(frames, "bundle string, at long, packed array<long>, plain array<long>").repartition("bundle", "at")
+    spark = bundles.sparkSession
+    n, size = bundles.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    cores = spark.sparkContext.defaultParallelism  # a row stands for megabytes, so tasks are counted by the bundles' bytes
+    runs = bundles.repartition(max(1, min(n, 4 * cores + n // 64)), "bundle").mapInArrow(frames, "bundle string, at long, packed array<long>, plain array<long>")
+    runs = runs.repartition(int(max(1, size >> 26, min(4 * cores, size >> 20))), "bundle", "at")
     found = runs.mapInArrow(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
     return found.withColumns({"page_id": F.col("page_id").cast(id_type), "refers_to": F.col("refers_to").cast(id_type)})
 
