@@ -82,7 +82,10 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, eod: int
 def scan(files: DataFrame, eod: int = EOD, kind: str = "<u2", block: int = BLOCK) -> DataFrame:
     """files: (file, bytes). A row for each document: file, ordinal (from 0), n_tokens (without the separator)."""
     width = np.dtype(kind).itemsize
-    blocks = files.filter("bytes > 0").select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("bytes") - 1) / (block * width)))).alias("block")).repartition("file", "block")
+    files = files.filter("bytes > 0").withColumn("blocks", F.floor((F.col("bytes") - 1) / (block * width)) + 1)
+    n = files.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
+    cores = files.sparkSession.sparkContext.defaultParallelism  # a row stands for a block, so tasks are counted by blocks
+    blocks = files.select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")).repartition(int(max(1, n // 32, min(n, 4 * cores))), "file", "block")
 
     def run(batches):
         for b in batches:
@@ -93,25 +96,34 @@ def scan(files: DataFrame, eod: int = EOD, kind: str = "<u2", block: int = BLOCK
                     f.seek(k * block * width)
                     ids = np.frombuffer(f.read(min(block * width, size - k * block * width)), kind)
                 at = np.flatnonzero(ids == eod)
-                out.append((file, k, len(ids), len(at), int(at[0]) if len(at) else len(ids), len(ids) - int(at[-1]) - 1 if len(at) else len(ids), np.diff(at) - 1))
+                out.append((file, k, len(ids), len(at), int(at[0]) if len(at) else len(ids), len(ids) - int(at[-1]) - 1 if len(at) else len(ids), (k + 1) * block * width >= size, np.diff(at) - 1))
             cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), *[pa.array(c, pa.int64()) for c in cols[1:6]], pa.array(cols[6], pa.list_(pa.int64()))], ["file", "block", "n", "n_eod", "head", "tail", "inner"])
-
-    parts = blocks.mapInArrow(run, "file string, block long, n long, n_eod long, head long, tail long, inner array<long>")
-    return stitch(parts)
-
-
-def stitch(parts: DataFrame) -> DataFrame:
-    order = Window.partitionBy("file").orderBy("block")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0).cast("long")
-    parts = parts.withColumn("seen", F.coalesce(F.sum("n").over(before), zero)).withColumn("number", F.coalesce(F.sum("n_eod").over(before), zero))
-    parts = parts.withColumn("closed", F.coalesce(F.max(F.when(F.col("n_eod") > 0, F.col("seen") + F.col("n") - F.col("tail"))).over(before), zero))
-    parts = parts.withColumn("last", F.lead("block").over(order).isNull())
-    held = F.col("seen") - F.col("closed")
-    some = F.when(F.col("n_eod") > 0, F.concat(F.array(held + F.col("head")), F.col("inner"))).otherwise(F.array().cast("array<bigint>"))
-    left = F.when(F.col("n_eod") > 0, F.col("tail")).otherwise(held + F.col("n"))
-    open_end = F.when(F.col("last") & (left > 0), F.array(left)).otherwise(F.array().cast("array<bigint>"))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), *[pa.array(c, pa.int64()) for c in cols[1:6]], pa.array(cols[6]), pa.array(cols[7], pa.list_(pa.int64()))], ["file", "block", "n", "n_eod", "head", "tail", "last", "inner"])
+
+    parts = blocks.mapInArrow(run, "file string, block long, n long, n_eod long, head long, tail long, last boolean, inner array<long>")
+    return stitch(staged(parts, "token-blocks"))
+
+
+def stitch(parts: DataFrame, group: int = 1024) -> DataFrame:
+    """parts: a row for each block. The prefix scan has two levels, groups of blocks and blocks in a group, over a few numbers
+    each; the documents' lengths stay where they are until every block knows what is before it."""
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<bigint>")
+
+    def scanned(rows, order, closed):
+        """seen, number and closed: ids, separators and the place after the last separator before each row, from the window's start."""
+        before = order.rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("seen", F.coalesce(F.sum("n").over(before), zero)).withColumn("number", F.coalesce(F.sum("n_eod").over(before), zero))
+        return rows.withColumn("ends", F.when(F.col("n_eod") > 0, F.col("seen") + closed)).withColumn("closed", F.max("ends").over(before))
+
+    light = parts.drop("inner").withColumn("g", F.floor(F.col("block") / group))
+    light = scanned(light, Window.partitionBy("file", "g").orderBy("block"), F.col("n") - F.col("tail"))
+    groups = light.groupBy("file", "g").agg(F.sum("n").alias("n"), F.sum("n_eod").alias("n_eod"), F.max("ends").alias("upto"))
+    groups = scanned(groups, Window.partitionBy("file").orderBy("g"), F.col("upto")).select("file", "g", F.col("seen").alias("seen0"), F.col("number").alias("number0"), F.col("closed").alias("closed0"))
+    light = light.join(groups, ["file", "g"]).select("file", "block", (F.col("number0") + F.col("number")).alias("number"), (F.col("seen0") + F.col("seen") - F.coalesce(F.col("seen0") + F.col("closed"), F.col("closed0"), zero)).alias("held"))
+    parts = parts.join(light, ["file", "block"])
+    some = F.when(F.col("n_eod") > 0, F.concat(F.array(F.col("held") + F.col("head")), F.col("inner"))).otherwise(none)
+    left = F.when(F.col("n_eod") > 0, F.col("tail")).otherwise(F.col("held") + F.col("n"))
+    open_end = F.when(F.col("last") & (left > 0), F.array(left)).otherwise(none)
     return parts.select("file", "number", F.posexplode(F.concat(some, open_end)).alias("pos", "n_tokens")).select("file", (F.col("number") + F.col("pos")).alias("ordinal"), "n_tokens")
 
 
