@@ -1,13 +1,14 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 The training texts are cut into segments of about ``segment_tokens`` words, whole documents each. A segment is one row of
-the index: its documents with their word counts, and per term the sorted positions (delta-coded, compressed) in the
-segment's own position space, in which documents are one position apart. The index is stored once, in the shared folder,
-and only test terms are kept while their number is at most ``max_terms``; beyond it every word's positions are.
+the index: its documents with their word counts, its terms, and per term the sorted positions (delta-coded, compressed)
+in the segment's own position space, in which documents are one position apart. The index holds every word of every text
+and is stored once, in the shared folder.
 
-A search takes the test windows in blocks of bounded size. In each segment, a window's posting lists are taken from the
-rarest on, shifted by the term's offset, and intersected until empty or exhausted. Segments are independent; a hot
-passage or term is spread over as many segments as its documents.
+A search takes the test windows in blocks of bounded size, and stores a block's hits before it takes the next. Windows hang on
+their rarest word among the block's; a segment looks at those whose word it has. A window's posting lists are taken from
+the rarest of the segment on, shifted by the term's offset, and intersected until empty or exhausted. Segments are independent;
+a hot passage or term is spread over as many segments as its documents.
 
 Words: A-Z lower-cased, runs of characters outside ``\\x00-\\x2F \\x3A-\\x60 \\x7B-\\x7F``. Null text has no words and no
 windows. Items shorter than the window are one window. Empty tables give no hits. Repeated documents are reported each;
@@ -16,7 +17,10 @@ repeated item ids count once. Other columns are not looked at.
 
 from __future__ import annotations
 
+import itertools
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,107 +37,93 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TABLE).split() if text else []
 
 
-def _pack(a: np.ndarray) -> bytes:
+def _squeeze(b: bytes) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b)
 
 
-def _unpack(b: bytes, kind) -> np.ndarray:
+def _open(b: bytes) -> bytes:
     import zstandard
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
+    return zstandard.ZstdDecompressor().decompress(b)
 
 
-def test_terms(items: DataFrame, max_terms: int) -> dict[bytes, int] | None:
-    """The terms of all items if they are at most max_terms, else None."""
-    small_batches(items.sparkSession)
+def _pack(a: np.ndarray) -> bytes:
+    return _squeeze(np.ascontiguousarray(a).tobytes())
 
-    def run(batches):
-        for b in batches:
-            seen = {w for t in b.column("text").to_pylist() for w in words_of(t)}
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.binary())], ["term"])
 
-    terms = items.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term binary").distinct().limit(max_terms + 1).toArrow()["term"].to_pylist()
-    return {t: i for i, t in enumerate(sorted(terms))} if len(terms) <= max_terms else None
+def _unpack(b: bytes, kind) -> np.ndarray:
+    return np.frombuffer(_open(b), kind)
 
 
-def build_index(docs: DataFrame, terms: dict[bytes, int] | None, segment_tokens: int = 1 << 20) -> DataFrame:
+def build_index(docs: DataFrame, segment_tokens: int = 1 << 20) -> DataFrame:
     """A row for each segment: segment, doc_ids, n_words, starts, terms, counts, postings."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(terms)
+    small_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         import uuid
 
-        known = shared.value
-        ids, lens, parts, local, total = [], [], [], {}, 0
+        ids, lens, parts, local, total, id_kind = [], [], [], {}, 0, None
 
         def segment():
-            starts = np.concatenate([[0], np.cumsum(np.array(lens, np.int64) + 1)[:-1]]) if lens else np.empty(0, np.int64)
-            codes = np.concatenate(parts) if parts else np.empty(0, np.int32)
-            at = np.flatnonzero(codes >= 0).astype(np.int32)
-            codes = codes[at]
+            size = np.array(lens, np.int64)
+            codes = np.fromiter(map(local.__getitem__, chain.from_iterable(parts)), np.int32, int(size.sum()))
+            at = np.arange(len(codes), dtype=np.int32) + np.repeat(np.arange(len(size), dtype=np.int32), size)  # a gap after each document
             order = np.argsort(codes, kind="stable")
             codes, at = codes[order], at[order]
-            term, first, counts = np.unique(codes, return_index=True, return_counts=True)
+            first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.empty(0, np.int64)
             deltas = np.diff(at, prepend=np.int32(0))
             deltas[first] = at[first]
-            names = [None if known is not None else k for k in local]
-            row = [[uuid.uuid4().int >> 65], [ids], [lens], [_pack(starts)], [_pack(term.astype(np.int32))], [_pack(counts.astype(np.int32))], [_pack(deltas.astype(np.int32))], [b"\n".join(names) if known is None else b""]]
-            kinds = [pa.int64(), pa.list_(id_kind), pa.list_(pa.int64()), *[pa.binary()] * 5]
+            row = [[uuid.uuid4().int >> 65], [ids], [lens], [_pack(np.cumsum(size + 1) - size - 1)], [_squeeze(b"\n".join(local))], [_pack(np.diff(first, append=len(codes)).astype(np.int32))], [_pack(deltas)]]
+            kinds = [pa.int64(), pa.list_(id_kind), pa.list_(pa.int64()), *[pa.binary()] * 4]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], COLUMNS)
 
-        id_kind = None
         for b in batches:
             id_kind = b.column("doc_id").type
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 words = words_of(text)
-                if known is not None:
-                    get = known.get
-                    codes = [get(w, -1) for w in words]
-                else:
-                    codes = [local.setdefault(w, len(local)) for w in words]
-                codes.append(-1)  # the gap after a document
-                parts.append(np.array(codes, np.int32))
+                local.update(zip(words, repeat(0)))
+                parts.append(words)
                 ids.append(doc)
                 lens.append(len(words))
-                total += len(codes)
+                total += len(words) + 1
                 if total >= segment_tokens:
+                    local = dict(zip(local, range(len(local)), strict=True))
                     yield segment()
                     ids, lens, parts, local, total = [], [], [], {}, 0
         if ids:
+            local = dict(zip(local, range(len(local)), strict=True))
             yield segment()
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"segment long, doc_ids array<{id_type}>, n_words array<long>, starts binary, terms binary, counts binary, postings binary, names binary")
+    return rows.mapInArrow(run, f"segment long, doc_ids array<{id_type}>, n_words array<long>, starts binary, terms binary, counts binary, postings binary")
 
 
-COLUMNS = ["segment", "doc_ids", "n_words", "starts", "terms", "counts", "postings", "names"]
+COLUMNS = ["segment", "doc_ids", "n_words", "starts", "terms", "counts", "postings"]
 
 
 class Segment:
-    """A segment's postings in memory; of the terms asked for only."""
+    """A segment's postings in memory. Terms are numbered in the order of their list."""
 
-    def __init__(self, row: dict, terms: dict[bytes, int] | None):
+    def __init__(self, row: dict):
         self.starts, self.lens = _unpack(row["starts"], np.int64), np.array(row["n_words"], np.int64)
-        codes, counts = _unpack(row["terms"], np.int32), _unpack(row["counts"], np.int32)
-        ends = np.cumsum(counts, dtype=np.int64)
-        self._deltas, self._from, self._to = _unpack(row["postings"], np.int32), ends - counts, ends
-        self._row = dict(zip(codes.tolist(), range(len(codes)), strict=True))
-        self._terms = terms if terms is not None else {w: i for i, w in enumerate(row["names"].split(b"\n"))}
+        names = _open(row["terms"])
+        self.terms = dict(zip(names.split(b"\n"), itertools.count(), strict=False)) if names else {}
+        counts = _unpack(row["counts"], np.int32)
+        self._to = np.cumsum(counts, dtype=np.int64)
+        self._from, self._deltas = self._to - counts, _unpack(row["postings"], np.int32)
         self._lists: dict[bytes, np.ndarray] = {}
 
     def count(self, term: bytes) -> int:
-        k = self._row.get(self._terms.get(term, -1))
+        k = self.terms.get(term)
         return 0 if k is None else int(self._to[k] - self._from[k])
 
     def positions(self, term: bytes) -> np.ndarray:
         found = self._lists.get(term)
         if found is None:
-            k = self._row.get(self._terms.get(term, -1))
+            k = self.terms.get(term)
             found = self._lists[term] = np.empty(0, np.int64) if k is None else np.cumsum(self._deltas[self._from[k] : self._to[k]], dtype=np.int64)
         return found
 
@@ -191,27 +181,30 @@ def windows_of(words: list[bytes], window: int) -> set[tuple[bytes, ...]]:
 HITS = "segment long, ord int, spans array<struct<s:long,e:long>>, items array<string>"
 
 
-def search(index: DataFrame, block: list[tuple[str, list[bytes]]], terms: dict[bytes, int] | None, window: int = WINDOW, span: int | None = None) -> DataFrame:
+def search(index: DataFrame, block: list[tuple[str, list[bytes]]], window: int = WINDOW, span: int | None = None) -> DataFrame:
     """Documents with a window of a block's items: segment, ord (place in it), spans (words that are hit), items.
     With span, proximity matches instead: all words of a window within span words of its rarest; the hit word is that one."""
     of: dict[tuple[bytes, ...], set[str]] = {}
     for item, words in block:
         for w in windows_of(words, window):
             of.setdefault(w, set()).add(item)
-    asked = index.sparkSession.sparkContext.broadcast((list(of.items()), terms))
+    often = Counter(t for w in of for t in set(w))
+    hung: dict[bytes, list] = {}
+    for w, ids in of.items():
+        hung.setdefault(min(w, key=lambda t: (often[t], t)), []).append((w, ids))
+    asked = index.sparkSession.sparkContext.broadcast(hung)
 
     def run(batches):
-        import pandas as pd  # noqa: F401
-
-        phrases, known = asked.value
+        hung = asked.value
         kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1).to_pylist()[0]
-                seg = Segment(row, known)
+                seg = Segment(row)
                 marks: dict[int, list[tuple[int, int]]] = {}
                 items: dict[int, set[str]] = {}
-                for phrase, ids in phrases:
+                here = hung.keys() & seg.terms.keys()
+                for phrase, ids in (x for t in here for x in hung[t]):
                     at = seg.phrase(phrase) if span is None else seg.proximity(phrase, span)
                     if not len(at):
                         continue
@@ -226,7 +219,7 @@ def search(index: DataFrame, block: list[tuple[str, list[bytes]]], terms: dict[b
                     ["segment", "ord", "spans", "items"],
                 )
 
-    return index.select("segment", "n_words", "starts", "terms", "counts", "postings", "names").mapInArrow(run, HITS)
+    return index.select("segment", "n_words", "starts", "terms", "counts", "postings").mapInArrow(run, HITS)
 
 
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -239,14 +232,13 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, span: int | None = None, segment_tokens: int = 1 << 20, max_terms: int = 200_000, block_words: int = 1 << 20) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, span: int | None = None, segment_tokens: int = 1 << 20, block_words: int = 1 << 20) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted as strings), of every document."""
-    terms = test_terms(items, max_terms)
-    index = staged(build_index(docs, terms, segment_tokens), "positions")
+    index = staged(build_index(docs, segment_tokens), "positions")
     table = index.select("segment", F.posexplode(F.arrays_zip("doc_ids", "n_words")).alias("ord", "d")).select("segment", "ord", F.col("d.doc_ids").alias("doc_id"), F.col("d.n_words").alias("n_words"))
     found = None
     for block in item_blocks(items, block_words):
-        hits = search(index, block, terms, window, span)
+        hits = staged(search(index, block, window, span), "hits")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return table.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
