@@ -7,8 +7,8 @@ training words by expectation-maximisation: word counts per language (distribute
 forward-backward over the distinct words (distributed), piece probabilities from them (vocabulary x languages numbers).
 
 Words: the text in lower case, ASCII other than letters dropped. A character that is no piece counts as one unknown
-piece. Words are taken in stretches of at most ``STRETCH`` characters, so a word of any length is linear. Texts that are null
-or hold no letter: ``und``, score 0; so is every text if nothing was learned. Score: posterior of the predicted language
+piece. Words of up to ``SHORT`` characters are summed in batches, longer ones one by one in logarithms, over all their
+segmentations alike and in time linear in their length. Texts that are null or hold no letter: ``und``, score 0; so is every text if nothing was learned. Score: posterior of the predicted language
 at a likelihood tempered to ``temper`` words. Repeated rows are scored alike. Other columns are not looked at.
 """
 
@@ -20,11 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import gathered, highest, packed, small_batches, staged, tokenizer_dir, unpacked
 
-STRETCH = 40
-LONGEST = 16
+SHORT = 40
+#: Below it a batch's sums may have lost digits; such words are summed in logarithms.
+TINY = 1e-280
 CACHE = 500_000
 #: Lower-case ASCII letters and all bytes above ASCII stay, upper case is lowered, the rest parts words.
 _TABLE = bytes(c if c >= 0x80 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 32 for c in range(256))
@@ -43,7 +45,7 @@ def vocabulary(path: str | None = None) -> dict:
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path or f"{tokenizer_dir()}/piece_bpe_32k.model")
-    pieces = sorted({p for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)) and 0 < len(p := sp.id_to_piece(i)) <= LONGEST and p == p.lower() and not any(c.isascii() and not c.isalpha() for c in p)})
+    pieces = sorted({p for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)) and (p := sp.id_to_piece(i)) and p == p.lower() and not any(c.isascii() and not c.isalpha() for c in p)})
     return trie_of(pieces)
 
 
@@ -63,22 +65,64 @@ def size_of(trie: dict) -> int:
     return sum((n >= 0) + size_of(rest) for n, rest in trie.values())
 
 
+def spelling(word: bytes) -> str:
+    return "▁" + word.decode("utf-8", "replace")
+
+
+def edges_from(s: str, i: int, vocab: dict, unknown: int):
+    """(end, piece) of all pieces that begin at a place; the character alone is unknown where it is no piece."""
+    p, node = vocab.get(s[i], (-1, None))
+    yield i + 1, p if p >= 0 else unknown
+    j, n = i + 1, len(s)
+    while node and j < n and (t := node.get(s[j])):
+        p, node = t
+        j += 1
+        if p >= 0:
+            yield j, p
+
+
+class Long:
+    """One word of any length: a forward and a backward pass over its places, in logarithms."""
+
+    def __init__(self, word: bytes, vocab: dict, unknown: int):
+        self.s, self.vocab, self.unknown = spelling(word), vocab, unknown
+
+    def forward(self, log_prob: np.ndarray) -> np.ndarray:
+        """log P up to each place, in each column of log_prob (pieces x languages)."""
+        n = len(self.s)
+        alpha = np.full((n + 1, log_prob.shape[1]), -np.inf)
+        alpha[0] = 0
+        for i in range(n):
+            for j, p in edges_from(self.s, i, self.vocab, self.unknown):
+                alpha[j] = np.logaddexp(alpha[j], alpha[i] + log_prob[p])
+        return alpha
+
+    def expect(self, log_prob: np.ndarray, lang: int, count: float, into: np.ndarray) -> None:
+        n, own = len(self.s), log_prob[:, lang]
+        alpha = self.forward(log_prob[:, lang : lang + 1])[:, 0]
+        beta = np.full(n + 1, -np.inf)
+        beta[n] = 0
+        for i in range(n - 1, -1, -1):
+            for j, p in edges_from(self.s, i, self.vocab, self.unknown):
+                beta[i] = np.logaddexp(beta[i], own[p] + beta[j])
+                into[p, lang] += count * np.exp(alpha[i] + own[p] + beta[j] - alpha[n])
+
+
 class Lattice:
-    """All segmentations of a batch of words, as edges by start position."""
+    """All segmentations of a batch of words, as edges by start position; longer words are kept apart."""
 
     def __init__(self, words: list[bytes], vocab: dict, unknown: int):
-        self.stretches, self.word = [], []
-        for k, w in enumerate(words):
-            s = "▁" + w.decode("utf-8", "replace")
-            for at in range(0, len(s), STRETCH):
-                self.stretches.append(s[at : at + STRETCH])
-                self.word.append(k)
+        spelt = [spelling(w) for w in words]
         self.n_words = len(words)
-        self.lens = np.array([len(s) for s in self.stretches], np.int64)
+        self.word = np.array([k for k, s in enumerate(spelt) if len(s) <= SHORT], np.int64)
+        self.long = [k for k, s in enumerate(spelt) if len(s) > SHORT]
+        self.one = lambda k: Long(words[k], vocab, unknown)
+        short = [spelt[k] for k in self.word.tolist()]
+        self.lens = np.array([len(s) for s in short], np.int64)
         width = int(self.lens.max()) if len(self.lens) else 0
-        found: list[list[int]] = [[] for _ in range(width)]  # by start: stretch, end and piece in one number
+        found: list[list[int]] = [[] for _ in range(width)]  # by start: word, end and piece in one number
         none = (-1, None)
-        for k, s in enumerate(self.stretches):
+        for k, s in enumerate(short):
             n, base = len(s), k << 32
             for i in range(n):
                 add = found[i].append
@@ -98,19 +142,22 @@ class Lattice:
 
     def forward(self, prob: np.ndarray) -> np.ndarray:
         """log P of each word in each column of prob (pieces x languages)."""
-        alpha = np.zeros((len(self.stretches), self.width + 1, prob.shape[1]))
+        alpha = np.zeros((len(self.word), self.width + 1, prob.shape[1]))
         alpha[:, 0] = 1
         for i, (w, j, p) in enumerate(self.edges):
             alpha[w, j] += alpha[w, i] * prob[p]
-        total = alpha[np.arange(len(self.lens)), self.lens] if len(self.lens) else np.ones((0, prob.shape[1]))
         out = np.zeros((self.n_words, prob.shape[1]))
-        np.add.at(out, np.array(self.word, np.int64), np.log(np.maximum(total, 1e-300)))
+        total = alpha[np.arange(len(self.lens)), self.lens]
+        out[self.word] = np.log(np.maximum(total, TINY))
+        apart = [*self.long, *self.word[(total < TINY).any(axis=1)].tolist()]
+        logs = np.log(prob) if apart else None
+        for k in apart:
+            out[k] = self.one(k).forward(logs)[-1]
         return out
 
     def expect(self, prob: np.ndarray, language: np.ndarray, count: np.ndarray, into: np.ndarray) -> None:
         """Adds each piece's expected count to into (pieces x languages); language and count are per word."""
-        word = np.array(self.word, np.int64)
-        lang, c = language[word], count[word]
+        lang, c = language[self.word], count[self.word]
         n = len(self.lens)
         alpha, beta = np.zeros((n, self.width + 1)), np.zeros((n, self.width + 1))
         alpha[:, 0] = 1
@@ -121,7 +168,14 @@ class Lattice:
         for i in range(self.width - 1, -1, -1):
             w, j, _ = self.edges[i]
             beta[:, i] += np.bincount(w, weights[i] * beta[w, j], n)
-        share = c / np.maximum(alpha[np.arange(n), self.lens], 1e-300)
+        total = alpha[np.arange(n), self.lens]
+        share = np.where(total < TINY, 0, c / np.maximum(total, TINY))
+        apart = [*self.long, *self.word[total < TINY].tolist()]
+        logs = np.log(prob) if apart else None
+        for k in apart:
+            self.one(k).expect(logs, int(language[k]), float(count[k]), into)
+        if not n:
+            return
         at = np.concatenate([p * into.shape[1] + lang[w] for w, _, p in self.edges])
         found = np.concatenate([share[w] * alpha[w, i] * weights[i] * beta[w, j] for i, (w, j, _) in enumerate(self.edges)])
         into += np.bincount(at, found, into.size).reshape(into.shape)
@@ -153,9 +207,9 @@ def count_words(train: DataFrame) -> DataFrame:
 class Model:
     """languages, piece probabilities (pieces + unknown) x languages, and the scores of the commonest words."""
 
-    def __init__(self, languages: list[str], prob: np.ndarray, vocab: dict, common: list[bytes]):
-        self.languages, self.prob, self.vocab, self.common = languages, prob, vocab, common
-        self.known = self.score(common) if languages else np.empty((0, 0))
+    def __init__(self, languages: list[str], prob: np.ndarray, vocab: dict):
+        self.languages, self.prob, self.vocab = languages, prob, vocab
+        self.common, self.known = [], np.empty((0, len(languages)))
 
     def score(self, words: list[bytes]) -> np.ndarray:
         parts = [np.empty((0, len(self.languages)))]
@@ -163,6 +217,21 @@ class Model:
             parts.append(Lattice(words[i : i + 4096], self.vocab, len(self.prob) - 1).forward(self.prob))
         return np.concatenate(parts)
 
+    def with_common(self, words: DataFrame | None) -> "Model":
+        """Scores words, a bounded number, on the executors."""
+        if words is not None and self.languages:
+            shared = words.sparkSession.sparkContext.broadcast(self)
+
+            def run(batches):
+                for b in gathered(batches, 8192):
+                    found = shared.value.score(b.column("word").to_pylist())
+                    yield pa.RecordBatch.from_arrays([b.column("word").combine_chunks(), pa.array(list(found), pa.list_(pa.float64()))], ["word", "score"])
+
+            t = words.select("word").mapInArrow(run, "word binary, score array<double>").toArrow()
+            self.common = t["word"].to_pylist()
+            self.known = np.array(t["score"].combine_chunks().flatten()).reshape(-1, len(self.languages))
+        return self
+
 
 def fit(docs: DataFrame, iterations: int = 2, path: str | None = None, smooth: float = 0.05, common: int = 150_000) -> Model:
     """Learns from all rows of docs with text and lang."""
@@ -190,8 +259,7 @@ def fit(docs: DataFrame, iterations: int = 2, path: str | None = None, smooth: f
         expected = np.full_like(prob, smooth)
         expected[found["piece"].to_numpy(), found["k"].to_numpy()] += found["n"].to_numpy()
         prob = expected / expected.sum(axis=0)
-    top = highest(counts.groupBy("word").agg(F.sum("n").alias("c")), common)
-    return Model(languages, prob, vocab, [] if top is None else top.toArrow()["word"].to_pylist())
+    return Model(languages, prob, vocab).with_common(highest(counts.groupBy("word").agg(F.sum("n").alias("c")), common))
 
 
 def identify(docs: DataFrame, model: Model, temper: float = 12.0, keep: list[str] | None = None) -> DataFrame:
@@ -232,8 +300,8 @@ def identify(docs: DataFrame, model: Model, temper: float = 12.0, keep: list[str
                 score.append(float(1 / np.exp((total - total[best]) * min(1.0, temper / len(words))).sum()))
             yield pa.RecordBatch.from_arrays([*[b.column(f"__{i}") for i in range(len(keep))], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*[f"__{i}" for i in range(len(keep))], "lang_pred", "score"])
 
-    kept = ", ".join(f"__{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    out = rows.mapInArrow(run, f"{kept}, lang_pred string, score double")
+    kept = [StructField(f"__{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
+    out = rows.mapInArrow(run, StructType([*kept, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
     return out.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
 
 
