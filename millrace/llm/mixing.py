@@ -3,7 +3,7 @@
 Sizes are words. Sources in code-point order (null last) weigh 1, 2, 3, repeating; shares of all words are held to
 ``max_epochs`` times a source's own words, the excess going to the others by weight until none is above (water level
 found by one pass over the sources sorted by cap / weight). A document expects target / source_size copies. Documents
-of a source are laid out by size class, then by hash; their expected copies are prefix-summed, one random offset per
+of a source are laid out by size class, then by hash (of doc_id, or where it is null of the text); their expected copies are prefix-summed, one random offset per
 source is added, and a copy is emitted at each integer crossed. Neighbours in that order are of one size, so a source's
 taken words follow its target closely.
 
@@ -51,7 +51,7 @@ def mix(docs: DataFrame, weights=(1, 2, 3), max_epochs: int = 3, seed: int = 17,
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.col("source").isNull().alias("s_null"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("s"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"),
+        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("n"), F.coalesce("text", F.lit(""))))).alias("h"),
         *[F.col(c).alias(f"__keep_{c}") for c in keep],
     ).withColumn("bin", size_class(F.col("size"))).withColumn("digit", F.substring("h", 1, 2))
     rows = staged(rows, "mix-sizes")
@@ -80,7 +80,7 @@ def emit(docs: DataFrame, **options) -> DataFrame:
 SQL = r"""
 WITH rows AS (
   SELECT doc_id, COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         source IS NULL AS s_null, COALESCE(source, '') AS s, md5(COALESCE(doc_id::VARCHAR, '')) AS h FROM documents),
+         source IS NULL AS s_null, COALESCE(source, '') AS s, md5(COALESCE(doc_id::VARCHAR, 'n' || COALESCE(text, ''))) AS h FROM documents),
 binned AS (
   SELECT *, CASE WHEN size < 8 THEN size ELSE 8 * (length(bin(size)) - 1) + floor(size * 8 / pow(2.0, length(bin(size)) - 1))::BIGINT - 8 END AS bin FROM rows),
 sizes AS (SELECT s_null, s, SUM(size)::BIGINT AS source_size FROM rows GROUP BY ALL),
