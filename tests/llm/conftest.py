@@ -24,7 +24,8 @@ def documents():
         (None, "en", "s1"), ("", "de", None), ("   \n\t ", None, "s2"), (LONG, "en", "s0"), (a, "en", "s3"), (a, "en", "s3"), (a + " extra", "en", "s4"), (b.upper(), "de", "s0"),
         (PASSAGE + "\nown line one here\n", "en", "s1"), ("another start\n" + PASSAGE, "en", "s2"), (PASSAGE, "en", "s2"),
         ("mail bob@x.example.org or b.c@d.e@f.g, ip 10.0.0.255 256.1.1.1 1.2.3.4.5, card 4111 1111 1111 1111 x 4111111111111112, tel +1 (743) 555-3824 +12", "en", "s1"),
-        ("IBAN DE89 3704 0044 0532 0130 00 bank; ssn 123-45-6789; é@ü.com a@b.co.uk.", None, "s1"), ("!!! ??? 123 --- …", "en", "s9"), ("x", "en", "s9"), ("1" * 5000, "en", "s9"),
+        ("IBAN DE89 3704 0044 0532 0130 00 bank; ssn 123-45-6789; é@ü.com a@b.co.uk.", None, "s1"), ("!!! ??? 123 --- …", "en", "s9"), ("x", "en", "s9"), ("1" * 5000, "en", "s9"), ("0" * 5000 + ".0.0.1 and token = \"f0ddae3b09ae356cbefecdd3232fa5489bb400d6\" IBAN GB82 WEST 1234 5698 7654 32 END", "en", "s9"),
+        ("х" * 90 + " " + "漢字かな" * 30 + " straße", "de", "s9"),
     ):
         rows.append((i, text, lang, source, None if text is None else len(text)))
         i += 1
@@ -42,7 +43,7 @@ def edge(tmp_path_factory):
     d = tmp_path_factory.mktemp("edge")
     rows = documents()
     cols = list(zip(*rows, strict=True))
-    extra = {"score": pa.array([0.5] * len(rows)), "size": pa.array(["big"] * len(rows)), "fp": pa.array([None] * len(rows), pa.string()), "segment": pa.array([1] * len(rows)), "key": pa.array(["k"] * len(rows)), "rank": pa.array([9] * len(rows)), "at": pa.array([1] * len(rows)), "held_out": pa.array(["?"] * len(rows))}
+    extra = {"score": pa.array([0.5] * len(rows)), "size": pa.array(["big"] * len(rows)), "fp": pa.array([None] * len(rows), pa.string()), "segment": pa.array([1] * len(rows)), "key": pa.array(["k"] * len(rows)), "rank": pa.array([9] * len(rows)), "at": pa.array([1] * len(rows)), **{n: pa.array([f"{n}!"] * len(rows)) for n in ("row", "k1", "k2", "gone", "may", "ord", "salt", "first", "root", "least", "n", "copies", "s", "h", "a.b", "__0", "__text", "mix_n", "digit", "bin", "hash", "lang_pred", "spans")}, "held_out": pa.array(["?"] * len(rows))}
     types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64())
     pq.write_table(pa.table({n: pa.array(c, t) for n, c, t in zip(("doc_id", "text", "lang", "source", "n_chars"), cols, types, strict=True)} | extra), d / "documents.parquet")
     pq.write_table(pa.table({"item_id": pa.array([i for i, _ in ITEMS], pa.int64()), "text": pa.array([t for _, t in ITEMS], pa.string()), "segment": pa.array([0] * len(ITEMS))}), d / "benchmark.parquet")

@@ -187,3 +187,77 @@ def spelt(p, hop, classes, row_of, class_of, log_piece, begins, words):
         out.append(sum(own[at : at + len(w)]) - opening[at] + after)
         at += len(w)
     return out
+
+
+def add_logs(a, b):
+    import math
+
+    low, high = min(a, b), max(a, b)
+    return high if low == -math.inf else high + math.log1p(math.exp(low - high))
+
+
+def spans_of(word, prob, unknown):
+    """(from, to, piece) of all pieces in a word, by where they begin; a character that is none is unknown."""
+    n = len(word)
+    return [(i, j, word[i:j] if word[i:j] in prob else unknown) for i in range(n) for j in range(i + 1, min(n, i + 40) + 1) if word[i:j] in prob or j == i + 1]
+
+
+def ahead_of(word, spans, logs):
+    out = [0.0] + [-float("inf")] * len(word)
+    for i, j, p in spans:
+        out[j] = add_logs(out[j], out[i] + logs[p])
+    return out
+
+
+def segmentations(word, logs, unknown):
+    """log of a word's probability, the sum over all its segmentations. logs: piece to log of its probability."""
+    return ahead_of(word, spans_of(word, logs, unknown), logs)[-1]
+
+
+def expected(word, logs, unknown):
+    """Each piece's expected count in a word."""
+    import math
+
+    spans = spans_of(word, logs, unknown)
+    ahead, back = ahead_of(word, spans, logs), [-math.inf] * len(word) + [0.0]
+    for i, j, p in reversed(spans):
+        back[i] = add_logs(back[i], logs[p] + back[j])
+    out = collections.Counter()
+    for i, j, p in spans:
+        out[p] += math.exp(ahead[i] + logs[p] + back[j] - ahead[-1])
+    return out
+
+
+def letters_of(text):
+    return ["▁" + w for w in re.split(r"[\x00-\x60\x7b-\x7f]+", text.lower()) if w]
+
+
+def languages(docs, pieces, held, iterations=2, smooth=0.05, temper=12.0):
+    """docs: (doc_id, text, lang). (lang_pred, score) of each, learned from those not held out."""
+    import math
+
+    unknown = None
+    counts = {}
+    for d, t, lang in docs:
+        if t is not None and lang is not None and not held(d):
+            counts.setdefault(lang, collections.Counter()).update(letters_of(t))
+    names = sorted(k for k in counts if counts[k])
+    logs = {k: dict.fromkeys([*pieces, unknown], -math.log(len(pieces) + 1)) for k in names}
+    for _ in range(iterations):
+        for k in names:
+            total = collections.Counter()
+            for w, n in counts[k].items():
+                for p, x in expected(w, logs[k], unknown).items():
+                    total[p] += n * x
+            mass = sum(total.values()) + smooth * (len(pieces) + 1)
+            logs[k] = {p: math.log((total[p] + smooth) / mass) for p in logs[k]}
+    out = []
+    for _, t, _ in docs:
+        if not t or not any(c.isalpha() for c in t) or not names:
+            out.append(("und", 0.0))
+            continue
+        words = letters_of(t)
+        sums = [sum(n * segmentations(w, logs[k], unknown) for w, n in collections.Counter(words).items()) for k in names]
+        best = max(range(len(names)), key=lambda i: (sums[i], -i))
+        out.append((names[best], 1 / sum(math.exp((x - sums[best]) * min(1, temper / len(words))) for x in sums)))
+    return out

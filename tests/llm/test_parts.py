@@ -23,6 +23,29 @@ def test_context_words_decide_what_has_no_checksum():
     assert [s for s in pii.spans_of("social security 123-45-6789") if s[0] == "ssn"]
 
 
+def test_digits_of_any_length_are_no_address():
+    assert pii.spans_of("0" * 5000 + ".0.0.1")[0][:3] == ("ip", 0, 5006)
+    assert not [s for s in pii.spans_of("1" * 5000 + ".0.0.1") if s[0] == "ip"]
+
+
+def test_ibans_end_with_their_country_s_length():
+    assert [s[:3] for s in pii.spans_of("IBAN DE89 3704 0044 0532 0130 00 AND MORE")] == [("iban", 5, 32)]
+    assert not [s for s in pii.spans_of("IBAN DE89 3704 0044 0532 0130 0012") if s[0] == "iban"]
+
+
+def test_context_words_are_whole_words():
+    assert pii.spans_of("we ship it 123-45-6789 by taxi") == []
+    assert [s[3] for s in pii.spans_of("ip 1.2.3.4")] == [0.8] and [s[3] for s in pii.spans_of("ship 1.2.3.4")] == [0.6]
+
+
+def test_secrets_need_entropy_and_context_or_a_prefix():
+    run = "f0ddae3b09ae356cbefecdd3232fa5489bb400d6"
+    assert [s[0] for s in pii.spans_of(f'token = "{run}" end')] == ["secret"]
+    assert pii.spans_of(f"commit {run} of today") == []
+    assert pii.spans_of("token = " + "a1" * 20) == []
+    assert [s[0] for s in pii.spans_of("x ghp_0aB1cD2eF3gH4iJ5kL6mN7oP8qR9sT0uV1wX y")] == ["secret"]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="ab.@-_ é\n", max_size=60))
 def test_emails_equal_a_plain_search(text):
@@ -101,7 +124,7 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert got == {**{i: 0 for i in range(1, 61)}, **{1000 + i: 1000 for i in range(1, 50)}}
 
 
-def test_token_scan_of_files_cut_anywhere(spark):
+def test_token_scan_of_files_cut_anywhere(spark, monkeypatch):
     rng, folder, want, files = random.Random(4), work_dir(spark, "scan"), {}, []
     for k, closed in enumerate((True, False, True)):
         lens = [rng.choice([0, 0, 1, 3, 50]) for _ in range(40)] if k < 2 else []
@@ -112,6 +135,7 @@ def test_token_scan_of_files_cut_anywhere(spark):
         files.append((f"{folder}/{k}.u16", 2 * len(ids)))
         want |= {(k, i): n for i, n in enumerate(lens) if closed or i < len(lens) - 1 or n}
     df = spark.createDataFrame(files, "file string, bytes long")
+    monkeypatch.setattr(tokencount.stitch, "__defaults__", (4,))  # groups of four blocks
     for block in (1, 7, 64, 100000):
         got = {(int(r.file[-5]), r.ordinal): r.n_tokens for r in tokencount.scan(df, eod=99, block=block).collect()}
         assert got == want
@@ -142,6 +166,13 @@ def test_frames_are_independent_and_the_footer_is_skippable():
     assert zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read() == b"".join(plain)
 
 
+def test_page_ids_of_any_characters_come_back(spark):
+    ids = ["", "a\r\nb", "ü/%41", " x ", None]
+    pages = spark.createDataFrame([(i, None, f"<p>{i}</p>") for i in ids] + [("z", "u", "<p></p>"), ("zz", "u", "<p></p>")], "page_id string, url string, html string")
+    got = [(r.page_id, r.record_type, r.refers_to) for r in warc.archive_and_read(pages).collect()]
+    assert sorted(got, key=str) == sorted([(None, "response", None), (" x ", "response", None), ("", "response", None), ("a\r\nb", "response", None), ("z", "revisit", ""), ("zz", "revisit", ""), ("ü/%41", "response", None)], key=str)
+
+
 def test_small_payloads_are_no_revisits(spark):
     pages = spark.createDataFrame([(0, "a", "x"), (1, "b", "x"), (2, "c", "y" * 100), (3, "d", "y" * 100)], "page_id long, url string, html string")
     got = {r.page_id: (r.record_type, r.refers_to) for r in warc.archive_and_read(pages, min_bytes=50).collect()}
@@ -179,6 +210,15 @@ def test_forward_sums_every_segmentation():
 
     want = np.log([[brute("▁ab", k) for k in (0, 1)], [brute("▁aba", k) for k in (0, 1)], [brute("▁c", k) for k in (0, 1)]])
     assert np.allclose(lat.forward(prob), want)
+    long = langid.Lattice([b"ab" * 30, b"c" * 400, b"ab"], langid.trie_of(pieces), 6)  # beyond the batches, and beyond a double's range
+    logs = [{**{p: np.log(prob[i, k]) for p, i in vocab.items()}, None: np.log(prob[6, k])} for k in (0, 1)]
+    want = [[plain.segmentations("▁" + "ab" * 30, logs[k], None) for k in (0, 1)], [np.log(prob[0, k]) + 400 * np.log(0.1) for k in (0, 1)], want[0]]
+    assert np.allclose(long.forward(prob), want)
+    into = np.zeros_like(prob)
+    long.expect(prob, np.array([0, 1, 1]), np.array([2.0, 3.0, 1.0]), into)
+    for p, n in plain.expected("▁" + "ab" * 30, logs[0], None).items():
+        assert into[vocab[p], 0] == pytest.approx(2 * n)
+    assert into[6, 1] == pytest.approx(1200)
     into = np.zeros_like(prob)
     lat.expect(prob, np.array([0, 1, 0]), np.array([2.0, 1.0, 3.0]), into)
     assert into[6, 0] == pytest.approx(3.0)  # c is no piece: each of its three occurrences is one unknown
@@ -316,7 +356,7 @@ def test_the_language_model_learns_from_every_subword(spark, monkeypatch):
 def test_phrases_and_proximity(spark):
     docs = spark.createDataFrame([(0, "a b c d e f"), (1, "d c b a x x a b"), (2, "a x b x c"), (3, None), (4, "A-B; c")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "a b c"), (8, "zz")], "item_id long, text string")
-    for options in ({}, {"segment_tokens": 4}, {"max_terms": 1}, {"block_words": 1, "segment_tokens": 9}):
+    for options in ({}, {"segment_tokens": 4}, {"block_words": 1, "segment_tokens": 9}):
         got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.contamination(docs, items, **options).collect()}
         assert got == {0: (6, 3, ["7"]), 1: (8, 0, []), 2: (5, 0, []), 3: (0, 0, []), 4: (3, 3, ["7"])}
     near = {r.doc_id: r["items"] for r in decontaminate.contamination(docs, items, span=4).collect()}

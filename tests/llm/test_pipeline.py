@@ -65,6 +65,8 @@ def test_pipeline_on_awkward_rows(spark, edge, empty):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         d = staged(stage(spark, d, edge), name.replace(" ", "-"))
         assert d.columns == docs.columns and dict(d.dtypes) == dict(docs.dtypes)
+        named = [c for c in docs.columns if c not in COLUMNS and c not in ("score", "size", "fp", "segment", "key", "rank", "at", "held_out")]
+        assert len(named) > 20 and all(r[c] == f"{c}!" for r in d.collect() for c in named)  # columns named like the stages' own keep their values
     assert corpus_pipeline.run(spark, edge).count() > 0
     assert corpus_pipeline.run(spark, empty).count() == 0
 
