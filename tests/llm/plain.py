@@ -261,3 +261,17 @@ def languages(docs, pieces, held, iterations=2, smooth=0.05, temper=12.0):
         best = max(range(len(names)), key=lambda i: (sums[i], -i))
         out.append((names[best], 1 / sum(math.exp((x - sums[best]) * min(1, temper / len(words))) for x in sums)))
     return out
+
+
+def fingerprint(text, width):
+    """SimHash over shingles of so many words."""
+    import xxhash
+
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))] if w else []
+    hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles]
+    return sum((2 * sum(h >> b & 1 for h in hashes) > len(hashes)) << b for b in range(64))
+
+
+def item_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))

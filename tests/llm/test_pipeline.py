@@ -4,7 +4,7 @@ import collections
 import re
 
 import corpus_pipeline
-from millrace.llm import decontaminate, langid, simhash
+from millrace.llm import langid
 from millrace.llm.common import staged
 from pyspark.sql import functions as F
 
@@ -25,17 +25,18 @@ def plain(docs, items, identified):
             kept.append(d | {"text": text})
     reps = []
     comp = {d["doc_id"]: d["doc_id"] for d in kept}
-    fp = {d["doc_id"]: simhash.fingerprint(d["text"]) for d in kept}
+    fp = {d["doc_id"]: plainly.fingerprint(d["text"], 5) for d in kept}
     for a in fp:
         for b in fp:
-            if b < a and (fp[a] ^ fp[b]).bit_count() <= 4:
+            if b < a and (fp[a] ^ fp[b]).bit_count() <= 6:
                 old, new = max(comp[a], comp[b]), min(comp[a], comp[b])
                 comp = {k: new if v == old else v for k, v in comp.items()}
     reps = [d for d in kept if comp[d["doc_id"]] == d["doc_id"]]
-    windows = {w for t in items for w in decontaminate.windows_of(decontaminate.words_of(t), 10)}
+    asked = [plainly.item_words(t) for t in items]
+    windows = {tuple(w[i : i + 10]) for w in asked if w for i in range(max(1, len(w) - 9))}
 
     def clean(d):
-        w = decontaminate.words_of(d["text"])
+        w = plainly.item_words(d["text"])
         return not any(tuple(w[i : i + m]) in windows for m in {len(x) for x in windows} for i in range(len(w) - m + 1))
 
     return [d for d in reps if clean(d)]
