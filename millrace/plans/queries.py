@@ -93,8 +93,7 @@ def _docs(spark, d):
 i AS (SELECT doc_id, line_no, regexp_replace(line, '!\\[[^\\]]*\\]\\([^)]*\\)\\s*', '', 'g') AS line FROM c)
 SELECT doc_id, line_no::INTEGER AS line_no, x AS line FROM (SELECT doc_id, line_no, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '[ \\t　]+', ' ', 'g'), '\\s+([，。；：、！？])', '\\1', 'g'), '([（(])\\s+', '\\1', 'g'), '\\s+([）)])', '\\1', 'g'), '^\\s+|\\s+$', '', 'g') AS x FROM i) WHERE x <> ''""")
 def line_explode_clean(spark, d):
-    x = lines.explode_lines(_docs(spark, d)).withColumn("line", lines.normalize_line("line")).filter(~lines.is_empty_heading("line"))
-    return x.select(F.col("source_id").alias("doc_id"), "line_no", lines.normalize_spaces(lines.without_images("line")).alias("line")).filter("line <> ''")
+    return lines.clean_lines(_docs(spark, d)).withColumnRenamed("source_id", "doc_id")
 
 
 @query("SELECT c.c_custkey AS custkey, r.r_name AS part, n.n_name AS chapter, r.r_name || ' > ' || n.n_name AS section_path FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey")
@@ -492,11 +491,12 @@ def upsert_last_wins(spark, d):
 
 
 def work_folder(spark) -> str:
-    """A fresh folder that all executors share: below spark.checkpoint.dir, or an own one where that is unset."""
+    """A fresh folder that all executors share: below spark.checkpoint.dir, else (a local master) an own one, else below the warehouse."""
     import tempfile
     import uuid
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.gettempdir()
+    conf = spark.sparkContext.getConf()
+    base = conf.get("spark.checkpoint.dir") or ("file://" + tempfile.gettempdir() if conf.get("spark.master", "").split("[")[0] == "local" else spark.conf.get("spark.sql.warehouse.dir"))
     return f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex[:12]}"
 
 

@@ -81,11 +81,13 @@ class KeyedTable:
         new.write.mode("overwrite").parquet(f"{self.path}/v{v[-1] + 1 if v else 0}")
 
 
-def progress(rows: DataFrame, key: str, batch: int) -> DataFrame:
-    """Batch number, rows so far and share done of an ordered load."""
-    w = Window.orderBy(key)
-    n = rows.select(F.row_number().over(w).alias("i"), F.count("*").over(Window.partitionBy()).alias("total"))
-    return n.select(F.ceil(F.col("i") / batch).alias("batch"), "i", "total").groupBy("batch").agg(F.max("i").alias("done"), F.max("total").alias("total")).withColumn("share", F.col("done") / F.col("total"))
+def progress(rows: DataFrame, key: str, batch: int, parts: int = 1024) -> DataFrame:
+    """Batch number, rows so far and share done of an ordered load. No window goes over all rows: a batch's number follows from the rows
+    before it, so only the batches' ends are needed, and these from counts."""
+    total = rows.count()
+    ends = rows.sparkSession.range(1, -(-total // batch) + 1, numPartitions=max(1, min(parts, total // batch // 1024 + 1))).withColumnRenamed("id", "batch")
+    done = F.least(F.col("batch") * batch, F.lit(total))
+    return ends.select("batch", done.alias("done"), F.lit(total).cast("long").alias("total"), (done / F.lit(total)).alias("share"))
 
 
 def create_collection(spark: SparkSession, name: str, dim: int, drop: bool = False) -> None:

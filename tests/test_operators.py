@@ -401,3 +401,49 @@ def test_collections(spark):
     assert sorted(map(tuple, retrieval.probe_counts(a, b).collect())) == [(1, 1, 1), (2, 1, 0)]
     assert retrieval.non_blank(spark.createDataFrame([(" ",), (None,), ("q",)], "query string")).count() == 1
     spark.sql("drop table col1")
+
+
+def test_sparse_route_equals_a_plain_sum(spark, monkeypatch):
+    import collections
+    import random
+
+    rng = random.Random(2)
+    monkeypatch.setattr(retrieval, "FREQUENT", 3)
+    monkeypatch.setattr(retrieval, "CHUNK", 16)
+    docs = {i: collections.Counter(rng.choice("aaabbcdefghijklmnop") for _ in range(rng.randrange(0, 25))) for i in range(90)}
+    asked = {(q, "x"): collections.Counter(rng.choice("aabcdefgz") for _ in range(6)) for q in range(7)}
+    p = spark.createDataFrame([(i, t, float(n)) for i, c in docs.items() for t, n in c.items()] + [(500, "a", 0.0), (501, None, 1.0)], "id long, term string, weight double").repartition(3)
+    q = spark.createDataFrame([(k, t, float(n)) for k, c in asked.items() for t, n in c.items()], "query_id struct<n:long,s:string>, term string, weight double")
+    want = []
+    for k, c in asked.items():
+        scores = sorted(((-sum(n * d[t] for t, n in c.items()), i) for i, d in docs.items()))
+        want += [(k, r + 1, i, -s) for r, (s, i) in enumerate(scores[:5]) if s < 0]
+    for block in (2, 100):
+        got = [(tuple(r.query_id), r["rank"], r.id, r.score) for r in retrieval.sparse_topk(q, p, 5, block).collect()]
+        assert sorted(got) == sorted(want)
+    none = retrieval.sparse_topk(q.limit(0), p)
+    assert none.columns == ["query_id", "rank", "id", "score"] and none.count() == 0
+
+
+def test_blank_queries_have_no_results(spark):
+    vectors = [(1, " ", [1.0, 0.0]), (2, "x", [1.0, 0.0])]
+    queries = spark.createDataFrame(vectors, "query_id long, query string, vector array<double>")
+    corpus = spark.createDataFrame([(7, [1.0, 0.0])], "id long, vector array<double>")
+    terms = spark.createDataFrame([(1, "a", 1.0), (2, "a", 1.0)], "query_id long, term string, weight double")
+    postings = spark.createDataFrame([(7, "a", 1.0)], "id long, term string, weight double")
+    assert [r.query_id for r in retrieval.hybrid_retrieve(queries, corpus, terms, postings).collect()] == [2]
+
+
+def test_clean_lines_equal_the_single_steps(spark):
+    texts = [("a", "x  y\r\n##\n ![p](q) z ，w\n\n（ a ）​ \n"), ("b", None), ("c", ""), ("d", "# head\n   ###   \n﻿end ")]
+    docs = spark.createDataFrame(texts, "source_id string, text string")
+    step = lines.explode_lines(docs).withColumn("line", lines.normalize_line("line")).filter(~lines.is_empty_heading("line"))
+    want = step.select("source_id", "line_no", lines.normalize_spaces(lines.without_images("line")).alias("line")).filter("line <> ''")
+    assert sorted(map(tuple, lines.clean_lines(docs).collect())) == sorted(map(tuple, want.collect())) and want.count() == 5
+
+
+def test_progress_of_batches(spark):
+    rows = spark.range(23).withColumnRenamed("id", "k")
+    got = [tuple(r) for r in sinks.progress(rows, "k", 10).orderBy("batch").collect()]
+    assert got == [(1, 10, 23, 10 / 23), (2, 20, 23, 20 / 23), (3, 23, 23, 1.0)]
+    assert sinks.progress(rows.limit(0), "k", 10).count() == 0
