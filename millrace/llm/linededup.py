@@ -14,7 +14,7 @@ stays. Elsewhere neighbouring ones go together if they have ``SEED`` words, and
 at both ends of a run of repeated chunks, word by word, as far as the text there equals that at the same end in the earliest
 document whose run ends with that chunk: a passage's first and last words lie in chunks shared with what surrounds it. Carried
 along for that are the neighbouring chunk and ``NEAR`` more words, beyond which equal text would make a repeated chunk.
-Nothing is cut inside a word or a character. Short repeated lines stay.
+Nothing is cut inside a word or a character, and words that what went had kept apart get a space. Short repeated lines stay.
 
 Byte comparison: the distinct pairs of hash and text are counted for every repeated hash; a hash with two texts removes
 nothing, and what a chunk grows by is compared byte by byte. The first pass gathers a hash, a count and a first place per
@@ -405,12 +405,18 @@ def assembled(rows: list[tuple]) -> list[tuple]:
     return [(*u, *grow[1].get(k, (0, 0)), *grow[2].get(k, (0, 0))) for k, u in grow[0].items()]
 
 
+#: Neither white space nor a character that is a word by itself.
+INNER = r"[^\x09-\x0D\x20\u3000-\uD7FF]"
+
+
 def without(text, gone) -> Column:
-    """The text without byte ranges."""
+    """The text without byte ranges; a space where two words would meet that only what went had kept apart."""
     raw = F.encode(text, "UTF-8")
     n = F.size(gone)
     kept = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(F.when(i > 0, F.get(gone, i - 1)["e"]).otherwise(0).alias("s"), F.when(i < n, F.get(gone, i)["s"]).otherwise(F.octet_length(text)).alias("e")))
-    return F.array_join(F.transform(kept, lambda r: F.decode(F.substring(raw, r["s"] + 1, r["e"] - r["s"]), "UTF-8")), "")
+    parts = F.transform(kept, lambda r: F.decode(F.substring(raw, r["s"] + 1, r["e"] - r["s"]), "UTF-8"))
+    meet = lambda left, right: F.substring(left, -1, 1).rlike(INNER) & F.substring(right, 1, 1).rlike(INNER)
+    return F.aggregate(parts, F.lit(""), lambda left, right: F.concat(left, F.when(meet(left, right), " ").otherwise(""), right))
 
 
 def shortened(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame:

@@ -8,6 +8,8 @@ B_BYTE, B_WORD, B_LINE, B_GAP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE
 FOLD, MOST, SEED, LEAST, NEAR = 5, 8, 10, 20, 16
 WORDS = re.compile(r"[　-\udfff]|[^\x20\x09-\x0D　-\udfff]+")
 
+INNER = re.compile(r"[^\x20\x09-\x0D\u3000-\udfff]")
+
 
 def mix(x):
     x = ((x ^ (x >> 32)) * B_WORD) & M
@@ -142,9 +144,12 @@ def dedup(docs):
 
 def cut(text, ranges):
     raw, at, out = text.encode(), 0, b""
-    for s, e in ranges:
-        out, at = out + raw[at:s], e
-    return (out + raw[at:]).decode()
+    for s, e in [*ranges, (len(raw), len(raw))]:
+        part = raw[at:s]
+        if INNER.match(out.decode()[-1:]) and INNER.match(part.decode()[:1]):
+            out += b" "  # words that only what went had kept apart
+        out, at = out + part, e
+    return out.decode()
 
 
 def class_logs(p, hop, classes, rows, kinds, i):
