@@ -9,6 +9,11 @@ fixed planes, blocks in which every lane has exceeded the radius are abandoned.
 links, not its pairs. Buckets over ``slice_rows`` distinct fingerprints are cut into slices, and each pair of slices is a
 task of its own. The forests meet in distributed connected components.
 
+``keep_one`` serves a similarity of 0.8 over sets of five-word shingles, which is about 10 of 64 bits, and 20 with its spread: more than
+bands of a fingerprint can reach without buckets that hold everything. So there documents meet under keys of three minimal
+shingle hashes each, the buckets are compared bit-sliced within 20 bits, and the closest links of a bucket are confirmed by the
+exact similarity of the two sets, in rounds until none is open.
+
 Fewer than four words: one shingle of them all. No words or null text: fingerprint zero, linked like any other. Null
 doc_id: keeps its row; it is never the smallest id unless its whole component has none. Empty table: no rows. Repeated
 rows share a component. Other columns are not looked at.
@@ -29,28 +34,40 @@ from .components import components
 SHINGLE, SEED, BITS = 4, 42, 64
 
 
-def fingerprint(text: str | None, width: int = SHINGLE) -> int:
-    """Unsigned 64-bit fingerprint over shingles of so many words."""
+def shingle_hashes(text: str | None, width: int = SHINGLE):
+    """The XXH64 of each shingle in order, as arrays of up to 65,536."""
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     digest = xxhash.xxh64_digest
     if len(words) <= width:
-        return int.from_bytes(digest(joined, SEED), "big")
+        yield np.frombuffer(digest(joined, SEED), ">u8")
+        return
     ends = [x - 1 for x in accumulate(len(w) + 1 for w in words)]
-    starts = [0, *(x + 1 for x in ends)]
-    set_bits, n = np.zeros(BITS, np.int64), len(words) - width + 1
+    starts, n = [0, *(x + 1 for x in ends)], len(words) - width + 1
     for at in range(0, n, 65536):
         to = min(n, at + 65536)
-        raw = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[at:to], ends[at + width - 1 : to + width - 1], strict=True)])
-        bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1)
+        yield np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[at:to], ends[at + width - 1 : to + width - 1], strict=True)]), ">u8")
+
+
+def majority(blocks) -> int:
+    """The bits set in over half of the hashes."""
+    set_bits, n = np.zeros(BITS, np.int64), 0
+    for h in blocks:
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
         set_bits += (np.ones(len(bits), np.float32) @ bits.astype(np.float32)).astype(np.int64)
+        n += len(h)
     return int.from_bytes(np.packbits(set_bits * 2 > n).tobytes(), "big")
 
 
+def fingerprint(text: str | None, width: int = SHINGLE) -> int:
+    """Unsigned 64-bit fingerprint over shingles of so many words."""
+    return majority(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long)."""
     small_batches(docs.sparkSession)
@@ -87,26 +104,27 @@ def planes_of(lanes: np.ndarray) -> np.ndarray:
 
 def within(queries: np.ndarray, planes: np.ndarray, block: np.ndarray, active: np.ndarray, radius: int) -> np.ndarray:
     """For each (query, block) a word whose lanes within the radius are set. active: the lanes that count."""
-    if not 0 <= radius <= 6:
-        raise ValueError("three counter words hold a radius of 0 to 6")
+    if not 0 <= radius <= 30:
+        raise ValueError("five counter words hold a radius of 0 to 30")
+    limit = radius + 1
+    words = limit.bit_length()
     out = np.zeros(len(queries), np.uint64)
     at = np.arange(len(queries))
-    ones, twos, fours, over = (np.zeros(len(queries), np.uint64) for _ in range(4))
+    counters = [np.zeros(len(queries), np.uint64) for _ in range(words + 1)]  # the last one: overflow, which stays
     q, bl, act = queries, block, active
-    limit = radius + 1
     for p in range(BITS):
         x = planes[p][bl] ^ (np.uint64(0) - ((q >> np.uint64(p)) & np.uint64(1)))
-        carry = ones & x
-        ones ^= x
-        x = twos & carry
-        twos ^= carry
-        over |= fours & x
-        fours ^= x
+        for word in counters[:-1]:
+            carry = word & x
+            word ^= x
+            x = carry
+        counters[-1] |= x
         if p in (15, 23, 31, 43, 63):
             # counters >= limit, most significant word first
-            more, same = over.copy(), ~over
-            for word, bit in ((fours, 4), (twos, 2), (ones, 1)):
-                if limit & bit:
+            more, same = counters[-1].copy(), ~counters[-1]
+            for k in range(words - 1, -1, -1):
+                word = counters[k]
+                if limit >> k & 1:
                     same &= word
                 else:
                     more |= same & word
@@ -117,7 +135,8 @@ def within(queries: np.ndarray, planes: np.ndarray, block: np.ndarray, active: n
             else:
                 live = np.flatnonzero(near)
                 if len(live) < 0.8 * len(at):
-                    at, q, bl, act, ones, twos, fours, over = (v[live] for v in (at, q, bl, act, ones, twos, fours, over))
+                    at, q, bl, act = (v[live] for v in (at, q, bl, act))
+                    counters = [v[live] for v in counters]
                     if not len(at):
                         break
     return out
@@ -141,6 +160,25 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
+def closest_forest(n: int, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Indexes of the links (a, b) that make a spanning forest of the least distances: each component takes its closest link out."""
+    order = np.lexsort((b, a, far))
+    taken, root = [np.empty(0, np.int64)], np.arange(n)
+    while True:
+        x, y = root[a[order]], root[b[order]]
+        apart = x != y
+        order, x, y = order[apart], x[apart], y[apart]
+        if not len(order):
+            return np.concatenate(taken)
+        best, at = np.full(n, len(order)), np.arange(len(order))[::-1]
+        best[x[::-1]] = at
+        other = np.full(n, len(order))
+        other[y[::-1]] = at
+        best = np.minimum(best, other)
+        taken.append(order[np.unique(best[best < len(order)])])
+        root = forest(n, a[np.concatenate(taken)], b[np.concatenate(taken)])
+
+
 def links_of(fp: np.ndarray, group: np.ndarray, cross: np.ndarray, left: np.ndarray, radius: int, chunk: int = 1 << 17):
     """fp: uint64, sorted by group. Links within each group: of all pairs, or where cross is set of left against the rest only. Yields index pairs."""
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
@@ -179,38 +217,88 @@ def links(distinct: DataFrame, radius: int = 4, slice_rows: int = 8192, bands: l
     """distinct: (fp); bands: masks, else by their number. A spanning forest of the links in each bucket: (a, b)."""
     under = masks(radius, distinct.count()) if bands is None else bands
     keys = F.array(*[F.struct(F.lit(j).alias("band"), F.col("fp").bitwiseAND(F.lit(m - (1 << BITS) if m >> (BITS - 1) else m)).alias("key")) for j, m in enumerate(under)])
-    rows = distinct.select("fp", F.inline(keys))
+
+    def joined(cols, pairs):
+        fp = cols["fp"]
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for x, y in pairs:
+            a.append(x)
+            b.append(y)
+            if sum(map(len, a)) > 1 << 21:  # a dense group: what is joined already needs no more links
+                root = forest(len(fp), np.concatenate(a), np.concatenate(b))
+                a, b = [np.flatnonzero(root != np.arange(len(fp)))], [root[root != np.arange(len(fp))]]
+        root = forest(len(fp), np.concatenate(a), np.concatenate(b))
+        child = np.flatnonzero(root != np.arange(len(fp)))
+        return pa.array(fp[child].view(np.int64)), pa.array(fp[root[child]].view(np.int64))
+
+    return bucket_links(distinct.select("fp", F.inline(keys)), radius, slice_rows, joined, ("a", "b"))
+
+
+def similar_links(nodes: DataFrame, similarity: float, radius: int, forests: int = 1, only: DataFrame | None = None, slice_rows: int = 8192) -> DataFrame:
+    """nodes: (node, root, fp, n, keys), n the size of a set. Links within the radius between different roots, of sets whose sizes allow
+    the similarity. Each bucket gives the forest of its closest links, of the rest the next, ...: rows (a, b, null), repeats among
+    buckets; and where links are left over, a row (null, null, g) for the bucket. only: (g), the buckets to look at."""
+
+    def joined(cols, pairs):
+        fp, n, node, root = cols["fp"], cols["n"].astype(np.int64), cols["node"].astype(np.int64), cols["root"].astype(np.int64)
+        x, y, far, held, left_over = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), [], []
+
+        def reduced():
+            a, b, d = (np.concatenate([o, *(h[k] for h in held)]) for k, o in enumerate((x, y, far)))
+            rest, keep = np.arange(len(a)), [np.empty(0, np.int64)]
+            for _ in range(forests):
+                if not len(rest):
+                    break
+                took = closest_forest(len(fp), a[rest], b[rest], d[rest])
+                keep.append(rest[took])
+                rest = np.delete(rest, took)
+            left_over.append(np.unique(cols["g"][a[rest]]))
+            keep = np.concatenate(keep)
+            return a[keep], b[keep], d[keep]
+
+        for i, j in pairs:
+            fits = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
+            i, j = i[fits], j[fits]
+            held.append((i, j, np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64)))
+            if sum(len(h[0]) for h in held) > 1 << 20:
+                (x, y, far), held = reduced(), []
+        x, y, far = reduced()
+        g = np.unique(np.concatenate(left_over)).astype(np.int64)
+        a, b = np.r_[np.minimum(node[x], node[y]), g], np.r_[np.maximum(node[x], node[y]), g]
+        is_link = np.arange(len(a)) < len(x)
+        return pa.array(a, mask=~is_link), pa.array(b, mask=~is_link), pa.array(a, mask=is_link)
+
+    rows = nodes.select("node", "root", "fp", "n", F.posexplode("keys").alias("band", "key"))
+    return bucket_links(rows, radius, slice_rows, joined, ("a", "b", "g"), ("node", "root", "n"), only)
+
+
+def bucket_links(rows: DataFrame, radius: int, slice_rows: int, joined, out: tuple[str, ...], more: tuple[str, ...] = (), only: DataFrame | None = None) -> DataFrame:
+    """rows: (band, key, fp, more). ``joined`` makes of a run of whole buckets' columns and their links within the radius the columns
+    ``out``, all longs. only: (g), the hashes of the buckets (or pairs of slices) to look at."""
     large = rows.groupBy("band", "key").count().filter(F.col("count") > slice_rows).select("band", "key", F.ceil(F.col("count") / slice_rows).cast("int").alias("slices"))
     rows = rows.join(large, ["band", "key"], "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp", *more[:1]), F.col("slices")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    rows = rows.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), "fp")
+    rows = rows.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), "fp", *more)
     group = F.xxhash64("band", "key", "i", "j")
-    rows = rows.select(group.alias("g"), (F.col("i") != F.col("j")).alias("cross"), "left", "fp")
+    rows = rows.select(group.alias("g"), (F.col("i") != F.col("j")).alias("cross"), "left", "fp", *more)
+    names = rows.columns
+    rows = rows if only is None else rows.join(only, "g", "left_semi").select(names)
 
     def run(batches):
         def done(parts):
-            g, cross, left, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
-            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for x, y in links_of(fp, g, cross, left, radius):
-                a.append(x)
-                b.append(y)
-                if sum(map(len, a)) > 1 << 21:  # a dense group: what is joined already needs no more links
-                    root = forest(len(fp), np.concatenate(a), np.concatenate(b))
-                    a, b = [np.flatnonzero(root != np.arange(len(fp)))], [root[root != np.arange(len(fp))]]
-            root = forest(len(fp), np.concatenate(a), np.concatenate(b))
-            child = np.flatnonzero(root != np.arange(len(fp)))
-            return pa.RecordBatch.from_arrays([pa.array(fp[child].view(np.int64)), pa.array(fp[root[child]].view(np.int64))], ["a", "b"])
+            cols = dict(zip(names, (np.concatenate(x) for x in zip(*parts, strict=True)), strict=True))
+            return pa.RecordBatch.from_arrays(list(joined(cols, links_of(cols["fp"], cols["g"], cols["cross"], cols["left"], radius))), list(out))
 
         held, n = [], 0
         for batch in batches:
-            part = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("g", "cross", "left", "fp")]
+            part = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
             part[3] = part[3].astype(np.int64).view(np.uint64)
             if n > 1 << 16 and len(part[0]):
                 g = np.concatenate([p[0] for p in held] + [part[0]])
                 cut = len(g) - int(np.argmax(g[::-1] != g[-1])) if (g != g[-1]).any() else 0  # the last group may go on
                 if cut:
-                    whole = [np.concatenate([p[k] for p in held] + [part[k]]) for k in range(4)]
+                    whole = [np.concatenate([p[k] for p in held] + [part[k]]) for k in range(len(names))]
                     yield done([[v[:cut] for v in whole]])
                     held, n = [[v[cut:] for v in whole]], len(g) - cut
                     continue
@@ -219,7 +307,7 @@ def links(distinct: DataFrame, radius: int = 4, slice_rows: int = 8192, bands: l
         if n:
             yield done(held)
 
-    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long")
+    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, ", ".join(f"{c} long" for c in out))
 
 
 def component_roots(distinct: DataFrame, radius: int) -> DataFrame:
@@ -240,15 +328,83 @@ def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
     return split_join(prints, least, "fp", hot, by=("doc_id",)).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 6, width: int = 5) -> DataFrame:
-    """Of each component the row with the smallest doc_id (null ids last), in its own columns; of equal rows one. Shingles of five words
-    and the widest radius the counters hold: nearer to a similarity of 0.8 than the digest's 4 and 4 come."""
+#: Keys of a document and minimal hashes in each: two sets of similarity 0.8 share none of the keys once in 1,300.
+KEYS, EACH = 10, 3
+
+
+def sketch(text: str | None, width: int = 5) -> tuple[int, int, list[int], np.ndarray]:
+    """Of the set of shingles: a hash of it all, its fingerprint, its keys, and its hashes cut to 32 bits."""
+    import xxhash
+
+    blocks = [np.unique(h.astype(np.uint64)) for h in shingle_hashes(text, width)]
+    if not blocks:
+        return 0, 0, [], np.empty(0, np.int32)
+    h = np.unique(np.concatenate(blocks)) if len(blocks) > 1 else blocks[0]
+    odd = np.random.default_rng(SEED).integers(0, 1 << 63, KEYS * EACH, np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.min([(h[at : at + 4096, None] * odd).min(axis=0) for at in range(0, len(h), 4096)], axis=0).reshape(KEYS, EACH)
+    keys = [xxhash.xxh64_intdigest(least[k].tobytes(), k) for k in range(KEYS)]
+    whole = xxhash.xxh64_intdigest(h.tobytes(), SEED)
+    print_ = majority(h[at : at + 65536].astype(">u8") for at in range(0, len(h), 65536))
+    return whole, print_, keys, np.unique((h >> np.uint64(32)).astype(np.uint32)).view(np.int32)
+
+
+def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
+    """docs: (id, text). id, node, fp, n, keys, hashes."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            made = [sketch(t, width) for t in b.column("text").to_pylist()]
+            node, fp = (pa.array(np.array([m[k] for m in made], np.uint64).view(np.int64)) for k in (0, 1))
+            keys = pa.array([np.array(m[2], np.uint64).view(np.int64) for m in made], pa.list_(pa.int64()))
+            hashes = pa.array([m[3] for m in made], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("id"), node, fp, pa.array([len(m[3]) for m in made], pa.int32()), keys, hashes], ["id", "node", "fp", "n", "keys", "hashes"])
+
+    rows = docs.select("id", F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, node long, fp long, n int, keys array<long>, hashes array<int>")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """pairs: (a, b); sets: (node, hashes), a row per node. The pairs whose sets are so similar."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.select("a", "b", shared.alias("s"), (F.size("x") + F.size("y")).alias("n")).filter(F.col("s") >= F.lit(similarity) * (F.col("n") - F.col("s"))).select("a", "b")
+
+
+def similar_components(nodes: DataFrame, made: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """nodes: (node, fp, n, keys, first); made: (k1, k2, node, hashes). (node, root) as by ``components``, of the links that the sets
+    confirm. A refused link may have stood for others of its bucket, so buckets with links left over between different components
+    are looked at again, with twice as many forests, until none is left: then each link of a bucket was confirmed, refused, or lies
+    within a component. Rounds grow with the logarithm of a document's links."""
+    rooted, only, forests, seen, good, sets = nodes.withColumn("root", F.col("node")), None, 1, None, None, None
+    while True:
+        found = staged(similar_links(rooted, similarity, radius, forests, only), "simhash-links")
+        pairs = found.filter("a is not null").select("a", "b").distinct()
+        pairs = staged(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "simhash-pairs")
+        if sets is None:  # whoever has links has one in a first forest
+            met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+            owners = nodes.join(met, "node").select("first.k1", "first.k2")
+            sets = staged(made.join(owners, ["k1", "k2"], "left_semi").dropDuplicates(["node"]).select("node", "hashes"), "simhash-sets")
+        passed = staged(confirmed(pairs, sets, similarity), "simhash-confirmed")
+        seen, good = (pairs, passed) if seen is None else (seen.union(pairs), good.union(passed))
+        roots = components(good)
+        only = found.filter("g is not null").select("g").distinct()
+        if only.isEmpty():
+            return roots
+        rooted = staged(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("first"), "simhash-rooted")
+        forests *= 2
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, radius: int = 20, width: int = 5) -> DataFrame:
+    """Of each component the row with the smallest doc_id (null ids last), in its own columns; of equal rows one. Links: sets of
+    shingles of so many words with that similarity or more (Jaccard). Texts of one set of shingles are one, and so are those without
+    words. A link is missed if the two share no key or differ in more bits than the radius."""
     keyed = docs.select(packed(docs), "doc_id", "text", *doc_keys(F.col("doc_id"), F.col("text")))
-    prints = staged(fingerprints(keyed.select(F.struct("doc_id", "k1", "k2").alias("doc_id"), "text"), width).select("doc_id.*", "fp"), "simhash")
+    made = staged(sketches(keyed.select(F.struct("doc_id", "k1", "k2").alias("id"), "text"), width).select("id.*", "node", "fp", "n", "keys", "hashes"), "simhash")
     place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "k1", "k2")
-    distinct = staged(prints.groupBy("fp").agg(F.min(place).alias("first")), "simhash-distinct")
-    roots = components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
-    firsts = distinct.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    nodes = staged(made.groupBy("node", "fp", "n", "keys").agg(F.min(place).alias("first")), "simhash-distinct")
+    roots = similar_components(nodes, made.select("k1", "k2", "node", "hashes"), similarity, radius)
+    firsts = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     return keyed.join(firsts.select("first.k1", "first.k2"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select(*unpacked(docs))
 
 

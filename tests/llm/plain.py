@@ -268,14 +268,10 @@ def languages(docs, pieces, held, iterations=2, smooth=0.05, temper=12.0):
     return out
 
 
-def fingerprint(text, width):
-    """SimHash over shingles of so many words."""
-    import xxhash
-
+def shingles(text, width):
+    """The set of shingles of so many words."""
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    shingles = [" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))] if w else []
-    hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles]
-    return sum((2 * sum(h >> b & 1 for h in hashes) > len(hashes)) << b for b in range(64))
+    return {" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
 
 
 def item_words(text):

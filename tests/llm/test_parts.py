@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 
 from millrace.llm import ann, common, components, decontaminate, langid, linededup, lm, mixing, pii, simhash, tokencount, warc
 from millrace.llm.common import put_file, work_dir
+from pyspark.sql import functions as F
 
 from . import plain
 
@@ -76,7 +77,7 @@ def test_bit_sliced_distances():
     base = rng.integers(0, 1 << 63, 20, dtype=np.uint64)
     fp = np.concatenate([base, *(base ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, k, replace=False))) for k in range(1, 9))])
     group = np.sort(rng.integers(0, 3, len(fp)))
-    for radius in (0, 3, 4, 6):
+    for radius in (0, 3, 4, 6, 7, 18, 30):
         got = {(min(a, b), max(a, b)) for x, y in simhash.links_of(fp, group, np.zeros(len(fp), bool), np.ones(len(fp), bool), radius) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
         want = {(i, j) for j in range(len(fp)) for i in range(j) if group[i] == group[j] and (int(fp[i]) ^ int(fp[j])).bit_count() <= radius}
         assert got == want
@@ -107,6 +108,54 @@ def test_sliced_buckets_lose_no_link(spark):
     assert groups([tuple(r) for r in simhash.links(df, 4, bands=simhash.masks(4, 10**8)).collect()]) == want
 
 
+def test_closest_forest():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        a, b, far = rng.integers(0, 40, 60), rng.integers(0, 40, 60), rng.integers(0, 9, 60)
+        kept = simhash.closest_forest(40, a, b, far)
+        root, length, count = list(range(40)), 0, 0
+        for d, x, y in sorted(zip(far.tolist(), a.tolist(), b.tolist(), strict=True)):  # Kruskal
+            if root[x] != root[y]:
+                length, count = length + d, count + 1
+                root = [root[y] if r == root[x] else r for r in root]
+        assert len(kept) == count and far[kept].sum() == length
+        assert np.array_equal(simhash.forest(40, a[kept], b[kept]), simhash.forest(40, a, b))
+
+
+def test_keep_one_of_similar_documents(spark):
+    rng = random.Random(6)
+
+    def text(n):
+        return [f"w{rng.randrange(5000)}" for _ in range(n)]
+
+    rows = []
+    for n in (6, 30, 120, 120, 400, 900):
+        base = text(n)
+        rows += [" ".join(base), " ".join(base).upper(), " \n".join(base)]
+        for changes in (1, 2, 4, 8, 16, 30):
+            for _ in range(4):
+                words = list(base)
+                for at in rng.sample(range(n), min(changes, n // 3)):
+                    words[at] = f"x{rng.randrange(5000)}"
+                rows.append(" ".join(words))
+        rows.append(" ".join(base[: n * 9 // 10]))
+        rows.append(" ".join(base + text(n // 2)))
+    rows += ["", None, "one", "One", "one two", "spam " * 50, "spam " * 300, "spam " * 300 + "and then some more words follow here"]
+    rng.shuffle(rows)
+    sets = [plain.shingles(t, 5) for t in rows]
+    least = list(range(len(rows)))
+    for j, y in enumerate(sets):
+        for i in range(j):
+            if len(sets[i] & y) >= 0.8 * len(sets[i] | y) and least[i] != least[j]:
+                low, high = sorted((least[i], least[j]))
+                least = [low if r == high else r for r in least]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(5)
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == sorted(set(least))
+    nodes = simhash.sketches(df.withColumnRenamed("doc_id", "id")).dropDuplicates(["node"]).withColumn("root", F.col("node"))
+    whole, sliced = ({(r.a, r.b) for r in simhash.similar_links(nodes, 0.8, 20, 1000, None, k).collect() if r.g is None} for k in (8192, 8))
+    assert whole == sliced and len(whole) > 100
+
+
 def test_masks_leave_no_pair_out():
     assert [len(simhash.masks(4, n)) for n in (10, 10**8, 10**10, 10**13)] == [5, 15, 35, 70]
     rng = random.Random(5)

@@ -25,10 +25,10 @@ def plain(docs, items, identified):
             kept.append(d | {"text": text})
     reps = []
     comp = {d["doc_id"]: d["doc_id"] for d in kept}
-    fp = {d["doc_id"]: plainly.fingerprint(d["text"], 5) for d in kept}
-    for a in fp:
-        for b in fp:
-            if b < a and (fp[a] ^ fp[b]).bit_count() <= 6:
+    sets = {d["doc_id"]: plainly.shingles(d["text"], 5) for d in kept}
+    for a in sets:
+        for b in sets:
+            if b < a and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 old, new = max(comp[a], comp[b]), min(comp[a], comp[b])
                 comp = {k: new if v == old else v for k, v in comp.items()}
     reps = [d for d in kept if comp[d["doc_id"]] == d["doc_id"]]
