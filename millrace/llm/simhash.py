@@ -374,7 +374,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 def similar_components(nodes: DataFrame, made: DataFrame, similarity: float, radius: int) -> DataFrame:
     """nodes: (node, fp, n, keys, first); made: (k1, k2, node, hashes). (node, root) as by ``components``, of the links that the sets
     confirm. A refused link may have stood for others of its bucket, so buckets with links left over between different components
-    are looked at again, with twice as many forests, until none is left: then each link of a bucket was confirmed, refused, or lies
+    are looked at again, with four times as many forests, until none is left: then each link of a bucket was confirmed, refused, or lies
     within a component. Rounds grow with the logarithm of a document's links."""
     rooted, only, forests, seen, good, sets = nodes.withColumn("root", F.col("node")), None, 1, None, None, None
     while True:
@@ -392,7 +392,7 @@ def similar_components(nodes: DataFrame, made: DataFrame, similarity: float, rad
         if only.isEmpty():
             return roots
         rooted = staged(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("first"), "simhash-rooted")
-        forests *= 2
+        forests *= 4
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, radius: int = 20, width: int = 5) -> DataFrame:
