@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, linededup, lm, mixing, pii, simhash, tokencount, warc
+from . import ann, decontaminate, langid, linededup, lm, mixing, pii, simhash, tokencount, tokenindex, warc
 from .common import read
 
 
@@ -48,5 +48,12 @@ def op10_decontamination(spark, sf_dir):
     return decontaminate.digest(decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_ann, op3_line_dedup, op4_token_counts, op5_lm_scoring, op6_mixing, op7_simhash, op8_warc, op9_language_id, op10_decontamination)}
+def op12_token_index(spark, sf_dir):
+    return tokenindex.query(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_pii, op2_ann, op3_line_dedup, op4_token_counts, op5_lm_scoring, op6_mixing, op7_simhash, op8_warc, op9_language_id, op10_decontamination, op12_token_index)
+}
 SQL = {"op6_mixing": mixing.SQL, "op8_warc": warc.SQL, "op10_decontamination": decontaminate.SQL}
