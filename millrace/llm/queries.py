@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, linededup, lm, mixing, pii, simhash, tokencount, tokenindex, warc
+from . import alignment, ann, decontaminate, hardneg, langid, linededup, lm, mixing, pii, simhash, tokencount, tokenindex, warc
 from .common import read
 
 
@@ -48,12 +48,23 @@ def op10_decontamination(spark, sf_dir):
     return decontaminate.digest(decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
+def op11_token_alignment(spark, sf_dir):
+    return alignment.query(read(spark, sf_dir, "documents"))
+
+
 def op12_token_index(spark, sf_dir):
     return tokenindex.query(read(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark, sf_dir):
+    return hardneg.query(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_pii, op2_ann, op3_line_dedup, op4_token_counts, op5_lm_scoring, op6_mixing, op7_simhash, op8_warc, op9_language_id, op10_decontamination, op12_token_index)
-}
-SQL = {"op6_mixing": mixing.SQL, "op8_warc": warc.SQL, "op10_decontamination": decontaminate.SQL}
+    for f in (
+        op1_pii, op2_ann, op3_line_dedup, op4_token_counts, op5_lm_scoring, op6_mixing, op7_simhash, op8_warc, op9_language_id, op10_decontamination,
+        op11_token_alignment, op12_token_index, op13_hard_negatives,
+    )
+}
+SQL = {"op6_mixing": mixing.SQL, "op8_warc": warc.SQL, "op10_decontamination": decontaminate.SQL, "op13_hard_negatives": hardneg.SQL}
