@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import session_of, small_batches, staged, tokenizer_dir
-from .pieces import Kept, byte_bpe, chunks
+from .pieces import CUT, byte_bpe_batch, chunks
 
 #: Characters of text in a block.
 BLOCK = 1 << 24
@@ -54,43 +55,69 @@ def piece_table(model) -> list[bytes]:
 
 
 class Aligner:
-    """Groups of a piece by both tokenizers."""
+    """Groups of pieces by both tokenizers, many pieces at once."""
 
     def __init__(self, config: str, proto: bytes):
         import sentencepiece
 
-        self.a = byte_bpe(config, plain=True)
+        self.a = byte_bpe_batch(config, plain=True)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=proto)
         self.a_bytes, self.b_bytes = byte_table(config), piece_table(self.model)
+        self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+        n, m = range(len(self.a_bytes)), range(len(self.b_bytes))
+        #: Ids as text, each with what follows it: A's within and at the end of a group's A ids, then B's.
+        self.written = pa.array([f"{i}{end}" for ids, ends in ((n, ",|"), (m, ",;")) for end in ends for i in ids])
 
-    def b(self, piece: str) -> list[int]:
+    def b(self, pieces: list[str]) -> list[list[int]]:
         """A piece that begins with a line feed has no word mark of its own."""
-        if piece.startswith(" "):
-            return self.model.encode(piece[1:])
-        ids = self.model.encode(piece)
-        return ids[1:] if ids and self.b_bytes[ids[0]] == b" " else ids
-
-    def groups(self, piece: str) -> tuple[int, int, list[str]] | None:
-        """Numbers of A and B tokens, and the groups; None if the bytes differ."""
-        a, b, raw = self.a(piece), self.b(piece), piece.encode()
-        x, y = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(x) != raw or b"".join(y) != raw:
-            return None
-        out, i, j, at_a, at_b, first_a, first_b = [], 0, 0, 0, 0, 0, 0
-        while i < len(a) or j < len(b):
-            if at_a <= at_b and i < len(a):
-                at_a += len(x[i])
-                i += 1
-            else:
-                at_b += len(y[j])
-                j += 1
-            if at_a == at_b:
-                out.append(",".join(map(str, a[first_a:i])) + "|" + ",".join(map(str, b[first_b:j])))
-                first_a, first_b = i, j
-        return len(a), len(b), out
-
-
-_WORKERS: dict = {}
+        out = self.model.encode([p[1:] if p[:1] == " " else p for p in pieces], num_threads=1)
+        return [ids if p[:1] == " " or not ids or self.b_bytes[ids[0]] != b" " else ids[1:] for p, ids in zip(pieces, out, strict=True)]
+
+    def align(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array, list[str]]:
+        """Of each piece whether its bytes are those of its tokens, the numbers of A and B tokens and of groups; all groups in order, each with a
+        closing semicolon; and each piece's groups joined."""
+        a, b, raw = self.a(pieces), self.b(pieces), [p.encode() for p in pieces]
+        ok = np.array([b"".join([self.a_bytes[i] for i in x]) == r and b"".join([self.b_bytes[i] for i in y]) == r for x, y, r in zip(a, b, raw, strict=True)], bool)
+        n_a, n_b = (np.where(ok, np.fromiter(map(len, x), np.int64, len(x)), 0) for x in (a, b))
+        ids_a, ids_b = (np.fromiter(chain.from_iterable(x[k] for k in np.flatnonzero(ok).tolist()), np.int64) for x in (a, b))
+        ends_a, ends_b = np.cumsum(self.a_size[ids_a]), np.cumsum(self.b_size[ids_b])  # within all pieces' bytes, so a piece's end is common
+        last_a, last_b = ends_b[np.minimum(np.searchsorted(ends_b, ends_a), len(ends_b) - 1)] == ends_a, ends_a[np.minimum(np.searchsorted(ends_a, ends_b), len(ends_a) - 1)] == ends_b
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        upto_a, upto_b = np.flatnonzero(last_a) + 1, np.concatenate([[0], np.flatnonzero(last_b) + 1])
+        order = np.empty(len(ids_a) + len(ids_b), np.int64)
+        order[np.arange(len(ids_a)) + upto_b[group_a]] = ids_a + len(self.a_size) * last_a
+        order[np.arange(len(ids_b)) + (upto_a[group_b] if len(upto_a) else 0)] = ids_b + 2 * len(self.a_size) + len(self.b_size) * last_b
+        text = self.written.take(pa.array(order))
+        at = np.frombuffer(text.buffers()[1], np.int32, len(text) + 1) if len(text) else np.zeros(1, np.int32)
+        stops = at[upto_a + upto_b[1:]]
+        n_groups = np.zeros(len(pieces), np.int64)
+        np.add.at(n_groups, np.repeat(np.arange(len(pieces)), n_a)[last_a], 1)
+        by_piece = at[np.cumsum(n_a + n_b)]
+        return ok, n_a, n_b, n_groups, _slices(text, stops), _slices(text, by_piece).to_pylist()
+
+
+def _slices(text: pa.Array, stops: np.ndarray) -> pa.Array:
+    """The characters of consecutive strings, cut anew: no copy."""
+    if not len(text):
+        return pa.array([""] * len(stops), pa.string())
+    offsets = np.concatenate([[0], stops]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(stops), pa.py_buffer(offsets), text.buffers()[2])
+
+
+class Grown:
+    """Whole numbers that are appended to."""
+
+    def __init__(self):
+        self.held, self.n = np.empty(1 << 10, np.int64), 0
+
+    def add(self, x: np.ndarray) -> None:
+        while self.n + len(x) > len(self.held):
+            self.held = np.concatenate([self.held, np.empty_like(self.held)])
+        self.held[self.n : self.n + len(x)] = x
+        self.n += len(x)
+
+    def all(self) -> np.ndarray:
+        return self.held[: self.n]
 
 
 class Interned:
@@ -101,17 +128,22 @@ class Interned:
         self.fresh()
 
     def fresh(self) -> None:
+        self.number: dict[str, int] = {}
         self.groups: dict[str, int] = {}
-        self.pieces: list = []  # (a tokens, b tokens, numbers of groups, groups joined) or None
-        self.kept = Kept(self._number, most=1 << 62)
+        self.joined: list[str] = []
+        self.ok, self.n_a, self.n_b, self.n_groups, self.of = (Grown() for _ in range(5))  # of: all pieces' groups in order
+
+    def add(self, pieces: list[str]) -> None:
+        ok, n_a, n_b, n_groups, groups, joined = self.aligner.align(pieces)
+        found = groups.dictionary_encode()
+        numbers = np.array([self.groups.setdefault(g, len(self.groups)) for g in found.dictionary.to_pylist()], np.int64)
+        self.number.update((p, len(self.joined) + i) for i, p in enumerate(pieces))
+        self.joined += joined
+        for kept, x in ((self.ok, ok), (self.n_a, n_a), (self.n_b, n_b), (self.n_groups, n_groups), (self.of, numbers[found.indices.to_numpy()] if len(groups) else np.empty(0, np.int64))):
+            kept.add(x)
 
-    def _number(self, piece: str) -> int:
-        made = self.aligner.groups(piece)
-        if made:
-            a, b, groups = made
-            made = a, b, np.array([self.groups.setdefault(g, len(self.groups)) for g in groups], np.int64), ";".join(groups)
-        self.pieces.append(made)
-        return len(self.pieces) - 1
+
+_WORKERS: dict = {}
 
 
 def _worker(config: str, proto: bytes) -> Interned:
@@ -123,58 +155,64 @@ def _worker(config: str, proto: bytes) -> Interned:
 
 
 DOCUMENT = "n_a: bigint, n_b: bigint, n_groups: bigint, sha: string"
-#: Pieces and groups after which a worker starts anew, at the end of a block.
-MOST = 1 << 19
-
-
-def _counted(numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    found, times = np.unique(np.concatenate(numbers) if numbers else np.empty(0, np.int64), return_counts=True)
-    return found, times
+#: Pieces or groups after which a worker starts anew, at the end of a block; characters whose new pieces are aligned together.
+MOST, TOGETHER = 1 << 19, 1 << 20
 
 
 class Block:
     """Documents of a block as they are taken."""
 
     def __init__(self, own: Interned):
-        self.own, self.size, self.docs, self.at, self.n, self.pairs = own, 0, [], [], [], []
+        self.own, self.size = own, 0
+        self.ids, self.waiting, self.waits = [], [], 0  # waiting: (document, pieces of a chunk)
+        self.sha: dict = {}
+        self.docs, self.numbers = [], []  # a document and the numbers of pieces, of each chunk
 
     def take(self, doc_id, text: str | None) -> None:
         self.size += len(text or "") + 64
-        held, own = [], self.own
-        for chunk in chunks(" " + text if text else ""):
-            if chunk:
-                numbers = np.fromiter(own.kept.of(chunk), np.int64)
-                found, times = _counted([numbers])
-                if any(own.pieces[k] is None for k in found.tolist()):
-                    held = []
-                    break
-                held.append((numbers, found, times))
-        if not held:
-            self.docs.append((doc_id, 0, 0, 0, ""))
-            self.pairs.append(0)
-            return
-        sha, n_a, n_b, ids, counts = hashlib.sha256(), 0, 0, [], []
-        for i, (numbers, found, times) in enumerate(held):
-            sha.update(((";" if i else "") + ";".join([own.pieces[k][3] for k in numbers.tolist()])).encode())
-            for k, n in zip(found.tolist(), times.tolist(), strict=True):
-                a, b, groups, _ = own.pieces[k]
-                n_a, n_b = n_a + a * n, n_b + b * n
-                ids.append(groups)
-                counts.append(np.full(len(groups), n))
-        groups, back = np.unique(np.concatenate(ids), return_inverse=True)
-        times = np.bincount(back, np.concatenate(counts)).astype(np.int64)
-        self.docs.append((doc_id, n_a, n_b, int(times.sum()), sha.hexdigest()))
-        self.at.append(groups)
-        self.n.append(times)
-        self.pairs.append(len(groups))
+        for chunk in chunks(" " + text) if text else ():
+            self.waiting.append((len(self.ids), CUT.split(chunk)))
+            self.waits += len(chunk)
+            if self.waits >= TOGETHER:
+                self.settle()
+        self.ids.append(doc_id)
+
+    def settle(self) -> None:
+        """Pieces that wait become numbers, and their groups part of their documents' digests."""
+        own = self.own
+        if new := list({p for _, parts in self.waiting for p in parts if p not in own.number}):
+            own.add(new)
+        for doc, parts in self.waiting:
+            numbers = np.fromiter(map(own.number.__getitem__, parts), np.int64, len(parts))
+            self.docs.append(doc)
+            self.numbers.append(numbers)
+            if doc in self.sha:
+                self.sha[doc].update(b";")
+            self.sha.setdefault(doc, hashlib.sha256()).update("".join([own.joined[k] for k in numbers.tolist()])[:-1].encode())
+        self.waiting, self.waits = [], 0
 
     def row(self, number: int, id_type) -> pa.RecordBatch:
-        at, n = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (self.at, self.n))
-        used, at = np.unique(at, return_inverse=True)
-        names = list(self.own.groups)
-        c = list(zip(*self.docs, strict=True))
-        docs = pa.StructArray.from_arrays([pa.array(c[0], id_type), *[pa.array(x, pa.int64()) for x in c[1:4]], pa.array(c[4])], ["doc_id", "n_a", "n_b", "n_groups", "sha"])
-        lists = [docs, pa.array([names[g] for g in used.tolist()], pa.string()), *[pa.array(x, pa.int64()) for x in (np.bincount(at, n, len(used)).astype(np.int64), np.bincount(at, minlength=len(used)))], pa.array(self.pairs, pa.int32()), pa.array(at, pa.int32()), pa.array(n, pa.int32())]
+        self.settle()
+        own, n = self.own, len(self.ids)
+        docs = np.repeat(np.array(self.docs, np.int64), np.array([len(x) for x in self.numbers], np.int64))
+        numbers = np.concatenate(self.numbers) if self.numbers else np.empty(0, np.int64)
+        good = np.bincount(docs, 1 - own.ok.all()[numbers], n) == 0
+        docs, numbers = docs[good[docs]], numbers[good[docs]]
+        n_a, n_b, n_groups = (np.bincount(docs, x.all()[numbers], n).astype(np.int64) for x in (own.n_a, own.n_b, own.n_groups))
+        pair, times = np.unique(docs * len(own.joined) + numbers, return_counts=True)  # a document's pieces
+        docs, numbers = np.divmod(pair, max(1, len(own.joined)))
+        size = own.n_groups.all()[numbers]
+        start = (np.cumsum(own.n_groups.all()) - own.n_groups.all())[numbers]
+        groups = own.of.all()[np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)]
+        pair, back = np.unique(np.repeat(docs, size) * max(1, len(own.groups)) + groups, return_inverse=True)  # a document's groups
+        times = np.bincount(back, np.repeat(times, size), len(pair)).astype(np.int64)
+        docs, groups = np.divmod(pair, max(1, len(own.groups)))
+        used, at = np.unique(groups, return_inverse=True)
+        names = list(own.groups)
+        sha = [self.sha[i].hexdigest() if g and i in self.sha else "" for i, g in enumerate(good.tolist())]
+        rows = pa.StructArray.from_arrays([pa.array(self.ids, id_type), *[pa.array(x) for x in (n_a, n_b, n_groups)], pa.array(sha, pa.string())], ["doc_id", "n_a", "n_b", "n_groups", "sha"])
+        occurrences, holding = np.bincount(at, times, len(used)).astype(np.int64), np.bincount(at, minlength=len(used)).astype(np.int64)
+        lists = [rows, pa.array([names[g][:-1] for g in used.tolist()], pa.string()), pa.array(occurrences), pa.array(holding), pa.array(np.bincount(docs, minlength=n), pa.int32()), pa.array(at, pa.int32()), pa.array(times, pa.int32())]
         one = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
         return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *one], ["block", "docs", "groups", "occurrences", "documents", "pairs", "at", "n"])
 
@@ -232,7 +270,7 @@ def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None,
             kind = b.column("doc_id").type
             for doc, text in zip(b.column("doc_id"), b.column("text"), strict=True):
                 if held is None:
-                    if len(own.pieces) > MOST or len(own.groups) > MOST:
+                    if len(own.joined) > MOST or len(own.groups) > MOST:
                         own.fresh()
                     held = Block(own)
                 held.take(doc.as_py(), text.as_py())

@@ -51,8 +51,7 @@ class Kept(dict):
         return map(self.__getitem__, CUT.split(chunk))
 
 
-def byte_bpe(config: str, plain: bool) -> Callable[[str], list[int]]:
-    """Ids of a text by a tokenizers file's content. plain: the strings of special tokens are ordinary text."""
+def _tokenizer(config: str, plain: bool):
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,9 +59,21 @@ def byte_bpe(config: str, plain: bool) -> Callable[[str], list[int]]:
 
     t = Tokenizer.from_str(config)
     t.encode_special_tokens = plain
+    return t
+
+
+def byte_bpe(config: str, plain: bool) -> Callable[[str], list[int]]:
+    """Ids of a text by a tokenizers file's content. plain: the strings of special tokens are ordinary text."""
+    t = _tokenizer(config, plain)
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
+def byte_bpe_batch(config: str, plain: bool) -> Callable[[list[str]], list[list[int]]]:
+    """The same for many texts."""
+    t = _tokenizer(config, plain)
+    return lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def packed_ids(config: str, code: str) -> Kept:
     """Pieces to their ids as bytes, ``code`` being an array's type. A word's closing marks are a piece of their own."""
     encode = byte_bpe(config, plain=False)
