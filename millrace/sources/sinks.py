@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .readers import exists
 
@@ -51,34 +55,108 @@ def check_fields(df: DataFrame, required=REQUIRED) -> None:
 
 
 class KeyedTable:
-    """A Parquet table upserted by key, in versions: a new version is written whole beside the old and becomes current by
-    its marker file, so a reader never sees half of one and a failed write changes nothing. Writers must not overlap."""
+    """A Parquet table upserted by key. Rows lie in buckets by their keys' hash; an upsert writes the buckets it touches anew, beside the old
+    ones, and then a pointer file that says which version of each bucket is current. A reader sees all of an upsert or none of it, and a write
+    that fails leaves nothing that is read. Writers must not overlap: the second to finish fails. ``vacuum`` drops what no kept version names."""
 
-    def __init__(self, spark: SparkSession, path: str, keys, buckets: int = 16):
+    def __init__(self, spark: SparkSession, path: str, keys, buckets: int = 64):
         self.spark, self.path, self.keys, self.buckets = spark, path.rstrip("/"), [keys] if isinstance(keys, str) else list(keys), buckets
 
-    def _versions(self) -> list[int]:
-        if not exists(self.spark, self.path):
-            return []
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        names = [f.getPath().getName() for f in p.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(p)]
-        return sorted(int(n[1:]) for n in names if n[1:].isdigit() and exists(self.spark, f"{self.path}/{n}/_SUCCESS"))
+    def _hadoop(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def read(self) -> DataFrame | None:
-        v = self._versions()
-        return self.spark.read.parquet(f"{self.path}/v{v[-1]}") if v else None
+    def _names(self, folder: str) -> list[str]:
+        if not exists(self.spark, folder):
+            return []
+        fs, p = self._hadoop(folder)
+        return [f.getPath().getName() for f in fs.listStatus(p)]
+
+    def versions(self) -> list[int]:
+        return sorted(int(n.removesuffix(".json")) for n in self._names(f"{self.path}/versions") if n.endswith(".json"))
+
+    def pointer(self, version: int | None = None) -> dict | None:
+        """schema, keys, buckets, the version of each bucket, and the last batch of a stream. A few numbers a bucket."""
+        v = self.versions()
+        if not v:
+            return None
+        fs, p = self._hadoop(f"{self.path}/versions/{v[-1] if version is None else version}.json")
+        stream = fs.open(p)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def _point(self, version: int, pointer: dict) -> None:
+        fs, p = self._hadoop(f"{self.path}/versions/{version}.json")
+        _, tmp = self._hadoop(f"{self.path}/versions/{uuid.uuid4().hex}.tmp")
+        stream = fs.create(tmp, False)
+        stream.write(bytearray(json.dumps(pointer).encode()))
+        stream.close()
+        if fs.exists(p) or not fs.rename(tmp, p):
+            fs.delete(tmp, False)
+            raise RuntimeError(f"another writer made version {version} of {self.path}")
+
+    def _files(self, pointer: dict, buckets=None) -> DataFrame | None:
+        paths = [f"{self.path}/data/v{v}/bucket={b}" for b, v in pointer["at"].items() if buckets is None or int(b) in buckets]
+        schema = StructType.fromJson(pointer["schema"])
+        return self.spark.read.schema(schema).parquet(*paths) if paths else None
+
+    def read(self, version: int | None = None) -> DataFrame | None:
+        """The rows of a version, the last unless given."""
+        p = self.pointer(version)
+        if p is None:
+            return None
+        rows = self._files(p)
+        return self.spark.createDataFrame([], StructType.fromJson(p["schema"])) if rows is None else rows
 
     def drop(self) -> None:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-
-    def upsert(self, rows: DataFrame, order) -> None:
-        """Rows replace those of their key; of rows with one key the last by order stays."""
-        new, old = last_wins(rows, self.keys, order), self.read()
-        if old is not None:
-            new = old.join(new.select(*self.keys), self.keys, "left_anti").unionByName(new, allowMissingColumns=True)
-        v = self._versions()
-        new.write.mode("overwrite").parquet(f"{self.path}/v{v[-1] + 1 if v else 0}")
+        fs, p = self._hadoop(self.path)
+        fs.delete(p, True)
+
+    def upsert(self, rows: DataFrame, order, over_table: bool = False, batch: int | None = None) -> list[int]:
+        """Rows replace those of their key; of rows with one key the last by order stays. over_table: a row of the table stays if it comes later.
+        batch: a stream's batch number; one that the table has seen is skipped. Returns the buckets written."""
+        old, v = self.pointer(), self.versions()
+        if old and batch is not None and old["batch"] is not None and old["batch"] >= batch:
+            return []
+        version, n = (v[-1] + 1 if v else 0), old["buckets"] if old else self.buckets
+        if old and old["keys"] != self.keys:
+            raise ValueError(f"the table's keys are {old['keys']}")
+        incoming = f"{self.path}/incoming/v{version}"
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(n)).cast("int")
+        last_wins(rows, self.keys, order).withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(incoming)
+        touched = {int(x.removeprefix("bucket=")) for x in self._names(incoming) if x.startswith("bucket=")}
+        schema = rows.schema if not old else StructType([*StructType.fromJson(old["schema"]).fields, *[f for f in rows.schema if f.name not in {x["name"] for x in old["schema"]["fields"]}]])
+        if touched:
+            new = self.spark.read.schema(rows.schema).parquet(*[f"{incoming}/bucket={b}" for b in sorted(touched)])
+            before = self._files(old, touched) if old else None
+            if before is not None:
+                first = [] if over_table else ["__new"]
+                both = new.withColumn("__new", F.lit(1)).unionByName(before.withColumn("__new", F.lit(0)), allowMissingColumns=True)
+                new = last_wins(both, self.keys, [*first, *order])
+            new.select(*schema.names).withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/v{version}")
+        at = (old["at"] if old else {}) | {str(b): version for b in touched}
+        self._point(version, {"schema": schema.jsonValue(), "keys": self.keys, "buckets": n, "at": at, "batch": batch if batch is not None else old["batch"] if old else None})
+        fs, p = self._hadoop(incoming)
+        fs.delete(p, True)
+        return sorted(touched)
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Drops the pointers before the last ``keep`` and the buckets that no other names; how many buckets went."""
+        versions = self.versions()
+        named = {(v, int(b)) for n in versions[-keep:] for b, v in self.pointer(n)["at"].items()}
+        gone = 0
+        for n in versions[:-keep]:
+            fs, p = self._hadoop(f"{self.path}/versions/{n}.json")
+            fs.delete(p, False)
+        for folder in self._names(f"{self.path}/data"):
+            for b in self._names(f"{self.path}/data/{folder}"):
+                if b.startswith("bucket=") and (int(folder[1:]), int(b.removeprefix("bucket="))) not in named and (not versions or int(folder[1:]) <= versions[-1]):
+                    fs, p = self._hadoop(f"{self.path}/data/{folder}/{b}")
+                    fs.delete(p, True)
+                    gone += 1
+        return gone
 
 
 def progress(rows: DataFrame, key: str, batch: int, parts: int = 1024) -> DataFrame:
