@@ -1,8 +1,8 @@
 """Case parsing: fields of a request by a fixed order of sources; rules on the parsed fields.
 
 Sources of a field, the first that isn't empty: the prompt's record after its marker (overrides), the request's own JSON
-keys, quoted fields, dictionary-like fields, patterns of the running text. All built-in expressions; nested braces in a
-record, which patterns can't balance, are cut at the first closing brace.
+keys, quoted fields, dictionary-like fields, patterns of the running text. All built-in expressions; braces are balanced by
+a fold over a text's braces.
 """
 
 from __future__ import annotations
@@ -73,10 +73,25 @@ def working_text(text, payload: Column) -> Column:
     return F.array_join(F.concat(F.array(t), F.when(messages.isNotNull(), given).otherwise(found)), "\n")
 
 
+def balanced(text: Column) -> Column:
+    """From the opening brace that a text begins with to the one that closes it, whatever is nested between; '' if none does."""
+    none = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("done"))
+
+    def step(s, part):  # each part but the last ends with a brace
+        depth = s["depth"] + F.when(part.endswith("{"), 1).when(part.endswith("}"), -1).otherwise(0)
+        return F.when(s["done"], s).otherwise(F.struct(depth.alias("depth"), (s["n"] + F.length(part)).alias("n"), (depth == 0).alias("done")))
+
+    n = F.aggregate(F.split(text, r"(?<=[{}])"), none, step, lambda s: F.when(s["done"], s["n"]).otherwise(0))
+    return F.substring(text, F.lit(1), n)
+
+
 def record_after(text, marker: str, schema: str) -> Column:
-    """The dictionary after a marker, in JSON's or Python's quotes; null if there is none."""
-    cut = F.regexp_extract(text_or_empty(text), f"(?s)\\Q{marker}\\E.*?(\\{{[^{{}}]*\\}})", 1)
-    return F.when(cut != "", F.from_json(cut, schema, {"allowSingleQuotes": "true"}))
+    """The first dictionary after a marker, in JSON's or Python's quotes and words, with its nested ones; null if there is none or it isn't closed."""
+    t = text_or_empty(text)
+    after = F.regexp_extract(t, f"(?s)\\Q{marker}\\E[^{{]*(\\{{.*)", 1)
+    cut = balanced(after)
+    words = F.regexp_replace(F.regexp_replace(F.regexp_replace(cut, r"([:,\[]\s*)None(?=\s*[,}\]])", "$1null"), r"([:,\[]\s*)True(?=\s*[,}\]])", "$1true"), r"([:,\[]\s*)False(?=\s*[,}\]])", "$1false")
+    return F.when(cut != "", F.from_json(words, schema, {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"}))
 
 
 def immune_state(code) -> Column:
