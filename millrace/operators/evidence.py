@@ -5,12 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.encoders import encode
 from ..functions.text import col, ordered_distinct, squash, text_or_empty
+from . import retrieval
+from .collection import Collection
 
 MAX_DOCS, MAX_CHARS = 12, 1800
+#: Queries of a case are numbered below this.
+MAX_QUERIES = 100
 NOTHING = "未从知识库检索到可用证据。此时 evidence 数组必须为空，不要编造文献来源。"
 
 
+def search(collection: Collection, queries: DataFrame, make_encoder, work: str, top_k: int = retrieval.TOP_K, candidates: int = retrieval.CANDIDATES) -> DataFrame:
+    """queries: (case_id, a number; query_no below MAX_QUERIES; query). Every query of every case by both routes over the stored collection, encoded once
+    by the collection's own encoder, fused for itself: case_id, query_no, rank, id, weighted_score, score and the collection's payload but its
+    texts and vectors. Blank queries have no hits."""
+    asked = retrieval.non_blank(queries).withColumn("query_id", F.col("case_id").cast("long") * MAX_QUERIES + F.col("query_no"))
+    terms = retrieval.term_maps(asked, "query_id", "query").withColumnRenamed("id", "query_id")
+    encoded = asked.select("query_id", "query", encode(F.col("query"), make_encoder).alias("e")).select("query_id", "query", F.when(F.exists("e.vector", lambda x: x != 0), F.col("e.vector")).alias("vector"))
+    stored = f"{work}/queries"
+    encoded.join(terms, "query_id", "left").write.parquet(stored)
+    hits = collection.hybrid(collection.spark.read.parquet(stored), f"{work}/search", top_k, candidates)
+    payload = collection.documents.drop("no", "vector", "sparse_vector", "text")
+    return hits.join(payload, "id").withColumns({"case_id": F.floor(F.col("query_id") / MAX_QUERIES), "query_no": F.pmod("query_id", F.lit(MAX_QUERIES))})
+
+
 def doc_key(source="source_file", text="text", chunk=None, page=None) -> Column:
     """Source, chunk, page and the first 80 characters; chunk and page are empty unless given."""
     return F.concat_ws("|", text_or_empty(source), text_or_empty(chunk) if chunk else F.lit(""), text_or_empty(page) if page else F.lit(""), F.substring(text_or_empty(text), 1, 80))

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import dict_field, first_of, how_many, quoted_field, safe_double, search_value
-from ..operators import cases, catalog, chunking, cleaning, dialog, evidence, expansion, graph, headings, html, lines, retrieval, routing
+from ..operators import cases, catalog, chunking, cleaning, collection, dialog, evidence, expansion, graph, headings, html, lines, retrieval, routing
 from ..sources import sinks
 from ..streaming import ingest
+from . import tools
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -47,14 +48,43 @@ FUSED = """f AS (SELECT query_id, id, COALESCE(MAX(CASE WHEN route = 0 THEN norm
 o AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY weighted_score DESC, first) AS rank, id, weighted_score, score, a = 1 AS in_dense, b = 1 AS in_sparse FROM f)"""
 
 
+_STORED: dict = {}
+
+
+def stored(spark, d: str, name: str, make) -> collection.Collection:
+    """A collection over the tables of a folder, ingested when a session first asks for it: make() gives its rows."""
+    key = spark.sparkContext.applicationId, d, name
+    if key not in _STORED:
+        base = work_folder(spark)
+        make().write.parquet(f"{base}/rows")  # encoded once
+        _STORED[key] = collection.build(spark.read.parquet(f"{base}/rows"), f"{base}/{name}")
+    return _STORED[key]
+
+
+def _embedded(spark, d):
+    """Documents with their terms, and the vector of their id where there is one."""
+
+    def rows():
+        docs = table(spark, d, "documents")
+        e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+        texts = docs.select(F.col("doc_id").alias("id"), "text").join(retrieval.term_maps(docs, "doc_id").withColumnRenamed("terms", "sparse_vector"), "id", "left")
+        return texts.join(e, "id", "full")
+
+    return stored(spark, d, "embedded", rows)
+
+
+def _asked(c: collection.Collection):
+    return c.documents.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("text").alias("query"), "vector", F.col("sparse_vector").alias("terms"))
+
+
 def _dense(spark, d):
-    e = table(spark, d, "embeddings")
-    return retrieval.dense_topk(e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")))
+    c = _embedded(spark, d)
+    return c.dense_topk(_asked(c), work_folder(spark))
 
 
 def _sparse(spark, d):
-    t = retrieval.terms_of(table(spark, d, "documents"), "doc_id")
-    return retrieval.sparse_topk(t.filter("id % 20 = 0").withColumnRenamed("id", "query_id"), t)
+    c = _embedded(spark, d)
+    return c.sparse_topk(_asked(c), work_folder(spark))
 
 
 @query(f"WITH {DENSE} SELECT query_id, rank, id, round(score, 6) AS score FROM d")
@@ -73,9 +103,13 @@ def minmax_normalise(spark, d):
     return retrieval.minmax(hits).select("query_id", "route", "id", F.round("norm", 6).alias("norm"))
 
 
-@query(f"WITH {DENSE}, {SPARSE}, {NORMS}, {FUSED} SELECT query_id, rank, id, round(weighted_score, 6) AS weighted_score, round(score, 6) AS score, in_dense, in_sparse FROM o WHERE rank <= 12")
+ASKED = "(SELECT doc_id FROM documents WHERE trim(COALESCE(text, '')) <> '')"
+
+
+@query(f"WITH {DENSE}, {SPARSE}, {NORMS}, {FUSED} SELECT query_id, rank, id, round(weighted_score, 6) AS weighted_score, round(score, 6) AS score, in_dense, in_sparse FROM o WHERE rank <= 12 AND query_id IN {ASKED}")
 def hybrid_retrieve(spark, d):
-    out = retrieval.weighted_fuse(_dense(spark, d), _sparse(spark, d))
+    c = _embedded(spark, d)
+    out = c.hybrid(_asked(c), work_folder(spark))
     return out.withColumns({"rank": F.col("rank").cast("long"), "weighted_score": F.round("weighted_score", 6), "score": F.round("score", 6)})
 
 
@@ -358,6 +392,43 @@ def case_parse(spark, d):
     return cases.parse_cases(t).select("event_id", "reads", "coverage", "sample_type", "immune_status", "age", "species_latin", "genus_latin")
 
 
+# Requests with nested records in six shapes: JSON, JSON with keys alone, messages without braces, an unclosed record, escaped JSON, prose.
+
+RECORD = "病原基本信息如下：{'类型': '细菌', '附': {'来源': {'x': 1}, 'y': {}, 'z': None}, '种-拉丁名': '<latin>', '种-中文名': '<zh>', '属-拉丁名': '<genus>', '属-中文名': '某属'}。"
+PATIENT = "患者信息为 {'年龄': <age>, '其他': {'a': {'b': {}}}, '性别': '<sex>', '临床表型': '发热', '医生诊断': '肺炎'}，"
+MEASURED = "种-检出序列数：<reads>。属-检出序列数为34。覆盖率：0.<cov>。种-丰度：0.1。属-丰度为0.2。属的排序为：1，种的排序为：2，mNGS检测组织为：血浆，患者的免疫状态为： 抑制，病原的致病信息为：可致病输出要求"
+SHAPES = (
+    '{"messages": [{"role": "user", "content": "' + RECORD + PATIENT + MEASURED + '"}], "Latin": "Other_name"}',
+    '{"messages": [{"role": "user", "content": "无"}], "Latin": "<latin>", "Chinese": "<zh>", "病原类型": "真菌", "取样部位_from_prompt": "痰", "mianyi": 2, "属排名": "3", "种排名": 4}',
+    '"messages": [{"role": "user", "content": "' + RECORD + PATIENT + MEASURED + '"}]',
+    "病原基本信息 {'类型': '真菌', '附': {'x': 1}, '种-拉丁名': '<latin>'，" + PATIENT,
+    '{\\"role\\": \\"user\\", \\"content\\": \\"' + RECORD + PATIENT + MEASURED + '\\"}',
+    '病原基本信息：{"类型": "病毒", "附": {"x": {"y": [2, {}]}}, "种-拉丁名": "<latin>"}',
+)
+FILLED = {"latin": "event_type || '_sp' || user_id % 7", "zh": "'某菌' || user_id", "genus": "upper(event_type)", "age": "(event_id % 90)::VARCHAR", "sex": "CASE WHEN user_id % 2 = 0 THEN '男' ELSE '女' END", "reads": "(event_id % 11)::VARCHAR", "cov": "(user_id % 100)::VARCHAR"}
+#: What each shape gives, by field: SQL, with the names of FILLED.
+_WHOLE = ("latin", "zh", "genus", "'某属'", "'细菌'", "'血浆'", "'抑制'", "age", "sex", "'发热'", "'肺炎'", "reads", "'34'", "'0.' || cov", "'0.1'", "'0.2'", "'1'", "'2'", "'可致病'")
+_OWN = "split_part(latin, '_', 1)"
+GIVES = (
+    _WHOLE,
+    ("latin", "zh", _OWN, "''", "'真菌'", "'痰'", "'抑制'", *["''"] * 9, "'3'", "'4'", "''"),
+    _WHOLE,
+    ("latin", "''", _OWN, "''", "'真菌'", "''", "''", "age", "sex", "'发热'", "'肺炎'", *["''"] * 8),
+    _WHOLE,
+    ("latin", "''", _OWN, "''", "'病毒'", *["''"] * 14),
+)
+
+
+@query("WITH f AS (SELECT event_id, event_id % 6 AS shape, " + ", ".join(f"{e} AS {n}" for n, e in FILLED.items()) + " FROM events) SELECT event_id, " + ", ".join("CASE shape " + " ".join(f"WHEN {k} THEN {g[i]}" for k, g in enumerate(GIVES)) + f" END AS {field}" for i, field in enumerate(cases.FIELDS)) + " FROM f")
+def case_parse_nested(spark, d):
+    e, u = F.col("event_id"), F.col("user_id")
+    filled = {"latin": F.concat("event_type", F.lit("_sp"), (u % 7).cast("string")), "zh": F.concat(F.lit("某菌"), u.cast("string")), "genus": F.upper("event_type"), "age": (e % 90).cast("string"), "sex": F.when(u % 2 == 0, "男").otherwise("女"), "reads": (e % 11).cast("string"), "cov": (u % 100).cast("string")}
+    text = F.element_at(F.array(*[F.lit(x) for x in SHAPES]), (e % 6 + 1).cast("int"))
+    for name, value in filled.items():
+        text = F.replace(text, F.lit(f"<{name}>"), value)
+    return cases.parse_cases(table(spark, d, "events").select("event_id", text.alias("text"))).select("event_id", *cases.FIELDS)
+
+
 @query(f"""WITH t AS (SELECT event_id, {CASE_SQL} AS x FROM events) SELECT event_id, trim(regexp_extract(x, '患者的免疫状态为：([^，。\\n]+)', 1)) AS state, regexp_extract(x, '"Latin"\\s*:\\s*"([^"]*)"', 1) AS quoted, regexp_extract(x, '''性别''\\s*:\\s*''([^'']*)''', 1) AS sex FROM t""")
 def field_extraction(spark, d):
     t = table(spark, d, "events").select("event_id", _case_text().alias("x"))
@@ -401,42 +472,71 @@ def query_expand(spark, d):
     return expansion.expand(c, "partkey")
 
 
-# Evidence: a benchmark item is a case with two queries, its long words and all of its words.
+# Evidence: a benchmark item is a case whose text gives up to 18 queries of six words each, and a blank one; both routes over documents that an
+# encoder has been run over once.
+
+LETTERS_SQL = "['" + "','".join(tools.LETTERS) + "']"
+
+
+def _profile(x: str) -> str:
+    return f"list_transform({LETTERS_SQL}, lambda c: (length({x}) - length(replace(replace({x}, c, ''), upper(c), '')))::DOUBLE)"
+
 
-HITS = """bw AS (SELECT item_id, unnest(string_split_regex(lower(COALESCE(text, '')), '[^a-z0-9\\x{80}-\\x{10FFFF}]+')) AS term FROM benchmark),
-bt AS (SELECT item_id, term, COUNT(*)::DOUBLE AS weight FROM bw WHERE term <> '' GROUP BY ALL),
-bq AS (SELECT item_id AS case_id, 1 AS query_no, term, weight FROM bt WHERE length(term) >= 8 UNION ALL SELECT item_id, 2, term, weight FROM bt),
-hs AS (SELECT case_id, query_no, t.id, SUM(bq.weight * t.weight) AS score FROM bq JOIN t USING (term) GROUP BY ALL),
-hr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id, query_no ORDER BY score DESC, id) AS rank FROM hs) WHERE rank <= 12),
-hd AS (SELECT hr.*, d.source, d.lang, d.text FROM hr JOIN documents d ON d.doc_id = hr.id),
+HITS = f"""bq AS (SELECT item_id AS case_id, j AS query_no, item_id * 100 + j AS query_id, array_to_string(string_split(COALESCE(text, ''), ' ')[(j - 1) * 6 + 1 : j * 6], ' ') AS query FROM benchmark, range(1, 19) r(j)),
+bk AS (SELECT * FROM bq WHERE trim(query) <> ''),
+bw AS (SELECT query_id, unnest(string_split_regex(lower(query), '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+')) AS term FROM bk),
+bt AS (SELECT query_id, term, COUNT(*)::DOUBLE AS weight FROM bw WHERE term <> '' GROUP BY ALL),
+ss AS (SELECT query_id, t.id, SUM(bt.weight * t.weight) AS score FROM bt JOIN t USING (term) GROUP BY ALL),
+s AS (SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id, score FROM ss) WHERE rank <= 40),
+dv AS (SELECT doc_id AS id, {_profile("COALESCE(text, '')")} AS v FROM documents),
+qv AS (SELECT query_id, {_profile("query")} AS v FROM bk),
+ds AS (SELECT query_id, id, round(list_cosine_similarity(qv.v, dv.v), 10) AS score FROM qv, dv WHERE list_sum(qv.v) > 0 AND list_sum(dv.v) > 0),
+d AS (SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id, score FROM ds) WHERE rank <= 40),
+{NORMS}, {FUSED},
+hd AS (SELECT o.*, query_id // 100 AS case_id, query_id % 100 AS query_no, c.source, c.lang, c.text FROM o JOIN documents c ON c.doc_id = o.id WHERE rank <= 12),
 once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id, source, substr(text, 1, 80) ORDER BY query_no, rank) AS n FROM hd) WHERE n = 1),
 seen AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY query_no, rank) AS seen FROM once)"""
 RANKED = """fin AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY final_score DESC, seen) AS final_rank FROM (
-  SELECT *, score + CASE WHEN contains(lower(text || ' ' || source || ' ' || lang), 'src1') THEN 2.0 ELSE 0 END + CASE WHEN contains(lower(text || ' ' || source || ' ' || lang), 'the ') THEN 0.6 ELSE 0 END AS final_score FROM seen))"""
+  SELECT *, CASE WHEN weighted_score <> 0 THEN weighted_score ELSE score END + (CASE WHEN contains(lower(text || ' ' || source || ' ' || lang), 'src1') THEN 2.0::DOUBLE ELSE 0 END + CASE WHEN contains(lower(text || ' ' || source || ' ' || lang), 'the ') THEN 0.6::DOUBLE ELSE 0 END) AS final_score FROM seen))"""
+
+
+def _encoded(spark, d):
+    """Documents with their terms and an encoder's vectors."""
+
+    def rows():
+        docs = table(spark, d, "documents")
+        vectors = docs.select(F.col("doc_id").alias("id"), "text", F.col("source").alias("source_file"), F.col("lang").alias("section_path"), F.substring("text", 1, 80).alias("head"), tools.encode(F.col("text"), tools.letter_encoder).alias("e"))
+        vectors = vectors.withColumn("vector", F.when(F.exists("e.vector", lambda x: x > 0), F.col("e.vector"))).drop("e")
+        return vectors.join(retrieval.term_maps(docs, "doc_id").withColumnRenamed("terms", "sparse_vector"), "id", "left")
+
+    return stored(spark, d, "encoded", rows)
+
+
+def _case_queries(spark, d):
+    words = F.split(F.coalesce("text", F.lit("")), " ", -1)
+    texts = F.concat(F.array(F.lit("  ")), F.transform(F.sequence(F.lit(0), F.lit(17)), lambda j: F.array_join(F.slice(words, j * 6 + 1, F.lit(6)), " ")))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("case_id"), F.posexplode(texts).alias("query_no", "query"))
 
 
 def _hits(spark, d):
-    docs = table(spark, d, "documents")
-    b = retrieval.terms_of(table(spark, d, "benchmark"), "item_id").withColumnRenamed("id", "case_id")
-    q = b.filter(F.length("term") >= 8).withColumn("query_no", F.lit(1)).unionByName(b.withColumn("query_no", F.lit(2)))
-    q = q.withColumn("query_id", F.struct("case_id", "query_no"))
-    hits = retrieval.sparse_topk(q, retrieval.terms_of(docs, "doc_id"), 12)
-    return hits.select("query_id.*", "rank", "id", "score").join(docs.select(F.col("doc_id").alias("id"), "text", F.col("source").alias("source_file"), F.col("lang").alias("section_path")), "id")
+    return evidence.search(_encoded(spark, d), _case_queries(spark, d), tools.letter_encoder, work_folder(spark))
 
 
 def _ranked(spark, d):
-    docs = evidence.first_wins(_hits(spark, d)).withColumn("weighted_score", F.lit(0.0))
+    docs = evidence.first_wins(_hits(spark, d), key=evidence.doc_key(text="head"))
+    docs = docs.join(_encoded(spark, d).documents.select("id", "text"), "id")  # texts only of what stays
     return evidence.rerank(docs.withColumns({"terms": F.array(F.lit("src1"), F.lit("the ")), "exact": F.array(F.lit("src1"))}))
 
 
-@query(f"WITH {TERMS}, {HITS} SELECT case_id, seen, id, query_no, score FROM seen")
+@query(f"WITH {TERMS}, {HITS} SELECT case_id, seen, id, query_no, round(weighted_score, 6) AS weighted_score, round(score, 6) AS score FROM seen")
 def multi_query_evidence(spark, d):
-    return evidence.first_wins(_hits(spark, d)).select("case_id", F.col("seen").cast("long").alias("seen"), "id", "query_no", "score")
+    out = evidence.first_wins(_hits(spark, d), key=evidence.doc_key(text="head"))
+    return out.select("case_id", F.col("seen").cast("long").alias("seen"), "id", F.col("query_no").cast("long").alias("query_no"), F.round("weighted_score", 6).alias("weighted_score"), F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {TERMS}, {HITS}, {RANKED} SELECT case_id, final_rank, id, round(final_score, 6) AS final_score FROM fin")
+@query(f"WITH {TERMS}, {HITS}, {RANKED} SELECT case_id, final_rank, id, round(weighted_score, 6) AS weighted_score, round(final_score, 6) AS final_score FROM fin")
 def rerank_boost(spark, d):
-    return _ranked(spark, d).select("case_id", F.col("final_rank").cast("long").alias("final_rank"), "id", F.round("final_score", 6).alias("final_score"))
+    return _ranked(spark, d).select("case_id", F.col("final_rank").cast("long").alias("final_rank"), "id", F.round("weighted_score", 6).alias("weighted_score"), F.round("final_score", 6).alias("final_score"))
 
 
 @query(f"""WITH {TERMS}, {HITS}, {RANKED}, b AS (SELECT case_id, final_rank, '[证据' || final_rank || ']' || chr(10) || '引用ID: 证据' || final_rank || chr(10) || '可填入source: ' || source || ' | ' || lang || chr(10) || '来源: ' || source || chr(10) || '章节: ' || lang || chr(10) || '页码: 未标注' || chr(10) || '文件: ' || source || chr(10) || '内容: ' || substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 1800) AS x FROM fin WHERE final_rank <= 12),

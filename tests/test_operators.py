@@ -48,8 +48,6 @@ def test_lines(spark):
     assert many(spark, ["###", "# a", " ## "], lines.is_empty_heading) == [True, False, True]
     assert many(spark, ["![x](y.png) 图", "![x](y)", "文"], lines.without_images) == ["图", "", "文"]
     assert one(spark, "a\r\nb\rc", lambda c: F.array_join(F.split(lines.one_newline(c), "\n"), "|")) == "a|b|c"
-    assert many(spark, ["图 1-2 结构", "见图 1", "文"], lines.is_figure_caption) == [True, False, False]
-    assert one(spark, "结构（见图1）如图2所示", lines.without_figure_references) == "结构"
 
 
 @pytest.mark.parametrize(("body", "first"), [("前言\n目录\n第一章\n绪论\n第二章\n正文", "绪论"), ("目录\n第一章\n正文", "第一章"), ("正文\n更多", "正文"), ("第一章\n第二章 \n正文", "第二章 ")])
@@ -251,7 +249,6 @@ def test_graph(spark):
     texts = spark.createDataFrame([(1, "感冒与感冒发热"), (2, "无"), (3, None)], "doc_id int, text string")
     hits = graph.match_names(texts, nodes)
     assert sorted((r.doc_id, r.name, r.start) for r in hits.collect()) == [(1, "发热", 6), (1, "感", 1), (1, "感", 4), (1, "感冒", 1), (1, "感冒", 4)]
-    assert sorted(map(tuple, graph.match_names(texts, nodes, max_names=1).collect())) == sorted(map(tuple, hits.collect()))
     rel = graph.relation_strings(hits.filter("name = '感冒'"), nodes, edges, "doc_id").first()
     assert rel.relations == "感 包括 感冒；感冒 v: 2；感冒 引起 发热"
     assert [r.doc_id for r in graph.present(texts, hits, "doc_id").collect()] == [1]
@@ -447,3 +444,11 @@ def test_progress_of_batches(spark):
     got = [tuple(r) for r in sinks.progress(rows, "k", 10).orderBy("batch").collect()]
     assert got == [(1, 10, 23, 10 / 23), (2, 20, 23, 20 / 23), (3, 23, 23, 1.0)]
     assert sinks.progress(rows.limit(0), "k", 10).count() == 0
+
+
+def test_records_with_nested_braces(spark):
+    schema = "struct<a:string,b:string>"
+    texts = ["m {'a': '1', 'n': {'x': {}, 'y': None}, 'b': '2'} {'a': '9'}", 'x m: t {"b": 3, "n": [{"q": 1}], "a": null} }', "m {'a': '1'", "m no record", None, "", "{'a': 'before'} m", "m {} {'a': '1'}", "m {'a': 'it\\'s', 'b': True}", "m }{'a': '1'}"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.r and (r.r.a, r.r.b) for r in df.select("i", cases.record_after("t", "m", schema).alias("r")).orderBy("i").collect()]
+    assert got == [("1", "2"), (None, "3"), None, None, None, None, None, (None, None), ("it's", "true"), ("1", None)]
