@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,9 +62,12 @@ def bit_filter(keys: DataFrame, n: int) -> np.ndarray:
     return out
 
 
-def holds(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Which keys the filter holds, or seems to."""
-    out = np.ones(len(keys), bool)
-    for spot in _spots(keys, 8 * len(bits)):
-        out &= (bits[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8) & 1).astype(bool)
-    return out
+def held(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places of the keys that the filter holds, or seems to."""
+    at = None
+    for i in range(3):
+        k = keys if at is None else keys[at]
+        spot = next(islice(_spots(k, 8 * len(bits)), i, None))
+        ok = np.flatnonzero(bits[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8) & 1)
+        at = ok if at is None else at[ok]
+    return at

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import Windows, bit_filter, holds
+from ..functions.hashing import Windows, bit_filter, held
 from ..functions.skew import hot_keys, spread_join
 from ..functions.text import text_or_empty
 
@@ -45,11 +45,11 @@ def occurrences(data: np.ndarray, sizes: dict[int, list[int]], lows: np.ndarray,
     """Starts (below upto) and sizes of the windows of data that both filters hold. sizes: of each class (a power of two) the sizes of its names."""
     w, starts, found = Windows(data), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for low, some in sizes.items():
-        at = np.arange(min(upto, len(data) - low + 1))
-        at = at[holds(lows, w(at, low))] if len(at) else at
-        for size in some:
+        at = np.arange(max(0, min(upto, len(data) - low + 1)))
+        at = held(lows, w(at, low))
+        for size in some if len(at) else ():
             own = at[at + size <= len(data)]
-            own = own[holds(wholes, w(own, size))]
+            own = own[held(wholes, w(own, size))]
             starts.append(own)
             found.append(np.full(len(own), size))
     return np.concatenate(starts), np.concatenate(found)

@@ -126,6 +126,10 @@ def test_window_hashes_and_filters():
         by[bytes(data[i : i + 7])].add(h)
     assert all(len(x) == 1 for x in by.values()) and len({next(iter(x)) for x in by.values()}) == len(by)
     assert w(np.array([0]), 7)[0] != w(np.array([0]), 8)[0]
+    bits, keys = np.zeros(1 << 17, np.uint8), w(np.arange(40), 9)
+    for spot in hashing._spots(keys[::2], 1 << 20):
+        np.bitwise_or.at(bits, spot >> 3, (128 >> (spot & 7)).astype(np.uint8))
+    assert set(range(0, 40, 2)) <= set(hashing.held(bits, keys).tolist()) and len(hashing.held(bits, np.empty(0, np.uint64))) == 0
 
 
 # Hubs.
