@@ -39,9 +39,15 @@ def unit(x: np.ndarray) -> np.ndarray:
     return (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=0.0))[1])
+
+
 def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Of one vector with rows, in double precision; equal rows get equal bits."""
-    q, x = q.astype(np.float64), x.astype(np.float64)
+    """Of one vector with rows, in double precision; equal rows get equal bits. Vectors are scaled by powers of two first, which rounds nothing, so
+    that no square overflows or vanishes."""
+    q, x = _scaled(q[None])[0], _scaled(x)
     return (x * q).sum(axis=1) / (np.sqrt((q * q).sum()) * np.sqrt((x * x).sum(axis=1)))
 
 

@@ -16,6 +16,8 @@ Empty files and tables: no documents. Repeated rows are documents of their own.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -38,6 +40,22 @@ def encoding(ranks: bytes):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
 
+#: Runs of white space from this length on go round the pre-tokenizer's pattern, which fails on them.
+RUN = re.compile(r"[^\S\x1c-\x1f]{10000,}")
+
+
+def ids_of(encode, whole_piece, text: str) -> list[int]:
+    """A text's ids. Of a run of white space all but what stands before a word is one piece of the pattern, so long runs are encoded as that piece."""
+    out, at = [], 0
+    for m in RUN.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        if m.start() > at:
+            out += encode(text[at : m.start()])
+        out += whole_piece(text[m.start() : end])
+        at = end
+    return out + encode(text[at:]) if at < len(text) else out
+
+
 def rank_file(path: str | None = None) -> bytes:
     with open(path or f"{tokenizer_dir()}/byte_bpe_50k.tiktoken", "rb") as f:
         return f.read()
@@ -53,7 +71,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, eod: int
     def run(batches):
         import uuid
 
-        encode = encoding(shared.value).encode_ordinary
+        coder = encoding(shared.value)
         ids, parts, n, id_kind = [], [], 0, None
 
         def close():
@@ -64,7 +82,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, eod: int
         for b in batches:
             id_kind = b.column("doc_id").type
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                tokens = encode(text) if text else []
+                tokens = ids_of(coder.encode_ordinary, coder._encode_single_piece, text) if text else []
                 tokens.append(eod)
                 parts.append(np.array(tokens, "<u2").tobytes())
                 ids.append(doc)
