@@ -33,7 +33,7 @@ from .common import session_of, small_batches, staged, tokenizer_dir
 from .pieces import CUT, byte_bpe_batch, chunks
 
 #: Characters of text in a block.
-BLOCK = 1 << 24
+BLOCK = 1 << 23
 MARK = "▁"
 
 
