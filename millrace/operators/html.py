@@ -61,10 +61,11 @@ def parse_html(html) -> Column:
     return run(html)
 
 
-def cached_pages(pages: DataFrame, name: str = "title", max_docs: int = 6, max_chars: int = 2500) -> DataFrame:
-    """pages: (name, html). The first max_docs by name (equal names: one page), then without empty ones: name, text cut to max_chars."""
+def cached_pages(pages: DataFrame, order: str, name: str = "title", max_docs: int = 6, max_chars: int = 2500) -> DataFrame:
+    """pages: (name, html, order). The first max_docs by name (equal names: the page written last, which is the largest order), then without empty
+    ones: name, text cut to max_chars."""
     names = pages.select(name).filter(F.col(name).isNotNull()).distinct().orderBy(name).limit(max_docs)  # before any html moves
-    first = pages.join(F.broadcast(names), name).groupBy(name).agg(F.max("html").alias("html"))
+    first = pages.join(F.broadcast(names), name).groupBy(name).agg(F.max_by("html", order).alias("html"))
     return first.withColumn("text", html_to_text("html")).filter("text <> ''").select(name, F.substring("text", 1, max_chars).alias("text"))
 
 

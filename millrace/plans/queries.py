@@ -276,11 +276,11 @@ def html_text_parsed(spark, d):
 TITLE = "(?is)<title>(.*?)</title>"
 
 
-@query(f"""WITH t AS (SELECT regexp_extract(html, '{TITLE}', 1) AS title, MAX(html) AS html FROM pages GROUP BY ALL ORDER BY title LIMIT 6),
+@query(f"""WITH t AS (SELECT regexp_extract(html, '{TITLE}', 1) AS title, arg_max(html, page_id) AS html FROM pages GROUP BY ALL ORDER BY title LIMIT 6),
 x AS (SELECT title, COALESCE({TEXT}, '') AS text FROM t) SELECT string_agg(substr(text, 1, 2500), chr(10) || '-------------分割线--------------' || chr(10) ORDER BY title) AS context FROM x WHERE text <> ''""")
 def web_context(spark, d):
-    p = table(spark, d, "pages").select(F.regexp_extract("html", TITLE, 1).alias("title"), "html")
-    return html.context_of(html.cached_pages(p), "title")
+    p = table(spark, d, "pages").select(F.regexp_extract("html", TITLE, 1).alias("title"), "html", "page_id")
+    return html.context_of(html.cached_pages(p, "page_id"), "title")
 
 
 @query("""WITH h AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, page_id, split_part(url, '#', 1) AS link FROM pages)
@@ -342,10 +342,11 @@ seen AS (SELECT key, alias, MIN(ord * 100 + pos) AS place FROM (SELECT 'latin:'
 names AS (SELECT key, string_agg(alias, '|' ORDER BY place) AS aliases FROM seen GROUP BY key)"""
 
 
-def _records(spark, d):
+def _records(spark, d, nameless: int | None = None):
     p = table(spark, d, "part")
     empty = F.lit("")
-    rows = p.select(F.col("p_partkey").alias("ord"), F.regexp_replace("p_brand", "#", "_").alias("latin"), F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise(empty).alias("chinese"), F.when(F.col("p_size") % 3 == 0, empty).otherwise(F.col("p_type")).alias("type"), *[empty.alias(c) for c in ("p_latin", "p_chinese", "p_genus_latin", "p_genus_chinese", "p_type")])
+    latin = F.regexp_replace("p_brand", "#", "_")
+    rows = p.select(F.col("p_partkey").alias("ord"), (F.when(F.col("p_size") % nameless == 0, "").otherwise(latin) if nameless else latin).alias("latin"), F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise(empty).alias("chinese"), F.when(F.col("p_size") % 3 == 0, empty).otherwise(F.col("p_type")).alias("type"), *[empty.alias(c) for c in ("p_latin", "p_chinese", "p_genus_latin", "p_genus_chinese", "p_type")])
     return catalog.records(rows)
 
 
@@ -354,9 +355,10 @@ def catalog_merge(spark, d):
     return catalog.merge(_records(spark, d)).select("key", "type", "species_latin", "species_chinese", "genus_latin", F.array_join("aliases", "|").alias("aliases"), "source_count")
 
 
-@query("WITH f AS (SELECT lower(replace(p_brand, '#', '_')) AS latin FROM part) SELECT COUNT(*) AS n_rows, 0::BIGINT AS missing, COUNT(DISTINCT latin) AS unique_records FROM f")
+@query("""WITH f AS (SELECT CASE WHEN p_size % 7 = 0 THEN '' ELSE lower(replace(p_brand, '#', '_')) END AS latin, CASE WHEN p_size % 2 = 0 THEN lower(p_name) ELSE '' END AS chinese FROM part)
+SELECT COUNT(*) AS n_rows, COUNT(*) FILTER (WHERE latin = '' AND chinese = '') AS missing, COUNT(DISTINCT CASE WHEN latin <> '' THEN 'latin:' || latin WHEN chinese <> '' THEN 'zh:' || chinese END) AS unique_records FROM f""")
 def catalog_counters(spark, d):
-    return catalog.counters(_records(spark, d))
+    return catalog.counters(_records(spark, d, nameless=7))
 
 
 @query(f"""WITH {RECORDS}, i AS (SELECT lower(n) AS name, MIN(key) AS key FROM (SELECT key, unnest([species_latin, replace(species_latin, '_', ' '), species_chinese, genus_latin]) AS n FROM first UNION ALL SELECT key, alias FROM seen) WHERE n <> '' GROUP BY ALL),

@@ -5,28 +5,48 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.text import text_or_empty
 from .readers import exists
 
 
-def write_chunks(chunks: DataFrame, folder: str) -> None:
-    """JSON lines, a folder for each source."""
-    chunks.withColumn("source", F.col("source_id")).repartition("source").sortWithinPartitions("source", "chunk_index").write.mode("overwrite").partitionBy("source").json(folder)
+#: Characters of a file, and records of a catalog document, at about which the next begins.
+FILE_CHARS, DOCUMENT_RECORDS = 1 << 27, 1 << 14
 
 
-def write_markdown(docs: DataFrame, folder: str) -> None:
-    """docs: (source_id, text): a folder for each source."""
-    docs.select(F.col("source_id").alias("source"), F.regexp_replace("text", "\n$", "").alias("value")).write.mode("overwrite").partitionBy("source").text(folder)
+def in_order(rows: DataFrame, keys: list, chars: Column, file_chars: int = FILE_CHARS) -> DataFrame:
+    """Rows by keys over as many partitions as their characters need: files written from it are in order one after the other, and of bounded size
+    however many or few sources there are. Names of files follow the order."""
+    total = rows.agg(F.sum(chars)).first()[0] or 0
+    return rows.repartitionByRange(int(total // file_chars) + 1, *keys).sortWithinPartitions(*keys)
 
 
-def write_catalog(catalog: DataFrame, path: str) -> None:
-    """One document: version, count, records by Latin, then Chinese name. A catalog is a reference table, so it fits one row."""
+def write_chunks(chunks: DataFrame, folder: str, file_chars: int = FILE_CHARS) -> None:
+    """JSON lines in the order of sources and their chunks; a large source goes on in the next file."""
+    size = F.length(F.coalesce("answer_text", F.lit(""))) + F.length(F.coalesce("search_text", F.lit(""))) + 500
+    in_order(chunks, ["source_id", "chunk_index"], size, file_chars).write.mode("overwrite").json(folder)
+
+
+def write_markdown(docs: DataFrame, folder: str, file_chars: int = FILE_CHARS) -> None:
+    """docs: (source_id, text). JSON lines (source_id, text) in the order of sources."""
+    text = F.regexp_replace(text_or_empty("text"), "\n$", "")
+    in_order(docs.select("source_id", text.alias("text")), ["source_id"], F.length("text") + 50, file_chars).write.mode("overwrite").json(folder)
+
+
+def write_catalog(catalog: DataFrame, path: str, records: int = DOCUMENT_RECORDS) -> None:
+    """Documents of at most so many records by Latin, then Chinese name: version, count (of all), part (from 0, in order), pathogens."""
     fields = ["type", "species_latin", "species_latin_space", "species_chinese", "genus_latin", "genus_latin_space", "genus_chinese", "aliases", "source_count"]
-    doc = catalog.agg(F.lit("1").alias("version"), F.count("*").alias("count"), F.transform(F.array_sort(F.collect_list(F.struct("species_latin", "species_chinese", F.struct(*fields).alias("r")))), lambda x: x["r"]).alias("pathogens"))
-    doc.coalesce(1).write.mode("overwrite").json(path)
+    total, keys = catalog.count(), ["species_latin", "species_chinese"]
+    placed = catalog.select(*fields).repartitionByRange(max(1, -(-total // records)), *keys).sortWithinPartitions(*keys).withColumn("i", F.monotonically_increasing_id())
+    placed = placed.withColumn("p", F.shiftright("i", 33)).withColumn("part", F.struct("p", F.floor((F.col("i") - F.shiftleft("p", 33)) / records).alias("q")))
+    docs = placed.groupBy("part").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.struct(*fields).alias("r")))), lambda x: x["r"]).alias("pathogens"))
+    docs = docs.withColumn("part", F.row_number().over(Window.orderBy("part")) - 1)  # a row for each document; their records are in them already
+    if total == 0:
+        docs = catalog.sparkSession.createDataFrame([(0,)], "part int").select("part", F.array().cast(docs.schema["pathogens"].dataType).alias("pathogens"))
+    docs.select(F.lit("1").alias("version"), F.lit(total).cast("long").alias("count"), "part", "pathogens").repartitionByRange(max(1, -(-total // records)), "part").sortWithinPartitions("part").write.mode("overwrite").json(path)
 
 
 def last_wins(rows: DataFrame, keys, order) -> DataFrame:

@@ -42,9 +42,9 @@ def _fetched(query: str, make) -> Column:
     return run(F.col(query))
 
 
-def page_texts(pages: DataFrame, max_docs: int = 6, max_chars: int = 2500) -> DataFrame:
-    """pages: (id, title, html). Per id the first max_docs by title (equal titles: the last written), then without empty ones, cut."""
-    named = pages.groupBy("id", "title").agg(F.max("html").alias("html"))
+def page_texts(pages: DataFrame, order: str, max_docs: int = 6, max_chars: int = 2500) -> DataFrame:
+    """pages: (id, title, html, order). Per id the first max_docs by title (equal titles: the last by order), then without empty ones, cut."""
+    named = pages.groupBy("id", "title").agg(F.max_by("html", order).alias("html"))
     first = named.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("title"))).filter(F.col("n") <= max_docs)
     return first.withColumn("text", html_to_text("html")).filter("text <> ''").select("id", "title", F.substring("text", 1, max_chars).alias("text"))
 

@@ -3,20 +3,29 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..sources.sinks import KeyedTable
 
 
-def stream_upsert(rows: DataFrame, table: KeyedTable, order, checkpoint: str) -> None:
+def stream_upsert(rows: DataFrame, table: KeyedTable, order, checkpoint: str, log: str | None = None) -> None:
     """Takes what is there, batch by batch, into a keyed table; the checkpoint makes a restart go on where it stopped, and a batch that the
-    table has already seen is skipped. An older row that comes in a later batch doesn't replace a newer one: order decides over the table's row too."""
-    rows.writeStream.foreachBatch(lambda batch, n: table.upsert(batch, order, over_table=True, batch=n) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    table has already seen is skipped. An older row that comes in a later batch doesn't replace a newer one: order decides over the table's row too.
+    With log, a folder, each batch adds a row to it: batch, n_rows (as observed while they were written), seconds, n_buckets."""
+
+    def take(batch: DataFrame, n: int) -> None:
+        seen, began = Observation(), time.monotonic()
+        buckets = table.upsert(batch.observe(seen, F.count(F.lit(1)).alias("n_rows")), order, over_table=True, batch=n)
+        if log and buckets:
+            batch.sparkSession.createDataFrame([(n, seen.get["n_rows"], time.monotonic() - began, len(buckets))], "batch long, n_rows long, seconds double, n_buckets int").coalesce(1).write.mode("append").parquet(log)
+
+    rows.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 class ChatHistory(StatefulProcessor):

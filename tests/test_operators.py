@@ -382,7 +382,7 @@ def test_web_search(spark):
     got = web.search_pages(q, {"e1": engine, "e2": engine}, n=1)
     assert sorted((r.id, r.engine, r.url) for r in got.collect()) == [(1, "e1", "http://a"), (1, "e2", "http://a")]
     pages = web.search_pages(q, {"e1": engine})
-    assert [(r.title, r.text) for r in web.page_texts(pages).collect()] == [("t1", "a")]
+    assert [(r.title, r.text) for r in web.page_texts(pages, "url").collect()] == [("t1", "a")]
 
 
 def test_collections(spark):

@@ -10,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import hashing, skew
-from millrace.operators import graph
-from millrace.sources import sinks
+from millrace.operators import graph, html
+from millrace.sources import readers, sinks
 from millrace.streaming import ingest
 
 # Keyed tables.
@@ -212,3 +212,57 @@ def test_idle_conversations_are_forgotten(spark, tmp_path):
         assert said == {1: ["second"]}
     finally:
         q.stop()
+
+
+def test_a_stream_s_batches_are_logged(spark, tmp_path):
+    src, log = str(tmp_path / "in"), f"file://{tmp_path}/log"
+    rows_of(spark, range(10)).coalesce(1).write.parquet(src)
+    t = sinks.KeyedTable(spark, f"{tmp_path}/t", "id", buckets=4)
+    for k in range(2):
+        ingest.stream_upsert(spark.readStream.schema("id long, o int, v string").parquet(src), t, ["o"], f"{tmp_path}/cp", log)
+        rows_of(spark, range(3), 5 + k, "b").coalesce(1).write.mode("append").parquet(src)
+    got = sorted(spark.read.parquet(log).collect())
+    assert [(r.batch, r.n_rows) for r in got] == [(0, 10), (1, 3)] and all(r.seconds > 0 and 0 < r.n_buckets <= 4 for r in got)
+
+
+# Sinks.
+
+
+def lines_in_order(folder):
+    return [json.loads(x) for f in sorted(os.listdir(folder)) if f.startswith("part-") for x in open(f"{folder}/{f}", encoding="utf-8")]
+
+
+def test_chunks_and_books_lie_in_order_in_files_of_bounded_size(spark, tmp_path):
+    rows = spark.range(4000).selectExpr("concat('s', id % 3) source_id", "cast(id as int) chunk_index", "repeat('x', 200) answer_text", "'y' search_text").repartition(5)
+    sinks.write_chunks(rows, str(tmp_path / "c"), file_chars=100_000)
+    got = lines_in_order(tmp_path / "c")
+    assert [(r["source_id"], r["chunk_index"]) for r in got] == sorted((f"s{i % 3}", i) for i in range(4000))
+    sizes = [os.path.getsize(tmp_path / "c" / f) for f in os.listdir(tmp_path / "c") if f.startswith("part-")]
+    assert len(sizes) > 15 and max(sizes) < 6 * sum(sizes) / len(sizes)  # one source is a third of all rows
+    sinks.write_markdown(spark.range(2000).selectExpr("concat('b', lpad(id, 5, '0')) source_id", "if(id = 7, null, 'a\nb\n') text"), str(tmp_path / "m"), file_chars=20_000)
+    books = lines_in_order(tmp_path / "m")
+    assert [b["source_id"] for b in books] == [f"b{i:05d}" for i in range(2000)] and books[7]["text"] == "" and books[8]["text"] == "a\nb"
+
+
+def test_a_catalog_of_many_documents_keeps_its_order(spark, tmp_path):
+    names = spark.range(5000).selectExpr("concat('L', lpad((id * 7) % 5000, 5, '0')) species_latin", "'' species_chinese")
+    cat = names.selectExpr("'t' type", "*", "species_latin species_latin_space", "'' genus_latin", "'' genus_latin_space", "'' genus_chinese", "array('a') aliases", "1L source_count")
+    sinks.write_catalog(cat, str(tmp_path / "cat"), records=300)
+    docs = lines_in_order(tmp_path / "cat")
+    assert len(docs) >= 5000 / 300 and max(len(d["pathogens"]) for d in docs) <= 300 and {d["count"] for d in docs} == {5000}
+    assert [p["species_latin"] for d in docs for p in d["pathogens"]] == [f"L{i:05d}" for i in range(5000)]
+    back = readers.read_catalog(spark, str(tmp_path / "cat")).orderBy("key").collect()
+    assert [r.species_latin for r in back] == [f"L{i:05d}" for i in range(5000)]
+    sinks.write_catalog(cat.limit(0), str(tmp_path / "none"))
+    assert readers.read_catalog(spark, str(tmp_path / "none")).count() == 0 and lines_in_order(tmp_path / "none")[0]["count"] == 0
+    (tmp_path / "pretty.json").write_text(json.dumps({"version": "1", "count": 1, "pathogens": [{"species_latin": "A"}]}, indent=2))
+    assert [r.species_latin for r in readers.read_catalog(spark, str(tmp_path / "pretty.json")).collect()] == ["A"]
+
+
+def test_comments_of_settings_outside_quotes():
+    assert readers.settings("a: 'x # y' # note\nb: \"#1\"\nc: it's # note\nd: z#1\n# whole\ne:\n  - 'q # r' # s") == {"a": "x # y", "b": "#1", "c": "it's", "d": "z#1", "e": ["q # r"]}
+
+
+def test_of_pages_of_one_name_the_last_written_counts(spark):
+    pages = spark.createDataFrame([("t", "<p>zz old</p>", 1), ("t", "<p>aa new</p>", 2), (None, "<p>x</p>", 3), ("e", None, 4)], "title string, html string, written long")
+    assert [tuple(r) for r in html.cached_pages(pages, "written").collect()] == [("t", "aa new")]
