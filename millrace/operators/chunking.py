@@ -12,7 +12,7 @@ from ..functions.text import contains_any, let, occurrences, strip, strip_end, t
 from .headings import LEVELS, carry_forward, markdown_heading, section_path
 from .lines import explode_lines, is_table_line
 
-#: A marker of a numbered item (12. or 3、), not a decimal.
+#: Fixed value: the pattern of a numbered item's marker (12. or 3、), not a decimal.
 MARKER = r"(?U)(?<![\d.])\d{1,2}[.．、](?!\d)"
 MARKED = r"(?U)^\d{1,2}[.．、](?!\d)"
 #: Words of explanatory text.
@@ -20,6 +20,7 @@ EXPLANATORY = (
     "位于", "起自", "止于", "作用", "功能", "组成", "分为", "包括", "表现", "症状",
     "诊断", "治疗", "适用于", "禁忌", "原因", "机制", "导致", "引起", "可见", "常见",
 )
+#: Fixed value: what ends a sentence.
 SENTENCE_END = "。！？!?；;：:"
 ALONE = ("table", "short_label_list", "numbered_item")
 

@@ -13,6 +13,7 @@ from .collection import Collection
 MAX_DOCS, MAX_CHARS = 12, 1800
 #: Queries of a case are numbered below this.
 MAX_QUERIES = 100
+#: Fixed value, as are the labels of an evidence block: the context of a case without evidence.
 NOTHING = "未从知识库检索到可用证据。此时 evidence 数组必须为空，不要编造文献来源。"
 
 

@@ -21,6 +21,7 @@ PATTERNS = (
     (5, r"(?U)^（[一二三四五六七八九十百千万]+）\s*\S+"),
     (6, r"(?U)^\(?\d+\)?[、.．]\s*\S+"),
 )
+#: Patterns of a page number at a title's end and of a chapter's number alone.
 TRAILING_PAGE = r"(?U)^(.+?)(?:\s|\.|·|…)+(\d{1,4})\s*$"
 BARE_CHAPTER = f"^第[{NUMERALS}]+章$"
 

@@ -13,6 +13,7 @@ from ..functions.text import strip, text_or_empty
 SKIPPED = ("script", "style", "noscript", "svg")
 #: The entities that pages use most.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+#: Fixed value: what stands between pages of a context.
 DIVIDER = "\n-------------分割线--------------\n"
 
 
