@@ -1,3 +1,5 @@
+import random
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -49,6 +51,10 @@ def edge(tmp_path_factory):
     pq.write_table(pa.table({"item_id": pa.array([i for i, _ in ITEMS], pa.int64()), "text": pa.array([t for _, t in ITEMS], pa.string()), "segment": pa.array([0] * len(ITEMS))}), d / "benchmark.parquet")
     pages = [(0, "http://a/1", "<p>ä</p>"), (1, "http://a/2", "<p>ä</p>"), (2, None, None), (3, "http://b/ x\ny", ""), (4, "http://b", "x" * 400_000), (0, "http://a/1", "<p>ä</p>"), (7, "u", "\r\n\r\nWARC/1.1\r\n\r\n"), (6, "u", "\r\n\r\nWARC/1.1\r\n\r\n"), (None, "n", "<p>ä</p>")]
     pq.write_table(pa.table({"page_id": pa.array([p[0] for p in pages], pa.int64()), "url": [p[1] for p in pages], "html": pa.array([p[2] for p in pages], pa.string()), "first": pa.array([1] * len(pages)), "sha": pa.array(["x"] * len(pages))}), d / "pages.parquet")
+    rng = random.Random(8)
+    vectors = [(i, [round(rng.gauss(0.5, 1), 2) for _ in range(4)], rng.randrange(3)) for i in range(160)] + [(200 + i, [1.0] * 4, i % 2) for i in range(60)]
+    vectors += [(None, [1.0] * 4, 1), (250, None, 1), (251, [1.0, None, 0.0, 0.0], 1), (252, [float("nan")] * 4, 1), (253, [float("inf")] * 4, 1), (254, [1.0] * 4, None), (255, [1.0] * 3, 1), (256, [], 1), (300, [0.0] * 4, 2), vectors[3]]
+    pq.write_table(pa.table({"vec_id": pa.array([v[0] for v in vectors], pa.int64()), "embedding": pa.array([v[1] for v in vectors], pa.list_(pa.float32())), "label": pa.array([v[2] for v in vectors], pa.int32()), "score": ["x"] * len(vectors), "id": [1] * len(vectors)}), d / "embeddings.parquet")
     return str(d)
 
 
@@ -58,5 +64,5 @@ def empty(edge, tmp_path_factory):
     d = tmp_path_factory.mktemp("empty")
     for t in ("documents", "benchmark", "pages"):
         pq.write_table(pq.read_table(f"{edge}/{t}.parquet").slice(0, 0), d / f"{t}.parquet")
-    pq.write_table(pa.table({"vec_id": pa.array([], pa.int64()), "embedding": pa.array([], pa.list_(pa.float32()))}), d / "embeddings.parquet")
+    pq.write_table(pq.read_table(f"{edge}/embeddings.parquet").slice(0, 0), d / "embeddings.parquet")
     return str(d)

@@ -40,7 +40,7 @@ def test_tables_without_rows(spark, empty, name):
 def test_against_sql(spark, edge, name):
     got = queries.QUERIES[name](spark, edge)
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "embeddings"):
         con.execute(f"create view {t} as select * from read_parquet('{edge}/{t}.parquet')")
     cur = con.execute(queries.SQL[name])
     cols = [c[0] for c in cur.description]
