@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .headings import carry_forward, detect_heading, merge_chapter_titles
+from ..functions.text import let
+from .headings import carry_forward, detect_heading, merge_chapter_titles, merged_titles
 from .lines import body_lines, explode_lines, finish_markdown, is_empty_heading, is_table_line, normalize_line, normalize_spaces, without_images
 
 
@@ -14,11 +15,14 @@ def clean_lines(docs: DataFrame, keep_front_matter: bool = False) -> DataFrame:
     lines = explode_lines(docs)
     if not keep_front_matter:
         lines = body_lines(lines)
-    plain = normalize_line("line")
-    lines = lines.withColumn("line", plain).filter(~is_empty_heading("line")).withColumn("__blank", F.col("line") == "")
-    lines = lines.withColumn("line", without_images("line"))
-    lines = lines.withColumn("line", F.when(is_table_line("line"), F.col("line")).otherwise(normalize_spaces("line"))).filter(F.col("__blank") | (F.col("line") != ""))
-    return lines.withColumn("h", F.when(~is_table_line("line"), detect_heading("line"))).select("source_id", "line_no", "line", "h.level", "h.title", "h.page")
+    def heading(line):
+        return F.struct(line.alias("line"), F.when(~is_table_line(line), detect_heading(line)).alias("h"))
+
+    def cleaned(plain):  # of one line, so that each pattern runs once; nothing for an empty heading or images alone
+        bare = let(without_images(plain), lambda b: F.when(is_table_line(b), b).otherwise(normalize_spaces(b)))
+        return F.transform(F.filter(F.array(bare), lambda x: ~is_empty_heading(plain) & ((plain == "") | (x != ""))), heading)
+
+    return lines.select("source_id", "line_no", F.explode(let(normalize_line("line"), cleaned)).alias("x")).select("source_id", "line_no", "x.line", "x.h.level", "x.h.title", "x.h.page")
 
 
 def heading_records(lines: DataFrame) -> DataFrame:
@@ -29,11 +33,19 @@ def heading_records(lines: DataFrame) -> DataFrame:
 
 def clean_markdown(docs: DataFrame, keep_front_matter: bool = False) -> DataFrame:
     """source_id, text: headings rewritten at their level between blank lines; a body line is never lost to a merged title."""
-    lines = clean_lines(docs, keep_front_matter)
-    heads = merge_chapter_titles(lines.filter("level is not null"), "source_id", "line_no").select("source_id", "line_no", F.concat(F.lit("\n"), F.repeat(F.lit("#"), F.col("level")), F.lit(" "), F.col("title"), F.lit("\n")).alias("__out"))
-    body = lines.filter("level is null").select("source_id", "line_no", F.col("line").alias("__out"))
-    whole = heads.unionByName(body).groupBy("source_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "__out"))), lambda x: x["__out"]), "\n").alias("text"))
-    return whole.select("source_id", finish_markdown("text").alias("text"))
+    lines = F.array_sort(F.collect_list(F.struct("line_no", "line", "level", "title")))
+    whole = clean_lines(docs, keep_front_matter).groupBy("source_id").agg(lines.alias("x"))
+
+    def text(lines):
+        def row(line, out):
+            return F.struct(line["line_no"].alias("line_no"), out.alias("out"))
+
+        heads = merged_titles(F.filter(lines, lambda x: x["level"].isNotNull()))
+        heads = F.transform(heads, lambda h: row(h, F.concat(F.lit("\n"), F.repeat(F.lit("#"), h["level"]), F.lit(" "), h["title"], F.lit("\n"))))
+        body = F.transform(F.filter(lines, lambda x: x["level"].isNull()), lambda x: row(x, x["line"]))
+        return F.array_join(F.transform(F.array_sort(F.concat(heads, body)), lambda x: x["out"]), "\n")
+
+    return whole.select("source_id", finish_markdown(text(F.col("x"))).alias("text"))
 
 
 def render_elements(elements: DataFrame, key: str = "source_id", order: str = "element_no") -> DataFrame:

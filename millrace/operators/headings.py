@@ -65,19 +65,35 @@ def markdown_heading(line) -> Column:
     return F.when(t.rlike(pattern), F.struct(F.length(F.regexp_extract(t, pattern, 1)).alias("level"), strip(F.regexp_extract(t, pattern, 2)).alias("title")))
 
 
-def merge_chapter_titles(headings: DataFrame, key: str, order: str) -> DataFrame:
-    """headings: (key, order, level, title, ...). A bare chapter followed by a short level-4 title becomes one heading; the title's row goes."""
-    w = Window.partitionBy(key).orderBy(order)
+def bare_chapter(t: Column, lv: Column) -> Column:
+    return (lv == 2) & t.rlike(BARE_CHAPTER)
+
+
+def short_title(t: Column, lv: Column) -> Column:
+    return (lv == 4) & (F.length(t) <= 40) & ~t.rlike("[。；！？]")
+
 
-    def bare(t, lv):
-        return (lv == 2) & t.rlike(BARE_CHAPTER)
+def merged_titles(heads: Column) -> Column:
+    """The same over a document's headings as an array of structs in their order, with level and title: those that stay."""
 
-    def short(t, lv):
-        return (lv == 4) & (F.length(t) <= 40) & ~t.rlike("[。；！？]")
+    def one(hs):
+        def seen(h, i):
+            before, after = F.get(hs, i - 1), F.get(hs, i + 1)
+            gone = F.coalesce(bare_chapter(before["title"], before["level"]) & short_title(h["title"], h["level"]), F.lit(False))
+            longer = bare_chapter(h["title"], h["level"]) & F.coalesce(short_title(after["title"], after["level"]), F.lit(False))
+            return F.when(~gone, h.withField("title", F.when(longer, F.concat(h["title"], F.lit(" "), after["title"])).otherwise(h["title"])))
 
+        return F.array_compact(F.transform(hs, seen))
+
+    return let(heads, one)
+
+
+def merge_chapter_titles(headings: DataFrame, key: str, order: str) -> DataFrame:
+    """headings: (key, order, level, title, ...). A bare chapter followed by a short level-4 title becomes one heading; the title's row goes."""
+    w = Window.partitionBy(key).orderBy(order)
     lv, t = F.col("level"), F.col("title")
-    out = headings.withColumn("__gone", F.coalesce(bare(F.lag("title").over(w), F.lag("level").over(w)) & short(t, lv), F.lit(False)))
-    merged = bare(t, lv) & F.coalesce(short(F.lead("title").over(w), F.lead("level").over(w)), F.lit(False))
+    out = headings.withColumn("__gone", F.coalesce(bare_chapter(F.lag("title").over(w), F.lag("level").over(w)) & short_title(t, lv), F.lit(False)))
+    merged = bare_chapter(t, lv) & F.coalesce(short_title(F.lead("title").over(w), F.lead("level").over(w)), F.lit(False))
     out = out.withColumn("title", F.when(merged, F.concat(t, F.lit(" "), F.lead("title").over(w))).otherwise(t))
     return out.filter(~F.col("__gone")).drop("__gone")
 
