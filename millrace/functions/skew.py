@@ -1,4 +1,4 @@
-"""Joins in which one key may hold a large share of a side's rows."""
+"""Joins in which one key may hold a large share of a side's rows; small files with much work a row."""
 
 from __future__ import annotations
 
@@ -16,6 +16,12 @@ def hot_keys(rows: DataFrame, key: str) -> list:
     return [r[0] for r in counts.filter(F.col("count") >= max(LEAST, -(-total // SHARE))).select(key).collect() if r[0] is not None]
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt over all cores by their keys. A file of one row group is one task, however much work a row takes after it."""
+    spark = rows.sparkSession
+    return rows.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def spread_join(many: DataFrame, few: DataFrame, key: str, hot: list, how: str = "inner") -> DataFrame:
     """many join few on key. Rows of a hot key are dealt by their other columns over all partitions, and few's rows of it are copied to each."""
     if not hot:

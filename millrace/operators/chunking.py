@@ -13,7 +13,7 @@ from .headings import LEVELS, carry_forward, markdown_heading, section_path
 from .lines import explode_lines, is_table_line
 
 #: Fixed value: the pattern of a numbered item's marker (12. or 3、), not a decimal.
-MARKER = r"(?U)(?<![\d.])\d{1,2}[.．、](?!\d)"
+MARKER = r"(?U)(?=\d)(?<![\d.])\d{1,2}[.．、](?!\d)"  # a digit is looked for first: most characters are none
 MARKED = r"(?U)^\d{1,2}[.．、](?!\d)"
 #: Words of explanatory text.
 EXPLANATORY = (
@@ -38,7 +38,7 @@ def islands(rows: DataFrame, key, order, kind: str = "kind") -> DataFrame:
 
 def split_numbered(text) -> Column:
     """The text cut before each marker: a prefix if there is one, then the items, stripped, blanks dropped."""
-    return F.filter(F.transform(F.split(text_or_empty(text), r"(?U)(?=(?<![\d.])\d{1,2}[.．、](?!\d))", -1), strip), lambda x: x != "")
+    return F.filter(F.transform(F.split(text_or_empty(text), r"(?U)(?=\d{1,2}[.．、](?!\d))(?<![\d.])", -1), strip), lambda x: x != "")
 
 
 def n_markers(text) -> Column:
@@ -48,7 +48,7 @@ def n_markers(text) -> Column:
 def without_number(item) -> Column:
     """Without the first marker, wherever it is."""
     t = text_or_empty(item)
-    return strip(F.regexp_replace(t, r"(?U)^((?s:.*?))(?<![\d.])\d{1,2}[.．、](?!\d)\s*", "$1"))
+    return strip(F.regexp_replace(t, r"(?U)^((?s:.*?))(?=\d)(?<![\d.])\d{1,2}[.．、](?!\d)\s*", "$1"))
 
 
 def _kind_of(t: Column, items: Column) -> Column:
@@ -70,6 +70,11 @@ def list_kind(text) -> Column:
     return let(text_or_empty(text), lambda t: let(split_numbered(t), lambda items: _kind_of(t, items)))
 
 
+def numbered_list(text) -> Column:
+    """struct(kind, items): ``list_kind`` and ``split_numbered`` with the text cut once."""
+    return let(text_or_empty(text), lambda t: let(split_numbered(t), lambda items: F.struct(_kind_of(t, items).alias("kind"), items.alias("items"))))
+
+
 def is_lone_item(text) -> Column:
     t = text_or_empty(text)
     body = without_number(t)

@@ -266,3 +266,26 @@ def test_comments_of_settings_outside_quotes():
 def test_of_pages_of_one_name_the_last_written_counts(spark):
     pages = spark.createDataFrame([("t", "<p>zz old</p>", 1), ("t", "<p>aa new</p>", 2), (None, "<p>x</p>", 3), ("e", None, 4)], "title string, html string, written long")
     assert [tuple(r) for r in html.cached_pages(pages, "written").collect()] == [("t", "aa new")]
+
+
+@pytest.mark.parametrize("name", ["numbered_split", "query_expand", "case_parse", "case_parse_nested", "field_extraction"])
+def test_a_small_file_with_much_work_a_row_is_spread_over_all_cores(spark, data, name):
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+
+
+def test_markdown_is_cleaned_in_one_pass_over_the_lines(spark, data):
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["clean_markdown"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
+def test_a_list_and_its_kind_in_one(spark):
+    from millrace.operators import chunking
+
+    texts = ["头 1. 位于a；2、b；3．c；d", "12. x 3.5 mm 4、y", "none", "", None, "a1.b 2. c" * 20]
+    t = spark.createDataFrame([(x,) for x in texts], "text string").select(chunking.numbered_list("text").alias("n"), chunking.list_kind("text").alias("kind"), chunking.split_numbered("text").alias("items"))
+    assert all(r.n.kind == r.kind and r.n["items"] == r["items"] for r in t.collect())
