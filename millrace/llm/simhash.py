@@ -12,7 +12,8 @@ task of its own. The forests meet in distributed connected components.
 ``keep_one`` serves a similarity of 0.8 over sets of five-word shingles, which is about 10 of 64 bits, and 20 with its spread: more than
 bands of a fingerprint can reach without buckets that hold everything. So there documents meet under keys of three minimal
 shingle hashes each, the buckets are compared bit-sliced within 20 bits, and the closest links of a bucket are confirmed by the
-exact similarity of the two sets, in rounds until none is open.
+exact similarity of the two sets. Where that leaves links open, the sets are sent to the bucket, which confirms the rest where it is and
+gives a forest of what it confirmed: so rows grow with a group, not with its pairs.
 
 Fewer than four words: one shingle of them all. No words or null text: fingerprint zero, linked like any other. Null
 doc_id: keeps its row; it is never the smallest id unless its whole component has none. Empty table: no rows. Repeated
@@ -21,17 +22,20 @@ rows share a component. Other columns are not looked at.
 
 from __future__ import annotations
 
-from itertools import accumulate, combinations
+from itertools import accumulate, combinations, pairwise
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_keys, hot_keys, packed, small_batches, split_join, staged, unpacked
+from .common import bloom_filter, doc_keys, hot_keys, packed, passes, small_batches, split_join, staged, unpacked
 from .components import components
 
 SHINGLE, SEED, BITS = 4, 42, 64
+#: Hashes of sets in a slice of a bucket: 16 MB.
+SLICE_HASHES = 1 << 22
 
 
 def shingle_hashes(text: str | None, width: int = SHINGLE):
@@ -272,40 +276,115 @@ def similar_links(nodes: DataFrame, similarity: float, radius: int, forests: int
     return bucket_links(rows, radius, slice_rows, joined, ("a", "b", "g"), ("node", "root", "n"), only)
 
 
-def bucket_links(rows: DataFrame, radius: int, slice_rows: int, joined, out: tuple[str, ...], more: tuple[str, ...] = (), only: DataFrame | None = None) -> DataFrame:
-    """rows: (band, key, fp, more). ``joined`` makes of a run of whole buckets' columns and their links within the radius the columns
-    ``out``, all longs. only: (g), the hashes of the buckets (or pairs of slices) to look at."""
-    large = rows.groupBy("band", "key").count().filter(F.col("count") > slice_rows).select("band", "key", F.ceil(F.col("count") / slice_rows).cast("int").alias("slices"))
-    rows = rows.join(large, ["band", "key"], "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+class Sets:
+    """Sets of hashes in a row, and where each ends; hashes as numbers from 0."""
+
+    def __init__(self, hashes: np.ndarray, ends: np.ndarray):
+        values, self.code = np.unique(hashes, return_inverse=True)
+        self.ends, self.size = ends, np.diff(ends, prepend=0)
+        self.marked = np.zeros(len(values), bool)
+
+    def shared(self, one: int, others: np.ndarray) -> np.ndarray:
+        """How many hashes a set shares with each of some others, none of them empty."""
+        own = self.code[self.ends[one] - self.size[one] : self.ends[one]]
+        self.marked[own] = True
+        size = self.size[others]
+        stop = np.cumsum(size)
+        at = np.arange(stop[-1]) + np.repeat(self.ends[others] - stop, size)
+        out = np.add.reduceat(self.marked[self.code[at]], stop - size, dtype=np.int64)
+        self.marked[own] = False
+        return out
+
+
+def confirmed_forest(sets: Sets, root: np.ndarray, pairs, similarity: float, at_once: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Of candidate pairs (index arrays) those between different roots whose sets are so similar, without those that earlier ones have joined:
+    a spanning forest of all of them."""
+    label = np.unique(root, return_inverse=True)[1]
+    out: list[tuple[int, int]] = []
+    for x, y in pairs:
+        some = np.flatnonzero((label[x] != label[y]) & (np.minimum(sets.size[x], sets.size[y]) >= similarity * np.maximum(sets.size[x], sets.size[y])))
+        some = some[np.argsort(x[some], kind="stable")]
+        x, y = x[some], y[some]
+        for a, z in pairwise(np.flatnonzero(np.r_[True, x[1:] != x[:-1], True]).tolist() if len(x) else []):
+            one, others = int(x[a]), y[a:z]
+            others = others[label[others] != label[one]]
+            while len(others):
+                k = max(1, int(np.searchsorted(np.cumsum(sets.size[others]), at_once)))
+                shared = sets.shared(one, others[:k])
+                for other in others[:k][shared >= similarity * (sets.size[one] + sets.size[others[:k]] - shared)].tolist():
+                    if label[other] != label[one]:
+                        out.append((one, other))
+                        label[label == label[other]] = label[one]
+                others = others[k:]
+                others = others[label[others] != label[one]]
+    return tuple(np.array(out, np.int64).reshape(-1, 2).T)
+
+
+def confirmed_links(nodes: DataFrame, sets: DataFrame, similarity: float, radius: int, only: DataFrame, slice_rows: int = 8192) -> DataFrame:
+    """nodes: (node, root, fp, n, keys); sets: (node, hashes), of all nodes with links; only: (g). (a, b): a spanning forest of the links between
+    different roots in the buckets named, each link confirmed by its sets."""
+
+    def joined(cols, pairs):
+        node = cols["node"].astype(np.int64)
+        x, y = confirmed_forest(Sets(cols["hashes"], cols["ends"]), cols["root"], pairs, similarity)
+        return pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))
+
+    more = ("node", "root", "n")
+    rows = nodes.select("node", "root", "fp", "n", F.posexplode("keys").alias("band", "key"))
+    open_ = dealt(rows, slice_rows, more).join(only, "g", "left_semi").groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("g")
+    return bucket_links(rows, radius, slice_rows, joined, ("a", "b"), more, open_, sets)
+
+
+def dealt(rows: DataFrame, slice_rows: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """rows: (band, key, fp, more). g (the hash of a bucket, or of a pair of its slices), cross, left, fp, more. With n, the size of a set,
+    among them a slice has at most about ``SLICE_HASHES`` hashes too."""
+    size = F.col("count") / slice_rows
+    if "n" in more:
+        size = F.greatest(size, F.col("weight") / SLICE_HASHES)
+    large = rows.groupBy("band", "key").agg(F.count("*").alias("count"), F.sum("n" if "n" in more else F.lit(1)).alias("weight")).filter(size > 1)
+    rows = rows.join(large.select("band", "key", F.ceil(size).cast("int").alias("slices")), ["band", "key"], "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("fp", *more[:1]), F.col("slices")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     rows = rows.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), "fp", *more)
     group = F.xxhash64("band", "key", "i", "j")
-    rows = rows.select(group.alias("g"), (F.col("i") != F.col("j")).alias("cross"), "left", "fp", *more)
+    return rows.select(group.alias("g"), (F.col("i") != F.col("j")).alias("cross"), "left", "fp", *more)
+
+
+def bucket_links(rows: DataFrame, radius: int, slice_rows: int, joined, out: tuple[str, ...], more: tuple[str, ...] = (), only: DataFrame | None = None, sets: DataFrame | None = None) -> DataFrame:
+    """rows: (band, key, fp, more). ``joined`` makes of a run of whole buckets' columns and their links within the radius the columns
+    ``out``, all longs. only: (g), the hashes of the buckets (or pairs of slices) to look at. sets: (node, hashes), a row for each node that
+    takes part; its lists come as hashes, all in a row, and ends."""
+    rows = dealt(rows, slice_rows, more)
     names = rows.columns
     rows = rows if only is None else rows.join(only, "g", "left_semi").select(names)
+    with_sets = sets is not None
+    if with_sets:
+        rows = rows.join(sets, "node").select(*names, "hashes")
 
     def run(batches):
-        def done(parts):
-            cols = dict(zip(names, (np.concatenate(x) for x in zip(*parts, strict=True)), strict=True))
+        def done(t):
+            t = t.combine_chunks()
+            cols = {c: t[c].to_numpy() for c in names}
+            cols["fp"] = cols["fp"].astype(np.int64).view(np.uint64)
+            if with_sets:
+                lists = t["hashes"].combine_chunks()
+                cols["hashes"], cols["ends"] = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy(), dtype=np.int64)
             return pa.RecordBatch.from_arrays(list(joined(cols, links_of(cols["fp"], cols["g"], cols["cross"], cols["left"], radius))), list(out))
 
-        held, n = [], 0
+        held, n, size = [], 0, 0
         for batch in batches:
-            part = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
-            part[3] = part[3].astype(np.int64).view(np.uint64)
-            if n > 1 << 16 and len(part[0]):
-                g = np.concatenate([p[0] for p in held] + [part[0]])
+            held.append(batch)
+            n, size = n + batch.num_rows, size + batch.nbytes
+            if n > 1 << 16 or size > 1 << 26:
+                t = pa.Table.from_batches(held)
+                g = t["g"].to_numpy()
                 cut = len(g) - int(np.argmax(g[::-1] != g[-1])) if (g != g[-1]).any() else 0  # the last group may go on
                 if cut:
-                    whole = [np.concatenate([p[k] for p in held] + [part[k]]) for k in range(len(names))]
-                    yield done([[v[:cut] for v in whole]])
-                    held, n = [[v[cut:] for v in whole]], len(g) - cut
-                    continue
-            held.append(part)
-            n += len(part[0])
+                    yield done(t.slice(0, cut))
+                    t = t.slice(cut).combine_chunks()
+                held, n, size = t.to_batches(), t.num_rows, 0
         if n:
-            yield done(held)
+            yield done(pa.Table.from_batches(held))
 
     return rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, ", ".join(f"{c} long" for c in out))
 
@@ -332,24 +411,33 @@ def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
 KEYS, EACH = 10, 3
 
 
-def sketch(text: str | None, width: int = 5) -> tuple[int, int, list[int], np.ndarray]:
-    """Of the set of shingles: a hash of it all, its fingerprint, its keys, and its hashes cut to 32 bits."""
+def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
+    """The distinct hashes of the shingles, in order."""
+    blocks = [np.unique(h.astype(np.uint64)) for h in shingle_hashes(text, width)]
+    return np.unique(np.concatenate(blocks)) if len(blocks) > 1 else blocks[0] if blocks else np.empty(0, np.uint64)
+
+
+def cut_hashes(h: np.ndarray) -> np.ndarray:
+    return np.unique((h >> np.uint64(32)).astype(np.uint32)).view(np.int32)
+
+
+def sketch(text: str | None, width: int = 5) -> tuple[int, int, list[int], int]:
+    """Of the set of shingles: a hash of it all, its fingerprint, its keys, and how many hashes it has when they are cut to 32 bits."""
     import xxhash
 
-    blocks = [np.unique(h.astype(np.uint64)) for h in shingle_hashes(text, width)]
-    if not blocks:
-        return 0, 0, [], np.empty(0, np.int32)
-    h = np.unique(np.concatenate(blocks)) if len(blocks) > 1 else blocks[0]
+    h = shingle_set(text, width)
+    if not len(h):
+        return 0, 0, [], 0
     odd = np.random.default_rng(SEED).integers(0, 1 << 63, KEYS * EACH, np.uint64) * np.uint64(2) + np.uint64(1)
     least = np.min([(h[at : at + 4096, None] * odd).min(axis=0) for at in range(0, len(h), 4096)], axis=0).reshape(KEYS, EACH)
     keys = [xxhash.xxh64_intdigest(least[k].tobytes(), k) for k in range(KEYS)]
     whole = xxhash.xxh64_intdigest(h.tobytes(), SEED)
     print_ = majority(h[at : at + 65536].astype(">u8") for at in range(0, len(h), 65536))
-    return whole, print_, keys, np.unique((h >> np.uint64(32)).astype(np.uint32)).view(np.int32)
+    return whole, print_, keys, len(cut_hashes(h))
 
 
 def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
-    """docs: (id, text). id, node, fp, n, keys, hashes."""
+    """docs: (id, text). id, node, fp, n, keys."""
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -357,11 +445,34 @@ def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
             made = [sketch(t, width) for t in b.column("text").to_pylist()]
             node, fp = (pa.array(np.array([m[k] for m in made], np.uint64).view(np.int64)) for k in (0, 1))
             keys = pa.array([np.array(m[2], np.uint64).view(np.int64) for m in made], pa.list_(pa.int64()))
-            hashes = pa.array([m[3] for m in made], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column("id"), node, fp, pa.array([len(m[3]) for m in made], pa.int32()), keys, hashes], ["id", "node", "fp", "n", "keys", "hashes"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), node, fp, pa.array([m[3] for m in made], pa.int32()), keys], ["id", "node", "fp", "n", "keys"])
 
     rows = docs.select("id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, node long, fp long, n int, keys array<long>, hashes array<int>")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, node long, fp long, n int, keys array<long>")
+
+
+def may_have(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """docs with may: false where k1 isn't among the keys (k1)."""
+    shared = docs.sparkSession.sparkContext.broadcast(bloom_filter(keys.select("k1")))
+
+    @F.pandas_udf("boolean")
+    def may(k: pd.Series) -> pd.Series:
+        return pd.Series(passes(shared.value, k.to_numpy().astype(np.int64)))
+
+    return docs.withColumn("may", may("k1"))
+
+
+def sets_of(docs: DataFrame, owners: DataFrame, width: int = 5) -> DataFrame:
+    """docs: (k1, k2, text); owners: (k1, k2, node), one document of each node. node, hashes: cut to 32 bits. Only texts that are asked for
+    are hashed and moved."""
+
+    def run(batches):
+        for b in batches:
+            hashes = pa.array([cut_hashes(shingle_set(t, width)) for t in b.column("text").to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("node"), hashes], ["node", "hashes"])
+
+    few = may_have(docs, owners).filter("may").select("k1", "k2", F.col("text").cast("string").alias("text"))
+    return few.join(owners, ["k1", "k2"]).dropDuplicates(["node"]).select("node", "text").mapInArrow(run, "node long, hashes array<int>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -371,28 +482,23 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.select("a", "b", shared.alias("s"), (F.size("x") + F.size("y")).alias("n")).filter(F.col("s") >= F.lit(similarity) * (F.col("n") - F.col("s"))).select("a", "b")
 
 
-def similar_components(nodes: DataFrame, made: DataFrame, similarity: float, radius: int) -> DataFrame:
-    """nodes: (node, fp, n, keys, first); made: (k1, k2, node, hashes). (node, root) as by ``components``, of the links that the sets
+def similar_components(nodes: DataFrame, docs: DataFrame, similarity: float, radius: int, width: int = 5) -> DataFrame:
+    """nodes: (node, fp, n, keys, first); docs: (k1, k2, text). (node, root) as by ``components``, of the links that the sets
     confirm. A refused link may have stood for others of its bucket, so buckets with links left over between different components
-    are looked at again, with four times as many forests, until none is left: then each link of a bucket was confirmed, refused, or lies
-    within a component. Rounds grow with the logarithm of a document's links."""
-    rooted, only, forests, seen, good, sets = nodes.withColumn("root", F.col("node")), None, 1, None, None, None
-    while True:
-        found = staged(similar_links(rooted, similarity, radius, forests, only), "simhash-links")
-        pairs = found.filter("a is not null").select("a", "b").distinct()
-        pairs = staged(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "simhash-pairs")
-        if sets is None:  # whoever has links has one in a first forest
-            met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-            owners = nodes.join(met, "node").select("first.k1", "first.k2")
-            sets = staged(made.join(owners, ["k1", "k2"], "left_semi").dropDuplicates(["node"]).select("node", "hashes"), "simhash-sets")
-        passed = staged(confirmed(pairs, sets, similarity), "simhash-confirmed")
-        seen, good = (pairs, passed) if seen is None else (seen.union(pairs), good.union(passed))
-        roots = components(good)
-        only = found.filter("g is not null").select("g").distinct()
-        if only.isEmpty():
-            return roots
-        rooted = staged(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("first"), "simhash-rooted")
-        forests *= 4
+    are looked at once more, with the sets of their nodes: then each link of a bucket was confirmed, refused, or lies within a component."""
+    rooted = nodes.withColumn("root", F.col("node"))
+    found = staged(similar_links(rooted, similarity, radius), "simhash-links")
+    pairs = staged(found.filter("a is not null").select("a", "b").distinct(), "simhash-pairs")
+    met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()  # whoever has links has one in a first forest
+    owners = staged(nodes.join(met, "node").select("first.k1", "first.k2", "node"), "simhash-owners")
+    sets = staged(sets_of(docs, owners, width), "simhash-sets")
+    good = staged(confirmed(pairs, sets, similarity), "simhash-confirmed")
+    roots = components(good)
+    only = found.filter("g is not null").select("g").distinct()
+    if only.isEmpty():
+        return roots
+    rooted = staged(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("first"), "simhash-rooted")
+    return components(good.union(staged(confirmed_links(rooted, sets, similarity, radius, only), "simhash-rest")))
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, radius: int = 20, width: int = 5) -> DataFrame:
@@ -400,12 +506,16 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, radius: int = 20, width:
     shingles of so many words with that similarity or more (Jaccard). Texts of one set of shingles are one, and so are those without
     words. A link is missed if the two share no key or differ in more bits than the radius."""
     keyed = docs.select(packed(docs), "doc_id", "text", *doc_keys(F.col("doc_id"), F.col("text")))
-    made = staged(sketches(keyed.select(F.struct("doc_id", "k1", "k2").alias("id"), "text"), width).select("id.*", "node", "fp", "n", "keys", "hashes"), "simhash")
+    made = staged(sketches(keyed.select(F.struct("doc_id", "k1", "k2").alias("id"), "text"), width).select("id.*", "node", "fp", "n", "keys"), "simhash")
     place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "k1", "k2")
     nodes = staged(made.groupBy("node", "fp", "n", "keys").agg(F.min(place).alias("first")), "simhash-distinct")
-    roots = similar_components(nodes, made.select("k1", "k2", "node", "hashes"), similarity, radius)
-    firsts = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
-    return keyed.join(firsts.select("first.k1", "first.k2"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select(*unpacked(docs))
+    roots = similar_components(nodes, keyed.select("k1", "k2", "text"), similarity, radius, width)
+    firsts = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select("first.k1", "first.k2", F.lit(True).alias("stays"))
+    firsts = staged(firsts, "simhash-firsts")
+    touched = made.groupBy("k1", "k2").agg(F.count("*").alias("n")).join(firsts, ["k1", "k2"], "left").filter("n > 1 or stays is null")
+    marked = may_have(keyed, staged(touched.select("k1"), "simhash-touched"))
+    some = marked.filter("may").join(firsts, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("row")
+    return marked.filter("not may").select("row").unionByName(some).select(*unpacked(docs))
 
 
 def digest(found: DataFrame) -> DataFrame:

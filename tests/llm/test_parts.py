@@ -156,6 +156,38 @@ def test_keep_one_of_similar_documents(spark):
     assert whole == sliced and len(whole) > 100
 
 
+def test_a_dense_group_of_pairs_just_under_the_similarity_makes_no_row_for_each(spark, monkeypatch):
+    rows, base = [], [f"w{k}" for k in range(84)]  # 80 shingles; one other word changes five of them
+    for at in range(4, 84, 5):
+        for k in range(12):  # with the same place 0.88, with another 0.78
+            rows.append((len(rows), " ".join([*base[:at], f"x{at}y{k}", *base[at + 1 :]])))
+    made, write = {}, simhash.staged
+
+    def spy(df, name):
+        out = write(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "staged", spy)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == list(range(0, len(rows), 12))
+    assert made["simhash-links"] + made["simhash-pairs"] + made.get("simhash-rest", 0) <= 2 * simhash.KEYS * len(rows) + 1000
+
+
+def test_confirmed_forest_joins_what_all_pairs_join():
+    rng = np.random.default_rng(2)
+    hashes = [np.unique(rng.choice(400, 40)) for _ in range(6)]
+    hashes = [np.unique(np.r_[rng.choice(h, len(h) - rng.integers(1, 9), False), rng.choice(400, 3)]).astype(np.int32) for h in hashes for _ in range(12)]
+    n, root = len(hashes), np.arange(len(hashes)) // 2 * 2  # neighbours are one already
+    x, y = np.triu_indices(n, 1)
+    near = np.array([len(np.intersect1d(hashes[i], hashes[j])) >= 0.7 * len(np.union1d(hashes[i], hashes[j])) for i, j in zip(x, y, strict=True)])
+    want = simhash.forest(n, np.r_[x[near], np.arange(n)], np.r_[y[near], root])
+    sets = simhash.Sets(np.concatenate(hashes), np.cumsum(list(map(len, hashes))))
+    for at_once in (1, 1 << 20):
+        a, b = simhash.confirmed_forest(sets, root, ((x[k : k + 99], y[k : k + 99]) for k in range(0, len(x), 99)), 0.7, at_once)
+        assert np.array_equal(simhash.forest(n, np.r_[a, np.arange(n)], np.r_[b, root]), want) and len(a) == n // 2 - len(np.unique(want)) > 0
+
+
 def test_masks_leave_no_pair_out():
     assert [len(simhash.masks(4, n)) for n in (10, 10**8, 10**10, 10**13)] == [5, 15, 35, 70]
     rng = random.Random(5)
