@@ -1,8 +1,10 @@
 """Language-model scoring: a causal self-attention model over subword ids, trained in numpy, and the words' counts.
 
-The model writes a text word by word (the end is one). A word comes from the counts with probability ``known`` (c / N over
-the training tokens), else it is spelt by the attention model; known is Good and Turing's 1 - (singletons + 1) / (N + 2). Its
-probability is the sum of both, so over all words, and at every size of the corpus, they add up to one.
+The model writes a text word by word (the end is one). A word comes from the counts with some probability (c / N over
+the training tokens), else it is spelt by the attention model; its probability is the sum of both, so over all words, and at every size of the
+corpus, they add up to one. A word is a known one with ``known``, Good and Turing's 1 - (singletons + 1) / (N + 2), and a known one comes from
+the counts with a share that is learned: of ``SHARES`` the one under which the training texts' known words are likeliest, each scored by the
+counts without itself. All others, known or new, are the attention model's.
 
 Spelling: P(subword | those before) = P(class | those before) P(subword | class). Classes hold either subwords that begin a
 word (they begin with its space) or others, so the same softmax says whether a word ends. A word's probability is that of
@@ -45,6 +47,8 @@ HOP = 16
 PIECES = EOD + 1
 CONTEXTS, COMMON = 256, 4096
 FLUSH = 400_000
+#: What the share of the counts in known words may be.
+SHARES = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 1.0)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -471,15 +475,10 @@ class Speller:
         return np.add.reduceat(lp.astype(np.float64), first) - ends + after
 
 
-def mixed_log(spelt, share, known: float):
-    """log of the probability of words: spelt (log), and their share of the training tokens."""
-    with np.errstate(divide="ignore"):
-        return np.logaddexp(math.log1p(-known) + spelt, np.log(known * share) if known > 0 else np.full(len(spelt), -np.inf))
-
-
 def score_texts(docs: DataFrame, speller: Speller, hot_counts: dict[bytes, int], n_train: int, known: float, ranks, chunk: int = 16384) -> DataFrame:
     """docs: (doc_id, held_out, text). Stored: task, ord, doc_id, held_out, n_tokens, n_hot, hot_sum, hot_score, rare (words to look
-    up, and the log probabilities they were spelt with)."""
+    up, and the log probabilities they were spelt with). hot_score is a list for ``SHARES``, and so is hot_without, of known words, each counted
+    without itself; of held-out texts that is null."""
     spark = docs.sparkSession
     common = flat_pieces(encoder(ranks.value), list(hot_counts))
     counts = np.fromiter(hot_counts.values(), np.float64, len(hot_counts))
@@ -491,7 +490,7 @@ def score_texts(docs: DataFrame, speller: Speller, hot_counts: dict[bytes, int],
 
         speller, hot, common, counts = shared.value
         encode = encoder(ranks.value)
-        logs, shares = np.append(np.log10(counts + 1), 0.0), np.append(counts / max(1, n_train), 0.0)
+        logs, shares, without = np.append(np.log10(counts + 1), 0.0), np.append(counts / max(1, n_train), 0.0), np.append((counts - 1) / max(1, n_train - 1), 0.0)
         task, n = uuid.uuid4().int >> 65, 0
 
         def fresh():
@@ -531,19 +530,46 @@ def score_texts(docs: DataFrame, speller: Speller, hot_counts: dict[bytes, int],
             spelt = np.concatenate(spelt)
             is_rare = at >= len(hot)
             here = np.where(is_rare, len(hot), at)
-            score = np.where(is_rare, 0.0, mixed_log(spelt, shares[here], known))
+            spelt_p = np.exp(np.maximum(spelt, -690.0))
+
+            def under(table, counted):
+                own = table[here]  # noqa: B023
+                return np.stack([np.add.reduceat(np.where(counted, np.log((1 - known * k) * spelt_p + known * k * own), 0.0), opens) for k in SHARES], axis=1)  # noqa: B023
+
+            for_all, alone = under(shares, ~is_rare), under(without, ~is_rare & (without[here] > 0))
+            learns = np.where(b.column("held_out").to_numpy(zero_copy_only=False), -1, np.arange(b.num_rows))
+            for_all, alone = (pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(SHARES)).cast(pa.list_(pa.float64())) for x in (for_all, alone))
+            alone = alone.take(pa.array(learns, mask=learns < 0))
             n_rare = np.add.reduceat(is_rare, opens, dtype=np.int64)
             who = np.flatnonzero(is_rare)
             words = pa.StructArray.from_arrays([pa.array([said[i] for i in who.tolist()], pa.binary()), pa.array(spelt[who])], ["word", "spelt"])
             rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_rare)]), pa.int32()), words)
             m = b.num_rows
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(m, task)), pa.array(np.arange(n, n + m)), b.column("doc_id"), b.column("held_out"), pa.array(lens), pa.array(lens - n_rare), pa.array(np.add.reduceat(logs[here], opens)), pa.array(np.add.reduceat(score, opens)), rare],
-                ["task", "ord", "doc_id", "held_out", "n_tokens", "n_hot", "hot_sum", "hot_score", "rare"],
+                [pa.array(np.full(m, task)), pa.array(np.arange(n, n + m)), b.column("doc_id"), b.column("held_out"), pa.array(lens), pa.array(lens - n_rare), pa.array(np.add.reduceat(logs[here], opens)), for_all, alone, rare],
+                ["task", "ord", "doc_id", "held_out", "n_tokens", "n_hot", "hot_sum", "hot_score", "hot_without", "rare"],
             )
             n += m
 
-    return staged(docs.select("doc_id", "held_out", "text").mapInArrow(run, f"task long, ord long, doc_id {id_type}, held_out boolean, n_tokens long, n_hot long, hot_sum double, hot_score double, rare array<struct<word:binary,spelt:double>>"), "lm-scores")
+    return staged(docs.select("doc_id", "held_out", "text").mapInArrow(run, f"task long, ord long, doc_id {id_type}, held_out boolean, n_tokens long, n_hot long, hot_sum double, hot_score array<double>, hot_without array<double>, rare array<struct<word:binary,spelt:double>>"), "lm-scores")
+
+
+def mixed(spelt, share, known: float):
+    """log of the probability of words: spelt (log), and their share of the training tokens (may be null), as columns."""
+    a, b = spelt + F.lit(math.log1p(-known)), F.log(share * F.lit(known)) if known > 0 else F.lit(None).cast("double")
+    return F.when(b.isNull(), a).otherwise(F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b))))
+
+
+def likeliest(done: DataFrame, rare: DataFrame, n: int, known: float) -> int:
+    """Under which of ``SHARES`` the training texts' known words are likeliest, each counted without itself; the whole share unless another
+    gains more than half the log of N, what a parameter costs by the Bayesian information criterion (the texts are those trained on). done: as ``score_texts`` gives it;
+    rare: (held_out, spelt, c)."""
+    hot = done.select(*[F.sum(F.get("hot_without", F.lit(k))) for k in range(len(SHARES))]).first()
+    without = (F.col("c") - 1) / F.lit(max(1, n - 1))
+    other = rare.filter(~F.col("held_out") & (F.col("c") > 1)).select(*[F.sum(mixed(F.col("spelt"), without, known * k)) for k in SHARES]).first()
+    found = [(x or 0.0) + (y or 0.0) for x, y in zip(hot, other, strict=True)]
+    best = int(np.argmax(found))
+    return best if found[best] - found[-1] > math.log(max(1, n)) / 2 else len(SHARES) - 1
 
 
 def score_corpus(docs: DataFrame, is_held_out=None, classes: int = 96, rounds: int = 1, hot: int = 200_000, path: str | None = None, seed: int = 3) -> DataFrame:
@@ -567,11 +593,11 @@ def score_corpus(docs: DataFrame, is_held_out=None, classes: int = 96, rounds: i
     done = score_texts(docs, Speller(flat, class_of, row_of, log_piece, begins), hot_counts, n, known, ranks)
     low = min(hot_counts.values(), default=None)
     rest = counts if low is None else counts.filter(F.col("c") < low)
-    spelt = F.col("r.spelt") + F.lit(math.log1p(-known))
-    counted = F.log(F.col("c") * F.lit(known / max(1, n)))
-    rare = done.select("task", "ord", F.explode("rare").alias("r")).select("task", "ord", "r", F.col("r.word").alias("word")).join(rest, "word", "left")
-    both = F.when(F.col("c").isNull(), spelt).otherwise(F.greatest(spelt, counted) + F.log1p(F.exp(-F.abs(spelt - counted))))
-    looked_up = rare.groupBy("task", "ord").agg(F.sum(F.log10(F.col("c") + 1)).alias("rare_sum"), F.count("c").alias("n_rare"), F.sum(both).alias("rare_score"))
+    rare = done.select("task", "ord", "held_out", F.explode("rare").alias("r")).select("task", "ord", "held_out", "r.word", "r.spelt").join(rest, "word", "left").select("task", "ord", "held_out", "spelt", "c")
+    rare = staged(rare, "lm-rare")
+    best = likeliest(done, rare, n, known)
+    known, done = known * SHARES[best], done.withColumn("hot_score", F.get("hot_score", F.lit(best))).drop("hot_without")
+    looked_up = rare.groupBy("task", "ord").agg(F.sum(F.log10(F.col("c") + 1)).alias("rare_sum"), F.count("c").alias("n_rare"), F.sum(mixed(F.col("spelt"), F.col("c") / F.lit(max(1, n)), known)).alias("rare_score"))
     out = done.drop("rare").join(looked_up, ["task", "ord"], "left")
     base = F.col("hot_sum") + F.coalesce("rare_sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(n + v + 1))
     score = (F.col("hot_score") + F.coalesce("rare_score", F.lit(0.0))) / F.lit(math.log(10))

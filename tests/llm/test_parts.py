@@ -418,6 +418,23 @@ def test_held_out_words_that_are_known_beat_unigrams(spark):
     assert got["sum(score)"] > got["sum(base_score)"]
 
 
+def test_the_share_of_the_counts_is_learned(spark, monkeypatch):
+    docs, chosen, likeliest = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), [], lm.likeliest
+
+    def spy(done, rare, n, known):
+        assert all((r.hot_without is None) == r.held_out for r in done.collect())
+        chosen.append(likeliest(done, rare, n, known))
+        return chosen[-1]
+
+    monkeypatch.setattr(lm, "likeliest", spy)
+    sums = [lm.score_corpus(docs).filter("held_out").agg({"score": "sum", "n_tokens": "sum"}).first()]
+    monkeypatch.setattr(lm, "likeliest", lambda *a: len(lm.SHARES) - 1)  # Good and Turing's weight alone
+    sums.append(lm.score_corpus(docs).filter("held_out").agg({"score": "sum", "n_tokens": "sum"}).first())
+    learned, fixed = (r["sum(score)"] / r["sum(n_tokens)"] for r in sums)
+    assert 0 < lm.SHARES[chosen[0]] < 0.95  # the attention model has a say in known words
+    assert learned > fixed + 0.02  # and held-out texts are likelier
+
+
 def test_the_language_model_learns_from_every_subword(spark, monkeypatch):
     seen, learn = [], lm.train_attention
 
