@@ -18,9 +18,9 @@ repeated item ids count once. Other columns are not looked at.
 from __future__ import annotations
 
 import itertools
-from collections import Counter
+import uuid
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -61,44 +61,39 @@ def build_index(docs: DataFrame, segment_tokens: int = 1 << 20) -> DataFrame:
     """A row for each segment: segment, doc_ids, n_words, starts, terms, counts, postings."""
     small_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches):
-        import uuid
-
-        ids, lens, parts, local, total, id_kind = [], [], [], {}, 0, None
-
-        def segment():
-            size = np.array(lens, np.int64)
-            codes = np.fromiter(map(local.__getitem__, chain.from_iterable(parts)), np.int32, int(size.sum()))
-            at = np.arange(len(codes), dtype=np.int32) + np.repeat(np.arange(len(size), dtype=np.int32), size)  # a gap after each document
-            order = np.argsort(codes, kind="stable")
-            codes, at = codes[order], at[order]
-            first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.empty(0, np.int64)
-            deltas = np.diff(at, prepend=np.int32(0))
-            deltas[first] = at[first]
-            row = [[uuid.uuid4().int >> 65], [ids], [lens], [_pack(np.cumsum(size + 1) - size - 1)], [_squeeze(b"\n".join(local))], [_pack(np.diff(first, append=len(codes)).astype(np.int32))], [_pack(deltas)]]
-            kinds = [pa.int64(), pa.list_(id_kind), pa.list_(pa.int64()), *[pa.binary()] * 4]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], COLUMNS)
-
-        for b in batches:
-            id_kind = b.column("doc_id").type
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                words = words_of(text)
-                local.update(zip(words, repeat(0)))
-                parts.append(words)
-                ids.append(doc)
-                lens.append(len(words))
-                total += len(words) + 1
-                if total >= segment_tokens:
-                    local = dict(zip(local, range(len(local)), strict=True))
-                    yield segment()
-                    ids, lens, parts, local, total = [], [], [], {}, 0
-        if ids:
-            local = dict(zip(local, range(len(local)), strict=True))
-            yield segment()
-
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"segment long, doc_ids array<{id_type}>, n_words array<long>, starts binary, terms binary, counts binary, postings binary")
+    return rows.mapInArrow(lambda batches: segments(batches, segment_tokens), f"segment long, doc_ids array<{id_type}>, n_words array<long>, starts binary, terms binary, counts binary, postings binary")
+
+
+def segments(batches, segment_tokens: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``build_index``. A document's words become numbers as it is read: no more than its own are held as words."""
+    ids, parts, local, total, id_kind = [], [], defaultdict(itertools.count().__next__), 0, None
+
+    def segment():
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        codes = np.concatenate(parts)
+        at = np.arange(len(codes), dtype=np.int32) + np.repeat(np.arange(len(size), dtype=np.int32), size)  # a gap after each document
+        order = np.argsort(codes, kind="stable")
+        codes, at = codes[order], at[order]
+        first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.empty(0, np.int64)
+        deltas = np.diff(at, prepend=np.int32(0))
+        deltas[first] = at[first]
+        row = [[uuid.uuid4().int >> 65], [ids], [size], [_pack(np.cumsum(size + 1) - size - 1)], [_squeeze(b"\n".join(local))], [_pack(np.diff(first, append=len(codes)).astype(np.int32))], [_pack(deltas)]]
+        kinds = [pa.int64(), pa.list_(id_kind), pa.list_(pa.int64()), *[pa.binary()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], COLUMNS)
+
+    for b in batches:
+        id_kind = b.column("doc_id").type
+        for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+            words = words_of(text.as_py())
+            parts.append(np.fromiter(map(local.__getitem__, words), np.int32, len(words)))
+            ids.append(doc)
+            total += len(words) + 1
+            if total >= segment_tokens:
+                yield segment()
+                ids, parts, local, total = [], [], defaultdict(itertools.count().__next__), 0
+    if ids:
+        yield segment()
 
 
 COLUMNS = ["segment", "doc_ids", "n_words", "starts", "terms", "counts", "postings"]

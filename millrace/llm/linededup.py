@@ -345,7 +345,7 @@ def _grown(side: str) -> Column:
         f = shared_end if side == "left" else shared_start
         return pd.DataFrame([f(a, b) for a, b in zip(own, first, strict=True)], columns=["bytes", "words"]).astype("int32")
 
-    return run(F.col(side), F.col(f"first_{side}"))
+    return run.asNondeterministic()(F.col(side), F.col(f"first_{side}"))  # else a filter on what it returns runs it twice, in two workers a task
 
 
 def order_of(doc_id: Column, kind: str, key: Column) -> Column:

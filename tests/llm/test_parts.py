@@ -1,8 +1,10 @@
 """Parts of the training-data operators: formats, exactness of filters, general interfaces."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -461,6 +463,32 @@ def test_phrases_and_proximity(spark):
     assert near == {0: ["7"], 1: ["7"], 2: ["7"], 3: [], 4: ["7"]}
 
 
+def test_an_index_segment_is_built_from_numbers_not_words():
+    n, rng = 1 << 17, random.Random(5)
+    words = [f"passage{rng.randrange(3000)}" for _ in range(n)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(n // 256)), "text": [" ".join(words[i : i + 256]) for i in range(0, n, 256)]})
+    list(decontaminate.segments([batch], n))  # imports
+    tracemalloc.start()
+    try:
+        (row,) = decontaminate.segments([batch], 2 * n)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 48 * n  # as words, over 80 a word
+    found = decontaminate.Segment(row.to_pylist()[0])
+    assert sum(map(found.count, found.terms)) == n and found.lens.tolist() == [256] * (n // 256)
+    at = found.phrase(tuple(w.encode() for w in words[256:266]))
+    assert (257 in at) and found.doc_of(at[at == 257]).tolist() == [1]
+
+
+def test_ends_are_compared_once(spark):
+    passage = " ".join(f"p{i}" for i in range(80))
+    docs = spark.createDataFrame([(k, k, k, f"a{k} b{k} one two {passage} three four c{k}") for k in range(3)], "ord long, k1 long, k2 long, text string")
+    found = linededup.removals(docs, linededup.LEAST, linededup.SEED)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 2  # a side each; four in two chains before
+    assert sorted(r.k1 for r in found.collect()) == [1, 2]
+
+
 def test_chunks_cover_a_text_and_survive_shifts():
     rng = random.Random(9)
     words = [f"w{rng.randrange(500)}" for _ in range(400)]
