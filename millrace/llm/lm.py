@@ -32,7 +32,7 @@ from __future__ import annotations
 import math
 from array import array
 from collections import Counter
-from itertools import chain, repeat
+from itertools import accumulate, chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 
 from .ann import kmeans
 from .common import gathered, highest, small_batches, staged
+from .pieces import Kept
 from .tokencount import EOD, encoding, rank_file
 
 HOP = 16
@@ -142,18 +143,10 @@ def take_pieces(train: DataFrame, ranks) -> DataFrame:
 
     def run(batches):
         encode = encoder(ranks.value)
-        known: dict[bytes, array] = {}
+        known = Kept(lambda w: array("H", pieces_of(encode, w)).tobytes(), FLUSH)
+        begin, end = array("H", [BEGIN]).tobytes(), known[b""]
         for b in batches:
-            out = []
-            for text in b.column("text").to_pylist():
-                seq = array("H", [BEGIN])
-                for w in chain(words_of(text), [b""]):
-                    if (p := known.get(w)) is None:
-                        p = known[w] = array("H", pieces_of(encode, w))
-                    seq += p
-                out.append(seq.tobytes())
-                if len(known) > FLUSH:
-                    known = {}
+            out = [b"".join(chain([begin], map(known.__getitem__, words_of(text)), [end])) for text in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["pieces"])
 
     return staged(train.select("text").mapInArrow(run, "pieces binary"), "lm-pieces")
@@ -254,6 +247,7 @@ class Attention:
         c, d = classes, dim
         self.c, self.d, self.rows = c, d, rows
         self.shapes = {"e": (rows + 1, d), "q": (d, d), "k": (d, d), "v": (d, d), "o": (d, c), "rel": (2 * HOP,), "skip": (c + 1, c)}
+        self.ends = list(accumulate(map(math.prod, self.shapes.values())))
         rng = np.random.default_rng(seed)
         self.flat = np.concatenate([(rng.standard_normal(int(np.prod(s))) * {"rel": 0, "skip": 0, "e": 0.3}.get(n, d**-0.5)) for n, s in self.shapes.items()]).astype(np.float32)
 
@@ -264,121 +258,142 @@ class Attention:
         self.views(self.flat)["o"][:] *= 0.1
 
     def views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
-        out, at = {}, 0
-        for n, s in self.shapes.items():
-            out[n] = flat[at : (at := at + int(np.prod(s)))].reshape(s)
-        return out
+        return {n: flat[a:z].reshape(s) for (n, s), a, z in zip(self.shapes.items(), [0, *self.ends], self.ends, strict=False)}
+
+    def folded(self, p) -> tuple[np.ndarray, np.ndarray]:
+        """What scores need of queries and keys, and logits of values and outcome: q k^T and v o. So rows stand for their own keys and
+        values, which saves projecting every input, there and back."""
+        return p["q"] @ p["k"].T * np.float32(self.d**-0.5), p["v"] @ p["o"]
 
     def tables(self):
-        """Queries, keys and values of every row."""
+        """Embeddings and queries of every row, and the outcome."""
         p = self.views(self.flat)
-        return tuple(p["e"] @ p[n] * np.float32(self.d**-0.5 if n == "q" else 1) for n in "qkv")
+        near, out = self.folded(p)
+        return p["e"], p["e"] @ near, out
 
-    def attend(self, p, q, k, v, opens: np.ndarray, last: np.ndarray):
-        """q: (B, HOP, d); k, v: (B, 2 HOP, d); opens: windows at a text's beginning; last: (B, HOP) the class before each position."""
-        a = q @ k.transpose(0, 2, 1)
+    def attend(self, p, q, x, out, opens: np.ndarray, last: np.ndarray, a: np.ndarray | None = None):
+        """q: (B, HOP, d); x: (B, 2 HOP, d); opens: windows at a text's beginning; last: (B, HOP) the class before each position. a: where
+        the weights go. Weights before they are divided by their sums, sums, what they mix, logits."""
+        a = np.matmul(q, x.transpose(0, 2, 1), out=a)
         np.minimum(a, np.float32(50), out=a)
         a += np.where(CAUSAL, np.minimum(p["rel"], np.float32(20))[DISTANCE], np.float32(-1e9))  # at most 70, so no maximum is subtracted
         a[opens, :, :HOP] = -1e9  # before the text
         np.exp(a, out=a)
-        a /= a.sum(axis=2, keepdims=True)
-        mixed = a @ v
-        logits = mixed.reshape(-1, self.d) @ p["o"]
+        total = np.einsum("bij->bi", a)[:, :, None]
+        mixed = a @ x
+        mixed /= total
+        logits = mixed.reshape(-1, self.d) @ out
         logits += np.take(p["skip"], last.ravel(), axis=0)
-        return a, mixed, logits
+        return a, total, mixed, logits
 
     def log_prob(self, ids, opens, last, target, begins, tables=None) -> tuple[np.ndarray, np.ndarray]:
         """log P of each target class, and of any class that begins a word (begins: 1 for these, else 0): (B, HOP) each."""
-        q, k, v = tables or self.tables()
-        logits = self.attend(self.views(self.flat), np.take(q, ids[:, HOP:], axis=0), np.take(k, ids, axis=0), np.take(v, ids, axis=0), opens, last)[-1]
+        e, q, out = tables or self.tables()
+        logits = self.attend(self.views(self.flat), np.take(q, ids[:, HOP:], axis=0), np.take(e, ids, axis=0), out, opens, last)[-1]
         at = np.take(logits, np.arange(len(logits), dtype=np.int32) * np.int32(self.c) + target.ravel())
         if not logits.max(initial=0) < 80:
             top = logits.max(axis=1)
             at, logits = at - top, logits - top[:, None]
         np.exp(logits, out=logits)
-        two = logits @ np.stack([np.ones(self.c, np.float32), begins], axis=1)
-        total = np.log(two[:, 0])
-        return (at - total).reshape(target.shape), (np.log(np.maximum(two[:, 1], 1e-30)) - total).reshape(target.shape)
+        total = np.log(logits @ np.ones(self.c, np.float32))
+        return (at - total).reshape(target.shape), (np.log(np.maximum(logits @ begins, 1e-30)) - total).reshape(target.shape)
 
     def gradient(self, ids, opens, last, target, there) -> tuple[float, dict, np.ndarray]:
         """Mean loss over the targets that are there; gradients by name, of e for the rows named last."""
         p, c, d = self.views(self.flat), self.c, self.d
+        near, out = self.folded(p)
         x = np.take(p["e"], ids, axis=0)
-        own, scale = x[:, HOP:], np.float32(d**-0.5)
-        both = np.concatenate([p["k"], p["v"]], axis=1)
-        kv = (x.reshape(-1, d) @ both).reshape(*ids.shape, 2 * d)
-        own2 = own.reshape(-1, d)
-        q, k, v = (own2 @ (p["q"] * scale)).reshape(own.shape), kv[:, :, :d], kv[:, :, d:]
-        a, mixed, logits = self.attend(p, q, k, v, opens, last)
+        own = np.ascontiguousarray(x[:, HOP:]).reshape(-1, d)
+        # of each window: weights of values, then gradients of scores; gradients of what is mixed, then queries
+        weights, both = np.empty((len(ids), 2 * HOP, 2 * HOP), x.dtype), np.empty((len(ids), 2 * HOP, d), x.dtype)
+        a, ds, dm, q = weights[:, :HOP], weights[:, HOP:], both[:, :HOP], both[:, HOP:]
+        q[:] = (own @ near).reshape(q.shape)
+        _, total, mixed, logits = self.attend(p, q, x, out, opens, last, a)
+        a /= total
         flat_there = there.ravel().astype(np.float32)
         n = max(1, int(flat_there.sum()))
-        at = np.arange(len(logits)), target.ravel()
+        at = np.arange(0, logits.size, c) + target.ravel()
         if not logits.max(initial=0) < 80:
             logits -= logits.max(axis=1, keepdims=True)
-        hit = logits[at]
+        hit = np.take(logits, at)
         dl = np.exp(logits, out=logits)
         z = dl @ np.ones(c, np.float32)
         loss = -float(((hit - np.log(z)) * flat_there).sum()) / n
         weight = flat_there / np.float32(n)
         dl *= (weight / z)[:, None]
-        dl[at] -= weight
-        g = {"o": mixed.reshape(-1, d).T @ dl, "skip": np.zeros((c + 1, c), np.float32)}
+        dl.ravel()[at] -= weight
+        g = {"skip": np.zeros((c + 1, c), np.float32)}
         kinds, sums = summed(last.ravel(), dl)
         g["skip"][kinds] = sums
-        dm = (dl @ p["o"].T).reshape(mixed.shape)
-        da, dv = dm @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dm
-        da *= a
-        ds = da - a * da.sum(axis=2, keepdims=True)
+        d_out = mixed.reshape(-1, d).T @ dl
+        g["v"], g["o"] = d_out @ p["o"].T, p["v"].T @ d_out
+        dm[:] = (dl @ out.T).reshape(dm.shape)
+        np.matmul(dm, x.transpose(0, 2, 1), out=ds)
+        ds -= np.einsum("bij,bij->bi", dm, mixed)[:, :, None]
+        ds *= a
         g["rel"] = np.bincount(DISTANCE.ravel(), ds.sum(axis=0).ravel(), 2 * HOP).astype(np.float32)
-        dq = (ds @ k).reshape(-1, d) * scale
-        dkv = np.concatenate([ds.transpose(0, 2, 1) @ q, dv], axis=2).reshape(-1, 2 * d)
-        g["q"], gkv = own2.T @ dq, x.reshape(-1, d).T @ dkv
-        g["k"], g["v"] = gkv[:, :d], gkv[:, d:]
-        dx = (dkv @ both.T).reshape(x.shape)
-        dx[:, HOP:] += (dq @ p["q"].T).reshape(own.shape)
+        dq = (ds @ x).reshape(-1, d)
+        d_near = own.T @ dq * np.float32(d**-0.5)
+        g["q"], g["k"] = d_near @ p["k"], d_near.T @ p["q"]
+        dx = weights.transpose(0, 2, 1) @ both
+        dx[:, HOP:] += (dq @ near.T).reshape(q.shape)
         rows, g["e"] = summed(ids.ravel(), dx.reshape(-1, d))
         return loss, g, rows
 
 
 def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sum of the rows of values under each key."""
-    order = np.argsort(keys, kind="stable")
+    """The sum of the rows of values under each key. Keys are classes or rows, so 16 bits hold them, which numpy sorts by digits."""
+    order = np.argsort(keys.astype(np.uint16), kind="stable")
     keys = keys[order]
-    last = np.flatnonzero(np.append(keys[1:] != keys[:-1], True))
-    if values.shape[1] > 64:
-        return keys[last], np.add.reduceat(np.take(values, order, axis=0), np.append(0, last[:-1] + 1), axis=0)
-    total = np.cumsum(np.take(values, order, axis=0), axis=0, dtype=np.float64)[last]
-    return keys[last], np.diff(total, axis=0, prepend=0.0).astype(np.float32)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(np.take(values, order, axis=0), first, axis=0)
 
 
-_Q, _K = np.arange(HOP, 2 * HOP)[:, None], np.arange(2 * HOP)[None, :]
-CAUSAL, DISTANCE = _K <= _Q, np.clip(_Q - _K, 0, 2 * HOP - 1)
+def adam(p: np.ndarray, first: np.ndarray, second: np.ndarray, where, gradient: np.ndarray, step: int) -> None:
+    """One step of some rows of p, with the moments of their gradients."""
+    m, v = 0.9 * first[where], 0.98 * second[where]
+    m += 0.1 * gradient
+    v += 0.02 * gradient * gradient
+    first[where], second[where] = m, v
+    np.sqrt(v, out=v)
+    v /= (1 - 0.98**step) ** 0.5
+    v += 1e-8
+    m *= 0.004 / (1 + step / 400) ** 0.5 / (1 - 0.9**step)
+    m /= v
+    p[where] -= m
 
 
-def windows(lens: np.ndarray):
-    """Of texts that lie in a row, so long each: the places of each window's inputs (2 HOP, in opening windows of their second half
-    only; the place at HOP of an opening window is the text's beginning), of its targets (HOP), which targets are there, and
-    which windows open a text."""
-    blocks = -(-lens // HOP)
-    starts = np.cumsum(lens) - lens
-    of = np.repeat(np.arange(len(lens)), blocks)
-    first = (np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * HOP
-    at = first[:, None] + np.arange(HOP)
-    there = at < lens[of][:, None]
-    goal = starts[of][:, None] + np.minimum(at, lens[of][:, None] - 1)
-    before = starts[of][:, None] + first[:, None] - HOP + np.arange(2 * HOP) - 1  # the input at a position is what stands before it
-    return np.clip(before, 0, max(0, int(lens.sum()) - 1)), goal, there, first == 0
+_Q, _K = np.arange(HOP, 2 * HOP)[:, None], np.arange(2 * HOP)[None, :]
+CAUSAL, DISTANCE = _K <= _Q, np.clip(_Q - _K, 0, 2 * HOP - 1)
 
 
 class Inputs:
-    """The windows of some texts' subwords: embedding rows, classes before each position, target classes."""
+    """The windows of some texts' subwords, which lie in a row, ``lens`` long each: embedding rows (2 HOP), classes before each position and
+    target classes (HOP), places of the targets among the subwords, which targets are there, and which windows open a text. The input at
+    a position is what stands before it; at HOP of an opening window that is the text's beginning (begin: its row and class), and
+    what is before counts for nothing."""
 
     def __init__(self, flat: np.ndarray, lens: np.ndarray, rows: np.ndarray, kinds: np.ndarray, begin: tuple[int, int]):
-        source, self.goal, self.there, self.opens = windows(lens)
-        self.ids = np.take(np.take(rows, flat), source)
+        blocks = -(-lens // HOP)
+        n, m = int(blocks.sum()), len(lens)
+        first = np.cumsum(blocks) - blocks
+        place = np.arange(len(flat)) + np.repeat(first * HOP - (np.cumsum(lens) - lens), lens)  # each text begins a block
         kind = np.take(kinds, flat)
-        self.last, self.target = np.take(kind, source[:, HOP:]), np.take(kind, self.goal)
-        self.ids[self.opens, HOP], self.last[self.opens, 0] = begin
+        self.target, self.goal, self.there, self.opens = np.zeros((n, HOP), np.int32), np.zeros((n, HOP), np.int64), np.zeros((n, HOP), bool), np.zeros(n, bool)
+        self.target.ravel()[place], self.goal.ravel()[place], self.there.ravel()[place] = kind, np.arange(len(flat)), True
+        self.opens[first[blocks > 0]] = True
+        # inputs stand one place later, and each text has one block more, before its own
+        text = np.arange(m)
+        place += np.repeat((text + 1) * HOP + 1, lens)
+        at = np.arange(n) + np.repeat(text, blocks)
+        before = []
+        for values, mark in zip((np.take(rows, flat), kind), begin, strict=True):
+            row = np.zeros((n + m + 1, HOP), np.int32)
+            row.ravel()[place] = values
+            row[first[blocks > 0] + text[blocks > 0] + 1, 0] = mark
+            before.append(row)
+        self.ids = np.concatenate([before[0][at], before[0][at + 1]], axis=1)
+        self.last = before[1][at + 1]
 
     def some(self, k):
         return self.ids[k], self.opens[k], self.last[k], self.target[k], self.there[k]
@@ -397,7 +412,8 @@ def train_attention(taken: DataFrame, class_of: np.ndarray, row_of: np.ndarray,
             flat, class_of, row_of = shared.value  # noqa: B023
             own = Attention(classes, rows, seed=seed)
             own.flat = flat.copy()
-            p, first, second = own.views(own.flat), own.views(np.zeros(size, np.float32)), own.views(np.zeros(size, np.float32))
+            state = own.flat, np.zeros(size, np.float32), np.zeros(size, np.float32)
+            near, rest = [own.views(x)["e"] for x in state], [x[own.ends[0] :] for x in state]  # of e only the rows at hand, all else at once
             step, seen = 0, 0
             rng = np.random.default_rng(seed + r)
 
@@ -409,12 +425,8 @@ def train_attention(taken: DataFrame, class_of: np.ndarray, row_of: np.ndarray,
                     k = order[at : at + 64]
                     _, g, touched = own.gradient(*x.some(k))
                     step += 1
-                    rate = 0.004 / (1 + step / 400) ** 0.5
-                    for name, value in g.items():
-                        i = touched if name == "e" else ...
-                        m = first[name][i] = 0.9 * first[name][i] + 0.1 * value
-                        v = second[name][i] = 0.98 * second[name][i] + 0.02 * value * value
-                        p[name][i] -= np.float32(rate) * (m / np.float32(1 - 0.9**step)) / (np.sqrt(v / np.float32(1 - 0.98**step)) + np.float32(1e-8))
+                    adam(*near, touched, g["e"], step)
+                    adam(*rest, ..., np.concatenate([g[name].ravel() for name in own.shapes if name != "e"]), step)
                     seen += int(x.there[k].sum())
 
             held, n_held = [], 0
@@ -533,8 +545,9 @@ def score_texts(docs: DataFrame, speller: Speller, hot_counts: dict[bytes, int],
             spelt_p = np.exp(np.maximum(spelt, -690.0))
 
             def under(table, counted):
-                own = table[here]  # noqa: B023
-                return np.stack([np.add.reduceat(np.where(counted, np.log((1 - known * k) * spelt_p + known * k * own), 0.0), opens) for k in SHARES], axis=1)  # noqa: B023
+                other = np.where(counted, spelt_p, 1.0)  # noqa: B023
+                more = np.where(counted, known * (table[here] - other), 0.0)  # noqa: B023
+                return np.stack([np.add.reduceat(np.log(other + k * more), opens) for k in SHARES], axis=1)  # noqa: B023
 
             for_all, alone = under(shares, ~is_rare), under(without, ~is_rare & (without[here] > 0))
             learns = np.where(b.column("held_out").to_numpy(zero_copy_only=False), -1, np.arange(b.num_rows))

@@ -362,6 +362,32 @@ def test_a_scored_subword_sees_sixteen_before_it():
         assert a != b
 
 
+def test_windows_see_their_own_texts_beginning_and_nothing_before_it():
+    rng, lens = np.random.default_rng(8), np.array([7, 3 * lm.HOP, 2 * lm.HOP + 5])
+    m, own, kinds = lm.Attention(5, 9), np.arange(9, dtype=np.int32), np.arange(9, dtype=np.int32) % 5
+    z = rng.integers(0, 9, lens.sum())
+    alone = z[lens[0] :][: lens[1]]
+    first, x, y = (lm.Inputs(s, n, own, kinds, (9, 5)) for s, n in ((alone, lens[1:2]), (z, lens), (np.append((z[: lens[0]] + 1) % 9, z[lens[0] :]), lens)))
+    assert x.ids[x.opens, lm.HOP].tolist() == [9, 9, 9] and x.ids[[2, 5], 0].tolist() == [9, 9]  # also in the second windows of texts, where the first key is the beginning
+    logs = [m.log_prob(w.ids, w.opens, w.last, w.target, np.ones(5, np.float32))[0] for w in (first, x, y)]
+    assert np.allclose(logs[0], logs[1][1:4], atol=1e-6) and np.array_equal(logs[1][1:], logs[2][1:])
+
+
+def test_sums_by_key_and_steps_of_some_rows():
+    rng = np.random.default_rng(9)
+    keys, values = rng.integers(0, 60000, 500) // 900 * 900, rng.standard_normal((500, 24)).astype(np.float32)
+    found, sums = lm.summed(keys, values)
+    assert found.tolist() == sorted(set(keys.tolist())) and np.allclose(sums, [values[keys == k].sum(axis=0) for k in found], atol=1e-4)
+    p, m, v = rng.standard_normal((6, 3)).astype(np.float32), np.zeros((6, 3), np.float32), np.zeros((6, 3), np.float32)
+    q, first, second = p.astype(np.float64), m.astype(np.float64), v.astype(np.float64)
+    for step, at in enumerate(([0, 2], [2, 5], [0, 5], [2, 3]), 1):
+        g = rng.standard_normal((2, 3)).astype(np.float32)
+        lm.adam(p, m, v, np.array(at), g, step)
+        first[at], second[at] = 0.9 * first[at] + 0.1 * g, 0.98 * second[at] + 0.02 * g * g
+        q[at] -= 0.004 / (1 + step / 400) ** 0.5 * (first[at] / (1 - 0.9**step)) / (np.sqrt(second[at] / (1 - 0.98**step)) + 1e-8)
+    assert np.allclose(p, q, atol=1e-6)
+
+
 @pytest.fixture(scope="module")
 def trained(spark):
     """What a small corpus's model scores with: the speller, the counts of all words, N, the share of known words; texts and scores."""
