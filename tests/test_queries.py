@@ -64,3 +64,10 @@ def test_entry(spark, data):
 
     df = e.queries()["hybrid_retrieve"](spark, data)
     assert df.columns == ["query_id", "rank", "id", "weighted_score", "score", "in_dense", "in_sparse"] and df.count() > 0
+
+
+def test_dense_topk_builds_no_collection(spark, data, monkeypatch):
+    monkeypatch.setattr(queries, "_STORED", {})
+    for name in ("build", "index"):
+        monkeypatch.setattr(queries.collection, name, lambda *a, **b: pytest.fail("a collection is built"), raising=False)
+    assert queries.QUERIES["dense_topk"](spark, data).count() > 0
