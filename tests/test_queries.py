@@ -71,3 +71,14 @@ def test_dense_topk_builds_no_collection(spark, data, monkeypatch):
     for name in ("build", "index"):
         monkeypatch.setattr(queries.collection, name, lambda *a, **b: pytest.fail("a collection is built"), raising=False)
     assert queries.QUERIES["dense_topk"](spark, data).count() > 0
+
+
+@pytest.mark.parametrize("name", ["multi_query_evidence"])
+def test_no_text_is_copied_and_terms_are_stored_once(spark, data, tmp_path, monkeypatch, name):
+    folders = (f"file://{tmp_path}/{i}" for i in range(9))
+    monkeypatch.setattr(queries, "_STORED", {})
+    monkeypatch.setattr(queries, "work_folder", lambda spark: next(folders))
+    assert queries.QUERIES[name](spark, data).count() > 0
+    found = {os.path.relpath(top, tmp_path): spark.read.parquet(f"file://{top}").columns for top, _, files in os.walk(tmp_path) if "_SUCCESS" in files}
+    assert found and not [k for k, c in found.items() if "text" in c] and sum("tops" in c or "top" in c for c in found.values()) == 1
+    assert {os.path.basename(k) for k, c in found.items() if {"terms", "sparse_vector"} & set(c)} <= {"slices", "queries"}
