@@ -82,3 +82,9 @@ def test_no_text_is_copied_and_terms_are_stored_once(spark, data, tmp_path, monk
     found = {os.path.relpath(top, tmp_path): spark.read.parquet(f"file://{top}").columns for top, _, files in os.walk(tmp_path) if "_SUCCESS" in files}
     assert found and not [k for k, c in found.items() if "text" in c] and sum("tops" in c or "top" in c for c in found.values()) == 1
     assert {os.path.basename(k) for k, c in found.items() if {"terms", "sparse_vector"} & set(c)} <= {"slices", "queries"}
+
+
+def test_texts_of_evidence_alone_are_shuffled(spark, data, monkeypatch):
+    with queries.settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        plan = queries.QUERIES["rerank_boost"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
