@@ -73,7 +73,7 @@ def test_dense_topk_builds_no_collection(spark, data, monkeypatch):
     assert queries.QUERIES["dense_topk"](spark, data).count() > 0
 
 
-@pytest.mark.parametrize("name", ["multi_query_evidence", "minmax_normalise"])
+@pytest.mark.parametrize("name", ["multi_query_evidence", "minmax_normalise", "hybrid_retrieve"])
 def test_no_text_is_copied_and_terms_are_stored_once(spark, data, tmp_path, monkeypatch, name):
     folders = (f"file://{tmp_path}/{i}" for i in range(9))
     monkeypatch.setattr(queries, "_STORED", {})
